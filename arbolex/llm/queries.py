@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding
+from . import langid, packing, quality, sharding, simhash
 
 QUERIES = {
+    "op4_bk_trees": simhash.op4_bk_trees,
     "op6_tournament_packing": packing.op6_tournament_packing,
     "op7_sampled_splitters": sharding.op7_sampled_splitters,
+    "op8_partial_matching": langid.op8_partial_matching,
     "op10_repetition_coverage": quality.op10_repetition_coverage,
 }
 ORACLES: dict[str, str] = {}
