@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, sharding, simhash
+from . import chat, decontamination, langid, packing, pii, quality, sharding, simhash
 
 QUERIES = {
+    "op1_template_windows": decontamination.op1_template_windows,
     "op4_bk_trees": simhash.op4_bk_trees,
+    "op5_boosted_candidates": pii.op5_boosted_candidates,
     "op6_tournament_packing": packing.op6_tournament_packing,
     "op7_sampled_splitters": sharding.op7_sampled_splitters,
     "op8_partial_matching": langid.op8_partial_matching,
+    "op9_tool_call_linking": chat.op9_tool_call_linking,
     "op10_repetition_coverage": quality.op10_repetition_coverage,
 }
 ORACLES: dict[str, str] = {}

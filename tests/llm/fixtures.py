@@ -17,7 +17,7 @@ def frame(spark, texts, first=0, langs=None):
 
 def prose(rng, n, vocabulary=400):
     letters = "abcdefghijklmnopqrstuvwxyzéß"
-    pool = [f"{letters[w % 28]}{letters[w * 5 % 28]}{w % 97}" for w in range(vocabulary)]
+    pool = [f"{letters[w % 26]}{letters[w // 26 % 26]}{letters[w * 5 % 28]}" for w in range(vocabulary)]
     return " ".join(rng.choice(pool) for _ in range(n))
 
 
