@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import Chunk, chunks, documents
 
 ORDER = 3  # bytes of context
 TRAIN_BYTES = 1_500_000  # text a language in the training sample, about
@@ -189,30 +189,58 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_BYTES and MAX_LANGUAGES
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = held.value
-        m.levels[ORDER] = (m.levels[ORDER][0], np.asfortranarray(m.levels[ORDER][1]))
-        slots, names = m.index(), np.array(m.languages, object)
+        m, slots = _ready(held.value)
+        names = np.array(m.languages, object)
         for batch in batches:
             letters = np.asarray(batch.column("letters").to_numpy(zero_copy_only=False), bool)
             for chunk in chunks(batch.column("text")):
-                bits = code_lengths(m, slots, chunk.data, chunk.offsets)
+                best, share, rate = _verdicts(m, slots, chunk)
                 some = letters[chunk.rows.start : chunk.rows.stop]
-                best = bits.argmin(1)
-                least = bits[np.arange(chunk.n), best]
-                share = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
-                size = np.maximum(np.diff(chunk.offsets), 1)
                 yield pa.record_batch(
                     {
                         "doc_id": batch.column("doc_id").slice(chunk.rows.start, chunk.n),
                         "lang_pred": pa.array(np.where(some, names[best], UNDETERMINED), pa.string()),
                         "score": pa.array(np.where(some, share, 0.0)),
-                        "bits_per_byte": pa.array(least / size, mask=~some),
+                        "bits_per_byte": pa.array(rate, mask=~some),
                     }
                 )
 
     return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def _ready(m: Model) -> tuple[Model, np.ndarray]:
+    m.levels[ORDER] = (m.levels[ORDER][0], np.asfortranarray(m.levels[ORDER][1]))
+    return m, m.index()
+
+
+def _verdicts(m: Model, slots: np.ndarray, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best language's number, its share, and its bits a byte, for each document of a chunk."""
+    bits = code_lengths(m, slots, chunk.data, chunk.offsets)
+    best = bits.argmin(1)
+    least = bits[np.arange(chunk.n), best]
+    share = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(1)
+    return best, share, least / np.maximum(np.diff(chunk.offsets), 1)
+
+
+def determined(docs: DataFrame, model: Model | None = None, least: float = 0.5) -> DataFrame:
+    """The documents, all columns as they were, without those that are ``und`` or whose best score is under ``least``."""
+    model = model or train(docs)
+    lettered = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    if not model.languages:
+        return lettered.limit(0)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, slots = _ready(held.value)
+        for batch in batches:
+            sure = np.zeros(batch.num_rows, bool)
+            for chunk in chunks(batch.column("text")):
+                sure[chunk.rows.start : chunk.rows.stop] = _verdicts(m, slots, chunk)[1] >= least
+            yield batch.filter(pa.array(sure))
+
+    return lettered.mapInArrow(keep, docs.schema)
+
+
 def op8_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = identify(documents(spark, sf_dir))
     return got.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontamination, langid, packing, pii, quality, sharding, simhash
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_template_windows": decontamination.op1_template_windows,
     "op4_bk_trees": simhash.op4_bk_trees,
     "op5_boosted_candidates": pii.op5_boosted_candidates,
@@ -14,4 +17,4 @@ QUERIES = {
     "op9_tool_call_linking": chat.op9_tool_call_linking,
     "op10_repetition_coverage": quality.op10_repetition_coverage,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

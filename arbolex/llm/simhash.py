@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, chunks, documents, parts, words
@@ -179,6 +179,19 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rep, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The documents with the smallest doc_id of their group, all columns as they were. Of rows that repeat a doc_id one
+    stays, the one with the smallest text; rows without a doc_id belong to no group and stay."""
+    groups = checkpointed(grouped(docs.where("doc_id is not null"), radius))
+    gone = groups.where("doc_id != component_id").select("doc_id")
+    counts = groups.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if counts["n"] == counts["ids"]:
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    return kept.withColumn("__first", F.row_number().over(first)).where("doc_id is null or __first = 1").drop("__first")
+
+
 def op4_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = grouped(documents(spark, sf_dir))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
