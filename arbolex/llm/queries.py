@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontamination, langid, packing, pii, quality, sharding, simhash
+from . import automata, chat, decontamination, langid, packing, pii, quality, sharding, simhash
 
 QUERIES = {
+    "op2_suffix_automata": automata.op2_suffix_automata,
     "pipeline": corpus_pipeline.run,
     "op1_template_windows": decontamination.op1_template_windows,
     "op4_bk_trees": simhash.op4_bk_trees,
