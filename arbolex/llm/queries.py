@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import automata, chat, decontamination, langid, packing, pii, quality, sharding, simhash
+from . import automata, chat, decontamination, induced, langid, packing, pii, quality, sharding, simhash
 
 QUERIES = {
     "op2_suffix_automata": automata.op2_suffix_automata,
     "pipeline": corpus_pipeline.run,
     "op1_template_windows": decontamination.op1_template_windows,
+    "op3_induced_sorting": induced.op3_induced_sorting,
     "op4_bk_trees": simhash.op4_bk_trees,
     "op5_boosted_candidates": pii.op5_boosted_candidates,
     "op6_tournament_packing": packing.op6_tournament_packing,

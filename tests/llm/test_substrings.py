@@ -3,11 +3,10 @@ import random
 import re
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from arbolex.llm import automata, fragments
+from arbolex.llm import automata, fragments, induced
 
 from .fixtures import corpus, frame, prose
 
@@ -77,3 +76,44 @@ def test_matching_statistics(passages, probe):
 def test_sliding_min(v, w):
     if len(v) >= w:
         assert fragments.sliding_min(np.array(v, np.uint64), w).tolist() == [min(v[i : i + w]) for i in range(len(v) - w + 1)]
+
+
+def test_bytes_against_brute_force(spark):
+    texts = edited(5)
+    got = {r["doc_id"]: r for r in induced.byte_dedup(frame(spark, texts).repartition(5)).collect()}
+    assert len(got) == len(texts)
+    for k, (s, keep) in plain(dict(enumerate(texts)), lambda t: (t or "").encode(), 100).items():
+        kept = bytes(x for x, f in zip(s, keep) if f)
+        spans = sum(not f and (i == 0 or keep[i - 1]) for i, f in enumerate(keep))
+        assert (got[k]["n_bytes"], got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (len(s), len(s) - len(kept), spans, hashlib.sha256(kept).hexdigest()), k
+    assert induced.byte_dedup(frame(spark, ["x"]).where("doc_id < 0")).count() == 0
+
+
+def _check_sort(text, memory=1 << 20):
+    order, lcp = induced.induced_sort(np.array(text, np.uint16), 100, memory)
+    n = len(text)
+    assert sorted(order.tolist()) == list(range(n))
+    suffix = [text[i:] for i in order.tolist()]
+    for k in range(1, n):
+        a, b = suffix[k - 1], suffix[k]
+        same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert a[:100] <= b[:100] or same >= 100
+        assert lcp[k] == min(same, induced.CAP) or (same >= 100 and lcp[k] >= 100), (k, a, b, lcp[k])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=60), st.integers(1, 6))
+def test_induced_sort(text, times):
+    _check_sort(text * times)
+
+
+def test_induced_sort_with_little_memory():
+    rng = random.Random(1)
+    base = [rng.randrange(1, 5) for _ in range(150)]
+    text = []
+    for _ in range(12):
+        w = list(base)
+        w[rng.randrange(150)] = 6
+        text += [*w, 0]
+    _check_sort(text, memory=200)
+    _check_sort([3] * 400 + [0] + [3] * 150 + [4] * 130)
