@@ -11,8 +11,9 @@ the most, are done with.
    once from each task. What stays goes to the shard of its anchor as 18 bytes, and is merged there once more.
 2. An anchor with one fragment left has no more repeats. The unlike fragments of other anchors are fetched from their
    documents and brought together by anchor; there the operator's own index decides on every window of them.
-3. Documents get their repeated windows and drop what those cover. A text is shuffled once, and once more if the index
-   had to look at fragments of it.
+3. Documents get their repeated windows and drop what those cover. Documents with neither repeats nor open fragments,
+   as a bitmap of FILTER_BITS bits over hashed ids shows, are finished where they are read; of the others the text is
+   shuffled once, and once more if the index had to look at fragments of it.
 
 Order within an anchor: an earlier fragment of the same document starts earlier, windows of one fragment are all unlike
 (their anchor stands elsewhere in each), so "also starts earlier" is "is in an earlier fragment".
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, Chunk, chunks, mixed, parts, prefix_sums, run_hashes, shared_folder
 
+FILTER_BITS = 1 << 25  # fixed: beyond so many documents with repeats it lets more texts through, and loses nothing
 UNIT = 1_500_000  # fragments that a task merges at a time
 NO_ID = -(1 << 63)
 ENTRY = np.dtype([("start", "<u4"), ("windows", "<u2"), ("open", "u1"), ("anchor", "<u8")])
@@ -237,6 +239,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _filter(bits: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits, put together where the rows are; the driver gets its pages, FILTER_BITS / 8 bytes
+    at most."""
+    pages = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))  # these count from 1
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pages.collect():
+        page = np.frombuffer(bytes(r["bits"]), np.uint8)
+        out[(r["page"] - 1) * 4096 :][: len(page)] = page
+    return out
+
+
 def _intervals(runs_: np.ndarray, window: int) -> np.ndarray:
     """Disjoint (from, to) of the symbols that runs of windows (start, windows) cover."""
     if not len(runs_):
@@ -255,7 +268,9 @@ def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
     shards = parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     merged = _merged(_sharded(rows, kind, shards), kind, shards)
-    found = merged.groupBy("doc_id").agg(F.collect_list("entries").alias("entries")).withColumnRenamed("doc_id", "__id")
+    found = written(merged.groupBy("doc_id").agg(F.collect_list("entries").alias("entries")).withColumnRenamed("doc_id", "__id"))
+    bit = lambda key: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    held = docs.sparkSession.sparkContext.broadcast(_filter(found.select(bit("__id").alias("bit"))))
     keyed = rows.withColumn("__key", F.coalesce("doc_id", F.lit(NO_ID)))
     names = [c.split()[0] for c in kind.columns.split(", ")]
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
@@ -266,12 +281,26 @@ def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
         fixed = {"doc_id": pa.int64(), "__key": pa.int64(), "text": pa.string(), "settled": pa.binary(), "anchor": pa.int64(), "start": pa.int64(), "windows": pa.int64(), "content": pa.binary()} | dict(zip(names, kinds))
         return pa.record_batch({c: pa.array(cols.get(c, [None] * n), t) for c, t in fixed.items()})
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                bits = np.asarray(batch.column("bit"))
+                touched = (held.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1).astype(bool)
+                texts = batch.column("text").to_pylist()
+                ready = [(None,) * len(names) if t else kind.finish((x or "").encode(), _intervals(np.zeros(0, RUN), kind.window)) for x, t in zip(texts, touched.tolist())]
+                left = pa.array([x if t else None for x, t in zip(texts, touched.tolist())], pa.string())
+                yield pa.record_batch([batch.column("doc_id"), batch.column("__key"), left, *(pa.array(c, t) for c, t in zip(zip(*ready), kinds))], names=["doc_id", "__key", "text", *names])
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
                 done, wait, ask = [], [], []
-                for doc_id, key, text, entries in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__key", "text", "entries"))):
+                for doc_id, key, text, entries, *ready in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "__key", "text", "entries", *names))):
+                    if ready[0] is not None:
+                        done.append((doc_id, *ready))
+                        continue
                     raw = (text or "").encode()
                     e = np.frombuffer(b"".join(entries or ()), ENTRY)
                     open_ = e[e["open"] == 1]
@@ -288,7 +317,8 @@ def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
                     if held:
                         yield batch_of(dict(zip(cols, map(list, zip(*held)))), len(held))
 
-    joined = keyed.join(found, keyed["__key"] == found["__id"], "left").select("doc_id", "__key", "text", "entries")
+    sifted = keyed.withColumn("bit", bit("__key")).mapInArrow(sift, f"doc_id long, __key long, text string, {kind.columns}")
+    joined = sifted.join(found, sifted["__key"] == found["__id"], "left").select("doc_id", "__key", "text", "entries", *names)
     first = written(joined.mapInArrow(settle, state))
     asked = first.where("content is not null").select("anchor", "__key", "start", "windows", "content")
 
