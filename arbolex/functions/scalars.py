@@ -91,6 +91,11 @@ def iso_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_replace(c, r"(\.[0-9]{6})[0-9]+", "$1"))
 
 
+def micros(c: str | Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without a zone."""
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
 def short_tool(c: Column) -> Column:
     return F.substring_index(c, ":", -1)
 

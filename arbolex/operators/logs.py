@@ -58,8 +58,7 @@ def with_sessions(rows: DataFrame, ts: str = "ts", tie: str = "ord", gap: int =
     days = days.select("_day", F.lag("_last").over(over).alias("_before"))
     rows = rows.join(F.broadcast(days), "_day")
     prior = F.coalesce(F.lag(ts).over(inside), F.col("_before"))
-    micros = lambda c: F.unix_micros(c)
-    rows = rows.withColumn("_new", (prior.isNull() | (micros(F.col(ts)) - micros(prior) > gap * 1_000_000)).cast("int"))
+    rows = rows.withColumn("_new", (prior.isNull() | (scalars.micros(ts) - scalars.micros(prior) > gap * 1_000_000)).cast("int"))
     firsts = rows.groupBy("_day").agg(F.sum("_new").alias("_n"))
     firsts = firsts.select("_day", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     rows = rows.join(F.broadcast(firsts), "_day")
@@ -95,7 +94,7 @@ def sessions(rows: DataFrame) -> DataFrame:
         *(n(F.col("tool") == t).alias(f"n_{t}") for t in TOOLS),
         F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("ts", "ord", "topic")))), lambda x: x["topic"])), 1, 20).alias("topics"),
     )
-    got = got.withColumn("seconds", (F.unix_micros("end") - F.unix_micros("start")) / 1e6)
+    got = got.withColumn("seconds", (scalars.micros("end") - scalars.micros("start")) / 1e6)
     kind = session_class(F.col("semantic"), F.col("n_browse"), F.col("n_expand_keys"), F.col("n_find_artworks"), F.col("n_resolve"), F.col("tools"), F.col("calls"), F.col("seconds"))
     return got.withColumns({"class": kind, "duration": scalars.duration_text(F.col("seconds"))})
 
@@ -140,10 +139,10 @@ def repeats(rows: DataFrame, key: list[str], value: str, order: list[str], least
 
 def next_after(starts: DataFrame, others: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     """Forward as-of join: each start with the first later time among ``others`` with the same keys, or null."""
-    both = starts.select(*by, F.col(ts).alias("_at"), F.lit(None).cast("timestamp").alias("_other"), *[c for c in starts.columns if c not in (*by, ts)]).unionByName(
+    both = starts.select(*by, F.col(ts).alias("_at"), F.lit(None).cast(starts.schema[ts].dataType).alias("_other"), *[c for c in starts.columns if c not in (*by, ts)]).unionByName(
         others.select(*by, F.col(ts).alias("_at"), F.col(ts).alias("_other")), allowMissingColumns=True
     )
-    later = Window.partitionBy(*by).orderBy(F.unix_micros("_at")).rangeBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy(scalars.micros("_at")).rangeBetween(1, Window.unboundedFollowing)
     return both.withColumn("next_ts", F.min("_other").over(later)).where("_other is null").drop("_other").withColumnRenamed("_at", ts)
 
 
@@ -151,12 +150,12 @@ def boots(starts: DataFrame) -> DataFrame:
     """Container starts with the first later 'listening' line and the seconds between; there are few of them."""
     begun = starts.where(F.contains("message", F.lit("Starting Container"))).select(F.lit(0).alias("_k"), "ts")
     up = starts.where(F.contains("message", F.lit("listening on"))).select(F.lit(0).alias("_k"), "ts")
-    return next_after(begun, up, ["_k"]).drop("_k").withColumn("seconds", (F.unix_micros("next_ts") - F.unix_micros("ts")) / 1e6)
+    return next_after(begun, up, ["_k"]).drop("_k").withColumn("seconds", (scalars.micros("next_ts") - scalars.micros("ts")) / 1e6)
 
 
 def cycling_hours(starts: DataFrame) -> DataFrame:
     """Mean hours between container starts; null for fewer than two."""
-    t = F.unix_micros("ts")
+    t = scalars.micros("ts")
     begun = starts.where(F.contains("message", F.lit("Starting Container")))
     return begun.agg(F.count(F.lit(1)).alias("starts"), F.when(F.count(F.lit(1)) > 1, (F.max(t) - F.min(t)) / 3.6e9 / (F.count(F.lit(1)) - 1)).alias("hours"))
 

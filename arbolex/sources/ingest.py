@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 from arbolex.functions import scalars
 from arbolex.operators import hierarchy
 
-_FILE = F.col("_metadata.file_path")
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, recursiveFileLookup=True).select("value", F.url_decode(_FILE).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path, recursiveFileLookup=True).select("value", F.url_decode(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def codes(spark: SparkSession, path: str) -> DataFrame:
