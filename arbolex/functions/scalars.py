@@ -147,10 +147,18 @@ _ACCENTED, _PLAIN = _folds()
 
 
 def folded(c: Column) -> Column:
-    """Lower case, without accents."""
-    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), r"\p{Mn}", "")
+    """Lower case, without accents. Texts of ASCII alone, told by their lengths, skip the table of accents."""
+    low = F.lower(c)
+    return F.when(F.octet_length(c) == F.char_length(c), low).otherwise(F.regexp_replace(F.translate(low, _ACCENTED, _PLAIN), r"\p{Mn}", ""))
+
+
+def spaced(c: Column) -> Column:
+    """The tokens of a text, runs of letters and digits of the folded text, each between single spaces; one space for
+    none. A plain replacement is faster than an array of tokens, and is all that phrase search needs."""
+    marks = F.when(F.octet_length(c) == F.char_length(c), F.regexp_replace(F.lower(c), "[^a-z0-9]+", " ")).otherwise(F.regexp_replace(folded(c), r"[^\p{L}\p{N}]+", " "))
+    return F.regexp_replace(F.concat(F.lit(" "), marks, F.lit(" ")), "^  | {2,}$", " ")
 
 
 def tokens(c: Column) -> Column:
-    """Runs of letters and digits of the folded text."""
+    """The same tokens as an array."""
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

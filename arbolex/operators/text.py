@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arbolex.functions.scalars import tokens
+from arbolex.functions.scalars import spaced
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 _DROPPED = r'[.*^():{}\[\]\\]'
@@ -60,13 +60,15 @@ def term_tokens(query: str) -> list[list[str]]:
 def token_table(df: DataFrame, text: str | Column, *keep: str) -> DataFrame:
     """The index of ``text``: the kept columns, padded and n_tokens."""
     text = F.col(text) if isinstance(text, str) else text
-    split = df.select(*keep, tokens(text).alias("_tokens"))
-    return split.select(*keep, F.concat(F.lit(" "), F.array_join("_tokens", " "), F.lit(" ")).alias("padded"), F.size("_tokens").alias("n_tokens"))
+    rows = df.select(*keep, spaced(F.coalesce(text, F.lit(""))).alias("padded"))
+    return rows.withColumn("n_tokens", F.length("padded") - F.length(F.replace(F.col("padded"), F.lit(" "), F.lit(""))) - 1)
 
 
 def occurrences(phrase: list[str]) -> Column:
-    """How often consecutive tokens occur, overlaps included. Tokens hold letters and digits only."""
-    return F.regexp_count("padded", F.lit(f"(?= {' '.join(phrase)} )"))
+    """How often consecutive tokens occur, overlaps included. Tokens hold letters and digits only. A plain search comes
+    first, since most texts have none."""
+    words = f" {' '.join(phrase)} "
+    return F.when(F.contains(F.col("padded"), F.lit(words)), F.regexp_count(F.col("padded"), F.lit(f"(?={words})"))).otherwise(0)
 
 
 def search(index: DataFrame, phrases: list[list[str]], scope: Column | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,10 +172,18 @@ def _sql_bm25(source: str, key: str, phrases: list[list[str]], scope: str = "tru
 WHERE {" AND ".join(f"tf{i} > 0" for i in n)} AND {scope}"""
 
 
+_indexes: dict[tuple, DataFrame] = {}
+
+
 def _index(spark, d, name: str, key: str) -> DataFrame:
-    df = table(spark, d, name)
-    keep = [key, *(["source"] if name == "documents" else [])]
-    return text.token_table(df, "text", *keep)
+    """The token index of a table. A store has it as a table of its own, made at ingest; here the first query makes it
+    and the session keeps it, spilled to disk where memory is short."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _indexes or not _indexes[at].is_cached:
+        rows = table(spark, d, name).select(key, "text", *(["source"] if name == "documents" else []))
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # the driver's tables are one row group each
+        _indexes[at] = text.token_table(rows, "text", *(c for c in rows.columns if c != "text")).persist(StorageLevel.MEMORY_AND_DISK)
+    return _indexes[at]
 
 
 @query(f"SELECT doc_id, round(rank, 6) AS rank FROM ({_sql_bm25('documents', 'doc_id', [['of', 'the']])})")
