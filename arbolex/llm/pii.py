@@ -319,7 +319,9 @@ def with_spans(docs: DataFrame, text: str = "text", model: Trees | None = None)
 def redacted(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     """The documents with every span replaced by its kind in angle brackets; overlapping spans become one, under the
     kind that starts first. n_chars, where there is such a column, follows the text."""
-    df = with_spans(docs, "text", model)
+    quoted = {c: "`" + c.replace("`", "``") + "`" for c in docs.columns}
+    packed = docs.select(F.struct(*(F.col(q) for q in quoted.values())).alias("_row"), F.col("text").alias("_text"))  # no name of theirs meets ours
+    df = with_spans(packed, "_text", model)
     t = F.col("_t")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -328,13 +330,12 @@ def redacted(docs: DataFrame, model: Trees | None = None) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(hidden).alias("out"))
 
     ordered = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("e"), s["kind"].alias("kind"), s["end"].alias("end"))))
-    done = F.aggregate(ordered, zero, step)
-    df = df.withColumn("_done", F.when(F.size("_spans") > 0, done))
-    clean = F.when(F.size("_spans") > 0, F.concat(F.col("_done")["out"], F.substring(t, F.col("_done")["at"] + 1, F.char_length(t)))).otherwise(F.col("text"))
-    out = {"text": clean}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.size("_spans") > 0, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return df.withColumns(out).select(*docs.columns)
+    df = df.withColumn("_done", F.when(F.size("_spans") > 0, F.aggregate(ordered, zero, step)))
+    df = df.withColumn("_clean", F.when(F.size("_spans") > 0, F.concat(F.col("_done")["out"], F.substring(t, F.col("_done")["at"] + 1, F.char_length(t)))).otherwise(F.col("_text")))
+    out = {c: F.col(f"_row.{q}") for c, q in quoted.items()} | {"text": F.col("_clean")}
+    if "n_chars" in out:
+        out["n_chars"] = F.when(F.size("_spans") > 0, F.char_length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return df.select(*(x.alias(c) for c, x in out.items()))
 
 
 def _joined(spans: str) -> Column:

@@ -188,8 +188,9 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
     if counts["n"] == counts["ids"]:
         return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__first", F.row_number().over(first)).where("doc_id is null or __first = 1").drop("__first")
+    mark = "_" * (max(map(len, docs.columns)) + 1)  # a name that no column has
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return kept.withColumn(mark, first).where(F.col("doc_id").isNull() | (F.col(mark) == 1)).drop(mark)
 
 
 def op4_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
