@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 import corpus_pipeline
 
-from . import automata, chat, decontamination, induced, langid, packing, pii, quality, sharding, simhash
+from . import automata, chat, common, decontamination, induced, langid, packing, pii, quality, sharding, simhash
 
-QUERIES = {
-    "op2_suffix_automata": automata.op2_suffix_automata,
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _shipped(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        common.ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Query] = {
     "pipeline": corpus_pipeline.run,
     "op1_template_windows": decontamination.op1_template_windows,
+    "op2_suffix_automata": automata.op2_suffix_automata,
     "op3_induced_sorting": induced.op3_induced_sorting,
     "op4_bk_trees": simhash.op4_bk_trees,
     "op5_boosted_candidates": pii.op5_boosted_candidates,
@@ -19,4 +36,5 @@ QUERIES = {
     "op9_tool_call_linking": chat.op9_tool_call_linking,
     "op10_repetition_coverage": quality.op10_repetition_coverage,
 }
+QUERIES = {name: _shipped(f) for name, f in _QUERIES.items()}
 ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
