@@ -85,9 +85,9 @@ def collection_info(spark, d):
 _ASKED = (5, 0, 77, 999999999, 5)
 
 
-@query(f"""WITH asked AS (SELECT unnest(range({len(_ASKED)})) AS pos, unnest({list(_ASKED)}) AS notation),
+@query(f"""WITH asked AS (SELECT unnest(range({len(_ASKED)})) AS pos, CAST(unnest({list(_ASKED)}) AS BIGINT) AS notation),
 held AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL)
-SELECT pos, notation, coalesce(p_name, CAST(notation AS VARCHAR)) AS text, CAST(l_suppkey AS VARCHAR) AS collection_id, s_name AS label, n AS count,
+SELECT pos, notation, coalesce(p_name, CAST(notation AS VARCHAR)) AS text, CAST(l_suppkey AS VARCHAR) AS collection_id, s_name AS label, coalesce(n, 0) AS count,
 row_number() OVER (PARTITION BY pos ORDER BY n DESC, CAST(l_suppkey AS VARCHAR)) - 1 AS place,
 'https://example.org/?uri=' || notation AS aggregator_url
 FROM asked LEFT JOIN part ON p_partkey = notation LEFT JOIN held ON l_partkey = notation LEFT JOIN supplier ON s_suppkey = l_suppkey""")
@@ -98,11 +98,11 @@ def find_artworks(spark, d):
     info = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("collection_id"), F.col("s_name").alias("label"), F.lit(None).cast("string").alias("search_url_template"))
     got = overlay.holdings(codes, labels, counts, info, "https://example.org/?uri={code}")
     return got.select("pos", F.col("notation").cast("long").alias("notation"), "text", F.posexplode_outer("collections").alias("place", "c"), "aggregator_url").select(
-        "pos", "notation", "text", "c.collection_id", "c.label", "c.count", F.coalesce("place", F.lit(0)).cast("long").alias("place"), "aggregator_url"
+        "pos", "notation", "text", "c.collection_id", "c.label", F.coalesce("c.count", F.lit(0)).alias("count"), F.coalesce("place", F.lit(0)).cast("long").alias("place"), "aggregator_url"
     )
 
 
-@query(f"""WITH asked AS (SELECT unnest(range({len(_ASKED)})) AS pos, unnest({list(_ASKED)}) AS notation)
+@query(f"""WITH asked AS (SELECT unnest(range({len(_ASKED)})) AS pos, CAST(unnest({list(_ASKED)}) AS BIGINT) AS notation)
 SELECT pos, notation, p_name AS text, p_brand FROM asked JOIN part ON p_partkey = notation ORDER BY pos""")
 def resolve_batch(spark, d):
     codes = spark.createDataFrame(list(enumerate(_ASKED)), "pos long, notation long")
@@ -418,9 +418,9 @@ def top_k_counter(spark, d):
     return stats.top_counts(table(spark, d, "events").where("value > 100"), "event_type", "event_id", 3)
 
 
-@query("""SELECT CAST(ts AS DATE) AS day, count(*) AS calls, count(*) FILTER (value > 200) AS errors FROM events GROUP BY 1""")
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS calls, count(*) FILTER (value > 200) AS errors FROM events GROUP BY 1""")
 def daily_usage(spark, d):
-    return usage.by_day(_calls(spark, d))
+    return usage.by_day(_calls(spark, d)).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _TOOL_USAGE = """SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (value > 200) AS errors, round(sum(value), 4) AS total_ms, max(value) AS max_ms FROM events GROUP BY 1"""
@@ -454,7 +454,7 @@ def anti_unused(spark, d):
     return logs.unused_tools(_calls(spark, d), ("click", "unknown", "view", "logout", "error"))
 
 
-@query("""SELECT count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds FROM events""")
+@query("""SELECT count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds FROM events""")
 def json_props(spark, d):
     k = F.from_json("props", "k long")["k"]
     return table(spark, d, "events").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("total"), F.count_distinct(k).alias("kinds"))
