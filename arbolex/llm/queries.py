@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import automata, chat, common, decontamination, induced, langid, packing, pii, quality, sharding, simhash
+from . import automata, chat, common, decontamination, induced, langid, oracles, packing, pii, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,4 +37,10 @@ _QUERIES: dict[str, Query] = {
     "op10_repetition_coverage": quality.op10_repetition_coverage,
 }
 QUERIES = {name: _shipped(f) for name, f in _QUERIES.items()}
-ORACLES: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op2_suffix_automata": oracles.WORDS,
+    "op3_induced_sorting": oracles.BYTES,
+    "op10_repetition_coverage": oracles.QUALITY,
+}
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
