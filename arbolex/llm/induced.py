@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import BYTE_VALUES, Chunk, documents
 from .fragments import REPEAT, Kind, deduplicated, repeats_of
 
-WINDOW, GRAM = 100, 24
+WINDOW, GRAM = 100, 40
 SYMBOLS = 257  # 0 separates, byte b is b + 1
 CAP = 200  # common prefixes are counted up to here
 MEMORY = 64 << 20
