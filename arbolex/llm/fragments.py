@@ -191,15 +191,17 @@ def _sharded(rows: DataFrame, kind: Kind, shards: int) -> DataFrame:
 
 
 def _merged(sharded: DataFrame, kind: Kind, shards: int) -> DataFrame:
-    """Step 1 after the shuffle: (doc_id, entries), the repeats that are settled and the fragments left open."""
+    """Step 1 after the shuffle: (__id, entries), the repeats that are settled and the fragments left open, a row for each
+    document that has any. Between shards and documents go blocks of documents, not a row for each pair of them."""
     size = np.dtype("u1" if kind.window <= 255 else "<u2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        held, settled_ids, settled = [], [], []
         for batch in batches:
-            settled = batch.filter(batch.column("entries").is_valid())
-            if settled.num_rows:
-                yield pa.record_batch({"doc_id": settled.column("doc_id"), "entries": settled.column("entries")})
+            for doc_id, entries in zip(batch.column("doc_id").to_pylist(), batch.column("entries").to_pylist()):
+                if entries is not None:
+                    settled.append(np.frombuffer(entries, ENTRY))
+                    settled_ids.append(np.full(len(settled[-1]), doc_id, np.int64))
             for dest, anchor, content, doc, start, windows in zip(*(batch.column(c).to_pylist() for c in ("dest", "anchor", "content", "doc", "start", "windows"))):
                 if anchor is None:
                     continue
@@ -207,8 +209,23 @@ def _merged(sharded: DataFrame, kind: Kind, shards: int) -> DataFrame:
                 ids = np.frombuffer(doc, "<u4" if len(doc) == 8 + 4 * n else "<u8", offset=8).astype(np.int64) + np.frombuffer(doc, "<i8", 1)[0]
                 key = np.frombuffer(anchor, "<u4").astype(U64) | (U64(dest) << U64(32))
                 held.append((key, np.frombuffer(content, "<u8"), ids, np.frombuffer(start, "<u4"), np.frombuffer(windows, size)))
-        if not held:
+        if held:
+            ids, entries = judge(held)
+            settled_ids.append(ids)
+            settled.append(entries)
+        if not settled:
+            return
+        ids, entries = np.concatenate(settled_ids), np.concatenate(settled)
+        if not len(ids):
             return
+        block = (mixed(ids.view(U64)) % U64(shards)).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        block, ids, entries = block[order], ids[order], entries[order]
+        cut = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        parts_ = list(zip(cut.tolist(), np.append(cut[1:], len(block)).tolist()))
+        yield pa.record_batch({"block": pa.array(block[cut]), "ids": pa.array([ids[x:y].tobytes() for x, y in parts_], pa.binary()), "entries": pa.array([entries[x:y].tobytes() for x, y in parts_], pa.binary())})
+
+    def judge(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray]:
         anchor, content, doc, start, windows = (np.concatenate(x) for x in zip(*held))
         # Most anchors occur once; only the others are put in order.
         order = np.argsort(anchor, kind="stable")
@@ -225,11 +242,20 @@ def _merged(sharded: DataFrame, kind: Kind, shards: int) -> DataFrame:
         mate[:-1] |= mate[1:]
         lead = lead[mate]
         both = np.concatenate([_entries(start[again], windows[again], 0, 0), _entries(start[lead], windows[lead], 1, anchor[lead])])
-        ids, blobs = _by_doc(np.concatenate([doc[again], doc[lead]]), both)
-        for lo in range(0, len(ids), 4096):
-            yield pa.record_batch({"doc_id": pa.array(ids[lo : lo + 4096]), "entries": blobs.slice(lo, 4096)})
+        return np.concatenate([doc[again], doc[lead]]), both
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, entries = [], []
+        for batch in batches:
+            ids += [np.frombuffer(x, np.int64) for x in batch.column("ids").to_pylist()]
+            entries += [np.frombuffer(x, ENTRY) for x in batch.column("entries").to_pylist()]
+        if ids:
+            docs, blobs = _by_doc(np.concatenate(ids), np.concatenate(entries))
+            for lo in range(0, len(docs), 4096):
+                yield pa.record_batch({"__id": pa.array(docs[lo : lo + 4096]), "entries": blobs.slice(lo, 4096)})
 
-    return sharded.repartition(shards, "dest").mapInArrow(run, "doc_id long, entries binary")
+    blocks = sharded.repartition(shards, "dest").mapInArrow(run, "block int, ids binary, entries binary")
+    return blocks.repartition(shards, "block").mapInArrow(gather, "__id long, entries binary")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -268,7 +294,7 @@ def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
     shards = parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     merged = _merged(_sharded(rows, kind, shards), kind, shards)
-    found = written(merged.groupBy("doc_id").agg(F.collect_list("entries").alias("entries")).withColumnRenamed("doc_id", "__id"))
+    found = written(merged)
     bit = lambda key: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     held = docs.sparkSession.sparkContext.broadcast(_filter(found.select(bit("__id").alias("bit"))))
     keyed = rows.withColumn("__key", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -302,7 +328,7 @@ def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
                         done.append((doc_id, *ready))
                         continue
                     raw = (text or "").encode()
-                    e = np.frombuffer(b"".join(entries or ()), ENTRY)
+                    e = np.frombuffer(entries or b"", ENTRY)
                     open_ = e[e["open"] == 1]
                     settled = np.zeros(len(e) - len(open_), RUN)
                     settled["start"], settled["windows"] = e["start"][e["open"] == 0], e["windows"][e["open"] == 0]
