@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import U64, Chunk, chunks, mixed, parts, prefix_sums, run_hashes, shared_folder
 
 FILTER_BITS = 1 << 25  # fixed: beyond so many documents with repeats it lets more texts through, and loses nothing
+INDEX_BYTES = 2 << 20  # contents that the index takes at a time, or one anchor's
 UNIT = 1_500_000  # fragments that a task merges at a time
 NO_ID = -(1 << 63)
 ENTRY = np.dtype([("start", "<u4"), ("windows", "<u2"), ("open", "u1"), ("anchor", "<u8")])
@@ -353,7 +354,7 @@ def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
         for batch in batches:  # sorted by anchor; the last of a batch may go on in the next
             new = [np.asarray(batch.column("anchor")), *(np.asarray(batch.column(c)) for c in ("__key", "start", "windows")), batch.column("content").to_pylist()]
             held = [x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, new)] if held else new
-            if sum(map(len, held[4])) < 4 << 20:
+            if sum(map(len, held[4])) < INDEX_BYTES:
                 continue
             whole = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if whole:
