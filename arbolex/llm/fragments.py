@@ -6,6 +6,11 @@ one with the smallest hash is its anchor; a fragment is a maximal run of windows
 equal anchors, so only fragments with equal anchors need be compared, and fragments whose anchor occurs once, by far
 the most, are done with.
 
+0. An anchor that very many unlike fragments share, as the end of a licence line does, would bring them all to one task.
+   A hash sample of documents shows which anchors these are (``hot_anchors``); their fragments are cut into single
+   windows, which are told apart by their own hash and so go to all shards. The sample decides on the load only: the rows
+   are the same whatever it finds.
+
 1. Each task finds its fragments and merges equal ones: the first by (doc_id, start) stays, the windows of the others
    start earlier in it and are repeats. The merge comes before the shuffle, so a passage in a third of all rows arrives
    once from each task. What stays goes to the shard of its anchor as 18 bytes, and is merged there once more.
@@ -34,9 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, chunks, mixed, parts, prefix_sums, run_hashes, shared_folder
+from .common import U64, Chunk, checkpointed, chunks, mixed, parts, prefix_sums, run_hashes, shared_folder
 
 FILTER_BITS = 1 << 25  # fixed: beyond so many documents with repeats it lets more texts through, and loses nothing
+SAMPLE = 64  # one of so many documents shows the hot anchors
+HOT = 1024  # from so many unlike fragments on, by the sample's estimate, an anchor is hot
+HOT_ANCHORS = 1 << 21  # most hot anchors, 8 bytes each in the broadcast; with more, the limit for being hot rises
 INDEX_BYTES = 2 << 20  # contents that the index takes at a time, or one anchor's
 UNIT = 1_500_000  # fragments that a task merges at a time
 NO_ID = -(1 << 63)
@@ -72,8 +80,12 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def find(values: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, start in it, windows, anchor hash, content hash) of every fragment."""
+NO_HOT = np.zeros(0, U64)
+
+
+def find(values: np.ndarray, first: np.ndarray, window: int, gram: int, hot: np.ndarray = NO_HOT) -> tuple[np.ndarray, ...]:
+    """(document, start in it, windows, anchor hash, content hash) of every fragment. Those of the anchors in ``hot``, which
+    is in order, are cut into windows, and the anchor of such a window is a hash of all of it."""
     n = len(values)
     none = np.zeros(0, np.int64)
     if n < window:
@@ -92,8 +104,53 @@ def find(values: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple
     new[1:] = (anchor[1:] != anchor[:-1]) | (j[1:] != j[:-1] + 1)
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(j)) - 1
-    a, b = j[lo], j[hi]
-    return doc[a].astype(np.int64), a - first[doc[a]], b - a + 1, grams[anchor[lo]], run_hashes(prefix, a, b + window)
+    a, b, anchor = j[lo], j[hi], grams[anchor[lo]]
+    if not len(hot):
+        return doc[a].astype(np.int64), a - first[doc[a]], b - a + 1, anchor, run_hashes(prefix, a, b + window)
+    wide = hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
+    pieces = np.where(wide, b - a + 1, 1)
+    wide, anchor = np.repeat(wide, pieces), np.repeat(anchor, pieces)
+    nth = np.arange(len(wide)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    a, b = np.repeat(a, pieces) + nth, np.repeat(b, pieces)
+    b[wide] = a[wide]
+    content = run_hashes(prefix, a, b + window)
+    return doc[a].astype(np.int64), a - first[doc[a]], b - a + 1, np.where(wide, mixed(anchor ^ content), anchor), content
+
+
+def hot_anchors(rows: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMPLE, most: int = HOT_ANCHORS) -> np.ndarray:
+    """Hashes, in order, of the anchors that ``hot`` or more unlike fragments share by the estimate of a hash sample of one
+    in ``sample`` documents; if there are more than ``most``, of the commonest of them. The driver gets 8 bytes for each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                _, _, _, anchor, content = find(*kind.values(chunk), kind.window, kind.gram)
+                yield pa.record_batch({"anchor": pa.array(anchor.view(np.int64)), "content": pa.array(content.view(np.int64))})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch({"anchors": pa.array([np.asarray(batch.column("anchor")).tobytes()], pa.binary())})
+
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0).mapInArrow(run, "anchor long, content long")
+    least = max(2, -(-hot // sample))
+    common = checkpointed(drawn.distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+    while common.where(F.col("n") >= least).count() > most:
+        least *= 2
+    packed = common.where(F.col("n") >= least).select("anchor").mapInArrow(pack, "anchors binary").collect()
+    return np.sort(np.frombuffer(b"".join(bytes(r["anchors"]) for r in packed), U64))
+
+
+def _runs_joined(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same windows with runs that follow each other in a document made one; none crosses a multiple of 32,768."""
+    if not len(doc):
+        return doc, start, windows
+    order = np.lexsort((start, doc))
+    doc, start, windows = doc[order], start[order].astype(np.int64), windows[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + windows[:-1]) | (start[1:] >> 15 != start[:-1] >> 15)
+    cut = np.flatnonzero(new)
+    last = np.append(cut[1:], len(doc)) - 1
+    return doc[cut], start[cut], start[last] + windows[last] - start[cut]
 
 
 def _later(anchor: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +192,9 @@ def _entries(start: np.ndarray, windows: np.ndarray, open_: int, anchor: np.ndar
     return out
 
 
-def _sharded(rows: DataFrame, kind: Kind, shards: int) -> DataFrame:
+def _sharded(rows: DataFrame, kind: Kind, shards: int, hot: np.ndarray) -> DataFrame:
     """Step 1 before the shuffle: merged fragments by shard, and the repeats that the task could tell by itself."""
+    common = rows.sparkSession.sparkContext.broadcast(hot)
 
     def unit(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         doc, start, windows, anchor, content = (np.concatenate(x) for x in zip(*held))
@@ -150,7 +208,8 @@ def _sharded(rows: DataFrame, kind: Kind, shards: int) -> DataFrame:
             o, same, place = _later(anchor[multi], content[multi], doc[multi], start[multi])
             keep[multi[o[same]]] = False
             gone = multi[o[same & ~place]]
-            ids, blobs = _by_doc(doc[gone], _entries(start[gone], windows[gone], 0, 0))
+            d, at, n = _runs_joined(doc[gone], start[gone], windows[gone])
+            ids, blobs = _by_doc(d, _entries(at, n, 0, 0))
             if len(ids):
                 yield _empty_row(dest=(mixed(ids.astype(U64)) % U64(shards)).astype(np.int32).tolist(), doc_id=ids.tolist(), entries=blobs)
         k = np.flatnonzero(keep)
@@ -178,7 +237,7 @@ def _sharded(rows: DataFrame, kind: Kind, shards: int) -> DataFrame:
             ids = np.asarray(batch.column("doc_id").fill_null(NO_ID))
             for chunk in chunks(batch.column("text")):
                 values, first = kind.values(chunk)
-                doc, *rest = find(values, first, kind.window, kind.gram)
+                doc, *rest = find(values, first, kind.window, kind.gram, common.value)
                 if len(doc):
                     held.append((ids[chunk.rows.start + doc], *rest))
                     size += len(doc)
@@ -251,7 +310,10 @@ def _merged(sharded: DataFrame, kind: Kind, shards: int) -> DataFrame:
             ids += [np.frombuffer(x, np.int64) for x in batch.column("ids").to_pylist()]
             entries += [np.frombuffer(x, ENTRY) for x in batch.column("entries").to_pylist()]
         if ids:
-            docs, blobs = _by_doc(np.concatenate(ids), np.concatenate(entries))
+            id_, e = np.concatenate(ids), np.concatenate(entries)
+            done = e["open"] == 0
+            d, at, n = _runs_joined(id_[done], e["start"][done], e["windows"][done])
+            docs, blobs = _by_doc(np.concatenate([d, id_[~done]]), np.concatenate([_entries(at, n, 0, 0), e[~done]]))
             for lo in range(0, len(docs), 4096):
                 yield pa.record_batch({"__id": pa.array(docs[lo : lo + 4096]), "entries": blobs.slice(lo, 4096)})
 
@@ -290,11 +352,11 @@ def _intervals(runs_: np.ndarray, window: int) -> np.ndarray:
     return np.stack([lo[cut], hi[np.append(cut[1:], len(lo)) - 1]], 1)
 
 
-def deduplicated(docs: DataFrame, kind: Kind) -> DataFrame:
+def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """doc_id and ``kind.columns`` for every document."""
     shards = parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    merged = _merged(_sharded(rows, kind, shards), kind, shards)
+    merged = _merged(_sharded(rows, kind, shards, hot_anchors(rows, kind, hot, sample)), kind, shards)
     found = written(merged)
     bit = lambda key: F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     held = docs.sparkSession.sparkContext.broadcast(_filter(found.select(bit("__id").alias("bit"))))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -40,13 +41,18 @@ def edited(seed=2):
     return [*texts, texts[1], "ab " * 500, "ab " * 300, "ab ab ac " * 100, "x" * 3000, "xy" * 900, "é" * 400]
 
 
-def test_words_against_brute_force(spark):
+#: As registered, and with all anchors hot that two unlike fragments share.
+HOW = [{}, {"hot": 2, "sample": 1}]
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_words_against_brute_force(spark, how):
     texts = edited()
     order = list(range(len(texts)))
     random.Random(1).shuffle(order)
     docs = frame(spark, [texts[k] for k in order]).repartition(5)
     ids = {k: texts[i] for k, i in enumerate(order)}
-    got = {r["doc_id"]: r for r in automata.passage_dedup(docs).collect()}
+    got = {r["doc_id"]: r for r in fragments.deduplicated(docs, automata.KIND, **how).collect()}
     assert len(got) == len(texts)
     for k, (s, keep) in plain(ids, lambda t: WORD.findall((t or "").encode()), 20).items():
         kept = b" ".join(x for x, f in zip(s, keep) if f)
@@ -78,9 +84,10 @@ def test_sliding_min(v, w):
         assert fragments.sliding_min(np.array(v, np.uint64), w).tolist() == [min(v[i : i + w]) for i in range(len(v) - w + 1)]
 
 
-def test_bytes_against_brute_force(spark):
+@pytest.mark.parametrize("how", HOW)
+def test_bytes_against_brute_force(spark, how):
     texts = edited(5)
-    got = {r["doc_id"]: r for r in induced.byte_dedup(frame(spark, texts).repartition(5)).collect()}
+    got = {r["doc_id"]: r for r in fragments.deduplicated(frame(spark, texts).repartition(5), induced.KIND, **how).collect()}
     assert len(got) == len(texts)
     for k, (s, keep) in plain(dict(enumerate(texts)), lambda t: (t or "").encode(), 100).items():
         kept = bytes(x for x, f in zip(s, keep) if f)
@@ -89,6 +96,24 @@ def test_bytes_against_brute_force(spark):
     assert induced.byte_dedup(frame(spark, ["x"]).where("doc_id < 0")).count() == 0
 
 
+def test_hot_anchors_are_the_commonest(spark):
+    rng = random.Random(9)
+    line = "the end of every licence reads like this line does here and so ends it all now"
+    docs = frame(spark, [prose(rng, 30) + " " + line + " " + prose(rng, 30) for _ in range(60)] + [prose(rng, 60) for _ in range(60)])
+    got = {most: fragments.hot_anchors(docs, automata.KIND, hot=20, sample=1, most=most) for most in (100, 1)}
+    assert 1 <= len(got[100]) <= 12 and len(got[1]) <= 1 and np.isin(got[1], got[100]).all() and (np.diff(got[100]) > 0).all()
+    assert not len(fragments.hot_anchors(docs.where("doc_id >= 60"), automata.KIND, hot=20, sample=1))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(1, 4)), max_size=20))
+def test_joined_runs_hold_the_same_windows(runs):
+    d, s, n = (np.array(x, np.int64) for x in (zip(*runs) if runs else ((), (), ())))
+    windows = lambda d, s, n: {(x, y + i) for x, y, z in zip(d.tolist(), s.tolist(), n.tolist()) for i in range(z)}
+    joined = fragments._runs_joined(d, s, n)
+    assert windows(*joined) == windows(d, s, n) and len(joined[0]) <= len(d)
+
+
 def _check_sort(text, memory=1 << 20):
     order, lcp = induced.induced_sort(np.array(text, np.uint16), 100, memory)
     n = len(text)
