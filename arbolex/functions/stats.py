@@ -56,3 +56,8 @@ def top_counts(df: DataFrame, key: str | Column, first: str | Column, k: int) ->
 def share_within(df: DataFrame, value: str, cap: int) -> DataFrame:
     """The fraction of rows that a cap leaves whole."""
     return df.agg(F.round(F.avg((F.col(value) <= cap).cast("int")), 4).alias("share"))
+
+
+def drawn(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n random rows, the same ones for one seed however the rows are spread; only n rows leave each task."""
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

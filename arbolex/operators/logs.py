@@ -186,6 +186,52 @@ def codes_asked(rows: DataFrame) -> DataFrame:
     return rows.where(code.isNotNull()).select(F.explode(items).alias("code")).agg(F.count_distinct("code").alias("codes"))
 
 
+def breakdown(rows: DataFrame) -> DataFrame:
+    """tool, aspect, key, n and first (the least ord): how often each tool was asked for what. Aspects are mode, query,
+    semanticQuery, parentNotation, onlyWithArtworks and collectionId of searches; notation; depth and includeKeys of
+    browsing; length and paged of prefixes; batch, the number of codes, of resolving and finding. One pass, one shuffle."""
+    get = lambda k: F.get_json_object("input", f"$.{k}")
+    is_set = lambda k: F.coalesce(~get(k).isin("", "0", "false"), F.lit(False))
+    code = get("notation")
+    several = F.from_json(code, "array<string>")
+    is_list = F.coalesce(code.startswith("["), F.lit(False))
+    browses, prefixes, many = F.col("tool") == "browse", F.col("tool") == "search_prefix", F.col("tool").isin("resolve", "find_artworks")
+
+    def said(aspect: str, key: Column, where: Column) -> Column:
+        return F.when(where & key.isNotNull(), F.struct(F.lit(aspect).alias("aspect"), key.cast("string").alias("key")))
+
+    searches = F.col("tool") == "search"
+    single = [
+        said("mode", F.lit("keyword"), searches & get("query").isNotNull()),
+        said("mode", F.lit("semantic"), searches & get("semanticQuery").isNotNull()),
+        *(said(k, get(k), searches) for k in ("query", "semanticQuery", "parentNotation")),
+        said("onlyWithArtworks", F.lit("true"), searches & is_set("onlyWithArtworks")),
+        said("collectionId", get("collectionId"), searches & is_set("collectionId")),
+        said("notation", code, (browses | prefixes | (F.col("tool") == "expand_keys")) & ~is_list),
+        said("depth", F.coalesce(get("depth"), F.lit("1")), browses),
+        said("includeKeys", F.lit("true"), browses & is_set("includeKeys")),
+        said("length", F.length(F.coalesce(code, F.lit(""))), prefixes),
+        said("paged", F.lit("true"), prefixes & is_set("offset")),
+        said("batch", F.when(is_list, F.size(several)).when(code != "", 1), many),
+    ]
+    found = F.when((F.col("tool") == "find_artworks") & (code != ""), F.transform(F.when(is_list, several).otherwise(F.array(code)), lambda c: F.struct(F.lit("notation").alias("aspect"), c.alias("key"))))
+    each = F.filter(F.concat(F.array(*single), F.coalesce(found, F.array().cast("array<struct<aspect:string,key:string>>"))), lambda x: x.isNotNull())
+    return rows.select("tool", "ord", F.inline(each)).groupBy("tool", "aspect", "key").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+
+
+def top_per_aspect(found: DataFrame, k: int = 10) -> DataFrame:
+    """The k commonest keys of each tool and aspect; of equal counts the one seen first leads."""
+    place = F.row_number().over(Window.partitionBy("tool", "aspect").orderBy(F.desc("n"), "first", "key"))
+    return found.withColumn("place", place).where(F.col("place") <= k).select("tool", "aspect", "place", "key", "n")
+
+
+def totals(rows: DataFrame) -> DataFrame:
+    """One row: calls, errors, error_percent, sessions, and the first and last time."""
+    n = F.count(F.lit(1))
+    got = with_sessions(rows).agg(n.alias("calls"), F.count_if(~F.col("ok")).alias("errors"), F.coalesce(F.max("session"), F.lit(0)).alias("sessions"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return got.select("calls", "errors", F.round(100 * F.col("errors") / F.greatest("calls", F.lit(1)), 2).alias("error_percent"), "sessions", "first_ts", "last_ts")
+
+
 def recommendations(rows: DataFrame, starts: DataFrame) -> list[tuple[str, str]]:
     """(impact, advice) by fixed thresholds, from a few aggregates."""
     semantic = (F.col("tool") == "search") & F.get_json_object("input", "$.semanticQuery").isNotNull()
@@ -213,8 +259,9 @@ def recommendations(rows: DataFrame, starts: DataFrame) -> list[tuple[str, str]]
     return out
 
 
-def report(lines: DataFrame) -> str:
-    """The whole report as markdown. Only aggregates reach the driver."""
+def report(lines: DataFrame, most: int | None = None) -> str:
+    """The whole report as markdown. Errors and sessions are listed one by one, as a report's reader wants them; ``most``
+    bounds these two lists for logs where they would be too many for the driver."""
     rows, starts = calls(lines), startups(lines)
     order = {t: i for i, t in enumerate(TOOLS)}
 
@@ -225,19 +272,22 @@ def report(lines: DataFrame) -> str:
 
     known = rows.where(F.col("tool").isin(*TOOLS))
     s = sessions(rows)
+    listed = lambda df: df if most is None else df.limit(most)
     parts = [
         table("Traffic", traffic(known)),
         table("Latency", latency(known)),
         table("Slowest calls", rows.where(F.col("ms") > SLOW_MS).orderBy(F.desc("ms"), "ord").limit(15).select("ts", F.col("tool").alias("name"), "ms", "input")),
         table("Boot times", boots(starts)),
-        table("Errors", rows.where("not ok").orderBy("ts", "ord").limit(50).select("ts", F.col("tool").alias("name"), "error")),
+        table("Errors", listed(rows.where("not ok").orderBy("ts", "ord")).select("ts", F.col("tool").alias("name"), "error")),
         table("Sessions by day", s.groupBy(F.to_date("start").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls")).orderBy("day")),
-        table("Sessions", s.select("session", "start", "duration", "calls", "class", F.array_join("topics", "; ").alias("topics")).orderBy("session").limit(200)),
+        table("Sessions", listed(s.select("session", "start", "duration", "calls", "class", F.array_join("topics", "; ").alias("topics")).orderBy("session"))),
         table("Top queries", top_inputs(rows, "search", "query")),
         table("Most browsed", top_inputs(rows, "browse", "notation")),
+        table("Tool by tool", top_per_aspect(breakdown(known)).orderBy("tool", "aspect", "place").withColumnRenamed("tool", "name")),
         table("Resolve batches", batch_sizes(rows, "resolve")),
         table("Repeat calls", repeats(rows.withColumn("key", scalars.canonical_object(F.col("input"))), ["tool", "key"], "ms", ["ts", "ord"]).withColumnRenamed("tool", "name")),
         table("Distinct codes", codes_asked(rows)),
+        table("Totals", totals(rows)),
         "## Recommendations\n\n" + "\n".join(f"{i}. ({impact}) {text}" for i, (impact, text) in enumerate(recommendations(rows, starts), 1)),
     ]
     return "\n\n".join(parts) + "\n"

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,6 +67,33 @@ def nearest(vectors: DataFrame, key: str, query: list[int], k: int, keep: DataFr
     return rows.select(key, cosine_distance(F.col("embedding"), q).alias("distance")).orderBy("distance", key).limit(k)
 
 
+def embedded(rows: DataFrame, embed: Callable[[list[str]], np.ndarray], key: str = "notation", text: str = "text", batch: int = 512) -> DataFrame:
+    """key and the int8 ``embedding`` of each text. ``embed`` gives one row of floats for each of up to ``batch`` texts and
+    runs where the rows are; a null text is embedded as an empty one. What is written so far needs no second run: pass
+    only what is still to do (``store.resume``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, batch):
+                part = whole.slice(lo, batch)
+                v = np.asarray(embed([x or "" for x in part.column(1).to_pylist()]), np.float64)
+                q = np.clip(v * 127, -127, 127).astype(np.int8)  # cut towards zero, as ``quantized`` does
+                values = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * q.shape[1], pa.int32()), pa.array(q.ravel()))
+                yield pa.record_batch([part.column(0), values], names=[key, "embedding"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, embedding array<tinyint>")
+
+
+def agreement(a: DataFrame, b: DataFrame, k: int = 5, by: str = "query", key: str = "key") -> DataFrame:
+    """How far two rankings (by, key, score; higher is better) agree: for each query, how many of the first k they share,
+    and whether the first is the same. Queries of one side only share nothing. Ties go to the smaller key."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
+    first = lambda df, name: df.withColumn(name, place).where(F.col(name) <= k).select(by, key, name)
+    both = first(a, "_a").join(first(b, "_b"), [by, key], "full")
+    return both.groupBy(by).agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("shared"), F.coalesce(F.bool_or((F.col("_a") == 1) & (F.col("_b") == 1)), F.lit(False)).alias("same_first"))
+
+
 def counts_agree(expected: int | None, actual: int) -> bool:
     """Whether a store has all its vectors; an unknown number is trusted."""
     return expected is None or expected != expected or expected == actual

@@ -579,3 +579,61 @@ def ranking_overlap(spark, d):
 @query("""SELECT o_orderstatus, count(*) AS n, round(avg(length(o_orderpriority)), 4) AS mean_length, count(*) FILTER (o_totalprice > 200000) AS dear FROM orders GROUP BY 1""")
 def conditional_counts(spark, d):
     return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("o_orderpriority")), 4).alias("mean_length"), F.count_if(F.col("o_totalprice") > 200000).alias("dear"))
+
+
+def _asked(spark, d) -> DataFrame:
+    """Events as calls of the tools, with inputs made of their k."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    word, text_ = F.concat(F.lit("w"), k.cast("string")), k.cast("string")
+    kind = F.col("event_type")
+    json = lambda **c: F.to_json(F.struct(*(v.alias(n) for n, v in c.items())))
+    search = F.when(k % 2 == 0, json(query=word)).otherwise(json(semanticQuery=word, parentNotation=(k % 5).cast("string")))
+    input_ = F.when(kind == "click", search).when(kind == "view", json(notation=text_, depth=k % 3 + 1)).when(kind == "purchase", json(notation=text_, offset=k % 4))
+    input_ = input_.when(kind == "signup", json(notation=F.array(text_, F.lit("7")))).otherwise(json(notation=text_))
+    tool = F.when(kind == "click", "search").when(kind == "view", "browse").when(kind == "purchase", "search_prefix").when(kind == "signup", "find_artworks").otherwise("resolve")
+    return _events(spark, d).select("ord", "ts", tool.alias("tool"), input_.alias("input"))
+
+
+_BREAKDOWN = """e AS (SELECT event_id, event_type AS t, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), r AS (
+SELECT event_id, 'search' AS tool, 'mode' AS aspect, CASE WHEN k % 2 = 0 THEN 'keyword' ELSE 'semantic' END AS key FROM e WHERE t = 'click'
+UNION ALL SELECT event_id, 'search', CASE WHEN k % 2 = 0 THEN 'query' ELSE 'semanticQuery' END, 'w' || k FROM e WHERE t = 'click'
+UNION ALL SELECT event_id, 'search', 'parentNotation', CAST(k % 5 AS VARCHAR) FROM e WHERE t = 'click' AND k % 2 = 1
+UNION ALL SELECT event_id, CASE t WHEN 'view' THEN 'browse' ELSE 'search_prefix' END, 'notation', CAST(k AS VARCHAR) FROM e WHERE t IN ('view', 'purchase')
+UNION ALL SELECT event_id, 'browse', 'depth', CAST(k % 3 + 1 AS VARCHAR) FROM e WHERE t = 'view'
+UNION ALL SELECT event_id, 'search_prefix', 'length', CAST(length(CAST(k AS VARCHAR)) AS VARCHAR) FROM e WHERE t = 'purchase'
+UNION ALL SELECT event_id, 'search_prefix', 'paged', 'true' FROM e WHERE t = 'purchase' AND k % 4 > 0
+UNION ALL SELECT event_id, 'find_artworks', 'batch', '2' FROM e WHERE t = 'signup'
+UNION ALL SELECT event_id, 'find_artworks', 'notation', unnest([CAST(k AS VARCHAR), '7']) FROM e WHERE t = 'signup'
+UNION ALL SELECT event_id, 'resolve', 'batch', '1' FROM e WHERE t NOT IN ('click', 'view', 'purchase', 'signup')),
+b AS (SELECT tool, aspect, key, count(*) AS n, min(event_id) AS first FROM r GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_BREAKDOWN} SELECT * FROM b")
+def tool_breakdown(spark, d):
+    return logs.breakdown(_asked(spark, d))
+
+
+@query(f"WITH {_BREAKDOWN} SELECT tool, aspect, place, key, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY tool, aspect ORDER BY n DESC, first, key) AS INTEGER) AS place FROM b) WHERE place <= 10")
+def tool_favourites(spark, d):
+    return logs.top_per_aspect(logs.breakdown(_asked(spark, d)))
+
+
+@query("""SELECT count(*) AS calls, count(*) FILTER (value > 200) AS errors, round(100.0 * count(*) FILTER (value > 200) / count(*), 2) AS error_percent,
+CAST(1 + count(*) FILTER (epoch_us(ts) - epoch_us(before) > 3600000000) AS BIGINT) AS sessions, min(ts) AS first_ts, max(ts) AS last_ts
+FROM (SELECT *, lag(ts) OVER (ORDER BY ts, event_id) AS before FROM events)""")
+def log_totals(spark, d):
+    return logs.totals(_calls(spark, d))
+
+
+@query("""WITH a AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part),
+b AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS r FROM part)
+SELECT p_brand, count(*) FILTER (a.r <= 5 AND b.r <= 5) AS shared, bool_or(a.r = 1 AND b.r = 1) AS same_first FROM a JOIN b USING (p_brand, p_partkey) GROUP BY 1""")
+def model_agreement(spark, d):
+    part = table(spark, d, "part")
+    ranked = lambda c: part.select("p_brand", "p_partkey", F.col(c).cast("double").alias("score"))
+    return vector.agreement(ranked("p_retailprice"), ranked("p_size"), 5, "p_brand", "p_partkey")
+
+
+@query("""SELECT p_partkey, p_name FROM part ORDER BY md5('3:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 100""")
+def random_sample(spark, d):
+    return stats.drawn(table(spark, d, "part").select("p_partkey", "p_name"), "p_partkey", 100, 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +67,34 @@ def write(v: Vocabulary, path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+def publish(v: Vocabulary, path: str) -> bool:
+    """Replaces the store at ``path`` by ``v``: written beside it, read back and checked, and only then put in its place.
+    If that fails the old store stays as it was, and what was staged is removed. Says whether ``v`` is in place."""
+    spark = v.notations.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place, staged, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".staged", ".old"))
+    fs = place.getFileSystem(conf)
+    fs.delete(staged, True)
+    try:
+        write(v, staged.toString())
+        whole = not open_store(spark, staged.toString()).notations.isEmpty()
+    except (AnalysisException, SparkRuntimeException):
+        whole = False
+    if not whole:
+        fs.delete(staged, True)
+        return False
+    fs.delete(old, True)
+    had = fs.exists(place)
+    if had:
+        fs.rename(place, old)
+    if not fs.rename(staged, place):
+        if had:
+            fs.rename(old, place)
+        return False
+    fs.delete(old, True)
+    return True
+
+
 def open_store(spark: SparkSession, path: str) -> Vocabulary:
     """Opens a store. notations and texts must be there; an overlay or embeddings that are absent or of another layout are
     left out, and what depends on them is empty."""

@@ -185,3 +185,28 @@ def test_vectors(spark):
     assert vector.quantize_query([3.0, 4.0]) == [76, 101] and vector.quantize_query([0.0, -1.0]) == [0, -128]
     assert list(one.select(vector.quantized_query(F.array(F.lit(0.6), F.lit(0.8))).alias("q")).first()["q"]) == [76, 101]
     assert vector.counts_agree(None, 3) and vector.counts_agree(float("nan"), 3) and not vector.counts_agree(4, 3)
+
+
+def test_embedding_in_batches(spark):
+    from pyspark.sql import functions as F
+
+    import numpy as np
+
+    seen = lambda texts: np.array([[len(x) / 10, -0.5] for x in texts])
+    rows = spark.createDataFrame([(f"c{i}", "x" * (i % 9)) for i in range(40)] + [("none", None)], "notation string, text string")
+    got = {r["notation"]: list(r["embedding"]) for r in vector.embedded(rows, seen, batch=7).collect()}
+    assert len(got) == 41 and got["c3"] == [38, -63] and got["none"] == [0, -63]
+    done = vector.embedded(rows.limit(10), seen)
+    assert store.resume(rows, done, done).count() == 31
+    assert vector.embedded(rows.where(F.lit(False)), seen).count() == 0
+
+
+def test_publish_keeps_the_old_store_if_the_new_one_is_no_good(spark, tmp_path):
+    path = str(tmp_path / "store")
+    v = vocab.vocabulary(spark)
+    assert store.publish(v, path)
+    n = store.open_store(spark, path).notations.count()
+    assert n and store.publish(store.open_store(spark, path), path) and store.open_store(spark, path).notations.count() == n
+    empty = store.vocabulary(spark, notations=v.notations.where("false"), texts=v.texts)
+    assert not store.publish(empty, path) and store.open_store(spark, path).notations.count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["store"]

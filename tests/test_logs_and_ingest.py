@@ -60,6 +60,24 @@ def test_report(lines):
     assert logs.between(logs.calls(lines), "2026-01-02", "2026-01-02").count() == 1
 
 
+def test_breakdown(lines):
+    got = {(r["tool"], r["aspect"], r["key"]): r["n"] for r in logs.breakdown(logs.calls(lines)).collect()}
+    assert got[("search", "mode", "keyword")] == got[("search", "query", "horse")] == 2 and got[("search", "mode", "semantic")] == 1
+    assert got[("resolve", "batch", "3")] == got[("browse", "depth", "2")] == got[("browse", "notation", "73D")] == 1
+    top = logs.top_per_aspect(logs.breakdown(logs.calls(lines)), 1).where("aspect = 'mode'").collect()
+    assert [(r["key"], r["n"]) for r in top] == [("keyword", 2)]
+    t = logs.totals(logs.calls(lines)).first()
+    assert (t["calls"], t["errors"], t["error_percent"], t["sessions"]) == (5, 1, 20.0, 3)
+    none = logs.calls(lines).where("ord < 0")
+    assert logs.breakdown(none).count() == 0 and logs.totals(none).first()["calls"] == 0
+
+
+def test_report_lists_are_whole_unless_bounded(spark, lines):
+    many = lines.unionByName(spark.createDataFrame([(1000 + i, json.dumps({"timestamp": f"2026-02-01T10:{i // 60:02d}:{i % 60:02d}Z", "tool": "browse", "ms": 1, "ok": False, "error": f"E{i}"})) for i in range(70)], "ord long, value string"))
+    whole, cut = logs.report(many), logs.report(many, most=5)
+    assert whole.count("| E") == 70 and cut.count("| E") == 4
+
+
 def test_percentile_definition(spark):
     df = spark.createDataFrame([("a", x) for x in (1, 2, 3, 4)] + [("b", 7)], "g string, x int")
     got = {r["g"]: r for r in stats.describe(df, "x", ["g"], (50, 99)).collect()}
