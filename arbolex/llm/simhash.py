@@ -10,6 +10,10 @@ corpus. In a shard, fingerprints that are equal in the two blocks form a BK-tree
 distance to their parent; a search follows only the edges within the radius of its own distance. A shard returns a
 spanning forest of its links, at most one edge a row, never all pairs.
 
+Very many unlike fingerprints may share two blocks, as those of one template do. Where more than MOST do, the group is
+split the same way by the other 32 bits: of their four bytes two are equal, so each fingerprint goes to six smaller groups.
+Such a group has 48 bits in common, so it holds 65,536 fingerprints at most, whatever the input.
+
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; fewer than 3 words are one
 shingle; repeated shingles count as often as they occur; ties (exactly half the hashes) give bit 0; an empty table gives
 no rows; other columns, whatever their names, are ignored.
@@ -23,7 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, chunks, documents, parts, words
@@ -33,6 +37,8 @@ SHINGLE, SEED, RADIUS = 3, 42, 2
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 PAIRS = [(a, b) for a in range(4) for b in range(a)]
+MOST = 2048  # fingerprints of one pair of blocks that stay in one group
+BROADCAST_KEYS = 1 << 20  # beyond so many split groups their keys are joined by a shuffle instead
 
 
 def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -135,11 +141,36 @@ def spanning_links(values: list[int], radius: int = RADIUS) -> list[tuple[int, i
     return edges
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _block(i: int) -> Column:
+    return F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
+
+
+def block_groups(prints: DataFrame) -> DataFrame:
+    """Rows (id, fp, key), one for each pair of blocks: its number above the 32 bits of the two."""
+    keys = (F.shiftleft(F.lit(k).cast("long"), 32).bitwiseOR(F.shiftleft(_block(a), 16)).bitwiseOR(_block(b)) for k, (a, b) in enumerate(PAIRS))
+    return prints.select("id", "fp", F.explode(F.array(*keys)).alias("key"))
+
+
+def split_groups(spread: DataFrame, most: int = MOST) -> DataFrame:
+    """Rows (id, fp, key) with keys of their own for the parts of groups of more than ``most`` rows."""
+    hot = checkpointed(spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("hot")))
+    n = hot.count()
+    if not n:
+        return spread
+    marked = spread.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot, "key", "left")
+    pair = F.shiftrightunsigned("key", 32)
+    others = [[i for i in range(4) if i not in p] for p in PAIRS]
+    rest = F.coalesce(*(F.when(pair == k, F.shiftleft(_block(i), 16).bitwiseOR(_block(j))) for k, (i, j) in enumerate(others)))
+    byte = lambda i: F.shiftrightunsigned("rest", 8 * i).bitwiseAND(F.lit(0xFF))
+    parts_ = F.array(*(F.xxhash64("key", F.lit(k), byte(a), byte(b)) for k, (a, b) in enumerate(PAIRS)))
+    return marked.withColumn("rest", rest).select("id", "fp", F.explode(F.when(F.col("hot"), parts_).otherwise(F.array("key"))).alias("key"))
+
+
+def links(prints: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """Edges (u, v) of ids that connect the rows (id, fp), with distinct fp, whose fp differ in ``radius`` bits or fewer."""
-    block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
-    keys = F.array(*(F.shiftleft(F.lit(k), 32).bitwiseOR(F.shiftleft(block(a), 16)).bitwiseOR(block(b)) for k, (a, b) in enumerate(PAIRS)))
-    spread = prints.select("id", "fp", F.explode(keys.cast("array<long>")).alias("key"))
+    if radius > RADIUS:
+        raise ValueError(f"four blocks find fingerprints within {RADIUS} bits, not {radius}")
+    spread = split_groups(block_groups(prints), most)
     shard = spread.repartition(parts(prints.sparkSession), "key").sortWithinPartitions("key", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

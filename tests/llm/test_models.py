@@ -49,6 +49,35 @@ def test_simhash_against_brute_force(spark):
     assert {k: r["component_id"] for k, r in got.items()} == plain_components(want)
 
 
+@pytest.mark.parametrize("most", [simhash.MOST, 3])
+def test_links_connect_crowded_fingerprints(spark, most):
+    rng = np.random.default_rng(4)
+    weak = [0, 1, 7, 9, 15, 16, 20, 31, 33, 40, 47, 48, 55, 63]  # one template: most bits are the same in all
+    crowd = [int(x) for x in {int(sum(1 << b for b in weak if rng.random() < 0.3)) ^ 0x5A5A << 20 for _ in range(250)}]
+    prints = {i: x for i, x in enumerate(crowd + [int(x) for x in rng.integers(1, 1 << 62, 60)])}
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in prints.items()]
+    edges = simhash.links(spark.createDataFrame(signed, "id long, fp long"), most=most).collect()
+    assert all((prints[e["u"]] ^ prints[e["v"]]).bit_count() <= 2 for e in edges)
+    of = {i: i for i in prints}
+
+    def root(k):
+        while of[k] != k:
+            k = of[k]
+        return k
+
+    for e in edges:
+        of[max(root(e["u"]), root(e["v"]))] = min(root(e["u"]), root(e["v"]))
+    want = plain_components(prints)
+    assert {k: root(k) for k in prints} == want and len(set(want.values())) < len(prints) - 100
+
+
+def test_block_keys_do_not_mix(spark):
+    """Fingerprints of one group have a pair of blocks, or with split groups 48 bits, in common."""
+    rows = spark.createDataFrame([(i, i * 0x0001000100010001) for i in range(8)], "id long, fp long")
+    spread = simhash.block_groups(rows)
+    assert spread.select("key").distinct().count() == 48 and simhash.split_groups(spread, 0).select("key").distinct().count() == 8 * 36
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, (1 << 64) - 1), min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.integers(0, 63), st.integers(0, 63)), max_size=30))
 def test_spanning_links_connect(base, flips):
