@@ -210,10 +210,11 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rep, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | None = None) -> DataFrame:
     """The documents with the smallest doc_id of their group, all columns as they were. Of rows that repeat a doc_id one
-    stays, the one with the smallest text; rows without a doc_id belong to no group and stay."""
-    groups = checkpointed(grouped(docs.where("doc_id is not null"), radius))
+    stays, the one with the smallest text; rows without a doc_id belong to no group and stay. ``groups``, doc_id and
+    component_id, are those of ``grouped`` unless given."""
+    groups = checkpointed(grouped(docs.where("doc_id is not null"), radius) if groups is None else groups)
     gone = groups.where("doc_id != component_id").select("doc_id")
     counts = groups.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
