@@ -12,9 +12,13 @@ each block, so its size is bounded whatever the benchmark. Items that are the sa
 looked into only when one of its rarest windows matches, as many of them as COVERAGE makes necessary; windows that many
 items share therefore cost nothing, and nothing is lost. Documents are decided where they are, without a shuffle.
 
+Windows of which more than half are placeholders say little, so templates leave them out. So that number-dense items, and
+names that the document's case shows otherwise than the item's, are found too, every item is also matched by the plain
+values of its tokens, where the templates have not found it: half of its windows of values make a hit.
+
 Defined cases: null or empty texts are clean; items shorter than WINDOW tokens match as a whole, those shorter than
 MIN_TOKENS cannot be told from chance and match nothing, nor do null items; windows with fewer than half literal words
-do not count, and an item without any other window matches nothing; repeated rows are judged alike; empty tables give no rows or no matches; other columns, whatever their names, are kept or ignored.
+count by their values only; repeated rows are judged alike; empty tables give no rows or no matches; other columns, whatever their names, are kept or ignored.
 """
 
 from __future__ import annotations
@@ -138,12 +142,14 @@ class Block:
     kind: list[np.ndarray]
     value: list[np.ndarray]
     by_n: dict[int, tuple[np.ndarray, np.ndarray]]
+    exact: Block | None = None  # the same items by the values of their tokens, without slots
 
 
 def block(items: list[tuple[int, str]], window: int = WINDOW, coverage: float = COVERAGE) -> Block:
     """Prepares items for the join. Equal templates are merged under their smallest id."""
-    out = Block([], [], [], [], [], [], [], {})
-    seen: set[bytes] = set()
+    out, exact = (Block([], [], [], [], [], [], [], {}) for _ in range(2))
+    seen: dict[bytes, int] = {}
+    seen_values: set[bytes] = set()
     for item, text in sorted((i, t) for i, t in items if i is not None and t):
         raw = text.encode()
         t = canonical(Chunk(range(1), np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
@@ -151,15 +157,34 @@ def block(items: list[tuple[int, str]], window: int = WINDOW, coverage: float =
         # Templates with unlike patterns of equal slots are unlike questions.
         _, first, pattern = np.unique(np.where(t.kind > 0, t.value, U64(0)), return_index=True, return_inverse=True)
         key = t.canonical.tobytes() + first[pattern].tobytes()
+        if n >= MIN_TOKENS and (values := t.value.tobytes()) not in seen_values:
+            seen_values.add(values)
+            _append(exact, seen.get(key, item), n, *windows(_plain(t), n), None, _plain(t))
         if n < MIN_TOKENS or key in seen:
             continue
         # Once with names as slots and once, for texts whose case shows none, with names as they are.
         both = [windows(x, n) for x in (t, canonical(Chunk(range(1), np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), False))]
         if len(both[0][1]) or len(both[1][1]):
-            seen.add(key)
+            seen[key] = item
             at, h = (np.concatenate(x) for x in zip(*both))
-            for name, x in (("ids", item), ("n", n), ("hashes", h), ("at", at), ("slots", both[0][0]), ("kind", t.kind), ("value", t.value)):
-                getattr(out, name).append(x)
+            _append(out, item, n, at, h, both[0][0], t)
+    for b in (out, exact):
+        _set_triggers(b, coverage)
+    out.exact = exact
+    return out
+
+
+def _plain(t: Tokens) -> Tokens:
+    """The tokens by their values, none a placeholder."""
+    return Tokens(t.first, np.zeros_like(t.kind), t.value, t.value)
+
+
+def _append(b: Block, item: int, n: int, at: np.ndarray, h: np.ndarray, slots: np.ndarray | None, t: Tokens) -> None:
+    for name, x in (("ids", item), ("n", n), ("hashes", h), ("at", at), ("slots", at if slots is None else slots), ("kind", t.kind), ("value", t.value)):
+        getattr(b, name).append(x)
+
+
+def _set_triggers(out: Block, coverage: float) -> None:
     often = Counter(int(x) for h in out.hashes for x in np.unique(h))
     triggers: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for k, whole in enumerate(out.hashes):
@@ -172,7 +197,6 @@ def block(items: list[tuple[int, str]], window: int = WINDOW, coverage: float =
     for n, pairs in triggers.items():
         pairs.sort()
         out.by_n[n] = (np.array([p[0] for p in pairs], U64), np.array([p[1] for p in pairs], np.int64))
-    return out
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -221,6 +245,14 @@ def matches(chunk: Chunk, b: Block, coverage: float = COVERAGE) -> dict[int, lis
     """Contaminated documents of a chunk: number -> (item_id, coverage, changed slots)."""
     t = canonical(chunk)
     out: dict[int, list[tuple[int, float, int]]] = defaultdict(list)
+    _find(t, b, coverage, out)
+    if b.exact:
+        _find(_plain(t), b.exact, coverage, out)
+    return out
+
+
+def _find(t: Tokens, b: Block, coverage: float, out: dict[int, list[tuple[int, float, int]]]) -> None:
+    """Adds the items of ``b`` to ``out``, where they are not in it."""
     for n, (keys, item) in b.by_n.items():
         at, h = windows(t, n)
         hit = np.flatnonzero(_in(h, keys))
@@ -234,10 +266,11 @@ def matches(chunk: Chunk, b: Block, coverage: float = COVERAGE) -> dict[int, lis
             got = np.unique(h_own[_in(h_own, keys)])
             first, last = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
             for k in sorted({int(x) for f, e in zip(first, last) for x in item[f:e]}):
+                if any(b.ids[k] == i for i, _, _ in out.get(d, ())):
+                    continue
                 share, changed = _item_match(b, k, order, h_own[order], own, t.kind, t.value)
                 if share >= coverage:
                     out[d].append((b.ids[k], share, changed))
-    return out
 
 
 HITS = "array<struct<item_id: long, coverage: double, changed_slots: long>>"

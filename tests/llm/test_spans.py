@@ -105,6 +105,16 @@ def test_decontamination(spark):
     assert decontamination.with_hits(docs.where("doc_id < 0"), benchmark(spark, items)).count() == 0
 
 
+def test_decontamination_of_items_rich_in_slots(spark):
+    rng = random.Random(9)
+    items = [(1, "Compute 17 + 25 - 8 + 4"), (2, "Compute 3 + 9 - 1 + 2"), (3, "Old Harbour Summer Music Festival Opening Night Grand Parade Of Lanterns"), (4, "12 7 3.5 88 41 6 19 23 5 77 1,024 2"), (5, "Anna Berlin Carl Dora Emil Frida")]
+    around = lambda t: f"{prose(rng, 40)} and then {t} {prose(rng, 40)}"
+    ts = [around(t) for _, t in items] + [around("Compute 5 + 25 - 8 + 4"), around("12 7 3.5 88 99 6 19 24 5 78 1,024 3"), prose(rng, 80)]
+    ts.append(" ".join(f"the {w} is here." if k % 3 else f"we saw {w} there." for k, w in enumerate(items[2][1].split())) + " so " + items[2][1])
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.with_hits(frame(spark, ts), benchmark(spark, items)).collect()}
+    assert [got[k] for k in range(9)] == [[1], [2], [3], [4], [5], [], [], [], [3]]
+
+
 def test_decontamination_blocks_agree(spark, monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng, rng.randint(6, 40))) for k in range(40)]
