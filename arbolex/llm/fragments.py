@@ -426,7 +426,14 @@ def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMP
             yield from told(held)
 
     def told(group: list) -> Iterator[pa.RecordBatch]:
-        """group: whole anchors. Repeated windows by document, as runs."""
+        """group: whole anchors, sorted by anchor, document and start. Repeated windows by document, as runs. A repeated
+        row asks the same again; it counts once."""
+        new = np.ones(len(group[0]), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in group[:4]], axis=0)
+        for k in np.flatnonzero(~new):
+            new[k] = group[4][k] != group[4][k - 1]
+        if not new.all():
+            group = [[x for x, f in zip(g, new) if f] if isinstance(g, list) else g[new] for g in group]
         repeats = kind.decide(group)
         runs_, doc = np.zeros(len(repeats), RUN), group[1][repeats["fragment"]]
         runs_["start"], runs_["windows"] = group[2][repeats["fragment"]] + repeats["first"], repeats["windows"]

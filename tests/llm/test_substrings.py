@@ -66,6 +66,14 @@ def test_words_repeated_rows_and_no_rows(spark):
     assert automata.passage_dedup(docs.where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("dedup", [automata.passage_dedup, induced.byte_dedup])
+def test_repeated_rows_beside_near_copies(spark, dedup):
+    docs = frame(spark, edited()[60:90])
+    want = {r["doc_id"]: r for r in dedup(docs).collect()}
+    got = dedup(docs.unionByName(docs.where("doc_id % 2 = 1"))).collect()
+    assert len(got) == 45 and all(r == want[r["doc_id"]] for r in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12), max_size=5), st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=12))
 def test_matching_statistics(passages, probe):
