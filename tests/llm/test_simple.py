@@ -60,7 +60,7 @@ def test_sharding(spark):
 
 
 def test_packing_round_trip(spark):
-    texts = corpus(5, 60)
+    texts = [*corpus(5, 60), "abc <|endoftext|> def"]
     rows = packing.pack(frame(spark, texts), docs_a_group=20).collect()
     plain = packing._plain(packing._path(packing.VOCABULARY))
     ids = {k: [*plain.encode(t or "", add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
@@ -84,7 +84,7 @@ def test_packing_round_trip(spark):
         assert at <= 2048
 
 
-@pytest.mark.parametrize("text", ["", " ", "<|endoftext|>", "a  b\n\n c\r\n", "😀é ñ", "x" * 500, " " * 500, "don't 12,345.67"])
+@pytest.mark.parametrize("text", ["", " ", "<|endoftext|>", "abc <|endoftext|> def", "<|endoftext|><|endoftext|>x<|endof", "é<|endoftext|>\n\n y", "a  b\n\n c\r\n", "😀é ñ", "x" * 500, " " * 500, "don't 12,345.67"])
 def test_token_ids_agree(text):
     plain = packing._plain(packing._path(packing.VOCABULARY))
     assert packing.token_ids(text) == plain.encode(text, add_special_tokens=False).ids
