@@ -6,11 +6,14 @@ the escapes from longer ones (method C: an escape weighs as much as the number o
 are frozen before scoring. The language with the shortest code wins; the score is its share of exp(-code length).
 
 Training is spread: each task counts its own documents, and the counts are added up by context. Only documents with a
-non-null lang whose crc32(doc_id as text) mod 4 is not 2 are used, and of these a sample of at most about
-TRAIN_BYTES of text a language, drawn by a hash of doc_id. The number of contexts kept is bounded by the sample, so the
-model can be broadcast.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; without training rows all is ``und``; ties
+non-null lang whose crc32(doc_id as text) mod 4 is not 2 are used, and of these a sample of about TRAIN_BYTES of text a
+language, drawn by a hash of doc_id; the document with the smallest hash of each language is always drawn. The model has
+a row for each byte sequence of the sample and a column for each language, so with many languages each gets a smaller
+sample: about MODEL_CELLS / languages**2 bytes. That bounds what the driver collects and what is broadcast by 4 * MODEL_CELLS bytes, or
+by one document a language if that is more. No language is left out.
+
+Defined cases: a null text or one without a letter is ``und`` with score 0; learnable rows without text teach nothing,
+and a language with no others is not learned; without training rows all is ``und``; ties
 go to the alphabetically first language; repeated rows are scored alike; an empty table gives no rows; other columns,
 whatever their names, are ignored. lang, source and doc_id take no part in a prediction.
 """
@@ -29,7 +32,7 @@ from .common import Chunk, chunks, documents
 
 ORDER = 3  # bytes of context
 TRAIN_BYTES = 1_500_000  # text a language in the training sample, about
-MAX_LANGUAGES = 200
+MODEL_CELLS = 256_000_000  # byte sequences times languages in the model, about; reached from 14 languages on
 FOLD = np.arange(256, dtype=np.uint32)
 FOLD[65:91] += 32
 UNDETERMINED = "und"
@@ -133,18 +136,19 @@ def resolve(languages: list[str], lang: np.ndarray, keys: np.ndarray, counts: np
     return model
 
 
-def train(docs: DataFrame, budget: int = TRAIN_BYTES) -> Model:
+def train(docs: DataFrame, budget: int = TRAIN_BYTES, cells: int = MODEL_CELLS) -> Model:
     """Counts the training sample and freezes it. The driver gets one row for each language and byte sequence."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    size = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = rows.where((F.octet_length("text") > 0) & F.col("lang").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
+    size = {r["lang"]: (r["n"], r["least"]) for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"), F.min(draw).alias("least")).collect()}
     languages = sorted(size)
     if not languages:
         return Model([], [], [], np.zeros(0, np.float32))
-    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(budget / max(1, size[k])))))
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)
+    budget = min(budget, max(1, cells // len(languages) ** 2))
+    share = F.create_map(*(x for k in languages for x in (F.lit(k), F.lit(max(budget / size[k][0], size[k][1])))))
     number = F.create_map(*(x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))))
-    sample = rows.where(chance < share[F.col("lang")]).select(number[F.col("lang")].alias("l"), "text")
+    sample = rows.where(draw <= share[F.col("lang")]).select(number[F.col("lang")].alias("l"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
     if not model.languages:
         return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TRAIN_BYTES and MAX_LANGUAGES
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_CELLS
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, slots = _ready(held.value)

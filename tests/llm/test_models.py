@@ -167,6 +167,26 @@ def test_langid_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows.values())
 
 
+def test_langid_learnable_rows_without_text(spark):
+    docs = frame(spark, ["", "hello there", None, "12 !"], first=1, langs={1: "en", 2: None, 3: "de", 4: None})
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(docs).collect()} == {("und", 0.0)}
+    assert langid.determined(docs).count() == 0
+
+
+def test_langid_many_languages(spark):
+    """No language is left out, whatever the size of the sample; of each at least one document is drawn."""
+    rng = __import__("random").Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pools = ["".join(rng.sample(letters, 5)) for _ in range(230)]
+    texts = [" ".join("".join(rng.choice(p) for _ in range(4)) for _ in range(40)) for p in pools for _ in range(6)]
+    langs = {k: f"l{k // 6:03d}" for k in range(len(texts))}
+    docs = frame(spark, texts, langs=langs)
+    model = langid.train(docs, cells=1)
+    assert model.languages == [f"l{k:03d}" for k in range(230)]
+    got = langid.identify(docs, model).collect()
+    assert sum(r["lang_pred"] == langs[r["doc_id"]] for r in got) > 0.8 * len(texts)
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).where("doc_id < 0")
     assert langid.identify(docs).count() == 0
