@@ -1,18 +1,24 @@
 """Chat formatting with tool-call linking.
 
 A turn's text may hold ``<tool_call>{"id", "name", "arguments"}</tool_call>`` and
-``<tool_result>{"id", "content"}</tool_result>`` blocks; what is left of the text is its message. Calls and results are
-hash-joined by (conv_id, id), calls are validated against the JSON schemas of their tools, every part is serialised as
+``<tool_result>{"id", "content"}</tool_result>`` blocks, and a system turn ``<tools>[{"name", "parameters"}, ...]</tools>``
+blocks that declare the tools of the conversation with their JSON schemas; what is left of the text is its message.
+Calls and results are hash-joined by (conv_id, id), calls with the schemas by (conv_id, name), every part is serialised as
 canonical JSON (sorted keys, no spaces), and all parts get keys that order them topologically: after the calls whose
-ids their arguments name as ``{"$ref": id}`` or ``"$id"``, a result after its call, and otherwise as they stood.
+ids their arguments name, a result after its call, and otherwise as they stood. Arguments name a call as ``{"$ref": id}``,
+or as ``"$id"`` where the conversation has a call of that id; any other text that begins with a dollar is just text.
 
 A part is one row; a conversation is never gathered in one task, so a conversation with a third of all rows is no
 hot group. Sorting by (conv_id, order_turn, order_part, order_level, turn, part) gives the linked conversation. The depth of a call
-is found in rounds over the dependency edges, written to the shared checkpoint folder; without such edges no round runs.
+is found in rounds over the dependency edges, written to the shared checkpoint folder. A round settles all calls whose
+references are settled, and lets every edge to a call with one open reference jump to where that one leads, so a chain of n
+calls takes about log2(n) rounds. Rounds go on while they settle anything; what is left then is on a cycle or waits for one.
 
 Defined cases: a null text is an empty message; a block that is no JSON object or has no id is kept as a part with an
 error; of several calls or results with one id the first (by turn and place) counts and the others are errors, as are
-results without a call, calls without a result, unknown tools and cyclic or unknown references; rows without a conv_id
+results without a call, calls without a result, unknown tools, arguments that break their schema, and cyclic or unknown references.
+Of several schemas for one name the conversation's first counts, then the ones passed in. Where a conversation declares
+no tools and none are passed in, there is nothing to check names and arguments against. Rows without a conv_id
 are never linked; repeated rows are repeated parts; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -23,16 +29,14 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import checkpointed
 
-BLOCK = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
+BLOCK = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
-#: Tools that are known without being passed in.
-SCHEMAS: dict[str, dict] = {}
 
 
 def canonical_json(value: object) -> str:
@@ -48,21 +52,22 @@ def canonical_json(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
-def is_reference(value: object) -> bool:
+def is_reference(value: object, calls: frozenset[str] = frozenset()) -> bool:
+    """Whether an argument stands for the result of a call; ``calls`` are those that a bare ``$id`` may name."""
     if isinstance(value, str):
-        return re.fullmatch(r"\$[A-Za-z0-9_-]+", value) is not None
+        return value.startswith("$") and value[1:] in calls
     return isinstance(value, dict) and set(value) == {"$ref"} and isinstance(value["$ref"], str)
 
 
-def schema_error(value: object, schema: dict, at: str = "$") -> str | None:
+def schema_error(value: object, schema: dict, calls: frozenset[str] = frozenset(), at: str = "$") -> str | None:
     """The first thing wrong with a value under a JSON schema: type, enum, properties, required, additionalProperties,
     items, minimum, maximum, minLength, maxLength and pattern."""
-    if is_reference(value):  # its value is not known before the other call has run
+    if is_reference(value, calls):  # its value is not known before the other call has run
         return None
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    whole = number and float(value).is_integer()
+    whole = number and (isinstance(value, int) or value.is_integer())
     if kinds and not any((k == "number" and number) or (k == "integer" and whole) or (k in TYPES and isinstance(value, TYPES[k]) and (k == "boolean") == isinstance(value, bool)) for k in kinds):
         return f"{at}: not {' or '.join(kinds)}"
     if "enum" in schema and value not in schema["enum"]:
@@ -83,112 +88,185 @@ def schema_error(value: object, schema: dict, at: str = "$") -> str | None:
                 return f"{at}.{k}: missing"
         for k in sorted(value):
             if k in known:
-                if e := schema_error(value[k], known[k], f"{at}.{k}"):
+                if e := schema_error(value[k], known[k], calls, f"{at}.{k}"):
                     return e
             elif schema.get("additionalProperties", True) is False:
                 return f"{at}.{k}: unknown"
     if isinstance(value, list) and isinstance(schema.get("items"), dict):
         for i, x in enumerate(value):
-            if e := schema_error(x, schema["items"], f"{at}[{i}]"):
+            if e := schema_error(x, schema["items"], calls, f"{at}[{i}]"):
                 return e
     return None
 
 
-def references(value: object) -> set[str]:
-    """Ids that arguments refer to."""
-    if is_reference(value):
-        return {value[1:] if isinstance(value, str) else value["$ref"]}
-    if isinstance(value, (list, dict)):
-        return set().union(*map(references, value.values() if isinstance(value, dict) else value))
-    return set()
+def references(value: object) -> tuple[set[str], set[str]]:
+    """Ids that arguments refer to, and those that they may mean by a bare ``$id``."""
+    hard: set[str] = set()
+    soft: set[str] = set()
+    todo = [value]
+    while todo:
+        x = todo.pop()
+        if is_reference(x):
+            hard.add(x["$ref"])
+        elif isinstance(x, str):
+            if re.fullmatch(r"\$[A-Za-z0-9_-]+", x):
+                soft.add(x[1:])
+        elif isinstance(x, (list, dict)):
+            todo += x.values() if isinstance(x, dict) else x
+    return hard, soft
+
+
+def _sound(x: object) -> str | None:
+    """A text that is not empty and that UTF-8 can hold, or None."""
+    return x if isinstance(x, str) and x and not re.search("[\ud800-\udfff]", x) else None
+
+
+def _declared(body: object) -> list[tuple[str, str]] | None:
+    """(name, schema as JSON) of the tools in a ``tools`` block: a list of {"name", "parameters"}, or of
+    {"type": "function", "function": {...}} around the same."""
+    items = body if isinstance(body, list) else [body]
+    items = [x["function"] if isinstance(x, dict) and isinstance(x.get("function"), dict) else x for x in items]
+    if not all(isinstance(x, dict) and _sound(x.get("name")) and isinstance(x.get("parameters", {}), dict) for x in items):
+        return None
+    return [(x["name"], json.dumps(x.get("parameters", {}))) for x in items]
 
 
-def turn_parts(role: str | None, text: str | None, schemas: dict[str, dict]) -> list[tuple]:
-    """(kind, call_id, name, error, refs, json) of one turn, the message first unless there is only a block."""
+def turn_parts(role: str | None, text: str | None) -> list[tuple]:
+    """(kind, call_id, name, error, refs, may_refs, tools, json) of one turn, the message first unless there are only
+    blocks. Tools are declared by system turns only; elsewhere such a block is part of the message."""
     text = text or ""
-    found = list(BLOCK.finditer(text)) if "<tool_" in text else []
-    rest = BLOCK.sub("", text).strip() if found else text
-    out = [("message", None, None, None, [], canonical_json({"role": role, "content": rest}))] if rest or not found else []
+    found = [m for m in BLOCK.finditer(text) if m[1] != "tools" or role == "system"] if "<tool" in text else []
+    rest, at = [], 0
+    for m in found:
+        rest.append(text[at : m.start()])
+        at = m.end()
+    rest = "".join([*rest, text[at:]]).strip() if found else text
+    out = [("message", None, None, None, [], [], [], canonical_json({"role": role, "content": rest}))] if rest or not found else []
     for m in found:
-        kind, error, body, call, name, refs = f"tool_{m[1]}", None, None, None, None, []
+        kind, error, body, call, name, refs, tools = m[1], None, None, None, None, (set(), set()), []
         try:
             body = json.loads(m[2])
             dumped = canonical_json(body)
+            if _sound(dumped) is None:  # lone surrogates stay escaped
+                dumped = json.dumps(json.loads(dumped), sort_keys=True, separators=(",", ":"))
         except (ValueError, RecursionError):
             body, dumped, error = None, canonical_json({"raw": m[2]}), "not JSON"
-        if error is None and not isinstance(body, dict):
+        if error is None and kind == "tools":
+            tools = _declared(body)
+            tools, error = (tools, None) if tools is not None else ([], "no tools")
+        elif error is None and not isinstance(body, dict):
             error = "not an object"
         elif error is None:
-            call = body.get("id") if isinstance(body.get("id"), str) and body.get("id") else None
-            name = body.get("name") if isinstance(body.get("name"), str) else None
+            call, name = _sound(body.get("id")), _sound(body.get("name"))
             error = None if call else "no id"
             if kind == "tool_call":
-                args = body.get("arguments", {})
-                refs = sorted(references(args))
-                if not error:
-                    error = "unknown tool" if name not in schemas else schema_error(args, schemas[name])
-        out.append((kind, call, name, error, refs, dumped))
+                refs = references(body.get("arguments", {}))
+        out.append((kind, call, name, error, *(sorted(x for x in r if _sound(x)) for r in refs), [{"tool": n, "schema": x} for n, x in tools], dumped))
     return out
 
 
-PARTS = "conv_id long, turn long, part int, role string, kind string, call_id string, name string, error string, refs array<string>, json string"
-_KEY = "struct<turn: long, part: int, level: int>"
+PARTS = "conv_id long, turn long, part int, role string, kind string, call_id string, name string, error string, refs array<string>, may_refs array<string>, tools array<struct<tool: string, schema: string>>, json string"
+_KEY = "struct<turn: long, part: int, level: long>"
 
 
-def parsed(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+def parsed(turns: DataFrame) -> DataFrame:
     """One row for each part of each turn."""
+    texts = pa.list_(pa.string())
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5, texts, texts, pa.list_(pa.struct([("tool", pa.string()), ("schema", pa.string())])), pa.string()]
+    names = "conv_id turn part role kind call_id name error refs may_refs tools json".split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(c, t, k, r, *p) for c, t, r, x in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn", "role", "text"))) for k, p in enumerate(turn_parts(r, x, schemas))]
-            cols = list(zip(*rows)) or [()] * 10
-            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 5, pa.list_(pa.string()), pa.string()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=[c.split()[0] for c in PARTS.split(", ")])
+            rows = [(c, t, k, r, *p) for c, t, r, x in zip(*(batch.column(n).to_pylist() for n in ("conv_id", "turn", "role", "text"))) for k, p in enumerate(turn_parts(r, x))]
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(run, PARTS)
 
 
-def _call_keys(calls: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(conv_id, call_id, key, cyclic): keys that rise strictly along references. calls: conv_id, call_id, own, refs."""
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("refs")).alias("ref"))
-    edges = edges.join(calls.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_semi")
+def _call_keys(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, key, cyclic): keys that rise strictly along references, (turn, part, level): the latest place
+    among the call and all that it leads to, and how many references away that is at most. calls: conv_id, call_id, own,
+    refs, all of them calls."""
+    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("refs")).alias("ref"), F.lit(1).cast("long").alias("far"))
     edges = checkpointed(edges)
-    done = calls.select("conv_id", "call_id", F.col("own").alias("key"), F.lit(False).alias("cyclic"))
-    if edges.isEmpty():
-        return done
-    waits = edges.select("conv_id", "call_id").distinct()
-    todo = checkpointed(calls.join(waits, ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "own"))
-    done = checkpointed(done.join(waits, ["conv_id", "call_id"], "left_anti"))
-    for _ in range(most_rounds):
-        known = done.select("conv_id", F.col("call_id").alias("ref"), "key")
-        state = edges.join(todo, ["conv_id", "call_id"]).join(known, ["conv_id", "ref"], "left")
-        after = F.struct(F.col("key.turn").alias("turn"), F.col("key.part").alias("part"), (F.col("key.level") + 1).alias("level")).cast(_KEY)
-        ready = state.groupBy("conv_id", "call_id", "own").agg(F.count_if(F.col("key").isNull()).alias("open"), F.max(F.when(F.col("key").isNotNull(), after)).alias("late")).where("open = 0")
-        ready = checkpointed(ready.select("conv_id", "call_id", F.greatest("own", "late").alias("key"), F.lit(False).alias("cyclic")))
-        if ready.isEmpty():
+    plain = calls.select("conv_id", "call_id", F.col("own").alias("key"), F.lit(False).alias("cyclic"))
+    open_ = edges.select("conv_id", "call_id").distinct().count()
+    if not open_:
+        return plain
+    ends = edges.select("conv_id", "call_id").unionByName(edges.select("conv_id", F.col("ref").alias("call_id"))).distinct()
+    nodes = checkpointed(calls.join(ends, ["conv_id", "call_id"], "left_semi").select("conv_id", "call_id", "own", F.col("own").alias("key")))
+    plain = plain.join(nodes.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+    at = ["conv_id", "call_id"]
+    while open_:
+        waits = edges.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.first("ref").alias("next"), F.first("far").alias("step"))
+        there = nodes.join(waits, at, "left").select("conv_id", F.col("call_id").alias("ref"), F.col("key").alias("got"), "n", "next", "step")
+        seen = checkpointed(edges.join(there, ["conv_id", "ref"]))
+        # What a reference is known to come after holds for the call too, settled or not.
+        late = F.struct(F.col("got.turn").alias("turn"), F.col("got.part").alias("part"), (F.col("got.level") + F.col("far")).alias("level")).cast(_KEY)
+        after = seen.groupBy(*at).agg(F.max(late).alias("late"))
+        nodes = checkpointed(nodes.join(after, at, "left").select(*at, "own", F.greatest("key", "late").alias("key")))
+        jumps = F.col("n") == 1
+        edges = seen.where("n is not null").select(*at, F.when(jumps, F.col("next")).otherwise(F.col("ref")).alias("ref"), F.when(jumps, F.least(F.col("far") + F.col("step"), F.lit(1 << 40))).otherwise(F.col("far")).alias("far"))
+        edges = checkpointed(edges.groupBy(*at, "ref").agg(F.max("far").alias("far")))
+        before, open_ = open_, edges.select(*at).distinct().count()
+        if open_ == before:
             break
-        done = checkpointed(done.unionByName(ready))
-        todo = checkpointed(todo.join(ready, ["conv_id", "call_id"], "left_anti"))
-    return done.unionByName(todo.select("conv_id", "call_id", F.col("own").alias("key"), F.lit(True).alias("cyclic")))
+    left = edges.select(*at, F.lit(True).alias("cyclic")).distinct()
+    got = nodes.join(left, at, "left").select(*at, F.when(F.col("cyclic"), F.col("own")).otherwise(F.col("key")).alias("key"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    return plain.unionByName(got)
+
+
+def _checked(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """Adds bad: what is wrong with a call's tool or arguments. rows: name, json, schema, some (whether the conversation
+    declares tools) and known (the calls that its bare references name)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for kind, name, error, dumped, schema, some, known in zip(*(batch.column(c).to_pylist() for c in ("kind", "name", "error", "json", "schema", "some", "known"))):
+                wrong = None
+                if kind == "tool_call" and error is None and (some or schemas):
+                    own = json.loads(schema) if schema is not None else schemas.get(name)
+                    try:
+                        wrong = "unknown tool" if own is None else schema_error(json.loads(dumped).get("arguments", {}), own, frozenset(known or ()))
+                    except (TypeError, ValueError, AttributeError, RecursionError, re.error):
+                        wrong = "bad schema"
+                bad.append(wrong)
+            yield batch.append_column("bad", pa.array(bad, pa.string()))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("bad", T.StringType())]))
 
 
 def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """Every part with what it is linked to, what is wrong with it, and its place in the topological order."""
-    parts = parsed(turns, SCHEMAS if schemas is None else schemas)
+    """Every part with what it is linked to, what is wrong with it, and its place in the topological order. ``schemas`` are
+    those of tools that conversations need not declare."""
     own = F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), F.col("part").alias("part"), F.lit(0).alias("level")).cast(_KEY)
-    parts = checkpointed(parts.withColumn("own", own))
-    named = parts.where("conv_id is not null and call_id is not null")
-    firsts = named.groupBy("conv_id", "call_id", "kind").agg(F.min(F.struct("own", "refs")).alias("x"))
-    calls = firsts.where("kind = 'tool_call'").select("conv_id", "call_id", F.col("x.own").alias("own"), F.col("x.refs").alias("refs"))
-    results = firsts.where("kind = 'tool_result'").select("conv_id", "call_id", F.col("x.own").alias("result_own"))
-    keys = _call_keys(calls)
-    bad = calls.select("conv_id", "call_id", F.explode("refs").alias("ref")).join(calls.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"], "left_anti")
-    bad = bad.groupBy("conv_id", "call_id").agg(F.min("ref").alias("bad_ref"))
-    link = calls.select("conv_id", "call_id", F.col("own").alias("call_own")).join(keys, ["conv_id", "call_id"]).join(bad, ["conv_id", "call_id"], "left")
-    link = link.join(results, ["conv_id", "call_id"], "full")
+    parts = checkpointed(parsed(turns).withColumn("own", own))
+    at = ["conv_id", "call_id"]
+    named = parts.where("conv_id is not null and call_id is not null and kind != 'tools'")
+    firsts = named.groupBy(*at, "kind").agg(F.min(F.struct("own", "refs", "may_refs")).alias("x"))
+    calls = firsts.where("kind = 'tool_call'").select(*at, F.col("x.own").alias("own"), F.col("x.refs").alias("refs"), F.col("x.may_refs").alias("may_refs"))
+    results = firsts.where("kind = 'tool_result'").select(*at, F.col("x.own").alias("result_own"))
+    ids = calls.select("conv_id", F.col("call_id").alias("ref"))
+    hard = calls.select(*at, F.explode("refs").alias("ref"))
+    bad = hard.join(ids, ["conv_id", "ref"], "left_anti").groupBy(*at).agg(F.min("ref").alias("bad_ref"))
+    soft = calls.select(*at, F.explode("may_refs").alias("ref")).join(ids, ["conv_id", "ref"], "left_semi")
+    known = soft.groupBy(*at).agg(F.collect_set("ref").alias("known"))  # as long as its call's arguments at most
+    all_refs = hard.join(ids, ["conv_id", "ref"], "left_semi").select(*at, "ref").unionByName(soft.select(*at, "ref")).groupBy(*at).agg(F.collect_set("ref").alias("refs"))
+    keys = _call_keys(calls.select(*at, "own").join(all_refs, at, "left"))
+    link = calls.select(*at, F.col("own").alias("call_own")).join(keys, at).join(bad, at, "left").join(known, at, "left")
+    link = link.join(results, at, "full")
     # Parts without an id have nothing to be joined with; among the keys, they would all be one hot null.
-    alone = parts.where("conv_id is null or call_id is null")
-    rows = named.join(link, ["conv_id", "call_id"], "left").unionByName(alone, allowMissingColumns=True)
+    alone = parts.where("conv_id is null or call_id is null or kind = 'tools'")
+    rows = named.join(link, at, "left").unionByName(alone, allowMissingColumns=True).drop("tools", "refs", "may_refs")
+    declared = parts.where("conv_id is not null").select("conv_id", "own", F.posexplode("tools").alias("k", "t"))
+    tools = declared.groupBy("conv_id", F.col("t.tool").alias("name")).agg(F.min_by("t.schema", F.struct("own", "k")).alias("schema"))
+    some = tools.select("conv_id", F.lit(True).alias("some")).distinct()
+    is_call = F.col("kind") == "tool_call"
+    rest = rows.where(~is_call | F.col("conv_id").isNull()).withColumns({"schema": F.lit(None).cast("string"), "some": F.lit(None).cast("boolean")})
+    called = rows.where(is_call & F.col("conv_id").isNotNull()).join(tools, ["conv_id", "name"], "left").join(some, "conv_id", "left")
+    rows = _checked(rest.unionByName(called), schemas or {})
     call, result = F.col("kind") == "tool_call", F.col("kind") == "tool_result"
     first = F.coalesce(F.when(call, F.col("own") == F.col("call_own")).when(result, F.col("own") == F.col("result_own")), F.lit(False))
     both = first & F.col("call_own").isNotNull() & F.col("result_own").isNotNull()
@@ -197,6 +275,7 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
         .when((call | result) & F.col("conv_id").isNotNull() & ~first, F.lit("repeated id"))
         .when(call & F.col("cyclic"), F.lit("cyclic reference"))
         .when(call & F.col("bad_ref").isNotNull(), F.concat(F.lit("unknown reference "), F.col("bad_ref")))
+        .when(call & F.col("bad").isNotNull(), F.col("bad"))
         .when(call & ~both, F.lit("no result"))
         .when(result & ~both, F.lit("no call"))
     )
@@ -210,4 +289,5 @@ def linked(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFram
 
 
 def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No schemas are passed in: those that the conversations declare hold."""
     return linked(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

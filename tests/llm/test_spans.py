@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from arbolex.llm import chat, decontamination, pii
+from arbolex.llm import decontamination, pii
 
 from .fixtures import corpus, frame, prose
 
@@ -125,44 +125,3 @@ def test_decontamination_blocks_agree(spark, monkeypatch):
     monkeypatch.setattr(decontamination.blocks, "__defaults__", (200,))
     many = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.with_hits(docs, bench).collect()}
     assert many == one
-
-
-SCHEMAS = {"add": {"type": "object", "properties": {"a": {"type": "number"}, "b": {"type": "number", "maximum": 10}}, "required": ["a", "b"], "additionalProperties": False}}
-
-
-def test_tool_calls(spark):
-    call = lambda i, args, name="add": f'<tool_call>{{"name":"{name}", "id":"{i}","arguments":{args}}}</tool_call>'
-    res = lambda i: f'<tool_result>{{"id":"{i}","content": 3.0}}</tool_result>'
-    rows = [
-        (1, 0, "user", "hi  there"),
-        (1, 1, "assistant", "so " + call("c2", '{"a": "$c1", "b": 2}') + call("c1", '{"b": 1.0, "a": 2}')),
-        (1, 2, "tool", res("c2") + res("c1")),
-        (1, 3, "assistant", call("c3", '{"a": 1}') + call("c1", "{}") + "<tool_call>nope</tool_call>" + call("c4", '{"a":1,"b":11}') + call("c5", "{}", "who")),
-        (1, 4, "tool", res("zz")),
-        (2, 0, "assistant", call("x", '{"a": {"$ref": "y"}, "b": 1}') + call("y", '{"a": "$x", "b": 1}')),
-        (2, 1, "tool", res("x") + res("y")),
-        (3, 1, "tool", res("k")),
-        (3, 2, "assistant", call("k", '{"a":1,"b":"$gone"}')),
-        (None, 0, "assistant", call("c1", '{"a":1,"b":1}')),
-        (4, None, None, None),
-    ]
-    turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, own string")
-    out = chat.linked(turns, SCHEMAS).collect()
-    key = lambda r: (r["conv_id"] or 0, r["order_turn"], r["order_part"], r["order_level"], r["turn"] or -1, r["part"])
-    of = lambda c: [(r["kind"][5:] if r["kind"] != "message" else "m", r["call_id"], r["error"]) for r in sorted(out, key=key) if r["conv_id"] == c]
-    assert of(1) == [
-        ("m", None, None), ("m", None, None), ("call", "c1", None), ("call", "c2", None), ("result", "c2", None), ("result", "c1", None),
-        ("call", "c3", "$.b: missing"), ("call", "c1", "$.a: missing"), ("call", None, "not JSON"), ("call", "c4", "$.b: above maximum"), ("call", "c5", "unknown tool"), ("result", "zz", "no call"),
-    ]
-    assert {e for _, _, e in of(2) if e} == {"cyclic reference"}
-    assert [k for k, _, _ in of(3)] == ["call", "result"] and of(3)[0][2] == "unknown reference gone"
-    assert len(of(4)) == 1 and of(None)[0][2] == "no result"
-    assert next(r["json"] for r in out if r["call_id"] == "c1" and r["turn"] == 1) == '{"arguments":{"a":2,"b":1},"id":"c1","name":"add"}'
-    assert chat.linked(turns.where("turn < -5"), SCHEMAS).count() == 0
-
-
-def test_tool_call_chain(spark):
-    rows = [(1, 50 - k, "assistant", f'<tool_call>{{"id":"n{k}","name":"add","arguments":{{"a":"$n{k - 1}","b":1}}}}</tool_call>' if k else '<tool_call>{"id":"n0","name":"add","arguments":{"a":1,"b":1}}</tool_call>') for k in range(6)]
-    out = chat.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
-    order = [r["call_id"] for r in sorted(out, key=lambda r: (r["order_turn"], r["order_part"], r["order_level"]))]
-    assert order == [f"n{k}" for k in range(6)]
