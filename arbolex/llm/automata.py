@@ -1,10 +1,11 @@
 """Substring dedup by words with suffix automata.
 
 The corpus is its own reference. Its shards are made by content (see ``fragments``): one shard holds all passages that
-share an anchor, so every shard is small and no automaton has to visit every task; broadcasting the automata of all
-shards would send the whole corpus everywhere. In a shard, passages are taken in corpus order. Each is streamed through
-the automaton of those before it for its matching statistics; where these reach the window length, the window is a
-repeat and what it covers is removed. Then the passage is added to the automaton.
+share an anchor, and some thousand anchors. Passages of documents are routed to the shard that can hold their windows;
+broadcasting the automata of all shards would send the whole corpus everywhere. In a shard, passages are taken in corpus
+order. Each is streamed through the shard's automaton for its matching statistics; where these reach the window length,
+the window is a repeat and what it covers is removed. Then the passage is added to the automaton. The later places of an
+equal passage are streamed through the automaton that holds it.
 
 Defined cases: a null or blank text has no words; a text shorter than the window keeps all; equal windows of one text
 are repeats of the first; an empty table gives no rows; other columns, whatever their names, are ignored.
@@ -22,6 +23,7 @@ from .common import Chunk, documents, word_hashes, words
 from .fragments import REPEAT, Kind, deduplicated
 
 WINDOW, GRAM = 20, 5
+SHARD_BYTES = 512 << 10  # passages in one automaton; it takes some 60 bytes for each of them
 
 
 class Automaton:
@@ -104,31 +106,39 @@ def _finish(text: bytes, gone: np.ndarray) -> tuple:
     return n, n - len(split), hashlib.sha256(b" ".join(split)).hexdigest()
 
 
-def _decide(group: list, window: int = WINDOW) -> np.ndarray:
-    """Runs of windows that an earlier passage of the same anchor holds."""
-    anchors, passages = group[0].tolist(), group[4]
-    out: list[tuple[int, int, int]] = []
-    automaton, anchor = Automaton(), None
-    for k, raw in enumerate(passages):
-        passage = raw.split(b" ")
-        if anchors[k] != anchor:
-            automaton, anchor = Automaton(), anchors[k]
-        elif passage:
+def _runs(stats: list[int], window: int) -> list[tuple[int, int]]:
+    """(first, windows) of the runs of windows that matching statistics reach."""
+    out, first = [], None
+    for i, n in enumerate(stats):
+        if n >= window:
+            if first is None:
+                first = i - window + 1
+        elif first is not None:
+            out.append((first, i - window + 1 - first))
             first = None
-            stats = automaton.matching(passage)
-            for i in range(window - 1, len(stats) + 1):
-                hit = i < len(stats) and stats[i] >= window
-                if hit and first is None:
-                    first = i - window + 1
-                elif not hit and first is not None:
-                    out.append((k, first, i - window + 1 - first))
-                    first = None
-        if k + 1 < len(passages) and anchors[k + 1] == anchor:
+    if first is not None:
+        out.append((first, len(stats) - window + 1 - first))
+    return out
+
+
+def _decide(contents: list[bytes], whole: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Passages of one reference shard, in corpus order: which of their windows the automaton holds before they are
+    added, and, of those wanted whole, which it holds after that."""
+    automaton = Automaton()
+    first: list[tuple[int, int, int]] = []
+    later: list[tuple[int, int, int]] = []
+    for k, (raw, wanted) in enumerate(zip(contents, whole.tolist())):
+        passage = raw.split(b" ")
+        told = _runs(automaton.matching(passage), window)
+        first += [(k, *run) for run in told]
+        if told != [(0, len(passage) - window + 1)]:  # else all of its windows are there
             automaton.add(passage)
-    return np.array(out, REPEAT) if out else np.zeros(0, REPEAT)
+        if wanted:
+            later += [(k, *run) for run in _runs(automaton.matching(passage), window)]
+    return np.array(first, REPEAT), np.array(later, REPEAT)
 
 
-KIND = Kind(WINDOW, GRAM, _values, _cutter, _finish, _decide, "n_words long, n_removed long, kept_sha256 string")
+KIND = Kind(WINDOW, GRAM, _values, _cutter, _finish, _decide, "n_words long, n_removed long, kept_sha256 string", 7, SHARD_BYTES)
 
 
 def passage_dedup(docs: DataFrame) -> DataFrame:

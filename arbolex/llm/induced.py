@@ -32,6 +32,7 @@ from .common import BYTE_VALUES, Chunk, documents
 from .fragments import REPEAT, Kind, deduplicated, repeats_of
 
 WINDOW, GRAM = 100, 40
+SHARD_BYTES = 2 << 20
 SYMBOLS = 257  # 0 separates, byte b is b + 1
 CAP = 200  # common prefixes are counted up to here
 MEMORY = 64 << 20
@@ -314,9 +315,9 @@ def induced_sort(text: np.ndarray, depth: int = WINDOW, memory: int = MEMORY) ->
     return np.concatenate(order[::-1]), np.concatenate(lcp[::-1])
 
 
-def _decide(group: list, window: int = WINDOW) -> np.ndarray:
-    """Runs of windows that an earlier fragment of the shard holds."""
-    contents = group[4]
+def _decide(contents: list[bytes], whole: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments of one shard, in corpus order: which of their windows stand beside an equal one of an earlier fragment
+    among the sorted suffixes, and, of those wanted whole, which stand beside one of an earlier fragment or themselves."""
     size = np.fromiter(map(len, contents), np.int64, len(contents))
     data = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
     text = data.astype(np.uint16) + 1
@@ -332,10 +333,12 @@ def _decide(group: list, window: int = WINDOW) -> np.ndarray:
     chosen = is_window[order]
     at, label = order[chosen].astype(np.int64), label[chosen]
     np.minimum.at(least, label, at)
-    again = np.zeros(len(text), bool)
-    again[at[least[label] < at]] = True
+    earlier, held = np.zeros(len(text), bool), np.zeros(len(text), bool)
+    earlier[at[least[label] < at]] = True
+    held[at[least[label] <= at]] = True
     w = np.flatnonzero(is_window)
-    return repeats_of(again[w], fragment[w], place[w]) if again.any() else np.zeros(0, REPEAT)
+    v = w[whole[fragment[w]]]
+    return repeats_of(earlier[w], fragment[w], place[w]), repeats_of(held[v], fragment[v], place[v])
 
 
 def _values(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -361,7 +364,7 @@ def _finish(text: bytes, gone: np.ndarray) -> tuple:
     return len(text), removed, spans, digest.hexdigest()
 
 
-KIND = Kind(WINDOW, GRAM, _values, _cutter, _finish, _decide, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+KIND = Kind(WINDOW, GRAM, _values, _cutter, _finish, _decide, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", 1, SHARD_BYTES)
 
 
 def byte_dedup(docs: DataFrame) -> DataFrame:

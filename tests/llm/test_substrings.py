@@ -116,10 +116,28 @@ def test_hot_anchors_are_the_commonest(spark):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(1, 4)), max_size=20))
 def test_joined_runs_hold_the_same_windows(runs):
-    d, s, n = (np.array(x, np.int64) for x in (zip(*runs) if runs else ((), (), ())))
-    windows = lambda d, s, n: {(x, y + i) for x, y, z in zip(d.tolist(), s.tolist(), n.tolist()) for i in range(z)}
-    joined = fragments._runs_joined(d, s, n)
-    assert windows(*joined) == windows(d, s, n) and len(joined[0]) <= len(d)
+    places = fragments._places(*(np.array(x, np.int64) for x in (zip(*runs) if runs else ((), (), ()))))
+    windows = lambda p: {(x, y + i) for x, y, z in p.tolist() for i in range(z)}
+    joined = fragments._joined(places)
+    assert windows(joined) == windows(places) and len(joined) <= len(places)
+
+
+@pytest.mark.parametrize("dedup", [automata.passage_dedup, induced.byte_dedup])
+def test_documents_without_an_id_or_with_one_id(spark, dedup):
+    """A row is known by its doc_id and text: no row loses what only its namesake repeats."""
+    rng = random.Random(31)
+    p, x, y = (prose(rng, 50) for _ in range(3))
+    texts = [(None, f"{p} {x}"), (None, f"{y} {p}"), (None, f"{y} {p}"), (7, x + " a"), (7, f"b {y}"), (7, prose(rng, 40)), (None, None), (None, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in dedup(docs).collect():
+        got.setdefault((r["doc_id"], r["kept_sha256"]), []).append(r)
+    assert sum(map(len, got.values())) == len(texts)
+    # Whichever of the two rows without an id is first keeps all; the other loses p only, row 7 what both hold.
+    counts = sorted((r[1], r[2], r["doc_id"]) for rs in got.values() for r in rs if r["doc_id"] is None and r[1])
+    whole, less = (100, 50) if dedup is automata.passage_dedup else (len(f"{p} {x}".encode()), len(p.encode()))
+    assert sum(c[1] == 0 for c in counts) in (1, 2) and all(c[1] in (0, *range(less, less + 2)) for c in counts)
+    assert len(counts) == 3
 
 
 def _check_sort(text, memory=1 << 20):
