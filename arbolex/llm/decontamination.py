@@ -12,12 +12,17 @@ each block, so its size is bounded whatever the benchmark. Items that are the sa
 looked into only when one of its rarest windows matches, as many of them as COVERAGE makes necessary; windows that many
 items share therefore cost nothing, and nothing is lost. Documents are decided where they are, without a shuffle.
 
-Windows of which more than half are placeholders say little, so templates leave them out. So that number-dense items, and
-names that the document's case shows otherwise than the item's, are found too, every item is also matched by the plain
+Windows of which more than half are placeholders say little, so templates leave them out. So that
+names that the document's case shows otherwise than the item's are found too, every item is also matched by the plain
 values of its tokens, where the templates have not found it: half of its windows of values make a hit.
 
-Defined cases: null or empty texts are clean; items shorter than WINDOW tokens match as a whole, those shorter than
-MIN_TOKENS cannot be told from chance and match nothing, nor do null items; windows with fewer than half literal words
+Sums and equations are mostly numbers. An item that has no template of words, or fewer than MIN_TOKENS tokens, is read
+once more with the marks + - * / = < > ^ % ( ) as literal tokens: "What is 17 + 25?" becomes ``what is NUMBER + NUMBER``, and matches the
+same question with other numbers. An item that is too short even so, or has neither words nor marks enough for a template,
+matches by its values, and below MIN_TOKENS tokens with marks only a line of its own, as in running text it would be chance.
+
+Defined cases: null or empty texts are clean; items shorter than WINDOW tokens match as a whole; null items, and those
+without a letter, digit or mark, match nothing; windows with fewer than half literal tokens
 count by their values only; repeated rows are judged alike; empty tables give no rows or no matches; other columns, whatever their names, are kept or ignored.
 """
 
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, U64, Chunk, chunks, documents, mixed, ngram_hashes, per_doc, prefix_sums, run_hashes, runs
+from .common import BYTE_VALUES, U64, Chunk, Words, chunks, documents, mixed, ngram_hashes, per_doc, prefix_sums, run_hashes, runs
 
 WINDOW, MIN_TOKENS, COVERAGE, MAX_CONFLICTS = 8, 5, 0.5, 0.2
 BLOCK_BYTES = 8 << 20
@@ -46,12 +51,14 @@ _UPPER = (_B >= 65) & (_B <= 90)
 _LOWER = (_B >= 97) & (_B <= 122)
 _INSIDE = _DIGIT | _UPPER | _LOWER | (_B >= 0x80)
 _BREAK = ~_INSIDE & ~np.isin(_B, list(b" \t,'-"))
+_MARK = np.isin(_B, list(b"+-*/=<>^%()"))
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
 @dataclass
 class Tokens:
+    start: np.ndarray  # in the chunk's bytes
     first: np.ndarray  # tokens of document k: first[k] to first[k + 1] - 1
     kind: np.ndarray
     value: np.ndarray  # hash of the lower-cased token
@@ -75,15 +82,19 @@ def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def canonical(chunk: Chunk, names: bool = True) -> Tokens:
+def canonical(chunk: Chunk, names: bool = True, marks: bool = False) -> Tokens:
     """Tokens of a chunk. A text mostly in capitals, or with a mark after most words, shows no names by its case; there,
-    and without ``names``, they stay literal words."""
+    and without ``names``, they stay literal words. With ``marks`` those of arithmetic are tokens too."""
     data = chunk.data
     inside = _INSIDE[data]
     if len(data) > 2:
         digit = _DIGIT[data]
         inside[1:-1] |= np.isin(data[1:-1], (44, 46)) & digit[:-2] & digit[2:]
     w = runs(inside, chunk.offsets)
+    if marks:
+        at = np.flatnonzero(_MARK[data])
+        start = np.sort(np.concatenate([w.start, at]))
+        w = Words(start, np.sort(np.concatenate([w.end, at + 1])), np.searchsorted(start, chunk.offsets))
     folded = _LOW[data]
     latin = np.zeros(len(data), bool)  # capitals of the Latin-1 letters follow 0xC3
     latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
@@ -104,6 +115,8 @@ def canonical(chunk: Chunk, names: bool = True) -> Tokens:
         title = capital & (count(small, w.start, w.end) > 0) & (kind == LITERAL)
         opens = np.ones(len(kind), bool)
         opens[1:] = count(_BREAK[data], w.end[:-1], w.start[1:]) > 0
+        if marks:
+            opens[1:] |= _MARK[data[w.start[:-1]]]
         opens[w.first[:-1][w.first[:-1] < len(kind)]] = True
         shout = capital & ~(count(small, w.start, w.end) > 0)
         blurred = (2 * per_doc(opens, w.first) > w.count) | (2 * per_doc(shout, w.first) > w.count)
@@ -115,7 +128,7 @@ def canonical(chunk: Chunk, names: bool = True) -> Tokens:
         unit[1:] = (kind[:-1] == NUMBER) & (kind[1:] == LITERAL) & _in(value[1:], UNIT_HASHES)
         unit[w.first[:-1][w.first[:-1] < len(kind)]] = False
         kind[unit] = UNIT
-    return Tokens(w.first, kind, value, np.where(kind > 0, _MARKS[kind], value))
+    return Tokens(w.start, w.first, kind, value, np.where(kind > 0, _MARKS[kind], value))
 
 
 def windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +145,7 @@ def windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Block:
-    """Items of one broadcast block. by_n: window length -> sorted trigger hashes and, for each, its item's number."""
+    """Items in one form. by_n: window length -> sorted trigger hashes and, for each, its item's number."""
 
     ids: list[int]
     n: list[int]
@@ -142,41 +155,89 @@ class Block:
     kind: list[np.ndarray]
     value: list[np.ndarray]
     by_n: dict[int, tuple[np.ndarray, np.ndarray]]
-    exact: Block | None = None  # the same items by the values of their tokens, without slots
 
 
-def block(items: list[tuple[int, str]], window: int = WINDOW, coverage: float = COVERAGE) -> Block:
+def _new() -> Block:
+    return Block([], [], [], [], [], [], [], {})
+
+
+@dataclass
+class Index:
+    """One broadcast block of the benchmark, in all the forms that its items are matched in."""
+
+    templates: Block
+    values: Block
+    marked: Block  # templates with marks
+    marked_values: Block
+    lines: tuple[np.ndarray, np.ndarray]  # sorted hashes of whole lines with marks, and the items'
+
+    @property
+    def with_marks(self) -> bool:
+        return bool(self.marked.ids or self.marked_values.ids or len(self.lines[0]))
+
+
+def block(items: list[tuple[int, str]], window: int = WINDOW, coverage: float = COVERAGE) -> Index:
     """Prepares items for the join. Equal templates are merged under their smallest id."""
-    out, exact = (Block([], [], [], [], [], [], [], {}) for _ in range(2))
-    seen: dict[bytes, int] = {}
-    seen_values: set[bytes] = set()
-    for item, text in sorted((i, t) for i, t in items if i is not None and t):
-        raw = text.encode()
-        t = canonical(Chunk(range(1), np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
-        n = min(window, len(t.kind))
+    out = Index(_new(), _new(), _new(), _new(), (np.zeros(0, U64), np.zeros(0, np.int64)))
+    seen: dict[bool, dict[bytes, int]] = {False: {}, True: {}}
+    seen_values: dict[bool, set[bytes]] = {False: set(), True: set()}
+    lines: dict[int, int] = {}
+
+    def template(item: int, chunk: Chunk, t: Tokens, n: int, marks: bool) -> int | None:
+        """Adds the item's template, and gives the item that it goes under; None if it has none."""
         # Templates with unlike patterns of equal slots are unlike questions.
         _, first, pattern = np.unique(np.where(t.kind > 0, t.value, U64(0)), return_index=True, return_inverse=True)
         key = t.canonical.tobytes() + first[pattern].tobytes()
-        if n >= MIN_TOKENS and (values := t.value.tobytes()) not in seen_values:
-            seen_values.add(values)
-            _append(exact, seen.get(key, item), n, *windows(_plain(t), n), None, _plain(t))
-        if n < MIN_TOKENS or key in seen:
-            continue
+        if key in seen[marks]:
+            return seen[marks][key]
         # Once with names as slots and once, for texts whose case shows none, with names as they are.
-        both = [windows(x, n) for x in (t, canonical(Chunk(range(1), np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), False))]
-        if len(both[0][1]) or len(both[1][1]):
-            seen[key] = item
-            at, h = (np.concatenate(x) for x in zip(*both))
-            _append(out, item, n, at, h, both[0][0], t)
-    for b in (out, exact):
+        both = [windows(x, n) for x in (t, canonical(chunk, False, marks))]
+        if not (len(both[0][1]) or len(both[1][1])):
+            return None
+        seen[marks][key] = item
+        at, h = (np.concatenate(x) for x in zip(*both))
+        _append(out.marked if marks else out.templates, item, n, at, h, both[0][0], t)
+        return item
+
+    def by_value(item: int, t: Tokens, n: int, marks: bool) -> None:
+        if (values := t.value.tobytes()) not in seen_values[marks]:
+            seen_values[marks].add(values)
+            _append(out.marked_values if marks else out.values, item, n, *windows(_plain(t), n), None, _plain(t))
+
+    for item, text in sorted((i, t) for i, t in items if i is not None and t):
+        raw = text.encode()
+        chunk = Chunk(range(1), np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        t = canonical(chunk)
+        n = min(window, len(t.kind))
+        if n >= MIN_TOKENS:
+            under = template(item, chunk, t, n, False)
+            by_value(item if under is None else under, t, n, False)
+            if under is not None:
+                continue
+        d = canonical(chunk, marks=True)
+        m = min(window, len(d.kind))
+        if m >= MIN_TOKENS:
+            under = template(item, chunk, d, m, True)
+            if n < MIN_TOKENS:
+                by_value(item if under is None else under, d, m, True)
+        elif m:
+            lines.setdefault(int(_line_hashes(d, np.array([0]), np.array([m]))[0]), item)
+    for b in (out.templates, out.values, out.marked, out.marked_values):
         _set_triggers(b, coverage)
-    out.exact = exact
+    if lines:
+        keys = np.array(sorted(lines), U64)
+        out.lines = keys, np.array([lines[int(k)] for k in keys], np.int64)
     return out
 
 
+def _line_hashes(t: Tokens, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of the values of runs of tokens."""
+    return run_hashes(prefix_sums(t.value), first, last)
+
+
 def _plain(t: Tokens) -> Tokens:
     """The tokens by their values, none a placeholder."""
-    return Tokens(t.first, np.zeros_like(t.kind), t.value, t.value)
+    return Tokens(t.start, t.first, np.zeros_like(t.kind), t.value, t.value)
 
 
 def _append(b: Block, item: int, n: int, at: np.ndarray, h: np.ndarray, slots: np.ndarray | None, t: Tokens) -> None:
@@ -199,7 +260,7 @@ def _set_triggers(out: Block, coverage: float) -> None:
         out.by_n[n] = (np.array([p[0] for p in pairs], U64), np.array([p[1] for p in pairs], np.int64))
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Index]:
     """The benchmark in blocks of bounded size, read as a stream."""
     held, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():
@@ -241,16 +302,37 @@ def _item_match(b: Block, k: int, order: np.ndarray, hashes: np.ndarray, at: np.
     return min(1.0, float(covered.sum()) / (len(b.slots[k]) or len(want))), changed
 
 
-def matches(chunk: Chunk, b: Block, coverage: float = COVERAGE) -> dict[int, list[tuple[int, float, int]]]:
+def matches(chunk: Chunk, b: Index, coverage: float = COVERAGE) -> dict[int, list[tuple[int, float, int]]]:
     """Contaminated documents of a chunk: number -> (item_id, coverage, changed slots)."""
     t = canonical(chunk)
     out: dict[int, list[tuple[int, float, int]]] = defaultdict(list)
-    _find(t, b, coverage, out)
-    if b.exact:
-        _find(_plain(t), b.exact, coverage, out)
+    _find(t, b.templates, coverage, out)
+    _find(_plain(t), b.values, coverage, out)
+    if b.with_marks:
+        t = canonical(chunk, marks=True)
+        _find(_plain(t), b.marked_values, coverage, out)
+        _find(t, b.marked, coverage, out)
+        _find_lines(t, chunk, b.lines, out)
     return out
 
 
+def _find_lines(t: Tokens, chunk: Chunk, lines: tuple[np.ndarray, np.ndarray], out: dict[int, list[tuple[int, float, int]]]) -> None:
+    """Adds the items that are a line of a document."""
+    keys, items = lines
+    if not (len(keys) and len(t.value)):
+        return
+    doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
+    line = np.searchsorted(np.flatnonzero(chunk.data == 10), t.start)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
+    first = np.flatnonzero(new)
+    h = _line_hashes(t, first, np.append(first[1:], len(doc)))
+    for k in np.flatnonzero(_in(h, keys)).tolist():
+        item, d = int(items[np.searchsorted(keys, h[k])]), int(doc[first[k]])
+        if all(item != i for i, _, _ in out.get(d, ())):
+            out[d].append((item, 1.0, 0))
+
+
 def _find(t: Tokens, b: Block, coverage: float, out: dict[int, list[tuple[int, float, int]]]) -> None:
     """Adds the items of ``b`` to ``out``, where they are not in it."""
     for n, (keys, item) in b.by_n.items():

@@ -115,6 +115,92 @@ def test_decontamination_of_items_rich_in_slots(spark):
     assert [got[k] for k in range(9)] == [[1], [2], [3], [4], [5], [], [], [], [3]]
 
 
+def test_decontamination_of_sums_and_short_items(spark):
+    rng = random.Random(19)
+    items = [(1, "What is 17 + 25?"), (2, "Solve 3 x + 5 = 20."), (3, "Compute 12 * 7 + 3 - 4 / 2 for x = 5."), (4, "3 + 4 = 7"), (5, "Who wrote it?"), (6, "???"), (7, "Nam\u00e9")]
+    around = lambda t: f"{prose(rng, 40)}. {t} {prose(rng, 40)}"
+    ts = [around(t) for _, t in items[:4]] + [around(t) for t in ("What is 31 + 4?", "Solve 8 x + 1 = 99.", "Compute 2 * 70 + 13 - 44 / 9 for x = 6.", "What is 31 - 4?", "Solve 8 y + 1 = 99.", "3 + 5 = 8", "who wrote it? ")]
+    ts += [f"{prose(rng, 9)}\n  who WROTE it \n{prose(rng, 9)}", "who wrote it\nnow", "??? ?", "nam\u00e9", "it is nam\u00e9", "What is " + "9" * 4000 + " + 25?"]
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.with_hits(frame(spark, ts), benchmark(spark, items)).collect()}
+    assert [got[k] for k in range(len(ts))] == [[1], [2], [3], [4], [1], [2], [3], [], [], [], [], [5], [5], [], [7], [], [1]]
+
+
+def reparameterised(rng):
+    """A question and the same one with other numbers and names."""
+    people, places = ["Anna", "Omar", "Lucy", "Pavel", "Wei", "Ines"], ["Lyon", "Porto", "Graz", "Turku", "Leeds"]
+    verbs, things = ["buys", "sells", "packs", "counts", "paints"], ["apples", "boxes", "stamps", "chairs", "lamps", "coins"]
+    kind, v, t = rng.randrange(4), rng.sample(verbs, 2), rng.sample(things, 2)
+    ops = [rng.choice("+-*/") for _ in range(rng.randint(2, 5))]
+
+    def said():
+        (a, b), p, (m, n, k) = rng.sample(people, 2), rng.choice(places), rng.sample(range(2, 400), 3)
+        if kind == 0:
+            return f"In the town of {p} the shop of {a} {v[0]} {m} {t[0]} in the morning and {n} {t[1]} at night so how many does {a} have after {k} days"
+        if kind == 1:
+            return f"Yesterday {a} {v[0]} {m} {t[0]} while {b} {v[1]} {n} {t[1]}, and later {a} gives {k} of them to {b}; how many are left with {b}?"
+        if kind == 2:
+            return "Evaluate " + " ".join(f"{rng.randint(2, 99)} {o}" for o in ops) + f" {rng.randint(2, 99)} = ?"
+        return f"Find the value of x if {m} x {ops[0]} {n} = {k} * ( x {ops[1]} 2 )"
+
+    return said(), said()
+
+
+def test_recall_of_reparameterised_questions(spark):
+    """Nine in ten are found at least, in running text, and no clean text is."""
+    rng = random.Random(41)
+    pairs = [reparameterised(rng) for _ in range(120)]
+    ts = [f"{prose(rng, 60)}. {other} {prose(rng, 60)}" for _, other in pairs] + [prose(rng, 200) for _ in range(60)]
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.with_hits(frame(spark, ts), benchmark(spark, [(k, p[0]) for k, p in enumerate(pairs)])).collect()}
+    found = sum(bool(got[k]) for k in range(120))
+    assert found >= 0.9 * 120, found
+    assert not any(got[k] for k in range(120, 180))
+
+
+NUMBERED = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+(?:(?<=[0-9])[.,](?=[0-9])[A-Za-z0-9\u0080-\U0010ffff]+)*")
+
+
+def plain_template(text):
+    """(placeholder or word, value) of each token of a lower-case text, where there are no names."""
+    out = []
+    for m in NUMBERED.finditer(text):
+        v = m[0]
+        kind = "#" if re.search("[0-9]", v) else "unit" if out and out[-1][0] == "#" and v in decontamination.UNITS.split() else v
+        out.append((kind, v))
+    return out
+
+
+def plain_hits(doc, item):
+    """By definition: windows of the item of which half are words, found along diagonals whose slots map one to one."""
+    a, b = plain_template(item), plain_template(doc)
+    n = min(8, len(a))
+    for plain in (False, True):
+        x, y = ([(v, v) if plain else (k, v) for k, v in t] for t in (a, b))
+        starts = [i for i in range(len(x) - n + 1) if 2 * sum(k == v for k, v in x[i : i + n]) >= n]
+        covered = set()
+        for d in range(-len(x), len(y)):
+            mine = [i for i in starts if 0 <= i + d <= len(y) - n and [k for k, _ in x[i : i + n]] == [k for k, _ in y[i + d : i + d + n]]]
+            slots = [j for j in sorted({i + o for i in mine for o in range(n)}) if x[j][0] != x[j][1]]
+            forth, back = {}, {}
+            bad = sum(forth.setdefault(x[j][1], y[j + d][1]) != y[j + d][1] or back.setdefault(y[j + d][1], x[j][1]) != x[j][1] for j in slots)
+            if bad <= 0.2 * len(slots):
+                covered.update(mine)
+        if starts and len(covered) >= 0.5 * len(starts):
+            return True
+    return False
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(23)
+    pool = [*"the red cat sees two old km kg 3 14 7,5 dogs in a big town by noon 40 99".split()]
+    say = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    items = [(k, say(rng.randint(6, 24))) for k in range(25)]
+    swap = lambda t: " ".join(str(rng.randint(1, 60)) if w[0].isdigit() and rng.random() < 0.5 else w for w in t.split())
+    ts = [say(rng.randint(0, 30)) + " " + swap(items[rng.randrange(25)][1]) + " " + say(rng.randint(0, 30)) for _ in range(40)]
+    ts += [" ".join(items[k][1].split()[: len(items[k][1].split()) // 2 + 2]) for k in range(25)] + [say(60) for _ in range(10)]
+    got = {r["doc_id"]: bool(r["hits"]) for r in decontamination.with_hits(frame(spark, ts), benchmark(spark, items)).collect()}
+    assert got == {k: any(plain_hits(t, i) for _, i in items) for k, t in enumerate(ts)}
+
+
 def test_decontamination_blocks_agree(spark, monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng, rng.randint(6, 40))) for k in range(40)]
