@@ -594,16 +594,3 @@ def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMP
 
     sifted = rows.withColumn("bit", _bit("__key", touched.value.size)).mapInArrow(sift, f"doc_id long, __key long, text string, {kind.columns}")
     return sifted.join(gone, "__key", "left").select("doc_id", "text", "runs", *names).mapInArrow(finish, f"doc_id long, {kind.columns}")
-
-
-def repeats_of(flags: np.ndarray, fragment: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Runs of flagged windows; fragment and place say where each window is, in order."""
-    k = np.flatnonzero(flags)
-    if not len(k):
-        return np.zeros(0, REPEAT)
-    new = np.ones(len(k), bool)
-    new[1:] = (k[1:] != k[:-1] + 1) | (fragment[k[1:]] != fragment[k[:-1]])
-    lo = np.flatnonzero(new)
-    out = np.zeros(len(lo), REPEAT)
-    out["fragment"], out["first"], out["windows"] = fragment[k[lo]], place[k[lo]], np.diff(np.append(lo, len(k)))
-    return out

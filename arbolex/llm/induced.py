@@ -1,20 +1,24 @@
 """Substring dedup by bytes with external induced sorting.
 
 The corpus is cut into shards by content (see ``fragments``); the unlike fragments of one anchor are all in one shard.
-A shard's fragments, end to end with separators, are sorted by induction:
+A shard's fragments, end to end with separators, are written to a scratch file and sorted by induction:
 
 * suffixes are of type S or L (smaller or larger than the next one); leftmost S ones (LMS) are the seeds;
-* the seeds are sorted recursively: their LMS substrings are named, and names are sorted by pairs, pairs of pairs and
-  so on until they span more than a window, so that what is not told apart by then is equal in a window;
+* the seeds are sorted by names: their LMS substrings are named in ranges of their first symbols, and names are sorted by
+  pairs, pairs of pairs and so on until they span more than a window, so that what is not told apart by then is equal in a
+  window;
 * one scan upwards induces the L suffixes from the seeds, one downwards the S suffixes from those. Between them stands a
   priority queue of tuples (suffix, common prefix with the tuple before it), one bucket for each first symbol. Tuples
-  arrive in order, so a bucket is a plain file; buckets beyond the memory limit are appended to a scratch file.
+  arrive in order, so a bucket is a plain file; buckets beyond the memory limit are appended to a scratch file, from which
+  they are taken a batch at a time.
 
 The common-prefix value of an induced tuple is one more than the minimum over what was scanned since the last tuple of
-its bucket. At the end, suffixes that share a window's length stand next to each other; of each such class the earliest
-in the corpus stays, the others are repeats. The work is done bucket by bucket in numpy.
+its bucket. In the second scan suffixes that share a window's length come next to each other; of each such class the
+earliest in the corpus stays, the others are repeats. All work is done in batches in numpy.
 
-Scratch files live inside one task attempt, have no name, and are gone with it; nothing else reads them.
+Text, types, seeds, names, the upper half of the suffixes and the queue lie in scratch files; in memory are one batch, one
+range of names, MEMORY bytes of the queue and one class of equal windows, whatever the shard. Scratch files live inside one
+task attempt, have no name, and are gone with it; nothing else reads them.
 
 Defined cases: a null text is empty; a text shorter than the window keeps all; equal windows of one text are repeats of
 the first; an empty table gives no rows; other columns, whatever their names, are ignored.
@@ -24,21 +28,33 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import BYTE_VALUES, Chunk, documents
-from .fragments import REPEAT, Kind, deduplicated, repeats_of
+from .fragments import REPEAT, Kind, deduplicated
 
 WINDOW, GRAM = 100, 40
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20  # contents of one sort, about
 SYMBOLS = 257  # 0 separates, byte b is b + 1
 CAP = 200  # common prefixes are counted up to here
-MEMORY = 64 << 20
+MEMORY = 2 << 20  # of the queue
+BATCH = 1 << 16  # suffixes, or symbols, handled at a time
+RANGE = 1 << 17  # seeds that are named or sorted at a time, or one group of equal names
 TUPLE = np.dtype([("at", "<i4"), ("lcp", "u1")])
 
 
+def scratch(n: int, kind: np.dtype | str) -> np.ndarray:
+    """``n`` zeros in a file without a name."""
+    if not n:
+        return np.zeros(0, kind)
+    with tempfile.TemporaryFile() as f:
+        f.truncate(n * np.dtype(kind).itemsize)
+        return np.memmap(f, kind, "r+", shape=(n,))
+
+
 class DiskQueue:
     """A monotone priority queue: one bucket of tuples for each symbol, each in order of arrival. Beyond ``memory`` bytes
     the held tuples go to a scratch file."""
@@ -46,7 +62,7 @@ class DiskQueue:
     def __init__(self, buckets: int = SYMBOLS, memory: int = MEMORY):
         self.held: list[list[np.ndarray]] = [[] for _ in range(buckets)]
         self.spilled: list[list[tuple[int, int]]] = [[] for _ in range(buckets)]
-        self.memory, self.size, self.file = memory, 0, None
+        self.memory, self.size, self.file, self.spills = memory, 0, None, 0
 
     def put(self, bucket: int, tuples: np.ndarray) -> None:
         self.held[bucket].append(tuples)
@@ -57,24 +73,39 @@ class DiskQueue:
     def _spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
+        self.file.seek(0, 2)
         for bucket, parts in enumerate(self.held):
             if parts:
-                self.file.seek(0, 2)
                 data = np.concatenate(parts)
                 self.spilled[bucket].append((self.file.tell(), len(data)))
                 self.file.write(data.tobytes())
                 parts.clear()
+        self.spills += 1
         self.size = 0
 
     def take(self, bucket: int) -> np.ndarray:
-        parts = []
-        for at, n in self.spilled[bucket]:
+        """The next tuples of a bucket in order of arrival, BATCH at most, and none once it is empty."""
+        most = BATCH
+        if self.spilled[bucket]:
+            at, n = self.spilled[bucket][0]
+            now = min(n, most)
             self.file.seek(at)
-            parts.append(np.frombuffer(self.file.read(n * TUPLE.itemsize), TUPLE))
-        parts += self.held[bucket]
-        self.size -= sum(p.nbytes for p in self.held[bucket])
-        self.held[bucket], self.spilled[bucket] = [], []
-        return np.concatenate(parts) if parts else np.zeros(0, TUPLE)
+            got = np.frombuffer(self.file.read(now * TUPLE.itemsize), TUPLE)
+            self.spilled[bucket][:1] = [(at + now * TUPLE.itemsize, n - now)] if now < n else []
+            return got
+        if not self.held[bucket]:
+            return np.zeros(0, TUPLE)
+        got = self.held[bucket].pop(0)
+        if len(got) > most:
+            self.held[bucket].insert(0, got[most:])
+            got = got[:most]
+        elif len(got) < most // 4 and self.held[bucket]:  # many small ones at once
+            few = [got]
+            while self.held[bucket] and sum(map(len, few)) + len(self.held[bucket][0]) <= most:
+                few.append(self.held[bucket].pop(0))
+            got = np.concatenate(few)
+        self.size -= got.nbytes
+        return got
 
     def close(self) -> None:
         if self.file is not None:
@@ -82,22 +113,44 @@ class DiskQueue:
 
 
 def is_s_type(text: np.ndarray) -> np.ndarray:
-    """Which suffixes are smaller than the next one; the last is not."""
-    n = len(text)
-    step = np.sign(np.diff(text.astype(np.int16)))  # 1: smaller than the next symbol
-    where = np.where(step != 0, np.arange(n - 1), n)
-    nearest = np.minimum.accumulate(where[::-1])[::-1]
-    out = np.zeros(n, bool)
-    known = nearest < n
-    out[:-1][known] = step[nearest[known]] > 0
+    """Which suffixes are smaller than the next one; the last is not. From the end, a batch at a time."""
+    n, batch = len(text), BATCH
+    out = scratch(n, bool)
+    after = False  # of the suffix at the batch's end
+    for lo in range((n - 2) // batch * batch if n > 1 else 0, -1, -batch):
+        part = np.asarray(text[lo : lo + batch + 1]).astype(np.int16)
+        step = np.sign(np.diff(part))  # 1: smaller than the next symbol
+        if not len(step):
+            continue
+        where = np.where(step != 0, np.arange(len(step)), len(step))
+        nearest = np.minimum.accumulate(where[::-1])[::-1]
+        out[lo : lo + len(step)] = np.where(nearest < len(step), step[np.minimum(nearest, len(step) - 1)] > 0, after)
+        after = bool(out[lo])
+    return out
+
+
+def leftmost(s_type: np.ndarray) -> np.ndarray:
+    """Places of the leftmost S suffixes, in order."""
+    n, batch = len(s_type), BATCH
+    each = [np.flatnonzero(s_type[lo + 1 : lo + batch + 1] & ~s_type[lo : lo + batch][: len(s_type[lo + 1 : lo + batch + 1])]) for lo in range(0, max(0, n - 1), batch)]
+    out, at = scratch(sum(map(len, each)), "<i4"), 0
+    for k, x in enumerate(each):
+        out[at : at + len(x)] = x + k * batch + 1
+        at += len(x)
+        each[k] = x[:0]
+    return out
+
+
+def padded(contents: np.ndarray) -> np.ndarray:
+    """Symbols with zeros after them, so that quads may reach past the end."""
+    out = scratch(len(contents) + CAP + 8, "<u2")
+    out[: len(contents)] = contents
     return out
 
 
 def _quads(text: np.ndarray) -> np.ndarray:
-    """At each place the next four symbols as one number, the first lowest; past the end are zeros."""
-    padded = np.zeros(len(text) + CAP + 8, "<u2")
-    padded[: len(text)] = text
-    return np.ndarray((len(text) + CAP + 4,), "<u8", padded, strides=(2,))
+    """At each place of a padded text the next four symbols as one number, the first lowest; past the end are zeros."""
+    return np.ndarray((len(text) - 4,), "<u8", text, strides=(2,))
 
 
 def common_prefixes(quads: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -127,54 +180,107 @@ def _dense(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def sorted_seeds(text: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
-    """The LMS suffixes in order of at least their first ``depth`` symbols."""
-    if len(lms) < 2:
-        return lms
-    n = len(text)
-    # Names: the symbols up to the next LMS place and its own. A substring that ends there is the larger of two that
-    # agree so far, since the other goes on with an L suffix of the same symbol; so it is filled up with a top value.
-    # The last one ends with the end of the text, which is below all symbols.
-    length = np.append(np.diff(lms), n - lms[-1]) + 1
-    padded = np.concatenate([text.astype(np.int64) + 1, np.zeros(8, np.int64)])
-    rank = np.ones(len(lms), np.int64)
-    live = np.arange(len(lms))
+def _names(text: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Dense names from 1 of LMS substrings, in their order. text is padded.
+
+    A name spans the symbols up to the next LMS place and its own. A substring that ends there is the larger of two that
+    agree so far, since the other goes on with an L suffix of the same symbol; so it is filled up with a top value."""
+    rank = np.ones(len(at), np.int64)
+    live = np.arange(len(at))
     off = 0
     while len(live):
         key = np.zeros(len(live), np.int64)
         for j in range(off, off + 6):
-            inside = j < length[live]
-            key = key * 512 + np.where(inside, padded[np.minimum(lms[live] + j, n)], 511)
-        order = np.lexsort((key, rank[live]))
-        step = np.ones(len(live), np.int64)
-        step[1:] = (rank[live][order][1:] != rank[live][order][:-1]) | (key[order][1:] != key[order][:-1])
-        group = rank[live][order]
-        new = np.cumsum(step)
-        # Inside an old rank, new ranks count up from it; ranks leave gaps as wide as their groups.
+            symbol = text[np.minimum(at[live] + j, len(text) - 1)].astype(np.int64) + (at[live] + j < len(text) - CAP - 8)
+            key = key * 512 + np.where(j < length[live], symbol, 511)
+        group = rank[live]
+        order = np.lexsort((key, group))
+        group, key = group[order], key[order]
         lead = np.ones(len(live), bool)
         lead[1:] = group[1:] != group[:-1]
-        first = np.flatnonzero(lead)
-        base = np.repeat(first, np.diff(np.append(first, len(live))))
+        step = lead.copy()
+        step[1:] |= key[1:] != key[:-1]
+        # Inside an old rank, new ranks count up from it; ranks leave gaps as wide as their groups.
         place = np.arange(len(live))
-        head = np.maximum.accumulate(np.where(step > 0, place, 0))
-        rank_new = group + (head - base)
+        head = np.maximum.accumulate(np.where(step, place, 0))
+        base = np.maximum.accumulate(np.where(lead, place, 0))
         out = np.empty(len(live), np.int64)
-        out[order] = rank_new
+        out[order] = group + (head - base)
         rank[live] = out
-        size = np.bincount(new, minlength=int(new[-1]) + 1)
+        size = np.diff(np.append(np.flatnonzero(step), len(live)))
         tied = np.empty(len(live), bool)
-        tied[order] = size[new] > 1
+        tied[order] = np.repeat(size > 1, size)
         off += 6
         live = live[tied & (length[live] > off)]
-    rank = _dense(rank)
-    # Pairs of names, then pairs of pairs: each spans two symbols at least.
+    return _dense(rank)
+
+
+def _group_ranges(rank: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cuts sorted ranks into ranges of about ``most`` that part no equal ones."""
+    lo, n = 0, len(rank)
+    while lo < n:
+        hi = min(n, lo + most)
+        while hi < n and rank[hi] == rank[hi - 1]:  # on to the end of the group, a batch at a time
+            same = np.asarray(rank[hi : hi + BATCH]) == rank[hi - 1]
+            hi += int(same.argmin()) if not same.all() else len(same)
+        yield lo, hi
+        lo = hi
+
+
+def sorted_seeds(text: np.ndarray, lms: np.ndarray, depth: int, n: int) -> np.ndarray:
+    """The LMS suffixes of a padded text of ``n`` symbols in order of at least their first ``depth`` symbols."""
+    m, most = len(lms), RANGE
+    if m < 2:
+        return lms
+    # Ranges of the first two symbols, each of about ``most`` seeds, named one after the other.
+    first = scratch(m, "<i4")
+    tally = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+    for lo in range(0, m, BATCH):
+        p = np.asarray(lms[lo : lo + BATCH])
+        first[lo : lo + BATCH] = text[p].astype(np.int32) * SYMBOLS + text[p + 1]
+        tally += np.bincount(first[lo : lo + BATCH], minlength=len(tally))
+    total = np.cumsum(tally)
+    edges = [0]
+    while edges[-1] < len(tally):
+        done = int(total[edges[-1] - 1]) if edges[-1] else 0
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + most, "right"))))
+    sorted_, rank, ordered = scratch(m, "<i4"), scratch(m + 1, "<i4"), scratch(m, "<i4")
+    at = names = 0
+    for x, y in zip(edges[:-1], edges[1:]):
+        mine = [np.flatnonzero((first[lo : lo + BATCH] >= x) & (first[lo : lo + BATCH] < y)) + lo for lo in range(0, m, BATCH)] if total[y - 1] > (total[x - 1] if x else 0) else []
+        k = np.concatenate(mine) if mine else np.zeros(0, np.int64)
+        if not len(k):
+            continue
+        p = lms[k].astype(np.int64)
+        # The last one ends with the end of the text, which is below all symbols.
+        end = np.where(k + 1 < m, lms[np.minimum(k + 1, m - 1)], n)
+        r = _names(text, p, end - p + 1)
+        order = np.argsort(r, kind="stable")
+        rank[k] = r + names
+        sorted_[at : at + len(k)], ordered[at : at + len(k)] = k[order], r[order] + names
+        names += int(r.max())
+        at += len(k)
+    # Pairs of names, then pairs of pairs: each spans two symbols at least. Past the last seed stands rank 0.
     width = 1
-    while width * 2 < 2 * depth and rank.max() < len(lms):
-        after = np.zeros(len(lms), np.int64)
-        after[:-width] = rank[width:]
-        rank = _dense(rank * (len(lms) + 2) + after)
+    while width * 2 < 2 * depth and names < m:
+        names = 0
+        renamed = scratch(m + 1, "<i4")
+        for lo, hi in _group_ranges(ordered, most):
+            k, own = np.asarray(sorted_[lo:hi]).astype(np.int64), np.asarray(ordered[lo:hi]).astype(np.int64)
+            after = rank[np.minimum(k + width, m)].astype(np.int64)
+            order = np.lexsort((after, own))
+            k, own, after = k[order], own[order], after[order]
+            step = np.ones(len(k), np.int64)
+            step[1:] = (own[1:] != own[:-1]) | (after[1:] != after[:-1])
+            new = np.cumsum(step) + names
+            sorted_[lo:hi], ordered[lo:hi] = k, new
+            renamed[k] = new
+            names = int(new[-1])
+        rank = renamed
         width *= 2
-    return lms[np.argsort(rank, kind="stable")]
+    for lo in range(0, m, BATCH):
+        sorted_[lo : lo + BATCH] = lms[sorted_[lo : lo + BATCH]]
+    return sorted_
 
 
 class _Minima:
@@ -201,10 +307,10 @@ class _Minima:
 
 
 class _Scan:
-    """One scan over sorted suffixes that induces their predecessors into a queue."""
+    """One scan over sorted suffixes that induces their predecessors, those of the wanted type, into a queue."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, memory: int):
-        self.text, self.wanted = text, wanted
+    def __init__(self, text: np.ndarray, s_type: np.ndarray, wanted: bool, memory: int):
+        self.text, self.s_type, self.wanted = text, s_type, wanted
         self.queue = DiskQueue(memory=memory)
         # Minimum of the common prefixes scanned since the last tuple of each bucket; none came before the first.
         self.since = np.zeros(SYMBOLS, np.uint8)
@@ -218,7 +324,7 @@ class _Scan:
             return
         lcp = batch["lcp"]
         before = batch["at"] - 1
-        k = np.flatnonzero((before >= 0) & self.wanted[np.maximum(before, 0)])
+        k = np.flatnonzero((before >= 0) & (self.s_type[np.maximum(before, 0)] == self.wanted))
         symbol = self.text[before[k]]
         order = np.argsort(symbol, kind="stable")
         k, symbol = k[order], symbol[order]
@@ -245,100 +351,151 @@ class _Scan:
             self.since[s] = behind[k[hi - 1] + 1]
 
 
+class Suffixes:
+    """The suffixes of a text (symbols below SYMBOLS), sorted by at least their first ``depth`` symbols; those that share so
+    many stand together in any order."""
+
+    def __init__(self, text: np.ndarray, depth: int = WINDOW, memory: int = MEMORY):
+        self.n, self.depth, self.memory = len(text), depth, memory
+        self.padded = padded(text)
+        self.text = self.padded[: self.n]
+        self.quads = _quads(self.padded)
+        self.spills = 0
+
+    def _joint(self, a: int, b: int) -> int:
+        return int(common_prefixes(self.quads, np.array([a]), np.array([b]), self.n)[0])
+
+    def downwards(self) -> Iterator[np.ndarray]:
+        """Batches of tuples from the largest suffix to the smallest, each with its common prefix with the one before it
+        in this order; up to CAP these are exact below the depth."""
+        n = self.n
+        if n < 2:
+            yield np.array([(k, 0) for k in range(n)], TUPLE)
+            return
+        s_type = is_s_type(self.text)
+        lms = leftmost(s_type)
+        seeds = sorted_seeds(self.padded, lms, self.depth, n)
+        first = np.concatenate([[0], np.cumsum(self._tally(seeds))])
+        # Upwards: of each bucket the L suffixes, while they induce more of their own bucket, then the seeds.
+        up = _Scan(self.text, s_type, False, self.memory)
+        up.seed(n - 1)
+        large, ends, at = scratch(n, TUPLE), [0], 0
+        for c in range(SYMBOLS):
+            began = at
+            while len(batch := up.queue.take(c)):
+                if at == began:
+                    batch = batch.copy()
+                    batch["lcp"][0] = 0  # the first of its bucket
+                large[at : at + len(batch)] = batch
+                at += len(batch)
+                up.feed(batch)
+            ends.append(at)
+            for lo in range(first[c], first[c + 1], BATCH):
+                p = np.asarray(seeds[lo : min(lo + BATCH, first[c + 1])])
+                mine = np.zeros(len(p), TUPLE)
+                mine["at"] = p
+                p = p.astype(np.int64)
+                mine["lcp"][1:] = common_prefixes(self.quads, p[:-1], p[1:], n)
+                before = int(seeds[lo - 1]) if lo > first[c] else int(large[at - 1]["at"]) if at > began else None
+                mine["lcp"][0] = 0 if before is None else self._joint(before, int(p[0]))
+                up.feed(mine)
+        self.spills += up.queue.spills
+        up.queue.close()
+        # Downwards: of each bucket the S suffixes from the largest, then its L suffixes.
+        down = _Scan(self.text, s_type, True, self.memory)
+        for c in range(SYMBOLS - 1, -1, -1):
+            last = None
+            while len(batch := down.queue.take(c)):
+                if last is None:
+                    batch = batch.copy()
+                    batch["lcp"][0] = 0
+                last = int(batch["at"][-1])
+                yield batch
+                down.feed(batch)
+            for hi in range(ends[c + 1], ends[c], -BATCH):
+                lo = max(ends[c], hi - BATCH)
+                big = np.asarray(large[lo:hi])
+                back = np.zeros(len(big), TUPLE)
+                back["at"] = big["at"][::-1]
+                back["lcp"][1:] = big["lcp"][:0:-1]
+                if hi < ends[c + 1]:
+                    back["lcp"][0] = large[hi]["lcp"]
+                elif last is not None:
+                    back["lcp"][0] = self._joint(int(back["at"][0]), last)
+                yield back
+                down.feed(back)
+        self.spills += down.queue.spills
+        down.queue.close()
+
+    def _tally(self, seeds: np.ndarray) -> np.ndarray:
+        out = np.zeros(SYMBOLS, np.int64)
+        for lo in range(0, len(seeds), BATCH):
+            out += np.bincount(self.text[seeds[lo : lo + BATCH]], minlength=SYMBOLS)
+        return out
+
+
 def induced_sort(text: np.ndarray, depth: int = WINDOW, memory: int = MEMORY) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes of ``text`` (symbols below SYMBOLS) ordered by at least their first ``depth`` symbols, and the common
-    prefix of each with the one before it; below CAP these are exact."""
-    n = len(text)
-    if n < 2:
-        return np.arange(n, dtype=np.int32), np.zeros(n, np.uint8)
-    s_type = is_s_type(text)
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
-    quads = _quads(text)
-    seeds = sorted_seeds(text, lms, depth)
-    tuples = np.zeros(len(seeds), TUPLE)
-    tuples["at"] = seeds
-    if len(seeds) > 1:
-        tuples["lcp"][1:] = np.minimum(common_prefixes(quads, seeds[:-1], seeds[1:], n), CAP)
-    cut = np.searchsorted(text[seeds], np.arange(SYMBOLS + 1))
-
-    def joint(a: int, b: int) -> int:
-        return int(common_prefixes(quads, np.array([a]), np.array([b]), n)[0])
-
-    # Upwards: of each bucket the L suffixes, in rounds since they induce more of their own bucket, then the seeds.
-    up, large = _Scan(text, ~s_type, memory), []
-    up.seed(n - 1)
-    for c in range(SYMBOLS):
-        parts = []
-        while len(batch := up.queue.take(c)):
-            if not parts:
-                batch = batch.copy()
-                batch["lcp"][0] = 0  # the first of its bucket
-            parts.append(batch)
-            up.feed(batch)
-        large.append(np.concatenate(parts) if parts else np.zeros(0, TUPLE))
-        mine = tuples[cut[c] : cut[c + 1]]
-        if len(mine):
-            mine = mine.copy()
-            mine["lcp"][0] = joint(int(large[c]["at"][-1]), int(mine["at"][0])) if len(large[c]) else 0
-            up.feed(mine)
-    up.queue.close()
-    # Downwards: of each bucket the S suffixes from the largest, then its L suffixes.
-    down, order, lcp = _Scan(text, s_type, memory), [], []
-    for c in range(SYMBOLS - 1, -1, -1):
-        parts = []
-        while len(batch := down.queue.take(c)):
-            if not parts:
-                batch = batch.copy()
-                batch["lcp"][0] = 0
-            parts.append(batch)
-            down.feed(batch)
-        small = np.concatenate(parts) if parts else np.zeros(0, TUPLE)
-        big = large[c]
-        edge = joint(int(big["at"][-1]), int(small["at"][-1])) if len(big) and len(small) else 0
-        if len(big):
-            back = np.zeros(len(big), TUPLE)
-            back["at"] = big["at"][::-1]
-            back["lcp"][1:] = big["lcp"][:0:-1]
-            back["lcp"][0] = edge
-            down.feed(back)
-        # Ascending: L, then S; a tuple's value belongs to it and the one before.
-        if len(small):
-            order.append(small["at"][::-1])
-            shift = np.empty(len(small), np.uint8)
-            shift[1:] = small["lcp"][:0:-1]
-            shift[0] = edge
-            lcp.append(shift)
-        if len(big):
-            order.append(big["at"])
-            lcp.append(big["lcp"])
-    down.queue.close()
-    return np.concatenate(order[::-1]), np.concatenate(lcp[::-1])
+    """All suffixes upwards, and the common prefix of each with the one before it, in memory."""
+    all_ = np.concatenate([np.zeros(0, TUPLE), *Suffixes(text, depth, memory).downwards()])
+    lcp = np.zeros(len(all_), np.uint8)
+    lcp[1:] = all_["lcp"][:0:-1]
+    return all_["at"][::-1], lcp
+
+
+def classes(suffixes: Suffixes, window: int) -> Iterator[np.ndarray]:
+    """Places of the suffixes, a batch at a time, in whole classes, with the number of their class: those of one class
+    share ``window`` symbols or more."""
+    held, number = np.zeros((0, 2), np.int64), 0
+    for batch in suffixes.downwards():
+        label = np.cumsum(batch["lcp"] < window) + number
+        number = int(label[-1])
+        held = np.concatenate([held, np.stack([batch["at"].astype(np.int64), label], 1)])
+        whole = int(np.searchsorted(held[:, 1], number))
+        if whole:
+            yield held[:whole]
+            held = held[whole:]
+    if len(held):
+        yield held
 
 
 def _decide(contents: list[bytes], whole: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Fragments of one shard, in corpus order: which of their windows stand beside an equal one of an earlier fragment
     among the sorted suffixes, and, of those wanted whole, which stand beside one of an earlier fragment or themselves."""
     size = np.fromiter(map(len, contents), np.int64, len(contents))
-    data = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
-    text = data.astype(np.uint16) + 1
-    ends = np.cumsum(size + 1) - 1
-    text[ends] = 0
-    order, lcp = induced_sort(text, window)
-    fragment = np.repeat(np.arange(len(contents)), size + 1)
-    place = np.arange(len(text)) - np.repeat(np.concatenate([[0], ends[:-1] + 1]), size + 1)
-    is_window = place <= np.repeat(size, size + 1) - window
-    # Classes of suffixes with a window in common; the first in the text is the earliest, as fragments are in order.
-    label = np.cumsum(lcp < window)
-    least = np.full(int(label[-1]) + 1 if len(label) else 1, len(text), np.int64)
-    chosen = is_window[order]
-    at, label = order[chosen].astype(np.int64), label[chosen]
-    np.minimum.at(least, label, at)
-    earlier, held = np.zeros(len(text), bool), np.zeros(len(text), bool)
-    earlier[at[least[label] < at]] = True
-    held[at[least[label] <= at]] = True
-    w = np.flatnonzero(is_window)
-    v = w[whole[fragment[w]]]
-    return repeats_of(earlier[w], fragment[w], place[w]), repeats_of(held[v], fragment[v], place[v])
+    first = np.cumsum(size + 1) - size - 1
+    n = int((size + 1).sum())
+    text, at = scratch(n, "<u2"), 0
+    for lo in range(0, len(contents), 1024):
+        part = np.frombuffer(b"\0".join(contents[lo : lo + 1024]) + b"\0", np.uint8)
+        text[at : at + len(part)] = part
+        text[at : at + len(part)] += 1
+        at += len(part)
+    text[first + size] = 0
+    earlier, held = scratch(n, bool), scratch(n, bool)
+    for group in classes(Suffixes(text, window), window):
+        at, label = group[:, 0], group[:, 1] - group[0, 1]
+        of = np.searchsorted(first, at, "right") - 1
+        full = at - first[of] <= size[of] - window
+        at, label = at[full], label[full]
+        # The first in the text is the earliest in the corpus, as fragments are in order.
+        least = np.full(int(group[-1, 1] - group[0, 1]) + 1, n, np.int64)
+        np.minimum.at(least, label, at)
+        earlier[at[least[label] < at]] = True
+        held[at[least[label] <= at]] = True
+    return _windows(np.flatnonzero(earlier), first), _windows(np.flatnonzero(held), first, whole)
+
+
+def _windows(at: np.ndarray, first: np.ndarray, whole: np.ndarray | None = None) -> np.ndarray:
+    """Runs of windows at places of the text, of all fragments or of those in ``whole``."""
+    of = np.searchsorted(first, at, "right") - 1
+    if whole is not None:
+        at, of = at[whole[of]], of[whole[of]]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (of[1:] != of[:-1])
+    lo = np.flatnonzero(new)
+    out = np.zeros(len(lo), REPEAT)
+    out["fragment"], out["first"], out["windows"] = of[lo], at[lo] - first[of[lo]], np.diff(np.append(lo, len(at)))
+    return out
 
 
 def _values(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:

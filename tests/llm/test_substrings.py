@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -158,6 +159,45 @@ def test_induced_sort(text, times):
     _check_sort(text * times)
 
 
+@pytest.mark.parametrize("batch", [3, 11])
+def test_induced_sort_in_small_batches(monkeypatch, batch):
+    monkeypatch.setattr(induced, "BATCH", batch)
+    monkeypatch.setattr(induced, "RANGE", 4)
+    rng = random.Random(batch)
+    for n in (0, 1, 2, 3, 7, 50, 200):
+        for top in (1, 2, 4, 256):
+            _check_sort([rng.randint(0, top) for _ in range(n)] * rng.choice([1, 3]), memory=40)
+
+
+def test_whole_shard_is_sorted_on_disk():
+    """With the memory of production the queue spills, memory in use does not grow with the shard, and rows are right."""
+    rng = random.Random(5)
+    words = [bytes(rng.choices(b"abcdefghijklmnop ", k=rng.randint(3, 9))) for _ in range(3000)]
+    peaks = []
+    for size in (400_000, 4_000_000):
+        contents, total = [], 0
+        while total < size:
+            contents.append(contents[rng.randrange(len(contents))][30:] + b" again" if contents and rng.random() < 0.2 else b" ".join(rng.choices(words, k=25)))
+            total += len(contents[-1])
+        text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.uint16)
+        sort = induced.Suffixes(text, 100)
+        tracemalloc.start()
+        n = sum(map(len, sort.downwards()))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n == len(text)
+        assert sort.spills > 0 or size < 4_000_000
+    assert peaks[1] < 1.6 * peaks[0] + 2 * induced.MEMORY, peaks
+    few = contents[:900]
+    first, whole = induced._decide(few, np.ones(len(few), bool))
+    seen, want = set(), set()
+    for k, c in enumerate(few):
+        want |= {(k, i) for i in range(len(c) - 99) if c[i : i + 100] in seen}
+        seen |= {c[i : i + 100] for i in range(len(c) - 99)}
+    assert {(f, a + i) for f, a, w in first.tolist() for i in range(w)} == want
+    assert {(f, a + i) for f, a, w in whole.tolist() for i in range(w)} == {(k, i) for k, c in enumerate(few) for i in range(len(c) - 99)}
+
+
 def test_induced_sort_with_little_memory():
     rng = random.Random(1)
     base = [rng.randrange(1, 5) for _ in range(150)]
