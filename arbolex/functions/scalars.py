@@ -101,8 +101,8 @@ def short_tool(c: Column) -> Column:
 
 
 def whole_ms(c: Column) -> Column:
-    """Milliseconds as an integer, from a number or its text; 0 where it is none."""
-    return F.coalesce(c.try_cast("double"), F.lit(0.0)).cast("long")
+    """Milliseconds as an integer, from a number or its text; 0 where it is none, or none that a long can hold."""
+    return F.coalesce(c.try_cast("double").try_cast("long"), F.lit(0).cast("long"))
 
 
 def duration_text(seconds: Column) -> Column:
@@ -112,9 +112,15 @@ def duration_text(seconds: Column) -> Column:
 
 
 def canonical_object(json: Column) -> Column:
-    """A flat JSON object with its keys sorted, as a comparison key."""
-    entries = F.array_sort(F.map_entries(F.from_json(json, "map<string,string>")))
-    return F.to_json(F.map_from_entries(entries))
+    """A JSON value with the keys of all its objects sorted, as a comparison key; other text as it is. Variants keep the
+    fields of an object in the order of their names."""
+    return F.coalesce(F.to_json(F.try_parse_json(json)), json)
+
+
+def chunk_suffix(number: Column) -> Column:
+    """'aa', 'ab', ... 'zz' for the parts 0 to 675 of a split file."""
+    letter = lambda i: F.char((F.lit(97) + i).cast("long"))
+    return F.concat(letter(F.floor(number / 26)), letter(number % 26))
 
 
 def cut_list(items: Column, most: int = 5) -> Column:

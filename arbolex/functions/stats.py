@@ -6,14 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CUTS = 64  # parts that a group's distinct values are split into
+
+
 def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Distinct values of each group with how many rows stand before (lo) and up to (hi) them, and the group's total n.
 
-    Percentiles are read from these counts. Values are counted before the shuffle, so that no task gathers a group's
-    rows; a group costs as many rows as it has distinct values."""
+    Percentiles are read from these counts. Values are counted before the shuffle. A group's distinct values are then
+    split at approximate quantiles into CUTS parts, each summed up by itself on top of what the parts before it hold, so
+    that a group with a third of all rows, and nearly as many values, is no one task's."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    upto = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumns({"hi": F.sum("c").over(upto), "n": F.sum("c").over(Window.partitionBy(*by))}).withColumn("lo", F.col("hi") - F.col("c"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], F.lit(1000)).alias("_cuts"))
+    parted = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    sums = parted.groupBy(*by, "_part").agg(F.sum("c").alias("_s"))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # CUTS rows a group
+    sums = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(*by)).alias("n"))
+    upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    out = parted.join(sums, [*by, "_part"]).withColumn("hi", F.sum("c").over(upto) + F.col("_before"))
+    return out.withColumn("lo", F.col("hi") - F.col("c")).drop("_part", "_before")
 
 
 def percentile_at(value: Column, p: float) -> Column:
@@ -61,3 +71,47 @@ def share_within(df: DataFrame, value: str, cap: int) -> DataFrame:
 def drawn(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """n random rows, the same ones for one seed however the rows are spread; only n rows leave each task."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+
+
+def counts_by(df: DataFrame, *by: str) -> DataFrame:
+    """How many rows each combination of keys has."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def grand_total(counts: DataFrame, value: str = "count") -> DataFrame:
+    """One row: how many rows, and the sum of their counts."""
+    return counts.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("total"))
+
+
+def variants_by_base(bases: DataFrame, variants: DataFrame, key: str, base: str) -> DataFrame:
+    """Every base with the number of its variants, 0 where it has none."""
+    n = variants.where(F.col(base).isNotNull()).groupBy(F.col(base).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    return bases.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def most_counted(keys: DataFrame, rows: DataFrame, key: str, k: int = 25) -> DataFrame:
+    """The k keys with the most rows, those without any included; ties go to the smaller key."""
+    return variants_by_base(keys, rows, key, key).orderBy(F.desc("n"), key).limit(k)
+
+
+def prefix_counts(codes: DataFrame, code: str, sizes: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """size, prefix and n: how many codes begin with each prefix of each size."""
+    rows = codes.select(code, F.explode(F.array(*(F.lit(n) for n in sizes))).alias("size"))
+    return rows.groupBy("size", F.expr(f"substring(`{code}`, 1, size)").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def largest_prefixes(counts: DataFrame, k: int = 5) -> DataFrame:
+    """The k commonest prefixes of each size."""
+    place = F.row_number().over(Window.partitionBy("size").orderBy(F.desc("n"), "prefix"))
+    return counts.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
+def covered_share(rows: DataFrame, key: str, all_keys: DataFrame, places: int = 2) -> DataFrame:
+    """One row: how many distinct keys the rows hold, and what percent of all keys that is."""
+    n = all_keys.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    return rows.agg(F.count_distinct(key).alias("covered")).crossJoin(F.broadcast(n)).select("covered", F.round(100 * F.col("covered") / F.col("_n"), places).alias("percent"))
+
+
+def split_counts(rows: DataFrame, flag: Column, text: Column, *by: str) -> DataFrame:
+    """n, how many rows have the flag (flagged) and how many not (plain), and the mean length of a text (4 places)."""
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("flagged"), F.count_if(~flag).alias("plain"), F.round(F.avg(F.length(text)), 4).alias("mean_length"))

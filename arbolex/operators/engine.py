@@ -67,11 +67,23 @@ def _plain(x):
     return [_plain(v) for v in x] if isinstance(x, list) else x
 
 
-class Engine:
-    """Queries over one vocabulary. ``embed`` turns a query text into a vector; without it there is no semantic search."""
+def paged(hits: DataFrame, n: int, offset: int = 0) -> DataFrame:
+    """A page of hits: the most widely held first, then the best rank, then by code as a reader would sort it."""
+    return hits.orderBy(F.desc("coverage"), "rank", F.collate("notation", "UNICODE"), "notation").offset(offset).limit(n)
+
 
-    def __init__(self, v: Vocabulary, embed: Callable[[str], list[float]] | None = None, aggregator: str = "https://example.org/resource/?uri={code}", emit: Callable[[str], None] = lambda line: None):
+class Engine:
+    """Queries over one vocabulary. ``embed`` turns a text into a vector, and gets queries with ``query_prefix`` before
+    them, as models that were trained so need; without it there is no semantic search. A semantic search filters by
+    collection before the nearest are taken, so a page is full where it can be; with ``filter_after`` it takes more of them
+    and filters then, which may give less."""
+
+    def __init__(
+        self, v: Vocabulary, embed: Callable[[str], list[float]] | None = None, aggregator: str = "https://example.org/resource/?uri={code}", emit: Callable[[str], None] = lambda line: None,
+        query_prefix: str = "", filter_after: bool = False,
+    ):
         self.v, self.embed, self.aggregator, self.emit = v, embed, aggregator, emit
+        self.query_prefix, self.filter_after = query_prefix, filter_after
         self.spark = v.notations.sparkSession
 
     # Pieces
@@ -83,14 +95,15 @@ class Engine:
         return [_plain(r) for r in resolve.entries(self.v, self._page(codes), lang).drop("pos").collect()] if codes else []
 
     def _scope(self, prefix: str | None) -> Column | None:
-        return scalars.has_prefix(F.lower("notation"), prefix) if prefix else None
+        """On the stored lower-case codes of the indexes and vectors, so that it reaches their scans."""
+        return scalars.has_prefix("notation_lc", prefix) if prefix else None
 
     def collections(self) -> list[dict]:
         return [_plain(r) for r in overlay.collection_totals(self.v.info, self.v.counts, self.v.notations).orderBy("collection_id").collect()]
 
     def matches(self, query: str, parent: str | None = None, collection: str | None = None, only_held: bool = False) -> DataFrame:
         """All hits of a keyword search, with rank and coverage."""
-        hits = text.search_with_fallback([self.v.label_index, self.v.keyword_index], query, "notation", self._scope(parent))
+        hits = text.search_with_fallback(self.v.searchers(), query, "notation", self._scope(parent))
         hits = overlay.coverage(hits, self.v.counts, collection)
         return hits.where("coverage > 0") if collection or only_held else hits
 
@@ -105,15 +118,18 @@ class Engine:
         _whole("max_results", max_results, 1, 50), _whole("offset", offset, 0), _language(lang)
         if semantic is not None:
             return self._semantic(semantic, max_results, lang, offset, collection, only_held, parent)
-        hits = self.matches(query, parent, collection, only_held)
-        total = hits.count()
-        page = hits.orderBy(F.desc("coverage"), "rank", F.collate("notation", "UNICODE"), "notation").offset(offset).limit(max_results)
-        return {"query": query, "total": total, "results": self._entries([r["notation"] for r in page.collect()], lang), "collections": self.collections()}
+        hits = self.matches(query, parent, collection, only_held).persist()  # counted, and then paged
+        try:
+            total = hits.count()
+            page = [r["notation"] for r in paged(hits, max_results, offset).collect()]
+        finally:
+            hits.unpersist()
+        return {"query": query, "total": total, "results": self._entries(page, lang), "collections": self.collections()}
 
     def _semantic(self, query: str, n: int, lang: str, offset: int, collection: str | None, only_held: bool, parent: str | None) -> dict:
         if self.embed is None or "embeddings" in self.v.missing:
             raise InvalidArgument("semantic search is not available")
-        v = self.embed(query)
+        v = self.embed(self.query_prefix + query)
         expected = metadata(self.v).get("embedding_dimensions", "768")
         if len(v) != int(expected):
             raise InvalidArgument(f"the query vector has {len(v)} dimensions, the store {expected}")
@@ -121,7 +137,8 @@ class Engine:
         if collection or only_held:
             keep = self.v.counts.where(F.col("collection_id") == collection) if collection else self.v.counts
         k = min(offset + n, CANDIDATES)
-        near = vector.nearest(self.v.embeddings, "notation", vector.quantize_query(v), k, keep, self._scope(parent))
+        find = vector.nearest_then_kept if self.filter_after else vector.nearest
+        near = find(self.v.embeddings, "notation", vector.quantize_query(v), k, keep, self._scope(parent))
         rows = near.select("notation", vector.similarity(F.col("distance")).alias("similarity"), "distance").orderBy("distance", "notation").collect()
         at = {r["notation"]: r["similarity"] for r in rows}
         found = [e | {"similarity": at[e["notation"]]} for e in self._entries([r["notation"] for r in rows], lang)]
@@ -201,3 +218,9 @@ def describe_entry(e: dict, prefix: str = "") -> str:
     held = f" ({', '.join(e['collections'])})" if e["collections"] else ""
     path = f" [{' > '.join(p['notation'] for p in e['path'])}]" if e["path"] else ""
     return f'{prefix}{e["notation"]}{held} "{e["text"]}"{path}'
+
+
+def describe_page(result: dict, offset: int = 0) -> str:
+    """A search's result as text beside the structured one: how many there are, and numbered lines."""
+    lines = [describe_entry(e, f"{i}. ") + (f" {e['similarity']:.3f}" if "similarity" in e else "") for i, e in enumerate(result["results"], offset + 1)]
+    return "\n".join([f"{result['total']} results", *lines])

@@ -10,7 +10,22 @@ from arbolex.functions import scalars, stats
 TOOLS = ("search", "browse", "resolve", "expand_keys", "search_prefix", "find_artworks")
 GAP_SECONDS = 60 * 60
 COLD_MS, SLOW_MS, TAIL_MS = 5000, 2000, 1000
-STARTUP = ("Starting Container", "listening on", "running on stdio", "Downloading", "loaded", "ready", "attached")
+PERIOD_DAYS = {"daily": 1, "weekly": 7, "monthly": 30}
+
+# What start-up lines say; the name of the store stands before the first, second and fourth.
+_LOADED, _READY, _ATTACHED, _VECTORS = "DB loaded", "DB ready", "Counts DB attached", "embeddings"
+_MODEL, LISTENING, DOWNLOADING, STARTING, _STDIO = "Embedding model loaded", "listening on", "Downloading", "Starting Container", "running on stdio"
+
+# The keys that a summary of a search shows, in this order.
+SEARCH_KEYS = ("query", "semanticQuery", "notation", "parentNotation", "collectionId", "lang")
+
+
+def startup_patterns(store: str = "") -> tuple[str, ...]:
+    """What start-up lines contain; ``store`` is the name under which the service logs its store."""
+    named = lambda x: f"{store} {x}" if store else x
+    return (named(_LOADED), named(_READY), _ATTACHED, named(_VECTORS), _MODEL, LISTENING, DOWNLOADING, STARTING, _STDIO)
+
+
 _LINE = "timestamp string, tool string, ms string, ok boolean, error string, input string, message string"
 
 
@@ -23,10 +38,10 @@ def calls(lines: DataFrame) -> DataFrame:
     return rows.select("ord", "ts", scalars.short_tool(F.col("tool")).alias("tool"), scalars.whole_ms(F.col("ms")).alias("ms"), F.coalesce("ok", F.lit(True)).alias("ok"), "error", F.coalesce(text, F.lit("{}")).alias("input"))
 
 
-def startups(lines: DataFrame, patterns: tuple[str, ...] = STARTUP) -> DataFrame:
-    """ord, ts and message of lines whose message has any of the patterns."""
+def startups(lines: DataFrame, patterns: tuple[str, ...] | None = None) -> DataFrame:
+    """ord, ts and message of lines whose message has any of the patterns, those of ``startup_patterns`` unless given."""
     hit = F.lit(False)
-    for p in patterns:
+    for p in patterns or startup_patterns():
         hit = hit | F.contains("message", F.lit(p))
     return _parsed(lines).where(F.col("message").isNotNull() & F.col("ts").isNotNull() & hit).select("ord", "ts", "message")
 
@@ -37,8 +52,19 @@ def _parsed(lines: DataFrame) -> DataFrame:
     return rows.select("ord", "value", scalars.iso_timestamp(F.col("_j.timestamp")).alias("ts"), "_j.tool", "_j.ms", "_j.ok", "_j.error", "_j.message")
 
 
-def between(rows: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
-    """Rows from the start of one day to the end of another, both included."""
+def chronological(rows: DataFrame) -> DataFrame:
+    """Rows by time; those of one time as they stood in the log."""
+    return rows.orderBy("ts", "ord")
+
+
+def between(rows: DataFrame, since: str | None = None, until: str | None = None, period: str | None = None, now: str | None = None) -> DataFrame:
+    """Rows from the start of one day to the end of another, both included, or those of the last day, week or 30 days before
+    ``now``. A period and a first day exclude each other."""
+    if period:
+        if since:
+            raise ValueError("give a period or a first day, and not both")
+        at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        rows = rows.where(F.col("ts") >= at - F.make_dt_interval(F.lit(PERIOD_DAYS[period])))
     if since:
         rows = rows.where(F.col("ts") >= F.lit(since).cast("timestamp"))
     if until:
@@ -49,21 +75,21 @@ def between(rows: DataFrame, since: str | None = None, until: str | None = None)
 def with_sessions(rows: DataFrame, ts: str = "ts", tie: str = "ord", gap: int = GAP_SECONDS) -> DataFrame:
     """Adds session, from 1: a new one starts after a gap of more than ``gap`` seconds in the one global stream.
 
-    The stream is ordered day by day, in parallel; what crosses midnight comes from one row a day."""
-    day = F.to_date(ts)
-    rows = rows.withColumn("_day", day)
-    inside = Window.partitionBy("_day").orderBy(ts, tie)
-    days = rows.groupBy("_day").agg(F.max(ts).alias("_last"))
-    over = Window.orderBy("_day")  # one row a day
-    days = days.select("_day", F.lag("_last").over(over).alias("_before"))
-    rows = rows.join(F.broadcast(days), "_day")
+    The stream is ordered minute by minute, in parallel; what goes from one minute to the next comes from one row a
+    minute, half a million a year."""
+    rows = rows.withColumn("_minute", F.date_trunc("minute", ts))
+    inside = Window.partitionBy("_minute").orderBy(ts, tie)
+    days = rows.groupBy("_minute").agg(F.max(ts).alias("_last"))
+    over = Window.orderBy("_minute")  # one row a minute
+    days = days.select("_minute", F.lag("_last").over(over).alias("_before"))
+    rows = rows.join(F.broadcast(days), "_minute")
     prior = F.coalesce(F.lag(ts).over(inside), F.col("_before"))
     rows = rows.withColumn("_new", (prior.isNull() | (scalars.micros(ts) - scalars.micros(prior) > gap * 1_000_000)).cast("int"))
-    firsts = rows.groupBy("_day").agg(F.sum("_new").alias("_n"))
-    firsts = firsts.select("_day", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rows = rows.join(F.broadcast(firsts), "_day")
+    firsts = rows.groupBy("_minute").agg(F.sum("_new").alias("_n"))
+    firsts = firsts.select("_minute", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    rows = rows.join(F.broadcast(firsts), "_minute")
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("session", F.sum("_new").over(upto) + F.col("_base")).drop("_day", "_before", "_new", "_base")
+    return rows.withColumn("session", F.sum("_new").over(upto) + F.col("_base")).drop("_minute", "_before", "_new", "_base")
 
 
 def session_class(semantic: Column, browse: Column, expand: Column, find: Column, resolve: Column, tools: Column, calls_: Column, seconds: Column) -> Column:
@@ -78,9 +104,9 @@ def session_class(semantic: Column, browse: Column, expand: Column, find: Column
     )
 
 
-def sessions(rows: DataFrame) -> DataFrame:
-    """One row a session: start, end, seconds, calls, tools, slow and failed calls, class and first topics."""
-    rows = with_sessions(rows).withColumn("topic", topic(F.col("tool"), F.col("input")))
+def sessions(rows: DataFrame, most_topics: int = 20) -> DataFrame:
+    """One row a session: start, end, seconds, calls, tools, slow and failed calls, class and the first topics."""
+    rows = with_sessions(rows)
     n = lambda c: F.count_if(c)
     has = lambda key: F.get_json_object("input", f"$.{key}").isNotNull()
     got = rows.groupBy("session").agg(
@@ -92,30 +118,97 @@ def sessions(rows: DataFrame) -> DataFrame:
         n(~F.col("ok")).alias("errors"),
         n((F.col("tool") == "search") & has("semanticQuery")).alias("semantic"),
         *(n(F.col("tool") == t).alias(f"n_{t}") for t in TOOLS),
-        F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("topic").isNotNull(), F.struct("ts", "ord", "topic")))), lambda x: x["topic"])), 1, 20).alias("topics"),
     )
+    got = got.join(first_topics(rows, "session", most_topics), "session", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
     got = got.withColumn("seconds", (scalars.micros("end") - scalars.micros("start")) / 1e6)
     kind = session_class(F.col("semantic"), F.col("n_browse"), F.col("n_expand_keys"), F.col("n_find_artworks"), F.col("n_resolve"), F.col("tools"), F.col("calls"), F.col("seconds"))
     return got.withColumns({"class": kind, "duration": scalars.duration_text(F.col("seconds"))})
 
 
-def topic(tool: Column, input_: Column) -> Column:
-    """What a call was about, in a few words; null where it says nothing."""
+def first_topics(rows: DataFrame, by: str = "session", most: int = 20) -> DataFrame:
+    """by and topics: the distinct topics of each group in the order of their first call, ``most`` at most. Equal ones are
+    merged before the shuffle, and no task holds more than ``most`` of a group."""
+    each = rows.select(by, "ts", "ord", F.posexplode(topics(F.col("tool"), F.col("input"))).alias("_i", "topic"))
+    first = each.groupBy(by, "topic").agg(F.min(F.struct("ts", "ord", "_i")).alias("_at"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_at"))
+    few = first.withColumn("_place", place).where(F.col("_place") <= most)
+    return few.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "topic"))), lambda x: x["topic"]).alias("topics"))
+
+
+def _listed(input_: Column) -> tuple[Column, Column, Column]:
+    """An input's codes, whether they are a list, and the first three of a list in brackets."""
+    code = F.get_json_object(input_, "$.notation")
+    many, is_list = F.from_json(code, "array<string>"), F.coalesce(code.startswith("["), F.lit(False))
+    few = F.concat(F.lit("["), F.array_join(F.slice(many, 1, 3), ", "), F.when(F.size(many) > 3, F.lit("...")).otherwise(F.lit("")), F.lit("]"))
+    return code, is_list, few
+
+
+def topics(tool: Column, input_: Column) -> Column:
+    """What a call was about, in a few words: an array, empty where it says nothing."""
+    get = lambda k: F.get_json_object(input_, f"$.{k}")
+    code, is_list, few = _listed(input_)
+    said = lambda head, c, tail="": F.concat(F.lit(head), c, F.lit(tail))
+    searches = F.array(said('query: "', get("query"), '"'), said('semantic: "', get("semanticQuery"), '"'), said("under: ", get("parentNotation")))
+    one = F.when(tool == "browse", said("browse: ", code)).when(tool == "search_prefix", said("prefix: ", code)).when(tool == "expand_keys", said("keys: ", code))
+    one = one.when((tool == "find_artworks") & is_list, said("artworks: ", few)).when((tool == "find_artworks") & (code != ""), said("artworks: ", code))
+    return F.array_compact(F.when(tool == "search", searches).otherwise(F.array(one)))
+
+
+def input_summary(tool: Column, input_: Column) -> Column:
+    """A call's input on one line."""
     get = lambda k: F.get_json_object(input_, f"$.{k}")
-    many = F.from_json(get("notation"), "array<string>")
-    few = F.concat(F.lit("artworks: ["), F.array_join(F.slice(many, 1, 3), ", "), F.when(F.size(many) > 3, F.lit("...")).otherwise(F.lit("")), F.lit("]"))
+    is_set = lambda k: F.coalesce(~get(k).isin("", "0", "false"), F.lit(False))
+    code, is_list, few = _listed(input_)
+    kind = lambda k: F.schema_of_variant(F.try_variant_get(F.try_parse_json(input_), f"$.{k}", "variant"))
+    shown = [F.when(get(k).isNotNull(), F.concat(F.lit(f"{k}:"), F.when(kind(k) == "STRING", F.concat(F.lit('"'), get(k), F.lit('"'))).otherwise(get(k)))) for k in SEARCH_KEYS]
+    shown += [F.when(is_set("onlyWithArtworks"), F.lit("onlyWithArtworks")), F.when(get("maxResults") != "25", F.concat(F.lit("max:"), get("maxResults")))]
+    cut = F.substring(input_, 1, 100)
+    search = F.concat_ws(", ", *shown)
+    extras = F.concat_ws(", ", F.when(get("depth") != "1", F.concat(F.lit("d:"), get("depth"))), F.when(is_set("includeKeys"), F.lit("keys")))
+    name = F.coalesce(code, F.lit("?"))
+    several = F.when(is_list, F.concat(few, F.lit(" (n="), F.size(F.from_json(code, "array<string>")), F.lit(")"))).when(code != "", code).otherwise(F.lit("?"))
     return (
-        F.when((tool == "search") & get("query").isNotNull(), F.concat(F.lit('query: "'), get("query"), F.lit('"')))
-        .when((tool == "search") & get("semanticQuery").isNotNull(), F.concat(F.lit('semantic: "'), get("semanticQuery"), F.lit('"')))
-        .when((tool == "search") & get("parentNotation").isNotNull(), F.concat(F.lit("under: "), get("parentNotation")))
-        .when(tool == "browse", F.concat(F.lit("browse: "), get("notation")))
-        .when(tool == "search_prefix", F.concat(F.lit("prefix: "), get("notation")))
-        .when(tool == "expand_keys", F.concat(F.lit("keys: "), get("notation")))
-        .when((tool == "find_artworks") & get("notation").startswith("["), few)
-        .when(tool == "find_artworks", F.concat(F.lit("artworks: "), get("notation")))
+        F.when(tool == "search", F.when(search != "", search).otherwise(cut))
+        .when(tool == "browse", F.when(extras != "", F.concat(name, F.lit(" ("), extras, F.lit(")"))).otherwise(name))
+        .when(tool.isin("resolve", "find_artworks"), several)
+        .when(tool.isin("expand_keys", "search_prefix"), F.when(is_set("offset"), F.concat(name, F.lit(" offset:"), get("offset"))).otherwise(name))
+        .otherwise(cut)
     )
 
 
+def brief_input(tool: Column, input_: Column) -> Column:
+    """The same in a few characters, for tables."""
+    get = lambda k: F.get_json_object(input_, f"$.{k}")
+    code, is_list, _ = _listed(input_)
+    many = F.from_json(code, "array<string>")
+    query = F.coalesce(get("query"), get("semanticQuery"))
+    asked = F.when(is_list, F.concat(F.lit("(["), F.get(many, 0), F.lit("...] n="), F.size(many), F.lit(")"))).when(code != "", F.concat(F.lit("("), code, F.lit(")")))
+    return F.coalesce(F.when((tool == "search") & query.isNotNull(), F.concat(F.lit('("'), F.substring(query, 1, 25), F.lit('")'))).when(tool.isin(*TOOLS[1:]), asked), F.lit(""))
+
+
+def semantic_calls(rows: DataFrame) -> DataFrame:
+    """Semantic searches, with category: cold over COLD_MS, as the first ones after a restart are, warm otherwise."""
+    semantic = (F.col("tool") == "search") & F.get_json_object("input", "$.semanticQuery").isNotNull()
+    return rows.where(semantic).withColumn("category", F.when(F.col("ms") > COLD_MS, "cold").otherwise("warm"))
+
+
+def cold_and_warm(rows: DataFrame) -> DataFrame:
+    """calls, median and max of cold and of warm semantic searches."""
+    return stats.describe(semantic_calls(rows), "ms", ["category"], (50,)).select("category", F.col("n").alias("calls"), "p50", "max")
+
+
+def cold_calls(rows: DataFrame) -> DataFrame:
+    """Every cold semantic search by time, with the first 60 characters of its query."""
+    found = chronological(semantic_calls(rows).where("category = 'cold'"))
+    return found.select("ts", "ms", F.substring(F.get_json_object("input", "$.semanticQuery"), 1, 60).alias("query"))
+
+
+def slowest(rows: DataFrame, k: int = 15) -> DataFrame:
+    """The k slowest calls over SLOW_MS, with a summary of their input; of equal ones the earlier first."""
+    found = rows.where(F.col("ms") > SLOW_MS).orderBy(F.desc("ms"), "ord").limit(k)
+    return found.select("ts", F.col("tool").alias("name"), "ms", input_summary(F.col("tool"), F.col("input")).alias("input"))
+
+
 def traffic(rows: DataFrame) -> DataFrame:
     """Per tool: calls, errors, error percent, min, median and max."""
     shape = stats.describe(rows, "ms", ["tool"], (50,)).select("tool", "min", "p50", "max")
@@ -129,10 +222,10 @@ def latency(rows: DataFrame) -> DataFrame:
 def repeats(rows: DataFrame, key: list[str], value: str, order: list[str], least: float = 20, ratio: float = 2, k: int = 10) -> DataFrame:
     """Keys whose second call was much faster than the first: first, repeat and speedup, the largest first. Only the two
     earliest of each key are kept, before the shuffle and after it."""
-    place = F.struct(*order, F.col(value).alias("_v"))
-    first = rows.groupBy(*key).agg(F.min(place).alias("a"))
-    later = rows.join(first, key).where(place > F.col("a")).groupBy(*key).agg(F.min(place).alias("b"), F.first("a").alias("a"))
-    got = later.select(*key, F.col("a._v").alias("first"), F.col("b._v").alias("repeat"))
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    two = rows.select(*key, *order, value).withColumn("_at", at).where(F.col("_at") <= 2)
+    pick = lambda k: F.max(F.when(F.col("_at") == k, F.col(value)))
+    got = two.groupBy(*key).agg(pick(1).alias("first"), pick(2).alias("repeat"), F.max("_at").alias("_n")).where("_n = 2").drop("_n")
     got = got.withColumn("speedup", F.col("first") / F.greatest(F.col("repeat"), F.lit(1)))
     return got.where((F.col("first") > least) & (F.col("speedup") > ratio)).orderBy(F.desc("speedup"), *key).limit(k)
 
@@ -148,18 +241,25 @@ def next_after(starts: DataFrame, others: DataFrame, by: list[str], ts: str = "t
 
 def boots(starts: DataFrame) -> DataFrame:
     """Container starts with the first later 'listening' line and the seconds between; there are few of them."""
-    begun = starts.where(F.contains("message", F.lit("Starting Container"))).select(F.lit(0).alias("_k"), "ts")
-    up = starts.where(F.contains("message", F.lit("listening on"))).select(F.lit(0).alias("_k"), "ts")
+    begun = starts.where(F.contains("message", F.lit(STARTING))).select(F.lit(0).alias("_k"), "ts")
+    up = starts.where(F.contains("message", F.lit(LISTENING))).select(F.lit(0).alias("_k"), "ts")
     return next_after(begun, up, ["_k"]).drop("_k").withColumn("seconds", (scalars.micros("next_ts") - scalars.micros("ts")) / 1e6)
 
 
 def cycling_hours(starts: DataFrame) -> DataFrame:
     """Mean hours between container starts; null for fewer than two."""
     t = scalars.micros("ts")
-    begun = starts.where(F.contains("message", F.lit("Starting Container")))
+    begun = starts.where(F.contains("message", F.lit(STARTING)))
     return begun.agg(F.count(F.lit(1)).alias("starts"), F.when(F.count(F.lit(1)) > 1, (F.max(t) - F.min(t)) / 3.6e9 / (F.count(F.lit(1)) - 1)).alias("hours"))
 
 
+def mean_interval(rows: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
+    """Mean seconds between the rows of each group that has more than one."""
+    t = scalars.micros(ts)
+    got = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("span"))
+    return got.where("n > 1").select(*by, F.round(F.col("span") / 1e6 / (F.col("n") - 1), 3).alias("seconds"))
+
+
 def batch_sizes(rows: DataFrame, tool: str) -> DataFrame:
     """min, median and max number of codes a call asks for, and the percent of calls with one."""
     code = F.get_json_object("input", "$.notation")
@@ -259,10 +359,10 @@ def recommendations(rows: DataFrame, starts: DataFrame) -> list[tuple[str, str]]
     return out
 
 
-def report(lines: DataFrame, most: int | None = None) -> str:
+def report(lines: DataFrame, most: int | None = None, since: str | None = None, until: str | None = None, period: str | None = None, store: str = "") -> str:
     """The whole report as markdown. Errors and sessions are listed one by one, as a report's reader wants them; ``most``
     bounds these two lists for logs where they would be too many for the driver."""
-    rows, starts = calls(lines), startups(lines)
+    rows, starts = (between(x, since, until, period) for x in (calls(lines), startups(lines, startup_patterns(store))))
     order = {t: i for i, t in enumerate(TOOLS)}
 
     def table(title: str, df: DataFrame) -> str:
@@ -276,7 +376,9 @@ def report(lines: DataFrame, most: int | None = None) -> str:
     parts = [
         table("Traffic", traffic(known)),
         table("Latency", latency(known)),
-        table("Slowest calls", rows.where(F.col("ms") > SLOW_MS).orderBy(F.desc("ms"), "ord").limit(15).select("ts", F.col("tool").alias("name"), "ms", "input")),
+        table("Semantic searches", cold_and_warm(rows)),
+        table("Cold semantic searches", listed(cold_calls(rows))),
+        table("Slowest calls", slowest(rows)),
         table("Boot times", boots(starts)),
         table("Errors", listed(rows.where("not ok").orderBy("ts", "ord")).select("ts", F.col("tool").alias("name"), "error")),
         table("Sessions by day", s.groupBy(F.to_date("start").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls")).orderBy("day")),
@@ -285,7 +387,7 @@ def report(lines: DataFrame, most: int | None = None) -> str:
         table("Most browsed", top_inputs(rows, "browse", "notation")),
         table("Tool by tool", top_per_aspect(breakdown(known)).orderBy("tool", "aspect", "place").withColumnRenamed("tool", "name")),
         table("Resolve batches", batch_sizes(rows, "resolve")),
-        table("Repeat calls", repeats(rows.withColumn("key", scalars.canonical_object(F.col("input"))), ["tool", "key"], "ms", ["ts", "ord"]).withColumnRenamed("tool", "name")),
+        table("Repeat calls", repeats(rows.withColumn("key", scalars.canonical_object(F.col("input"))), ["tool", "key"], "ms", ["ts", "ord"]).select(F.col("tool").alias("name"), brief_input(F.col("tool"), F.col("key")).alias("input"), "first", "repeat", "speedup")),
         table("Distinct codes", codes_asked(rows)),
         table("Totals", totals(rows)),
         "## Recommendations\n\n" + "\n".join(f"{i}. ({impact}) {text}" for i, (impact, text) in enumerate(recommendations(rows, starts), 1)),

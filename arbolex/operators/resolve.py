@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYWORD_CAP = 40
@@ -33,8 +33,9 @@ def keywords(words: DataFrame, lang: str, key: str = "notation", cap: int = KEYW
     ranked = words.withColumn("_r", language_rank(F.col("lang"), chain))
     best = ranked.groupBy(key).agg(F.min("_r").alias("_best"))
     rows = ranked.join(best, key).where("_r = _best")
-    item = F.struct("lang", "ord", "keyword")
-    return rows.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(item)), 1, cap), lambda x: x["keyword"]).alias("keywords"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("lang", "ord", "keyword"))
+    first = rows.withColumn("_place", place).where(F.col("_place") <= cap)  # cut in each task before the shuffle, too
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
 
 
 def entries(vocabulary, page: DataFrame, lang: str = "en") -> DataFrame:
@@ -64,3 +65,9 @@ def entries(vocabulary, page: DataFrame, lang: str = "en") -> DataFrame:
         "key_id",
         F.coalesce("collections", none).alias("collections"),
     ).orderBy("pos")
+
+
+def cross_references(refs: DataFrame, known: DataFrame, key: str = "ref") -> DataFrame:
+    """The references of a page of codes (key, and what orders them) with what is known of them: the known ones first, then
+    the rest as bare codes. ``known`` has a column of the key's name; it is cut down to the page first."""
+    return refs.join(known.join(F.broadcast(refs.select(key).distinct()), key, "left_semi").withColumn("_known", F.lit(0)), key, "left").withColumn("_known", F.coalesce("_known", F.lit(1)))

@@ -1,13 +1,16 @@
 """Full-text search over labels: phrases, AND of terms, BM25 with corpus-wide statistics.
 
-A token table (one row per text) is the index: ``padded`` holds the tokens between spaces and ``n_tokens`` their number.
-Tokenising is the costly step, so an engine writes this table at ingest and queries start from it; filters on derived
+There are two forms of index. A token table has one row per text: ``padded`` holds the tokens between spaces and ``n_tokens`` their
+number. It is scanned whole. Postings have one row per token and text, with the token's positions; a store holds them
+sorted by token, so that a query reads the rows of its own tokens only, beside one row of statistics. Both give the same hits and
+ranks. Tokenising is the costly step, so either is written at ingest and queries start from it; filters on derived
 columns would otherwise make the optimizer tokenise again for each of them.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,14 +86,53 @@ def search(index: DataFrame, phrases: list[list[str]], scope: Column | None = No
         F.avg("n_tokens").alias("_avg"),
         *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))),
     )
+    return _scored(counts, stats, len(phrases), scope)
+
+
+def postings(table_: DataFrame) -> DataFrame:
+    """token, the columns of the token table but ``padded``, and the token's positions, of a token table whose other
+    columns tell its rows apart."""
+    rest = [c for c in table_.columns if c != "padded"]
+    words = table_.select(*rest, F.posexplode(F.split(F.trim("padded"), " ")).alias("_at", "token")).where("token != ''")
+    return words.groupBy("token", *rest).agg(F.array_sort(F.collect_list("_at")).alias("positions"))  # of one text
+
+
+def index_statistics(table_: DataFrame) -> DataFrame:
+    """One row: the number of texts, those without tokens included, and their mean length in tokens."""
+    return table_.agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_avg"))
+
+
+def search_postings(index: DataFrame, statistics: DataFrame, phrases: list[list[str]], scope: Column | None = None) -> DataFrame:
+    """What ``search`` gives, from postings: rows are read by token, and a phrase occurs where its tokens' positions, each
+    moved back by its place in the phrase, meet."""
+    rest = [c for c in index.columns if c not in ("token", "positions")]
+    if not phrases:
+        return index.where(F.lit(False)).select(*(c for c in rest if c != "n_tokens"), F.lit(0.0).alias("rank"))
+    words = sorted({w for p in phrases for w in p})
+    found = index.where(F.col("token").isin(words)).groupBy(*rest).agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"_w{i}") for i, w in enumerate(words)))
+
+    def places(phrase: list[str]) -> Column:
+        moved = [F.transform(F.coalesce(f"_w{words.index(w)}", F.array().cast("array<int>")), lambda x, k=k: x - k) for k, w in enumerate(phrase)]
+        out = moved[0]
+        for m in moved[1:]:
+            out = F.array_intersect(out, m)
+        return F.size(out)
+
+    counts = found.select(*rest, *(places(p).alias(f"_tf{i}") for i, p in enumerate(phrases)))
+    frequency = counts.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))))
+    return _scored(counts, statistics.crossJoin(frequency), len(phrases), scope)  # one row each
+
+
+def _scored(counts: DataFrame, statistics: DataFrame, n: int, scope: Column | None) -> DataFrame:
+    """Rows with all terms, and their rank, from term counts _tf and one row of _n, _avg and _df."""
     hits = counts
-    for i in range(len(phrases)):
+    for i in range(n):
         hits = hits.where(F.col(f"_tf{i}") > 0)
     if scope is not None:
         hits = hits.where(scope)
-    hits = hits.crossJoin(F.broadcast(stats))  # one row
+    hits = hits.crossJoin(F.broadcast(statistics))  # one row
     score = F.lit(0.0)
-    for i in range(len(phrases)):
+    for i in range(n):
         idf = F.greatest(F.log((F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5)), F.lit(LEAST_IDF))
         tf = F.col(f"_tf{i}").cast("double")
         score = score + idf * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_tokens") / F.col("_avg"))))
@@ -105,12 +147,42 @@ def best_ranks(hits: list[DataFrame], key: str) -> DataFrame:
     return both.groupBy(key).agg(F.min("rank").alias("rank"))
 
 
-def search_with_fallback(indexes: list[DataFrame], query: str, key: str, scope: Column | None = None) -> DataFrame:
+Searcher = Callable[[list[list[str]], Column | None], DataFrame]
+
+
+def scanning(index: DataFrame) -> Searcher:
+    """Search over a token table."""
+    return lambda phrases, scope: search(index, phrases, scope)
+
+
+def reading(index: DataFrame, statistics: DataFrame) -> Searcher:
+    """Search over postings."""
+    return lambda phrases, scope: search_postings(index, statistics, phrases, scope)
+
+
+def search_with_fallback(indexes: list[DataFrame | Searcher], query: str, key: str, scope: Column | None = None) -> DataFrame:
     """The phrase's hits over all indexes; only if there are none at all, those of the AND of its words."""
+    ways = [i if callable(i) else scanning(i) for i in indexes]
     phrases, terms = phrase_tokens(query), term_tokens(query)
-    exact = best_ranks([search(i, phrases, scope) for i in indexes], key)
+    exact = best_ranks([way(phrases, scope) for way in ways], key)
     if not terms:
         return exact
-    loose = best_ranks([search(i, terms, scope) for i in indexes], key)
+    loose = best_ranks([way(terms, scope) for way in ways], key)
     some = exact.agg(F.count(F.lit(1)).alias("_some"))  # one row
     return exact.unionByName(loose.crossJoin(F.broadcast(some)).where("_some = 0").select(key, "rank"))
+
+
+def unique_hits(indexes: dict[str, DataFrame], queries: list[str], key: str) -> DataFrame:
+    """query, one column for each index with how many distinct keys its phrase hits there, and ``combined``, how many in any.
+    One pass over each index for all queries."""
+    asked = [(q, phrase_tokens(q)) for q in queries]
+    parts = []
+    for name, index in indexes.items():
+        hit = F.array_compact(F.array(*(F.when(occurrences(p[0]) > 0 if p else F.lit(False), F.lit(q)) for q, p in asked)))
+        parts.append(index.select(key, F.explode(hit).alias("query")).select("query", key, F.lit(name).alias("_index")))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    sums = both.groupBy("query").agg(*(F.count_distinct(F.when(F.col("_index") == n, F.col(key))).alias(n) for n in indexes), F.count_distinct(key).alias("combined"))
+    names = both.sparkSession.createDataFrame([(q,) for q in dict.fromkeys(queries)], "query string")
+    return names.join(sums, "query", "left").select("query", *(F.coalesce(n, F.lit(0)).alias(n) for n in (*indexes, "combined")))

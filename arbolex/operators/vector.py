@@ -63,8 +63,54 @@ def nearest(vectors: DataFrame, key: str, query: list[int], k: int, keep: DataFr
     rows = vectors if scope is None else vectors.where(scope)
     if keep is not None:
         rows = rows.join(keep.select(key).distinct(), key, "left_semi")
-    q = F.array(*(F.lit(x).cast("tinyint") for x in query))
-    return rows.select(key, cosine_distance(F.col("embedding"), q).alias("distance")).orderBy("distance", key).limit(k)
+    return distances(rows, key, query, k).orderBy("distance", key).limit(k)
+
+
+def distances(rows: DataFrame, key: str, query: list[int], k: int | None = None) -> DataFrame:
+    """key and the cosine distance of its vector to the query, by one product of matrix and vector for each Arrow batch; with
+    ``k`` only the nearest k of a batch, and what ties with the last of them."""
+    q = np.array(query, np.int64)
+    own = float(q @ q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, at = batch.column(1).flatten(), np.diff(np.asarray(batch.column(1).offsets))
+            if (at != len(q)).any():
+                raise ValueError(f"a vector has not the {len(q)} dimensions of the query")
+            m = np.asarray(flat).reshape(-1, len(q)).astype(np.int64)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                far = 1 - (m @ q) / np.sqrt((m * m).sum(1).astype(np.float64) * own)
+            keep = slice(None)
+            if k is not None and len(far) > k:
+                last = np.partition(far, k - 1)[k - 1]
+                keep = np.flatnonzero(~(far > last))
+            yield pa.record_batch([batch.column(0).take(pa.array(np.arange(len(far))[keep])), pa.array(far[keep])], names=[key, "distance"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.select(key, "embedding").where("embedding is not null").mapInArrow(run, f"`{key}` {kind}, distance double")
+
+
+def nearest_then_kept(vectors: DataFrame, key: str, query: list[int], k: int, keep: DataFrame | None = None, scope: Column | None = None, most: int = 4096) -> DataFrame:
+    """The same with the keys in ``keep`` as a filter after the top-k, which takes 5 times k rows within a scope and 20
+    times k elsewhere, ``most`` at most; it may give fewer than k."""
+    if keep is None:
+        return nearest(vectors, key, query, min(k, most), None, scope)
+    wide = nearest(vectors, key, query, min(k * (5 if scope is not None else 20), most), None, scope)
+    return wide.join(keep.select(key).distinct(), key, "left_semi").orderBy("distance", key).limit(k)
+
+
+def validated(vectors: DataFrame, key: str, queries: dict[str, list[int]], k: int = 5) -> DataFrame:
+    """query, the k nearest keys, and whether the nearest is that of a plain scan with SQL expressions."""
+    out = None
+    for name, q in queries.items():
+        near = nearest(vectors, key, q, k).agg(F.array_sort(F.collect_list(F.struct("distance", key))).alias("_near"))  # k rows
+        probe = F.array(*(F.lit(x).cast("tinyint") for x in q))
+        plain = vectors.select(key, cosine_distance(F.col("embedding"), probe).alias("_d")).agg(F.min(F.struct("_d", key)).alias("_best"))
+        row = near.crossJoin(plain).select(F.lit(name).alias("query"), F.transform("_near", lambda x: x[key]).alias("nearest"), (F.get("_near", F.lit(0))[key] == F.col("_best")[key]).alias("agrees"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def embedded(rows: DataFrame, embed: Callable[[list[str]], np.ndarray], key: str = "notation", text: str = "text", batch: int = 512) -> DataFrame:

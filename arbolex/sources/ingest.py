@@ -13,7 +13,6 @@ from arbolex.functions import scalars
 from arbolex.operators import hierarchy
 
 
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, recursiveFileLookup=True).select("value", F.url_decode(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
@@ -54,26 +53,34 @@ def keywords(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("key").alias("notation"), "lang", scalars.fixed_keyword(F.col("lang"), F.col("text")).alias("keyword"), "ord")
 
 
-def collection_counts(spark: SparkSession, path: str) -> DataFrame:
-    """collection_id, notation, count from '<id>-counts.csv' files: header, short rows and counts below 1 are dropped, and
-    the last row of a code counts."""
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """collection_id, notation, count, ord from '<id>-counts.csv' files, quoted cells included; header, short rows and
+    counts below 1 are dropped."""
     rows = _lines(spark, path).where(F.col("file").rlike(r"-counts\.csv$"))
-    cells = F.split("value", ",")
-    rows = rows.where(F.size(cells) >= 2).select(
+    cells = F.from_csv("value", "notation string, count string", {"quote": '"', "escape": '"'})
+    rows = rows.select(
         F.regexp_extract("file", r"([^/]+)-counts\.csv$", 1).alias("collection_id"),
-        F.trim(F.regexp_replace(cells[0], '^"|"$', "")).alias("notation"),
-        F.trim(cells[1]).try_cast("int").alias("count"),
+        F.trim(cells["notation"]).alias("notation"),
+        F.trim(cells["count"]).try_cast("int").alias("count"),
         F.struct("file", "block", "line").alias("ord"),
     )
-    rows = rows.where("count > 0 and notation != ''")
+    return rows.where("count > 0 and notation != ''")
+
+
+def last_counts(rows: DataFrame) -> DataFrame:
+    """collection_id, notation, count: the last row of a code counts."""
     return rows.groupBy("collection_id", "notation").agg(F.max_by("count", "ord").alias("count"))
 
 
-def collection_info(counts: DataFrame, labels_: dict[str, str] | None = None) -> DataFrame:
-    """A row for each collection: its label, from the given ones or made of its id, and its number of codes."""
-    known = F.create_map(*(F.lit(x) for kv in (labels_ or {"": ""}).items() for x in kv))
-    got = counts.groupBy("collection_id").agg(F.count(F.lit(1)).cast("int").alias("total_notations"))
-    return got.select("collection_id", F.coalesce(known[F.col("collection_id")], scalars.title_label(F.col("collection_id"))).alias("label"), F.lit(None).cast("string").alias("counts_as_of"), "total_notations", F.lit(None).cast("string").alias("search_url_template"))
+def collection_counts(spark: SparkSession, path: str) -> DataFrame:
+    return last_counts(count_rows(spark, path))
+
+
+def collection_info(rows: DataFrame, labels_: dict[str, str] | None = None, templates: dict[str, str] | None = None, as_of: str | None = None) -> DataFrame:
+    """A row for each collection: its label, from the given ones or made of its id, and its number of rows as read."""
+    from_ = lambda given: F.create_map(*(F.lit(x) for kv in (given or {"": ""}).items() for x in kv))[F.col("collection_id")]
+    got = rows.groupBy("collection_id").agg(F.count(F.lit(1)).cast("int").alias("total_notations"))
+    return got.select("collection_id", F.coalesce(from_(labels_), scalars.title_label(F.col("collection_id"))).alias("label"), F.lit(as_of).cast("string").alias("counts_as_of"), "total_notations", from_(templates).alias("search_url_template"))
 
 
 def structure(raw: DataFrame) -> DataFrame:
@@ -90,14 +97,16 @@ def structure(raw: DataFrame) -> DataFrame:
         F.when(keyed, F.coalesce("base", scalars.without_modifier(n))).alias("base_notation"),
         F.when(keyed, scalars.modifier_id(F.col("key"))).alias("key_id"),
         keyed.alias("is_key_expanded"),
+        F.when(keyed, F.col("key")).alias("key_source"),  # of use while labels are composed
     )
 
 
 def composed_labels(notations: DataFrame, base: DataFrame, keys: DataFrame) -> DataFrame:
-    """Labels of codes with modifiers: the base's label and the key's, '{base} (+ {key})'; without a base none."""
-    rows = notations.where("is_key_expanded").select("notation", scalars.without_modifier(F.col("notation")).alias("_base"), F.substring("key_id", 2, 100).alias("_key"))
+    """Labels of codes with modifiers: the base's label and the key's, '{base} (+ {key})'; without a base none. A key is
+    known by its whole id (``key_source``), as families of keys share the numbers of theirs."""
+    rows = notations.where("is_key_expanded").select("notation", scalars.without_modifier(F.col("notation")).alias("_base"), F.col("key_source").alias("_key"))
     rows = rows.join(base.withColumnRenamed("notation", "_base"), "_base")
-    keyed = keys.select(F.substring_index("key_id", "k", -1).alias("_key"), "lang", F.col("text").alias("_ktext")).dropDuplicates(["_key", "lang"])
+    keyed = keys.select(F.col("key_id").alias("_key"), "lang", F.col("text").alias("_ktext"))
     return rows.join(keyed, ["_key", "lang"], "left").select("notation", "lang", scalars.composed_label(F.col("text"), F.col("_ktext")).alias("text"))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException, SparkRuntimeException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolex.operators import text
+from arbolex.operators import text, vector
+from arbolex.session import recovered, swapped
 
 SCHEMA_VERSION = "3"
 SCHEMAS = {
@@ -20,7 +22,8 @@ SCHEMAS = {
     "embeddings": "notation string, embedding array<tinyint>",
     "meta": "key string, value string",
 }
-INDEX = "notation string, padded string, n_tokens int"
+INDEX = "notation string, notation_lc string, lang string, ord long, padded string, n_tokens int"
+POSTINGS = "token string, notation string, notation_lc string, lang string, ord long, n_tokens int, positions array<int>"
 
 
 @dataclass
@@ -37,6 +40,14 @@ class Vocabulary:
     label_index: DataFrame
     keyword_index: DataFrame
     missing: list[str] = field(default_factory=list)
+    postings: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)  # by index: postings and statistics
+
+    def searchers(self) -> list[DataFrame | text.Searcher]:
+        """The two text indexes, as postings where the store has them."""
+        return [text.reading(*self.postings[n]) if n in self.postings else getattr(self, n) for n in INDEXES]
+
+
+INDEXES = {"label_index": "texts", "keyword_index": "keywords"}
 
 
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
@@ -47,57 +58,84 @@ def vocabulary(spark: SparkSession, **tables: DataFrame) -> Vocabulary:
     """A vocabulary of DataFrames; the token indexes are made where they are not given."""
     missing = [k for k in SCHEMAS if k not in tables]
     t = {k: tables.get(k, _empty(spark, s)) for k, s in SCHEMAS.items()}
-    if "notation_lc" not in t["notations"].columns:
-        t["notations"] = t["notations"].withColumn("notation_lc", F.lower("notation"))
-    label = tables.get("label_index") or text.token_table(t["texts"], "text", "notation")
-    words = tables.get("keyword_index") or text.token_table(t["keywords"], "keyword", "notation")
-    return Vocabulary(**t, label_index=label, keyword_index=words, missing=missing)
+    for name in ("notations", "embeddings"):
+        if "notation_lc" not in t[name].columns:
+            t[name] = t[name].withColumn("notation_lc", F.lower("notation"))
+    own = {"texts": "text", "keywords": "keyword"}
+    index = {n: tables.get(n) or text.token_table(t[of].withColumn("notation_lc", F.lower("notation")), own[of], "notation", "notation_lc", "lang", "ord") for n, of in INDEXES.items()}
+    return Vocabulary(**t, **index, missing=missing, postings=tables.get("postings") or {})
 
 
 def write(v: Vocabulary, path: str) -> None:
     """Writes all tables. Codes are range-partitioned and sorted, so that prefix filters skip row groups; the token
-    indexes are tokenised once, here."""
-    order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation", "keyword_index": "notation", "embeddings": "notation", "counts": "notation"}
-    for name in (*SCHEMAS, "label_index", "keyword_index"):
+    indexes are tokenised once, here, and their postings sorted by token, so that a query reads its own tokens."""
+    order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation_lc", "keyword_index": "notation_lc", "embeddings": "notation_lc", "counts": "notation"}
+    for name in (*SCHEMAS, *INDEXES):
         if name in v.missing:
             continue
         df = getattr(v, name)
         if key := order.get(name):
             df = df.repartitionByRange(key).sortWithinPartitions(key)
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, of in INDEXES.items():
+        if of in v.missing:
+            continue
+        table_ = v.notations.sparkSession.read.parquet(f"{path}/{name}")
+        # A frequent token's rows go to several files, in the order of its codes.
+        text.postings(table_).repartitionByRange("token", "notation_lc").sortWithinPartitions("token", "notation_lc").write.mode("overwrite").parquet(f"{path}/{name}_postings")
+        text.index_statistics(table_).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}_statistics")
+
+
+def stamped(v: Vocabulary, built_at: str, source: str = "", dimensions: int | None = None) -> Vocabulary:
+    """``v`` with its version rows: when and from what it was built, how many codes of each kind and vectors it has, in
+    which languages, and the layout. Rows that it has already stay, unless they are of these keys."""
+    spark = v.notations.sparkSession
+    n = v.notations.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_key_expanded").alias("k")).first()
+    langs = lambda df: ",".join(sorted(r["lang"] for r in df.select("lang").distinct().collect()))
+    rows = {"built_at": built_at, "source": source, "notation_count": n["n"], "base_notation_count": n["n"] - n["k"], "key_expanded_count": n["k"], "text_languages": langs(v.texts), "keyword_languages": langs(v.keywords), "schema_version": SCHEMA_VERSION}
+    if "embeddings" not in v.missing:
+        rows["embedding_count"] = v.embeddings.count()
+    if dimensions is not None:
+        rows["embedding_dimensions"] = dimensions
+    rows = metadata(v) | {k: str(x) for k, x in rows.items()}
+    return replace(v, meta=spark.createDataFrame(sorted(rows.items()), SCHEMAS["meta"]), missing=[m for m in v.missing if m != "meta"])
+
+
+def upsert(spark: SparkSession, path: str, new: DataFrame, key: list[str]) -> None:
+    """Rows of a stored table replaced or added by key: written beside the table, and then put in its place."""
+    try:
+        old = spark.read.parquet(recovered(spark, path)).select(*new.columns)
+        both = old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
+    except AnalysisException:
+        both = new
+    both.write.mode("overwrite").parquet(f"{path}.tmp")
+    swapped(spark, f"{path}.tmp", path)
 
 
 def publish(v: Vocabulary, path: str) -> bool:
     """Replaces the store at ``path`` by ``v``: written beside it, read back and checked, and only then put in its place.
-    If that fails the old store stays as it was, and what was staged is removed. Says whether ``v`` is in place."""
+    If that fails the old store stays as it was, and what was staged is removed. Should the caller be lost between the two
+    renames, ``open_store`` opens the old store from where it was moved to. Says whether ``v`` is in place."""
     spark = v.notations.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    place, staged, old = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}{end}") for end in ("", ".staged", ".old"))
-    fs = place.getFileSystem(conf)
-    fs.delete(staged, True)
+    staged = f"{path.rstrip('/')}.staged"
+    place = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(place, True)
     try:
-        write(v, staged.toString())
-        whole = not open_store(spark, staged.toString()).notations.isEmpty()
-    except (AnalysisException, SparkRuntimeException):
+        write(v, staged)
+        whole = not open_store(spark, staged).notations.isEmpty()
+    except (PySparkException, Py4JJavaError):
         whole = False
-    if not whole:
-        fs.delete(staged, True)
-        return False
-    fs.delete(old, True)
-    had = fs.exists(place)
-    if had:
-        fs.rename(place, old)
-    if not fs.rename(staged, place):
-        if had:
-            fs.rename(old, place)
-        return False
-    fs.delete(old, True)
-    return True
+    if whole and swapped(spark, staged, path):
+        return True
+    fs.delete(place, True)
+    return False
 
 
 def open_store(spark: SparkSession, path: str) -> Vocabulary:
     """Opens a store. notations and texts must be there; an overlay or embeddings that are absent or of another layout are
     left out, and what depends on them is empty."""
+    path = recovered(spark, path)
     got = {}
     for name, schema in SCHEMAS.items():
         try:
@@ -108,12 +146,27 @@ def open_store(spark: SparkSession, path: str) -> Vocabulary:
         except AnalysisException:
             if name in ("notations", "texts"):
                 raise
-    for name in ("label_index", "keyword_index"):
+    for name in INDEXES:
         try:
-            got[name] = spark.read.parquet(f"{path}/{name}")
+            table_ = spark.read.parquet(f"{path}/{name}")
+            if {c.split()[0] for c in INDEX.split(", ")} <= set(table_.columns):
+                got[name] = table_
+                got.setdefault("postings", {})[name] = (spark.read.parquet(f"{path}/{name}_postings"), spark.read.parquet(f"{path}/{name}_statistics"))
         except AnalysisException:
             pass
-    return vocabulary(spark, **got)
+    v = vocabulary(spark, **got)
+    if "embeddings" not in v.missing and not counts_agree(metadata(v).get("embedding_count"), v.embeddings):
+        v = vocabulary(spark, **{k: x for k, x in got.items() if k != "embeddings"})
+    return v
+
+
+def counts_agree(expected: str | None, embeddings: DataFrame) -> bool:
+    """Whether a store has all its vectors; a number that is unknown, or none, is trusted. Without them a search by
+    meaning would silently miss codes, so such a store is opened without vectors."""
+    try:
+        return vector.counts_agree(float(expected) if expected is not None else None, embeddings.count())
+    except ValueError:
+        return True
 
 
 def metadata(v: Vocabulary) -> dict[str, str]:
