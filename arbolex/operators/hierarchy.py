@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHILD_CAP, SUBTREE_CAP = 25, 250
@@ -63,6 +63,13 @@ def near_codes(codes: DataFrame, code: str = "code") -> DataFrame:
     return first.select("code", F.col("x.kind").alias("kind"), F.col("x.kind_ord").alias("kind_ord"), F.col("x.pos").alias("pos"), F.col("x.change").alias("change"), "candidate")
 
 
+def first_near(candidates: DataFrame, known: DataFrame, k: int = 10) -> DataFrame:
+    """The first k candidates of each code that are known, in the order in which they were made, and their place."""
+    found = candidates.join(known.select(F.col("notation").alias("candidate")).distinct(), "candidate", "left_semi")
+    place = F.row_number().over(Window.partitionBy("code").orderBy("kind_ord", "pos", "change"))
+    return found.withColumn("place", place.cast("long")).where(F.col("place") <= k)
+
+
 def children_of(code: Column, children: Column, modifiers: Column) -> Column:
     """Children as stored: for a code with a modifier, its base with each modifier; else its children without
     placeholders ('...')."""

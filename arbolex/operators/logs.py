@@ -203,6 +203,16 @@ def cold_calls(rows: DataFrame) -> DataFrame:
     return found.select("ts", "ms", F.substring(F.get_json_object("input", "$.semanticQuery"), 1, 60).alias("query"))
 
 
+def failed(rows: DataFrame) -> DataFrame:
+    """Every failed call by time."""
+    return chronological(rows.where("not ok")).select("ts", "tool", "error")
+
+
+def sessions_by_day(found: DataFrame) -> DataFrame:
+    """How many sessions began on each day, and how many calls they made."""
+    return found.groupBy(F.to_date("start").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls"))
+
+
 def slowest(rows: DataFrame, k: int = 15) -> DataFrame:
     """The k slowest calls over SLOW_MS, with a summary of their input; of equal ones the earlier first."""
     found = rows.where(F.col("ms") > SLOW_MS).orderBy(F.desc("ms"), "ord").limit(k)
@@ -380,8 +390,8 @@ def report(lines: DataFrame, most: int | None = None, since: str | None = None,
         table("Cold semantic searches", listed(cold_calls(rows))),
         table("Slowest calls", slowest(rows)),
         table("Boot times", boots(starts)),
-        table("Errors", listed(rows.where("not ok").orderBy("ts", "ord")).select("ts", F.col("tool").alias("name"), "error")),
-        table("Sessions by day", s.groupBy(F.to_date("start").alias("day")).agg(F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls")).orderBy("day")),
+        table("Errors", listed(failed(rows)).withColumnRenamed("tool", "name")),
+        table("Sessions by day", sessions_by_day(s).orderBy("day")),
         table("Sessions", listed(s.select("session", "start", "duration", "calls", "class", F.array_join("topics", "; ").alias("topics")).orderBy("session"))),
         table("Top queries", top_inputs(rows, "search", "query")),
         table("Most browsed", top_inputs(rows, "browse", "notation")),

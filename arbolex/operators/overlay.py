@@ -59,3 +59,11 @@ def counts_per_code(mappings: DataFrame, vocabulary: DataFrame, fields: DataFram
     else:
         joined, work = mappings.where("field = 'subject'").join(vocabulary, mappings["vocab_id"] == vocabulary["id"]), "object_number"
     return joined.groupBy("notation").agg(F.count_distinct(work).alias("count")).orderBy(F.desc("count"), "notation")
+
+
+def held_share(hits: DataFrame, counts: DataFrame, key: str = "notation", places: int = 6) -> DataFrame:
+    """collection_id and share: what part of the hits each collection holds."""
+    n = hits.agg(F.count(F.lit(1)).alias("_n"))  # one row
+    held = counts.join(hits.select(key), key, "left_semi").groupBy("collection_id").agg(F.count_distinct(key).alias("_held"))
+    rows = counts.select("collection_id").distinct().join(held, "collection_id", "left").crossJoin(F.broadcast(n))
+    return rows.select("collection_id", F.round(F.coalesce("_held", F.lit(0)) / F.greatest("_n", F.lit(1)), places).alias("share"))

@@ -43,7 +43,7 @@ def entries(vocabulary, page: DataFrame, lang: str = "en") -> DataFrame:
 
     A page has at most a few hundred codes, so it is broadcast and every table is cut down to it first."""
     page = F.broadcast(page)
-    rows = vocabulary.notations.join(page, "notation")
+    rows = in_order(page, vocabulary.notations)
     wanted = rows.select("notation").unionByName(rows.select(F.explode("path").alias("notation"))).distinct()
     label = labels(vocabulary.texts.join(wanted, "notation", "left_semi"), lang)
     words = keywords(vocabulary.keywords.join(page.select("notation").distinct(), "notation", "left_semi"), lang)
@@ -67,6 +67,11 @@ def entries(vocabulary, page: DataFrame, lang: str = "en") -> DataFrame:
     ).orderBy("pos")
 
 
+def in_order(page: DataFrame, known: DataFrame, key: str = "notation") -> DataFrame:
+    """What is known of each code of a page (pos, key), in the page's order with its repeats; unknown codes are dropped."""
+    return F.broadcast(page).join(known, key).select("pos", *known.columns).orderBy("pos")
+
+
 def cross_references(refs: DataFrame, known: DataFrame, key: str = "ref") -> DataFrame:
     """The references of a page of codes (key, and what orders them) with what is known of them: the known ones first, then
     the rest as bare codes. ``known`` has a column of the key's name; it is cut down to the page first."""

@@ -102,6 +102,10 @@ def index_statistics(table_: DataFrame) -> DataFrame:
     return table_.agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_avg"))
 
 
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
 def search_postings(index: DataFrame, statistics: DataFrame, phrases: list[list[str]], scope: Column | None = None) -> DataFrame:
     """What ``search`` gives, from postings: rows are read by token, and a phrase occurs where its tokens' positions, each
     moved back by its place in the phrase, meet."""
@@ -112,10 +116,10 @@ def search_postings(index: DataFrame, statistics: DataFrame, phrases: list[list[
     found = index.where(F.col("token").isin(words)).groupBy(*rest).agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"_w{i}") for i, w in enumerate(words)))
 
     def places(phrase: list[str]) -> Column:
-        moved = [F.transform(F.coalesce(f"_w{words.index(w)}", F.array().cast("array<int>")), lambda x, k=k: x - k) for k, w in enumerate(phrase)]
-        out = moved[0]
-        for m in moved[1:]:
-            out = F.array_intersect(out, m)
+        out = None
+        for k, w in enumerate(phrase):
+            moved = F.transform(F.coalesce(f"_w{words.index(w)}", F.array().cast("array<int>")), _back(k))
+            out = moved if out is None else F.array_intersect(out, moved)
         return F.size(out)
 
     counts = found.select(*rest, *(places(p).alias(f"_tf{i}") for i, p in enumerate(phrases)))

@@ -94,7 +94,7 @@ FROM asked LEFT JOIN part ON p_partkey = notation LEFT JOIN held ON l_partkey =
 def find_artworks(spark, d):
     codes = spark.createDataFrame([(i, str(n)) for i, n in enumerate(_ASKED)], "pos long, notation string")
     labels = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("notation"), F.col("p_name").alias("text"))
-    counts = _counts(spark, d).withColumn("notation", F.col("notation").cast("string"))
+    counts = _counts(spark, d).where(F.col("notation").isin(*_ASKED)).withColumn("notation", F.col("notation").cast("string"))  # a page of codes
     info = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("collection_id"), F.col("s_name").alias("label"), F.lit(None).cast("string").alias("search_url_template"))
     got = overlay.holdings(codes, labels, counts, info, "https://example.org/?uri={code}")
     return got.select("pos", F.col("notation").cast("long").alias("notation"), "text", F.posexplode_outer("collections").alias("place", "c"), "aggregator_url").select(
@@ -107,21 +107,21 @@ SELECT pos, notation, p_name AS text, p_brand FROM asked JOIN part ON p_partkey
 def resolve_batch(spark, d):
     codes = spark.createDataFrame(list(enumerate(_ASKED)), "pos long, notation long")
     part = table(spark, d, "part").select(F.col("p_partkey").alias("notation"), F.col("p_name").alias("text"), "p_brand")
-    return F.broadcast(codes).join(part, "notation").select("pos", "notation", "text", "p_brand").orderBy("pos")
+    return resolve.in_order(codes, part)
 
 
 def _texts(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("source").alias("notation"), "lang", F.substring("text", 1, 40).alias("text"), F.col("doc_id").alias("ord"))
+    return table(spark, d, "documents").select(F.col("source").alias("notation"), "lang", "text", F.col("doc_id").alias("ord"))
 
 
-@query("""SELECT notation, text FROM (SELECT source AS notation, left(text, 40) AS text, row_number() OVER (PARTITION BY source
+@query("""SELECT notation, text FROM (SELECT source AS notation, text, row_number() OVER (PARTITION BY source
 ORDER BY CASE lang WHEN 'de' THEN 1 WHEN 'en' THEN 2 WHEN 'nl' THEN 3 ELSE 4 END, lang, doc_id) AS k FROM documents) WHERE k = 1""")
 def label_fallback(spark, d):
     return resolve.labels(_texts(spark, d), "de")
 
 
 @query("""SELECT notation, pos, keyword FROM (SELECT notation, keyword, row_number() OVER (PARTITION BY notation ORDER BY lang, doc_id) - 1 AS pos FROM (
-SELECT *, min(r) OVER (PARTITION BY notation) AS best FROM (SELECT source AS notation, left(text, 40) AS keyword, lang, doc_id,
+SELECT *, min(r) OVER (PARTITION BY notation) AS best FROM (SELECT source AS notation, text AS keyword, lang, doc_id,
 CASE lang WHEN 'es' THEN 1 WHEN 'en' THEN 2 WHEN 'nl' THEN 3 ELSE 4 END AS r FROM documents)) WHERE r = best) WHERE pos < 40""")
 def keyword_cap(spark, d):
     got = resolve.keywords(_texts(spark, d).withColumnRenamed("text", "keyword"), "es")
@@ -138,15 +138,13 @@ def count_distinct_export(spark, d):
 
 @query("""SELECT count(DISTINCT l_partkey) AS covered, round(100.0 * count(DISTINCT l_partkey) / (SELECT count(*) FROM part), 2) AS percent FROM lineitem WHERE l_quantity > 40""")
 def coverage_share(spark, d):
-    n = table(spark, d, "part").agg(F.count(F.lit(1)).alias("n"))
-    return table(spark, d, "lineitem").where("l_quantity > 40").agg(F.count_distinct("l_partkey").alias("covered")).crossJoin(F.broadcast(n)).select("covered", F.round(100 * F.col("covered") / F.col("n"), 2).alias("percent"))
+    return stats.covered_share(table(spark, d, "lineitem").where("l_quantity > 40"), "l_partkey", table(spark, d, "part"))
 
 
 @query("""SELECT p_partkey, count(l_orderkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_returnflag = 'A' GROUP BY 1 ORDER BY n DESC, p_partkey LIMIT 25""")
 def left_join_top(spark, d):
-    counts = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
-    part = table(spark, d, "part").select("p_partkey")
-    return part.join(counts, part["p_partkey"] == counts["l_partkey"], "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n")).orderBy(F.desc("n"), "p_partkey").limit(25)
+    sold = table(spark, d, "lineitem").where("l_returnflag = 'A'").select(F.col("l_partkey").alias("p_partkey"))
+    return stats.most_counted(table(spark, d, "part"), sold, "p_partkey", 25)
 
 
 # Full text
@@ -325,8 +323,8 @@ FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_suppkey = 5) LEFT JOIN par
 def cross_references(spark, d):
     refs = table(spark, d, "lineitem").where("l_suppkey = 5").select(F.col("l_partkey").alias("ref")).distinct()
     part = table(spark, d, "part").where("p_size > 20").select(F.col("p_partkey").alias("ref"), "p_name")
-    got = refs.join(part, "ref", "left")  # the references of one code: a page
-    return got.withColumn("place", F.row_number().over(Window.orderBy(F.col("p_name").isNull(), "ref")).cast("long"))
+    got = resolve.cross_references(refs, part, "ref")  # the references of one code: a page
+    return got.withColumn("place", F.row_number().over(Window.orderBy("_known", "ref")).cast("long")).drop("_known")
 
 
 # Log analytics
@@ -408,9 +406,7 @@ def date_range(spark, d):
 
 @query("""SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / (count(*) - 1), 3) AS seconds FROM events GROUP BY 1 HAVING count(*) > 1""")
 def mean_interval(spark, d):
-    t = scalars.micros("ts")
-    got = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), (F.max(t) - F.min(t)).alias("span"))
-    return got.where("n > 1").select("user_id", F.round(F.col("span") / 1e6 / (F.col("n") - 1), 3).alias("seconds"))
+    return logs.mean_interval(table(spark, d, "events"), ["user_id"])
 
 
 @query("""SELECT event_type AS key, count(*) AS n FROM events WHERE value > 100 GROUP BY 1 ORDER BY n DESC, min(event_id) LIMIT 3""")
@@ -485,10 +481,7 @@ def cap_share(spark, d):
 @query("""SELECT size, prefix, n FROM (SELECT *, row_number() OVER (PARTITION BY size ORDER BY n DESC, prefix) AS k FROM (SELECT size, substring(p_name, 1, size) AS prefix, count(*) AS n
 FROM part, (SELECT unnest([1, 2, 3]) AS size) GROUP BY 1, 2)) WHERE k <= 5""")
 def prefix_hist(spark, d):
-    rows = table(spark, d, "part").select("p_name", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("size"))
-    counts = rows.groupBy("size", F.expr("substring(p_name, 1, size)").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    k = F.row_number().over(Window.partitionBy("size").orderBy(F.desc("n"), "prefix"))
-    return counts.withColumn("k", k).where("k <= 5").drop("k")
+    return stats.largest_prefixes(stats.prefix_counts(table(spark, d, "part"), "p_name"), 5)
 
 
 # Sets, upserts, scalars
@@ -540,10 +533,9 @@ def nested_url(spark, d):
     return table(spark, d, "part").select("p_partkey", scalars.nested_url(code, "https://example.org/?uri={code}").alias("url"))
 
 
-@query("""SELECT page_id, 'https://example.org/find?q=' || replace(replace(replace(replace(replace(replace(url, '%', '%25'), ':', '%3A'), '/', '%2F'), '?', '%3F'), '=', '%3D'), '&', '%26') AS link FROM pages WHERE NOT regexp_matches(url, '[^A-Za-z0-9:/?=&%._~-]')""")
+@query("""SELECT page_id, 'https://example.org/find?q=' || replace(replace(replace(replace(replace(url_encode(url), '%21', '!'), '%2A', '*'), '%27', chr(39)), '%28', '('), '%29', ')') AS link FROM pages""")
 def templated_url(spark, d):
-    rows = table(spark, d, "pages").where(~F.col("url").rlike(r"[^A-Za-z0-9:/?=&%._~-]"))
-    return rows.select("page_id", scalars.templated_url(F.lit("https://example.org/find?q={notation}"), F.col("url")).alias("link"))
+    return table(spark, d, "pages").select("page_id", scalars.templated_url(F.lit("https://example.org/find?q={notation}"), F.col("url")).alias("link"))
 
 
 @query("""SELECT p_partkey, code, code LIKE '%(%' AND code LIKE '%+%' AS keyed, split_part(code, '(', 1) AS base, '+' || p_size AS key_id, p_name || ' (+ ' || p_type || ')' AS label
@@ -578,7 +570,8 @@ def ranking_overlap(spark, d):
 
 @query("""SELECT o_orderstatus, count(*) AS n, round(avg(length(o_orderpriority)), 4) AS mean_length, count(*) FILTER (o_totalprice > 200000) AS dear FROM orders GROUP BY 1""")
 def conditional_counts(spark, d):
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("o_orderpriority")), 4).alias("mean_length"), F.count_if(F.col("o_totalprice") > 200000).alias("dear"))
+    got = stats.split_counts(table(spark, d, "orders"), F.col("o_totalprice") > 200000, F.col("o_orderpriority"), "o_orderstatus")
+    return got.select("o_orderstatus", "n", "mean_length", F.col("flagged").alias("dear"))
 
 
 def _asked(spark, d) -> DataFrame:
