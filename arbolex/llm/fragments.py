@@ -12,11 +12,11 @@ the hashes say what is compared and which contents need be sent once only, never
    windows, whose anchor is their own hash, so that they go to all shards. The sample decides on the load only: the rows
    are the same whatever it finds.
 
-1. A task reads its documents in units of UNIT_BYTES. What a unit holds more than once it indexes itself: the first place
-   of each content stays, the windows of its later places are asked of the index and settled. So a passage in a third of
-   all rows leaves a unit once. What stays goes to the bucket of its anchor as 18 bytes a fragment.
+1. A task reads its documents in units of UNIT_BYTES. What a unit holds UNIT_COPIES times or more it indexes itself: the first
+   place of each content stays, the windows of its later places are asked of the index and settled. So a passage in a third
+   of all rows leaves a unit once. What stays goes to the bucket of its anchor as 18 bytes a fragment.
 2. In a bucket, an anchor with one place left has no more repeats. Of every other anchor, each content has a leading
-   place, the first in the corpus, and echoes, its later places in other units.
+   place, the first in the corpus, and echoes, its later places.
 3. Contents are cut from their leading documents and brought together by anchor, each with its echoes. The index takes
    the contents in corpus order and tells which windows of a content an earlier one holds, for its leading place, and
    which the index holds once the content itself is in it, for its echoes.
@@ -58,6 +58,7 @@ SAMPLE = 64  # one of so many documents shows the hot anchors
 HOT = 1024  # from so many unlike fragments on, by the sample's estimate, an anchor is hot
 HOT_ANCHORS = 1 << 21  # most hot anchors, 8 bytes each in the broadcast; with more, the limit for being hot rises
 UNIT_BYTES = 24 << 20  # text of the documents that a task merges at a time
+UNIT_COPIES = 4  # places of a content in one unit from which on the unit settles the later ones
 BUCKET_BYTES = 16 << 20  # text, about, whose fragments are in one bucket
 BUCKETS_A_PART = 8  # buckets of a partition at least
 KEY = np.dtype("<i8")
@@ -241,7 +242,9 @@ def _sharded(rows: DataFrame, kind: Kind, buckets: int, hot: np.ndarray) -> Data
             order = multi[order]
             keep[order[lead]] = True
             at, end = np.flatnonzero(lead), np.append(np.flatnonzero(lead)[1:], len(order))
-            some = np.flatnonzero(end - at > 1)
+            few = end - at < UNIT_COPIES
+            keep[order[np.repeat(few, end - at)]] = True
+            some = np.flatnonzero(~few)
             first = order[at[some]]
             some = some[np.lexsort((start[first], doc[first], anchor[first]))]
             settled = []
@@ -338,6 +341,21 @@ def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Reco
         yield held
 
 
+def _dealt(df: DataFrame, by: str, n: int) -> DataFrame:
+    """Rows by bucket: each in one of n partitions, sorted there."""
+    return df.repartitionById(n, F.col(by) % n).sortWithinPartitions(by)
+
+
+def _blocks(places: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Places by bucket of their document, a row for each bucket."""
+    block = _bucket(places["doc"], buckets)
+    order = np.argsort(block, kind="stable")
+    places, block = places[order], block[order]
+    lo, hi = _cuts(block)
+    if len(lo):
+        yield pa.record_batch({"block": pa.array(block[lo], pa.int32()), "places": pa.array([places[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary())})
+
+
 _FOUND = "__key long, leads binary, echoes binary, settled binary"
 
 
@@ -416,11 +434,8 @@ def _merged(sharded: DataFrame, kind: Kind, buckets: int) -> DataFrame:
             cut = list(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist()))
             yield pa.record_batch({"__key": pa.array(keys), "leads": pa.array([blob(leads, w, x) for w, x, _, _ in cut], pa.binary()), "echoes": pa.array([blob(echoes, ends[w], ends[x]) for w, x, _, _ in cut], pa.binary()), "settled": pa.array([blob(settled, y, z) for _, _, y, z in cut], pa.binary())})
 
-    def dealt(df: DataFrame, by: str) -> DataFrame:
-        return df.repartitionById(n, F.col(by) % n).sortWithinPartitions(by)
-
-    blocks = dealt(sharded, "dest").mapInArrow(run, "block int, leads binary, echoes binary, settled binary")
-    return dealt(blocks, "block").mapInArrow(gather, _FOUND)
+    blocks = _dealt(sharded, "dest", n).mapInArrow(run, "block int, leads binary, echoes binary, settled binary")
+    return _dealt(blocks, "block", n).mapInArrow(gather, _FOUND)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -537,7 +552,7 @@ def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMP
             yield from told(held)
 
     def told(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the index says of whole anchors, by document. A repeated row asks the same again; it counts once."""
+        """What the index says of whole anchors, by block of documents. A repeated row asks the same again; it counts once."""
         doc, start, anchor = (np.concatenate([np.asarray(b.column(c)) for b in group]) for c in ("doc", "start", "anchor"))
         contents, calls = ([x for b in group for x in b.column(c).to_pylist()] for c in ("content", "echoes"))
         new = np.ones(len(doc), bool)
@@ -547,10 +562,14 @@ def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMP
         counts = np.fromiter(map(len, calls), np.int64, len(k)) // ECHO.itemsize
         places = _told(kind, [contents[x] for x in k.tolist()], _places(doc[k], start[k], 0), counts, np.frombuffer(b"".join(calls), ECHO))
         places = _joined(places)
-        lo, hi = _cuts(places["doc"])
-        runs_ = np.zeros(len(places), RUN)
-        runs_["start"], runs_["windows"] = places["start"], places["windows"]
-        if len(lo):
+        yield from _blocks(places, buckets)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by("block", batches):
+            places = _joined(np.concatenate([np.frombuffer(x, PLACE) for b in group for x in b.column("places").to_pylist()]))
+            lo, hi = _cuts(places["doc"])
+            runs_ = np.zeros(len(places), RUN)
+            runs_["start"], runs_["windows"] = places["start"], places["windows"]
             yield pa.record_batch({"__key": pa.array(places["doc"][lo]), "runs": pa.array([runs_[x:y].tobytes() for x, y in zip(lo, hi)], pa.binary())})
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -565,7 +584,8 @@ def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMP
 
     texts = rows.select("__key", "text", _bit("__key", asked_of.value.size).alias("bit")).mapInArrow(wanted, "__key long, text string")
     asked = texts.join(leading, "__key").select("text", "leads", "echoes").mapInArrow(cut, "anchor long, doc long, start long, content binary, echoes binary")
-    answers = asked.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(decide, "__key long, runs binary")
+    answers = asked.repartition(n, "anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(decide, "block int, places binary")
+    answers = _dealt(answers, "block", n).mapInArrow(gather, "__key long, runs binary")
     answers = answers.unionByName(found.where("settled is not null").select("__key", "settled").mapInArrow(settled, "__key long, runs binary"))
     gone = written(answers.groupBy("__key").agg(F.collect_list("runs").alias("runs")))  # of one document
 

@@ -27,6 +27,7 @@ the first; an empty table gives no rows; other columns, whatever their names, ar
 from __future__ import annotations
 
 import hashlib
+import mmap
 import tempfile
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from .fragments import REPEAT, Kind, deduplicated
 WINDOW, GRAM = 100, 40
 SHARD_BYTES = 8 << 20  # contents of one sort, about
 SYMBOLS = 257  # 0 separates, byte b is b + 1
-CAP = 200  # common prefixes are counted up to here
+CAP = WINDOW + 4  # common prefixes are counted up to here
 MEMORY = 2 << 20  # of the queue
 BATCH = 1 << 16  # suffixes, or symbols, handled at a time
 RANGE = 1 << 17  # seeds that are named or sorted at a time, or one group of equal names
@@ -52,7 +53,7 @@ def scratch(n: int, kind: np.dtype | str) -> np.ndarray:
         return np.zeros(0, kind)
     with tempfile.TemporaryFile() as f:
         f.truncate(n * np.dtype(kind).itemsize)
-        return np.memmap(f, kind, "r+", shape=(n,))
+        return np.frombuffer(mmap.mmap(f.fileno(), 0), kind)  # writes go to the file
 
 
 class DiskQueue:
@@ -215,13 +216,13 @@ def _names(text: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
     return _dense(rank)
 
 
-def _group_ranges(rank: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def _tied_ranges(rank: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Cuts sorted ranks into ranges of about ``most`` that part no equal ones."""
     lo, n = 0, len(rank)
     while lo < n:
         hi = min(n, lo + most)
         while hi < n and rank[hi] == rank[hi - 1]:  # on to the end of the group, a batch at a time
-            same = np.asarray(rank[hi : hi + BATCH]) == rank[hi - 1]
+            same = rank[hi : hi + BATCH] == rank[hi - 1]
             hi += int(same.argmin()) if not same.all() else len(same)
         yield lo, hi
         lo = hi
@@ -245,7 +246,7 @@ def sorted_seeds(text: np.ndarray, lms: np.ndarray, depth: int, n: int) -> np.nd
         done = int(total[edges[-1] - 1]) if edges[-1] else 0
         edges.append(max(edges[-1] + 1, int(np.searchsorted(total, done + most, "right"))))
     sorted_, rank, ordered = scratch(m, "<i4"), scratch(m + 1, "<i4"), scratch(m, "<i4")
-    at = names = 0
+    at = 0
     for x, y in zip(edges[:-1], edges[1:]):
         mine = [np.flatnonzero((first[lo : lo + BATCH] >= x) & (first[lo : lo + BATCH] < y)) + lo for lo in range(0, m, BATCH)] if total[y - 1] > (total[x - 1] if x else 0) else []
         k = np.concatenate(mine) if mine else np.zeros(0, np.int64)
@@ -256,27 +257,37 @@ def sorted_seeds(text: np.ndarray, lms: np.ndarray, depth: int, n: int) -> np.nd
         end = np.where(k + 1 < m, lms[np.minimum(k + 1, m - 1)], n)
         r = _names(text, p, end - p + 1)
         order = np.argsort(r, kind="stable")
-        rank[k] = r + names
-        sorted_[at : at + len(k)], ordered[at : at + len(k)] = k[order], r[order] + names
-        names += int(r.max())
+        r = r[order]
+        head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        r = np.repeat(head + at, np.diff(np.append(head, len(r)))) + 1
+        rank[k[order]] = r
+        sorted_[at : at + len(k)], ordered[at : at + len(k)] = k[order], r
         at += len(k)
-    # Pairs of names, then pairs of pairs: each spans two symbols at least. Past the last seed stands rank 0.
-    width = 1
-    while width * 2 < 2 * depth and names < m:
-        names = 0
-        renamed = scratch(m + 1, "<i4")
-        for lo, hi in _group_ranges(ordered, most):
-            k, own = np.asarray(sorted_[lo:hi]).astype(np.int64), np.asarray(ordered[lo:hi]).astype(np.int64)
-            after = rank[np.minimum(k + width, m)].astype(np.int64)
-            order = np.lexsort((after, own))
-            k, own, after = k[order], own[order], after[order]
-            step = np.ones(len(k), np.int64)
-            step[1:] = (own[1:] != own[:-1]) | (after[1:] != after[:-1])
-            new = np.cumsum(step) + names
-            sorted_[lo:hi], ordered[lo:hi] = k, new
-            renamed[k] = new
-            names = int(new[-1])
-        rank = renamed
+    # Pairs of names, then pairs of pairs: each spans two symbols at least. A rank is the place of the first of its equals,
+    # from 1, so those without equals are done; past the last seed stands rank 0.
+    width, tied = 1, True
+    while width * 2 < 2 * depth and tied:
+        tied = False
+        for lo, hi in _tied_ranges(ordered, most):
+            own = ordered[lo:hi]
+            same = np.zeros(hi - lo, bool)
+            same[1:] = own[1:] == own[:-1]
+            same[:-1] |= same[1:]
+            live = np.flatnonzero(same)
+            if not len(live):
+                continue
+            own = own[live].astype(np.int64)
+            k = sorted_[lo + live].astype(np.int64)
+            key = own * (m + 2) + rank[np.minimum(k + width, m)]
+            order = np.argsort(key, kind="stable")
+            k, key, own = k[order], key[order], own[order]
+            step = np.concatenate([[True], key[1:] != key[:-1]])
+            lead = np.concatenate([[True], own[1:] != own[:-1]])
+            place = np.arange(len(k))
+            new = own + np.maximum.accumulate(np.where(step, place, 0)) - np.maximum.accumulate(np.where(lead, place, 0))
+            sorted_[lo + live], ordered[lo + live] = k, new
+            rank[k] = new
+            tied |= not step.all()
         width *= 2
     for lo in range(0, m, BATCH):
         sorted_[lo : lo + BATCH] = lms[sorted_[lo : lo + BATCH]]
