@@ -6,7 +6,9 @@ depends on the longest document and not on the batch. A null text counts as empt
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,14 +28,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Only where that is unset, as in tests,
-    one is made up."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only where that is unset and the master is
+    local, as in tests, one is made up."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arbolex-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="arbolex-"))
     return context.getCheckpointDir()
 
 
+_made: dict[str, list[str]] = {}
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one for a table between two steps. Results are lazy, so it stays until the session's
+    folders are dropped: by ``drop_work`` once its results are no longer needed, or else when Python ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = []
+        atexit.register(drop_work, spark)
+    path = f"{shared_folder(spark)}/arbolex-{app}/{name}-{uuid.uuid4().hex}"
+    _made[app].append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Deletes the tables between steps that this session has written; what still reads them fails afterwards."""
+    context = spark.sparkContext
+    try:
+        for path in _made.get(context.applicationId, []):
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+        _made.get(context.applicationId, []).clear()
+    except Exception:  # noqa: BLE001  (at the end of Python the session may be gone, and with it the way to its folders)
+        pass
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and cuts its lineage there."""
     shared_folder(df.sparkSession)

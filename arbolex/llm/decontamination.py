@@ -7,10 +7,12 @@ tokens are hash-joined with the benchmark's. Along each diagonal of matching win
 must map consistently, one benchmark value to one document value, as they do when a question was re-parameterised. A
 document is contaminated if consistent matches cover COVERAGE of an item's windows.
 
-The benchmark side of the join is broadcast in blocks of at most BLOCK_BYTES of text, one pass over the documents for
-each block, so its size is bounded whatever the benchmark. Items that are the same template are merged first. An item is
-looked into only when one of its rarest windows matches, as many of them as COVERAGE makes necessary; windows that many
-items share therefore cost nothing, and nothing is lost. Documents are decided where they are, without a shuffle.
+The benchmark is read in blocks of BLOCK_BYTES of text. Items that are the same template are merged first, in a block. An
+item is looked into only when one of its rarest windows matches, as many of them as COVERAGE makes necessary; windows that
+many items share therefore cost nothing, and nothing is lost. A benchmark of one block is broadcast, and documents are
+decided where they are, without a shuffle. Of a larger one a bitmap of its rarest windows is broadcast, and the windows that it
+lets through are joined with the table of these by a shuffle (``_many``): each text then meets the blocks that it shares
+a window with, and one block at a time is in memory.
 
 Windows of which more than half are placeholders say little, so templates leave them out. So that
 names that the document's case shows otherwise than the item's are found too, every item is also matched by the plain
@@ -28,19 +30,23 @@ count by their values only; repeated rows are judged alike; empty tables give no
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUES, U64, Chunk, Words, chunks, documents, mixed, ngram_hashes, per_doc, prefix_sums, run_hashes, runs
+from .common import BYTE_VALUES, U64, Chunk, Words, checkpointed, chunks, documents, mixed, ngram_hashes, per_doc, prefix_sums, run_hashes, runs, work_path
 
 WINDOW, MIN_TOKENS, COVERAGE, MAX_CONFLICTS = 8, 5, 0.5, 0.2
 BLOCK_BYTES = 8 << 20
+TRIGGER_BITS = 1 << 28  # 32 MB
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs day days week weeks month months year years second seconds minute minutes hour hours meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms liter liters litre litres percent dollar dollars euro euros cent cents degree degrees kmh mph kwh"
 LITERAL, NUMBER, NAME, UNIT = range(4)
 _MARKS = mixed(np.arange(1, 5, dtype=U64) * U64(0x632BE59BD9B4E019))
@@ -316,17 +322,22 @@ def matches(chunk: Chunk, b: Index, coverage: float = COVERAGE) -> dict[int, lis
     return out
 
 
-def _find_lines(t: Tokens, chunk: Chunk, lines: tuple[np.ndarray, np.ndarray], out: dict[int, list[tuple[int, float, int]]]) -> None:
-    """Adds the items that are a line of a document."""
-    keys, items = lines
-    if not (len(keys) and len(t.value)):
-        return
+def _lines(t: Tokens, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document of each token, the first token of each line that has any, and the line's hash."""
     doc = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
     line = np.searchsorted(np.flatnonzero(chunk.data == 10), t.start)
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (line[1:] != line[:-1])
     first = np.flatnonzero(new)
-    h = _line_hashes(t, first, np.append(first[1:], len(doc)))
+    return doc, first, _line_hashes(t, first, np.append(first[1:], len(doc)))
+
+
+def _find_lines(t: Tokens, chunk: Chunk, lines: tuple[np.ndarray, np.ndarray], out: dict[int, list[tuple[int, float, int]]]) -> None:
+    """Adds the items that are a line of a document."""
+    keys, items = lines
+    if not (len(keys) and len(t.value)):
+        return
+    doc, first, h = _lines(t, chunk)
     for k in np.flatnonzero(_in(h, keys)).tolist():
         item, d = int(items[np.searchsorted(keys, h[k])]), int(doc[first[k]])
         if all(item != i for i, _, _ in out.get(d, ())):
@@ -356,41 +367,156 @@ def _find(t: Tokens, b: Block, coverage: float, out: dict[int, list[tuple[int, f
 
 
 HITS = "array<struct<item_id: long, coverage: double, changed_slots: long>>"
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("changed_slots", pa.int64())]))
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id and hits, the benchmark items found in it, for every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast(HITS).alias("hits"))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("coverage", pa.float64()), ("changed_slots", pa.int64())]))
-    for b in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(b)  # at most BLOCK_BYTES of text and its windows
+def _hit_rows(chunk: Chunk, b: Index, n: int) -> list[list[dict]]:
+    """The hits of each row of a batch of n; those of other chunks stay empty."""
+    out: list[list[dict]] = [[] for _ in range(n)]
+    for d, found in matches(chunk, b).items():
+        out[chunk.rows[d]] = [{"item_id": i, "coverage": c, "changed_slots": s} for i, c, s in found]
+    return out
 
-        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits = batch.column("hits").to_pylist()
-                for chunk in chunks(batch.column("text")):
-                    for d, found in matches(chunk, held.value).items():
-                        hits[chunk.rows[d]] = [*hits[chunk.rows[d]], *({"item_id": i, "coverage": c, "changed_slots": s} for i, c, s in found)]
-                yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": batch.column("text"), "hits": pa.array(hits, kind)})
 
-        rows = rows.mapInArrow(scan, f"doc_id long, text string, hits {HITS}")
-    return rows.select("doc_id", F.array_sort("hits").alias("hits"))
+def _scanned(rows: DataFrame, b: Index, keep: list[str]) -> DataFrame:
+    """The kept columns of rows and their hits with one block, which is broadcast: BLOCK_BYTES of text and its windows."""
+    held = rows.sparkSession.sparkContext.broadcast(b)
+    names = [*keep, "hits"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hits: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for chunk in chunks(batch.column("text")):
+                for k, found in zip(chunk.rows, _hit_rows(chunk, held.value, batch.num_rows)[chunk.rows.start : chunk.rows.stop]):
+                    hits[k] = found
+            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(hits, _HITS)], names=names)
+
+    return rows.mapInArrow(scan, ", ".join(f"{c} long" for c in keep) + f", hits {HITS}")
+
+
+def _forms(b: Index) -> list[tuple[int, Block, bool, bool]]:
+    """(number, block, whether tokens include marks, whether windows are of values)."""
+    return [(0, b.templates, False, False), (1, b.values, False, True), (2, b.marked, True, False), (3, b.marked_values, True, True)]
+
+
+def _spread(h: np.ndarray, form: int, n: int) -> np.ndarray:
+    """Window hashes of one form and length, apart from those of all others."""
+    return mixed(h + U64((form * 64 + n) * 0xA24BAED4963EE407 % (1 << 64)))
+
+
+def _trigger_keys(b: Index) -> np.ndarray:
+    keys = [_spread(k, form, n) for form, block_, _, _ in _forms(b) for n, (k, _) in block_.by_n.items()]
+    return np.unique(np.concatenate([np.zeros(0, U64), *keys, _spread(b.lines[0], 4, 0)]))
+
+
+def _probe_keys(chunk: Chunk, lengths: set[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, key) of all windows of a chunk that could be a trigger's; lengths: the (form, n) that triggers have."""
+    plain = canonical(chunk)
+    marked = canonical(chunk, marks=True) if any(form > 1 for form, _ in lengths) else plain
+    for form, n in sorted(lengths):
+        t = marked if form > 1 else plain
+        if form == 4:
+            if len(t.value):
+                doc, first, h = _lines(t, chunk)
+                yield doc[first], _spread(h, 4, 0)
+            continue
+        at, h = windows(_plain(t) if form % 2 else t, n)
+        yield np.searchsorted(t.first, at, "right") - 1, _spread(h, form, n)
+
+
+def _many(texts: DataFrame, first: Iterator[Index]) -> DataFrame:
+    """__a, __b and hits of the distinct texts (__a, __b, text) that match a benchmark of several blocks.
+
+    The driver holds one block at a time. All blocks' triggers are written to a table (key, block), and a bitmap of them,
+    TRIGGER_BITS / 8 bytes, is broadcast; the windows that it lets through are hash-joined with that table. So each text
+    meets the blocks that share a trigger with it, and no others, one small job a block."""
+    spark = texts.sparkSession
+    bits, lengths, n_blocks = np.zeros(TRIGGER_BITS // 8, np.uint8), set(), 0
+    path, kept = work_path(spark, "triggers"), tempfile.TemporaryFile()  # the driver's own; no other process reads it
+    places = []
+    for b in first:
+        keys = _trigger_keys(b)
+        slot = (keys & U64(TRIGGER_BITS - 1)).astype(np.int64)
+        np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+        lengths |= {(form, n) for form, block_, _, _ in _forms(b) for n in block_.by_n} | ({(4, 0)} if len(b.lines[0]) else set())
+        spark.createDataFrame(pa.table({"key": pa.array(keys.view(np.int64)), "block": pa.array(np.full(len(keys), n_blocks, np.int32))})).write.mode("append").parquet(path)
+        places.append(kept.tell())
+        pickle.dump(b, kept)
+        n_blocks += 1
+    held = spark.sparkContext.broadcast((bits, lengths))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, lengths = held.value
+        for batch in batches:
+            a, b = (np.asarray(batch.column(c)) for c in ("__a", "__b"))
+            for chunk in chunks(batch.column("text")):
+                for doc, keys in _probe_keys(chunk, lengths):
+                    slot = (keys & U64(TRIGGER_BITS - 1)).astype(np.int64)
+                    hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                    if len(hit):
+                        pairs = np.unique(np.stack([doc[hit], keys[hit].view(np.int64)]), axis=1)
+                        row = chunk.rows.start + pairs[0]
+                        yield pa.record_batch({"key": pa.array(pairs[1]), "__a": pa.array(a[row]), "__b": pa.array(b[row])})
+
+    triggers = spark.read.schema("key long, block int").parquet(path)
+    meets = texts.mapInArrow(probe, "key long, __a long, __b long").join(triggers, "key").select("block", "__a", "__b").distinct()
+    asked = checkpointed(meets.join(texts, ["__a", "__b"]).select("block", "__a", "__b", "text"))
+    out = None
+    for k, at in enumerate(places):
+        kept.seek(at)
+        found = checkpointed(_scanned(asked.where(F.col("block") == k), pickle.load(kept), ["__a", "__b"]).where(F.size("hits") > 0))
+        out = found if out is None else out.unionByName(found)
+    kept.close()
+    return out.groupBy("__a", "__b").agg(F.flatten(F.collect_list("hits")).alias("hits"))  # of one text, a row a block
+
+
+def _texts(docs: DataFrame) -> tuple[DataFrame, list]:
+    """Distinct texts under two hashes, and the expressions of these."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    names = [F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(3), text).alias("__b")]
+    return docs.select(*names, text.alias("text")).groupBy("__a", "__b").agg(F.first("text").alias("text")), names
+
+
+def _blocks_of(benchmark: DataFrame) -> tuple[Index | None, Iterator[Index] | None]:
+    """The benchmark's only block, or None and all of several."""
+    each = blocks(benchmark)
+    one, two = next(each, None), next(each, None)
+    return (one, None) if two is None else (None, chain((one, two), each))
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id and hits, the benchmark items found in it, for every document."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    one, several = _blocks_of(benchmark)
+    none = F.array().cast(HITS)
+    if several is not None:
+        texts, names = _texts(rows)
+        got = rows.select("doc_id", *names).join(_many(texts, several), ["__a", "__b"], "left")
+        return got.select("doc_id", F.array_sort(F.coalesce("hits", none)).alias("hits"))
+    if one is None:
+        return rows.select("doc_id", none.alias("hits"))
+    return _scanned(rows, one, ["doc_id"]).select("doc_id", F.array_sort("hits").alias("hits"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the contaminated ones, all columns as they were."""
-    for b in blocks(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(b)
-
-        def clean(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for chunk in chunks(batch.column("text")):
-                    keep[[chunk.rows[d] for d in matches(chunk, held.value)]] = False
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    one, several = _blocks_of(benchmark)
+    if several is not None:
+        texts, names = _texts(docs)
+        packed = docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row"), *names)  # no name of theirs meets ours
+        return packed.join(_many(texts, several).select("__a", "__b"), ["__a", "__b"], "left_anti").select("row.*")
+    if one is None:
+        return docs
+    held = docs.sparkSession.sparkContext.broadcast(one)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for chunk in chunks(batch.column("text")):
+                keep[[chunk.rows[d] for d in matches(chunk, held.value)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op1_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,6 @@ and get the same result. Hashes have 64 bits and are compared under 32 bits of t
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -51,7 +50,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, checkpointed, chunks, mixed, parts, prefix_sums, run_hashes, shared_folder
+from .common import U64, Chunk, checkpointed, chunks, mixed, parts, prefix_sums, run_hashes, work_path
 
 FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 28  # 32 MB
 SAMPLE = 64  # one of so many documents shows the hot anchors
@@ -440,7 +439,7 @@ def _merged(sharded: DataFrame, kind: Kind, buckets: int) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table below the shared folder, and read from there."""
-    path = f"{shared_folder(df.sparkSession)}/fragments-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, "fragments")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -38,10 +38,10 @@ from .common import BYTE_VALUES, Chunk, documents
 from .fragments import REPEAT, Kind, deduplicated
 
 WINDOW, GRAM = 100, 40
-SHARD_BYTES = 8 << 20  # contents of one sort, about
+SHARD_BYTES = 2 << 20  # contents of one sort, about; its scratch files take some 14 bytes for each of them
 SYMBOLS = 257  # 0 separates, byte b is b + 1
 CAP = WINDOW + 4  # common prefixes are counted up to here
-MEMORY = 2 << 20  # of the queue
+MEMORY = 1 << 19  # of the queue
 BATCH = 1 << 16  # suffixes, or symbols, handled at a time
 RANGE = 1 << 17  # seeds that are named or sorted at a time, or one group of equal names
 TUPLE = np.dtype([("at", "<i4"), ("lcp", "u1")])
@@ -386,6 +386,7 @@ class Suffixes:
         s_type = is_s_type(self.text)
         lms = leftmost(s_type)
         seeds = sorted_seeds(self.padded, lms, self.depth, n)
+        del lms
         first = np.concatenate([[0], np.cumsum(self._tally(seeds))])
         # Upwards: of each bucket the L suffixes, while they induce more of their own bucket, then the seeds.
         up = _Scan(self.text, s_type, False, self.memory)

@@ -27,6 +27,7 @@ MIN_RANGES, MAX_RANGES = 160, 20_000
 SAMPLES_A_RANGE = 24
 OVERFULL = 2.0
 _SIGN = 1 << 63
+NO_ID = -(1 << 63)  # rows without a doc_id come first
 
 
 def _keys(h, doc_id) -> np.ndarray:
@@ -45,14 +46,14 @@ def _ranged(base: DataFrame, splitters: np.ndarray) -> DataFrame:
     def range_of(h: pd.Series, doc_id: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts.value, _keys(h, doc_id), "right").astype(np.int32))
 
-    return base.withColumn("range_id", range_of("h", "doc_id"))
+    return base.withColumn("range_id", range_of("h", F.coalesce("doc_id", F.lit(NO_ID))))  # a null would make floats of them
 
 
 def _sample(rows: DataFrame, rate: float, seed: int) -> np.ndarray:
     """Sorted keys of a sample that takes each row with a chance of rate times its size; repeatable, as it is by hash."""
     chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(chance < F.col("size") * rate).select("h", "doc_id").toPandas()
-    return np.sort(_keys(got["h"].fillna(0), got["doc_id"].fillna(0)))
+    got = rows.where(chance < F.col("size") * rate).select("h", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).toArrow()
+    return np.sort(_keys(np.asarray(got["h"], np.int64), np.asarray(got["doc_id"], np.int64)))
 
 
 def _quantiles(keys: np.ndarray, ranges: int) -> np.ndarray:

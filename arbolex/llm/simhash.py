@@ -221,8 +221,9 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | None
     if counts["n"] == counts["ids"]:
         return kept
     mark = "_" * (max(map(len, docs.columns)) + 1)  # a name that no column has
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return kept.withColumn(mark, first).where(F.col("doc_id").isNull() | (F.col(mark) == 1)).drop(mark)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))  # cut to one in each task before the shuffle, too
+    named = kept.where("doc_id is not null").withColumn(mark, first).where(F.col(mark) == 1).drop(mark)
+    return named.unionByName(kept.where("doc_id is null"))  # these would all be one group
 
 
 def op4_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 
 from arbolex.llm import packing, quality, sharding
 
@@ -59,6 +60,61 @@ def test_sharding(spark):
     assert {tuple(r) for r in rows} == {tuple(r) for r in sharding.shard(docs).collect()}
 
 
+def test_sharding_against_brute_force(spark):
+    """Shards and slots are those of the whole table in key order, whatever splitters the sample gave."""
+    texts = [*corpus(4, 200), *["same text"] * 80, None, None]
+    big = 1 << 60  # ids that a float would blur
+    rows = [(None if k % 50 == 7 else big + k, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    signed = lambda t: (h := xxhash.xxh64_intdigest((t or "").encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    order = sorted((signed(t), i is not None, i or 0, t or "") for i, t in rows)
+    total, at, want, slots = sum(len(t.encode()) + 16 for *_, t in order), 0, Counter(), Counter()
+    for _, some, i, t in order:
+        size = len(t.encode()) + 16
+        s = min(39, int((at + size / 2) * 40 / total))
+        want[i if some else None, zlib.crc32(t.encode()), s, slots[s]] += 1
+        slots[s] += 1
+        at += size
+    got = Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard(docs).collect())
+    assert got == want
+
+
+def test_packing_of_repeated_and_nameless_rows(spark):
+    rows = [(None, "a b c")] * 3 + [(None, None), (5, "x y"), (5, "x y"), (5, "z")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), docs_a_group=2).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and sum(r["length"] for r in got) == sum(len(packing.token_ids(t or "")) + 1 for _, t in rows)
+
+
+def plain_first_fit(sizes, length):
+    """First-fit decreasing without a tree; the loads of the bins before gaps are filled."""
+    loads = []
+    for n in sorted(sizes, reverse=True):
+        k = next((k for k, x in enumerate(loads) if x + n <= length), None)
+        if k is None:
+            loads.append(n)
+        else:
+            loads[k] += n
+    return loads
+
+
+def test_tournament_against_plain_first_fit():
+    rng = __import__("random").Random(3)
+    for _ in range(60):
+        length = rng.choice([8, 50, 2048])
+        sizes = [rng.randint(1, length) for _ in range(rng.randint(1, 80))]
+        tree, loads = packing.Bins(len(sizes), length), []
+        for n in sorted(sizes, reverse=True):
+            k = tree.first(n)
+            loads += [0] * (k + 1 - len(loads))
+            loads[k] += n
+            assert tree.room(k) == length - loads[k]
+        assert loads == plain_first_fit(sizes, length)
+        bins = packing.first_fit_decreasing(sizes, length)
+        assert sorted((p, s + i) for b in bins for p, s, n in b for i in range(n)) == [(p, i) for p, n in enumerate(sizes) for i in range(n)]
+        full = [sum(n for _, _, n in b) for b in bins]
+        assert max(full) <= length and len(bins) == -(-sum(sizes) // length)
+
+
 def test_packing_round_trip(spark):
     texts = [*corpus(5, 60), "abc <|endoftext|> def"]
     rows = packing.pack(frame(spark, texts), docs_a_group=20).collect()

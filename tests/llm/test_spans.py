@@ -203,11 +203,15 @@ def test_decontamination_against_brute_force(spark):
 
 def test_decontamination_blocks_agree(spark, monkeypatch):
     rng = random.Random(6)
-    items = [(k, prose(rng, rng.randint(6, 40))) for k in range(40)]
+    items = [(k, prose(rng, rng.randint(6, 40))) for k in range(40)] + [(100, "What is 17 + 25?"), (101, "Who wrote it?")]
     ts = [prose(rng, 30) + " " + items[k % 40][1] + " " + prose(rng, 20) for k in range(60)]
+    ts += [None, "", ts[0], prose(rng, 10) + ". What is 3 + 4? " + prose(rng, 20), "so\nwho wrote it\nthen", prose(rng, 90), items[3][1] + " and " + items[30][1]]
     docs, bench = frame(spark, ts), benchmark(spark, items)
     one = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.with_hits(docs, bench).collect()}
     assert all(k % 40 in one[k] for k in range(60))
     monkeypatch.setattr(decontamination.blocks, "__defaults__", (200,))
     many = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontamination.with_hits(docs, bench).collect()}
     assert many == one
+    assert [many[k] for k in range(60, 67)] == [[], [], [0], [100], [101], [], [3, 30]]
+    kept = sorted(r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect())
+    assert kept == [60, 61, 65] and decontamination.decontaminated(docs, bench).columns == docs.columns
