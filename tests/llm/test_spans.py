@@ -68,6 +68,31 @@ def test_pii_candidates_and_accuracy(spark):
     assert pii.fitted(spark) is model and all(t < 1e9 for t in model.thresholds.values())
 
 
+#: Lines written by hand, apart from the generator: what is personal data in them, and lines that hold none.
+LINES = {
+    "email_spelled": ["write to john.smith at gmail dot com please", "my address is jane_doe [at] uni-mail [dot] ac [dot] uk", "contact: bob(at)acme(dot)org", "reach sales at example dot com or call", "it is p.lang at web dot de, thanks"],
+    "phone_local": ["call me at 555-867-5309 tonight", "Tel. (212) 555-0147", "fax: 303.555.0182", "our office (415) 555-2671 is open", "mobile 646-555-0119, home later"],
+    "ssn": ["her social security number is 512-44-9021", "SSN: 219-09-9999", "the form says 457-55-5462 under ssn", "passport and 123-45-6789 were found"],
+    "iban": ["transfer to DE89 3704 0044 0532 0130 00 today", "IBAN GB29NWBK60161331926819", "my account FR1420041010050500013M02606 in Paris", "pay NL91ABNA0417164300 now"],
+    "secret": ["password: hunter2", "api_key = 9f8a7b6c5d4e3f2a1b0c", "token: ghp_16C7e42F292c6912E7710c838347Ae178B4a", "the passwd=Winter2024 leaked", "secret: 'a1B2c3D4e5F6g7H8'"],
+}
+CLEAN = [
+    "we met at noon dot com was young then", "look at this dot matrix", "she stood at the dot line", "part 555-123-4567 of the catalogue", "order no. 212-555-0147 has shipped", "case 512-44-9021 was filed",
+    "ticket 219-09-9999 is closed", "invoice 000-12-3456 is due", "ref 666-45-6789", "serial ZZ12 3456 7890 1234 5678", "model QX9912345678901234", "password: required", "token: optional", "the secret: nothing works", "version 303.555.0182 of the build",
+    "password: incorrect", "chapter 3, section 4-12", "room 12-34, page 567", "the score was 100-99-98", "see figure 123-456-7890", "access key: missing",
+]
+
+
+def test_pii_on_lines_written_by_hand(spark):
+    lines = [(k, t) for k, ts in LINES.items() for t in ts] + [(None, t) for t in CLEAN]
+    df = pii.with_spans(frame(spark, [t for _, t in lines]).select("doc_id", "text"))
+    got = {r["doc_id"]: {s["kind"] for s in r["_spans"] if s["kind"] in pii.GENERATORS} for r in df.select("doc_id", "_spans").collect()}
+    found = {k: sum(k in got[i] for i, (kind, _) in enumerate(lines) if kind == k) / len(ts) for k, ts in LINES.items()}
+    wrong = [(lines[i][1], got[i]) for i in got if got[i] - {lines[i][0]}]
+    assert all(x >= 0.75 for x in found.values()) and sum(found.values()) >= 4.5, found
+    assert len(wrong) <= 2, wrong
+
+
 def test_redaction(spark):
     ts = ["mail é a@b.com now", "1.2.3.4 and 4111 1111 1111 1111!", None, "clean", "x +1 (743) 555-3824"]
     docs = frame(spark, ts)
