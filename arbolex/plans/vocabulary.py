@@ -213,6 +213,80 @@ def api_call_log(spark, d):
     return spark.createDataFrame(rows, "tool string, ok boolean, shown string, error string")
 
 
+_REFUSED = ("search both", "search none", "search blank", "language", "zero results", "too many results", "negative offset", "no codes", "too many codes", "unknown codes", "depth", "variant", "unknown base", "true as a number")
+
+
+@query("SELECT unnest([" + ", ".join(f"'{x}'" for x in _REFUSED) + "]) AS call, true AS refused")
+def api_validation(spark, d):
+    """Calls that the API refuses, and why none of them reaches the tables."""
+    e = _engine(spark, d)
+    calls = [
+        lambda: e.search(query="a", semantic="b"), lambda: e.search(), lambda: e.search(query="", semantic="null"), lambda: e.search(query="a", lang="xx"), lambda: e.search(query="a", max_results=0), lambda: e.search(query="a", max_results=51),
+        lambda: e.search_prefix("a", offset=-1), lambda: e.resolve([]), lambda: e.resolve(["a"] * 26), lambda: e.resolve(["nope"]), lambda: e.browse(BRAND, depth=4), lambda: e.expand_keys("25F(+1)"), lambda: e.expand_keys("nope"), lambda: e.search_prefix("a", max_results=True),
+    ]
+
+    def refused(call) -> bool:
+        try:
+            call()
+        except engine.InvalidArgument:
+            return True
+        return False
+
+    return spark.createDataFrame([(n, refused(c)) for n, c in zip(_REFUSED, calls, strict=True)], "call string, refused boolean")
+
+
+@query(f"""WITH {_SQL_STORE} SELECT (SELECT count(*) FROM nodes) + (SELECT count(*) FROM texts) + (SELECT count(*) FROM words) + (SELECT count(*) FROM counts) AS rows""")
+def warm_reads(spark, d):
+    return spark.createDataFrame([(_engine(spark, d).warm(),)], "rows long")
+
+
+@query("SELECT 'counts,embeddings,info,meta' AS missing, 0 AS held, false AS semantic, count(*) AS notations FROM (SELECT p_partkey FROM part UNION ALL SELECT NULL FROM part GROUP BY p_brand UNION ALL SELECT p_partkey FROM part WHERE p_size > 40)")
+def store_without_parts(spark, d):
+    """A store without an overlay, vectors and version rows opens; what depends on them is empty."""
+    path, own = work_folder(spark), tables(spark, d)
+    store.write(store.vocabulary(spark, **{k: own[k] for k in ("notations", "texts", "keywords")}), path)
+    v = store.open_store(spark, path)
+    held = overlay.present(v.notations.select("notation"), v.counts).count()
+    return spark.createDataFrame([(",".join(sorted(v.missing)), held, "embeddings" not in v.missing, v.notations.count())], "missing string, held long, semantic boolean, notations long")
+
+
+@query(f"""WITH {_SQL_STORE} SELECT notation, '* ' || notation || CASE WHEN collections != '' THEN ' (' || replace(collections, '|', ', ') || ')' ELSE '' END || ' "' || text || '"' || CASE WHEN parent IS NOT NULL THEN ' [' || parent || ']' ELSE '' END AS line FROM entry WHERE k < 40""")
+def entry_lines(spark, d):
+    v = opened(spark, d)
+    page = v.notations.where("notation rlike '^P[0-9]+$'").select(F.substring("notation", 2, 20).cast("long").alias("pos"), "notation").where("pos < 40")
+    got = resolve.entries(v, page)
+    return got.select("notation", scalars.entry_line(F.col("notation"), F.col("text"), F.col("collections"), F.transform("path", lambda p: p["notation"]), "* ").alias("line"))
+
+
+@query("""SELECT p_partkey FROM part WHERE p_partkey % 4 = 1 AND p_size > 10""")
+def literal_prefixes(spark, d):
+    """Wildcards in a prefix stand for themselves, in a LIKE pattern and in the plain test."""
+    odd = F.when(F.col("p_partkey") % 4 == 0, "a%b").when(F.col("p_partkey") % 4 == 1, "A_b\\%").when(F.col("p_partkey") % 4 == 2, "axb\\%").otherwise("a_b")
+    rows = table(spark, d, "part").select("p_partkey", F.concat(odd, F.when(F.col("p_size") > 10, "c")).alias("code")).where("code is not null")
+    like = F.lower("code").like(scalars.like_prefix("a_b\\%"))
+    return rows.where(like & scalars.has_prefix(F.lower("code"), "A_b\\%")).select("p_partkey")
+
+
+@query("""SELECT 'P' || p_partkey AS notation, CAST(trunc(greatest(-127.0, least(127.0, length(p_name) / 50.0 * 127))) AS INTEGER) AS a, CAST(trunc(greatest(-127.0, least(127.0, (length(p_name) - length(replace(p_name, 'e', ''))) / -10.0 * 127))) AS INTEGER) AS b FROM part WHERE p_partkey % 5 != 0""")
+def batch_embedding(spark, d):
+    """What is not yet embedded, in batches; a stand-in gives the vectors."""
+    import numpy as np
+
+    part = table(spark, d, "part").select(F.concat(F.lit("P"), "p_partkey").alias("notation"), F.col("p_name").alias("text"), "p_partkey")
+    done = part.where("p_partkey % 5 = 0").select("notation")
+    todo = store.resume(part, done, key="notation")
+    got = vector.embedded(todo, lambda texts: np.array([[len(t) / 50.0, t.count("e") / -10.0] for t in texts]), batch=64)
+    return got.select("notation", F.col("embedding")[0].cast("int").alias("a"), F.col("embedding")[1].cast("int").alias("b"))
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type = 'view' THEN 0 ELSE 1 END, event_id) AS r, min(event_id) FILTER (event_type = 'view') OVER (PARTITION BY user_id) AS v FROM events)
+WHERE (v IS NOT NULL AND event_id = v) OR (v IS NULL AND r = 1)""")
+def insert_or_ignore(spark, d):
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    old = ingest.added(rows.limit(0), rows.where("event_type = 'view'"), ["user_id"], "event_id")
+    return ingest.added(old, rows.where("event_type != 'view'"), ["user_id"], "event_id")
+
+
 # Entries and the store's tables
 
 
@@ -623,3 +697,14 @@ def first_near_codes(spark, d):
     known = opened(spark, d).notations.select("notation")
     asked = known.where(F.col("notation").isin("P7", "P19", "P120")).withColumnRenamed("notation", "code")
     return hierarchy.first_near(hierarchy.near_codes(asked), known, 10).select("code", "candidate", "kind", "place")
+
+
+_SECTIONS = ("Traffic", "Latency", "Semantic searches", "Cold semantic searches", "Slowest calls", "Boot times", "Errors", "Sessions by day", "Sessions", "Top queries", "Most browsed", "Tool by tool", "Resolve batches", "Repeat calls", "Distinct codes", "Totals", "Recommendations")
+
+
+@query(f"""WITH {_SQL_CALLS}, s AS (SELECT unnest({list(_SECTIONS)}) AS section) SELECT section, CASE section WHEN 'Traffic' THEN (SELECT count(DISTINCT tool) FROM e) WHEN 'Errors' THEN (SELECT count(*) FROM e WHERE NOT ok) WHEN 'Totals' THEN 1 ELSE 0 END AS lines FROM s""")
+def log_report(spark, d):
+    """The sections of the report, and for some how many lines they have."""
+    parts = [p.strip().split("\n") for p in logs.report(_log_lines(spark, d), store="Shop").split("## ")[1:]]
+    counted = ("Traffic", "Errors", "Totals")
+    return spark.createDataFrame([(p[0], len(p) - 4 if p[0] in counted else 0) for p in parts], "section string, lines long")

@@ -121,6 +121,13 @@ def latest(df: DataFrame, key: list[str], order: str) -> DataFrame:
     return df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*key, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
+def added(old: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Insert or ignore: the old rows, and of the new ones the first of each key that is not among them."""
+    rest = [c for c in new.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*key, *(F.col(f"_r.{c}").alias(c) for c in rest))
+    return old.unionByName(first.join(old.select(*key), key, "left_anti"))
+
+
 def replay(spark: SparkSession, path: str) -> DataFrame:
     """tool, input from 'tool<TAB>json' lines; comments and lines whose second part is no JSON are skipped."""
     rows = spark.read.text(path).where(~F.col("value").startswith("#") & F.contains("value", F.lit("\t")))
