@@ -39,6 +39,8 @@ def swapped(spark: SparkSession, staged: str, path: str) -> bool:
     """Puts the folder ``staged`` in the place of ``path``. The old one is kept as ``path``.old until the new one is there, and
     ``recovered`` finds it if the caller is lost in between. Says whether the new one is in place."""
     fs, (new, place, old) = _places(spark, staged, path, f"{path.rstrip('/')}.old")
+    if not fs.exists(new):
+        return False
     if fs.exists(place):
         fs.delete(old, True)
         fs.rename(place, old)
