@@ -60,7 +60,6 @@ UNIT_BYTES = 24 << 20  # text of the documents that a task merges at a time
 UNIT_COPIES = 4  # places of a content in one unit from which on the unit settles the later ones
 BUCKET_BYTES = 16 << 20  # text, about, whose fragments are in one bucket
 BUCKETS_A_PART = 8  # buckets of a partition at least
-KEY = np.dtype("<i8")
 LEAD = np.dtype([("doc", "<i8"), ("start", "<u4"), ("windows", "<u2"), ("anchor", "<u8"), ("echoes", "<u4")])
 ECHO = np.dtype([("doc", "<i8"), ("start", "<u4")])
 PLACE = np.dtype([("doc", "<i8"), ("start", "<u4"), ("windows", "<u4")])
