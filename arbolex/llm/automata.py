@@ -23,7 +23,7 @@ from .common import Chunk, documents, word_hashes, words
 from .fragments import REPEAT, Kind, deduplicated
 
 WINDOW, GRAM = 20, 5
-SHARD_BYTES = 512 << 10  # passages in one automaton; it takes some 60 bytes for each of them
+SHARD_BYTES = 192 << 10  # passages in one automaton, which takes some 60 bytes for each of them
 
 
 class Automaton:

@@ -7,6 +7,8 @@ depends on the longest document and not on the batch. A null text counts as empt
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -89,6 +91,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def trim() -> None:
+    """Gives free memory back to the system. Python workers live on from stage to stage, beside those of other tasks, and
+    would keep what their largest step took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

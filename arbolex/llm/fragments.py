@@ -50,13 +50,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Chunk, checkpointed, chunks, mixed, parts, prefix_sums, run_hashes, work_path
+from .common import U64, Chunk, checkpointed, chunks, mixed, parts, prefix_sums, run_hashes, trim, work_path
 
 FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 28  # 32 MB
 SAMPLE = 64  # one of so many documents shows the hot anchors
 HOT = 1024  # from so many unlike fragments on, by the sample's estimate, an anchor is hot
 HOT_ANCHORS = 1 << 21  # most hot anchors, 8 bytes each in the broadcast; with more, the limit for being hot rises
-UNIT_BYTES = 24 << 20  # text of the documents that a task merges at a time
+UNIT_BYTES = 8 << 20  # text of the documents that a task merges at a time
 UNIT_COPIES = 4  # places of a content in one unit from which on the unit settles the later ones
 BUCKET_BYTES = 16 << 20  # text, about, whose fragments are in one bucket
 BUCKETS_A_PART = 8  # buckets of a partition at least
@@ -294,6 +294,8 @@ def _sharded(rows: DataFrame, kind: Kind, buckets: int, hot: np.ndarray) -> Data
                     texts, held, size = [], [], 0
         if held:
             yield from unit(texts, held)
+        texts.clear(), held.clear()
+        trim()
 
     return rows.mapInArrow(run, _SHARDED)
 
@@ -548,6 +550,8 @@ def deduplicated(docs: DataFrame, kind: Kind, hot: int = HOT, sample: int = SAMP
                 size += pc.sum(pc.binary_length(batch.column("content"))).as_py()
         if held:
             yield from told(held)
+        held.clear()
+        trim()
 
     def told(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What the index says of whole anchors, by block of documents. A repeated row asks the same again; it counts once."""
