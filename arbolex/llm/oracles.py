@@ -49,3 +49,30 @@ SELECT *, NOT base_failed AND NOT ({_BAD}) AS kept FROM f"""
 MESSAGES = r"""SELECT conv_id, turn, 0 AS part, role, 'message' AS kind, NULL AS call_id, NULL AS name, false AS linked, true AS valid, NULL AS error,
 coalesce(turn, -4611686018427387904) AS order_turn, 0 AS order_part, 0 AS order_level,
 '{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || '}' AS json FROM conversations"""
+
+NEGATIVES = r"""WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(b.q AS DOUBLE[])) AS BIGINT) AS score
+FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id != b.vec_id),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+QUALIFY rank <= 3"""
+
+# crc32 by bits: c becomes c // 2, with the reversed polynomial added where its last bit is set, eight times a byte.
+_CRC = """xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT),
+lambda c, b: list_reduce([xor(c, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295)"""
+_CRC = _CRC.format(text="coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run")
+
+VARIANTS = rf"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL),
+h AS (SELECT run, c, {_CRC} AS h FROM d),
+g AS (SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, c FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM g WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+cut AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) AS l, substring(word, i + 1) AS r FROM w, LATERAL unnest(range(1, length(word) + 1)) AS u(i)),
+pairs AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.l = b.l AND a.r = b.r AND a.word != b.word
+UNION SELECT a.word, a.n, w.word, w.n FROM cut a JOIN w ON a.l || a.r = w.word UNION SELECT w.word, w.n, a.word, a.n FROM cut a JOIN w ON a.l || a.r = w.word),
+best AS MATERIALIZED (SELECT w.word, w.n, count(near) AS n_near, arg_min(near, (-near_n, encode(near))) AS near, max(near_n) AS near_n FROM w LEFT JOIN pairs USING (word) GROUP BY ALL),
+f AS MATERIALIZED (SELECT word, n, n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM best),
+way AS (SELECT word, word AS here, 0 AS step FROM f UNION ALL SELECT way.word, f.form, step + 1 FROM way JOIN f ON way.here = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(here, step) AS root, n, n_near, form_n FROM f JOIN way USING (word) GROUP BY word, form, n, n_near, form_n"""

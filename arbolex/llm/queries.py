@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import automata, chat, common, decontamination, induced, langid, oracles, packing, pii, quality, sharding, simhash
+from . import automata, chat, common, decontamination, induced, langid, negatives, oracles, packing, pieces, pii, quality, sharding, simhash, variants
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,9 @@ _QUERIES: dict[str, Query] = {
     "op8_partial_matching": langid.op8_partial_matching,
     "op9_tool_call_linking": chat.op9_tool_call_linking,
     "op10_repetition_coverage": quality.op10_repetition_coverage,
+    "op11_score_agenda": pieces.op11_score_agenda,
+    "op12_pigeonhole_variants": variants.op12_pigeonhole_variants,
+    "op13_ball_tree_negatives": negatives.op13_ball_tree_negatives,
 }
 QUERIES = {name: _shipped(f) for name, f in _QUERIES.items()}
 ORACLES: dict[str, str] = {
@@ -42,6 +45,8 @@ ORACLES: dict[str, str] = {
     "op3_induced_sorting": oracles.BYTES,
     "op9_tool_call_linking": oracles.MESSAGES,
     "op10_repetition_coverage": oracles.QUALITY,
+    "op12_pigeonhole_variants": oracles.VARIANTS,
+    "op13_ball_tree_negatives": oracles.NEGATIVES,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
