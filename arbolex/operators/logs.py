@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbolex.functions import scalars, stats
+from arbolex.operators.asof import next_after
 
 TOOLS = ("search", "browse", "resolve", "expand_keys", "search_prefix", "find_artworks")
 GAP_SECONDS = 60 * 60
@@ -240,17 +241,8 @@ def repeats(rows: DataFrame, key: list[str], value: str, order: list[str], least
     return got.where((F.col("first") > least) & (F.col("speedup") > ratio)).orderBy(F.desc("speedup"), *key).limit(k)
 
 
-def next_after(starts: DataFrame, others: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
-    """Forward as-of join: each start with the first later time among ``others`` with the same keys, or null."""
-    both = starts.select(*by, F.col(ts).alias("_at"), F.lit(None).cast(starts.schema[ts].dataType).alias("_other"), *[c for c in starts.columns if c not in (*by, ts)]).unionByName(
-        others.select(*by, F.col(ts).alias("_at"), F.col(ts).alias("_other")), allowMissingColumns=True
-    )
-    later = Window.partitionBy(*by).orderBy(scalars.micros("_at")).rangeBetween(1, Window.unboundedFollowing)
-    return both.withColumn("next_ts", F.min("_other").over(later)).where("_other is null").drop("_other").withColumnRenamed("_at", ts)
-
-
 def boots(starts: DataFrame) -> DataFrame:
-    """Container starts with the first later 'listening' line and the seconds between; there are few of them."""
+    """Container starts with the first later 'listening' line and the seconds between."""
     begun = starts.where(F.contains("message", F.lit(STARTING))).select(F.lit(0).alias("_k"), "ts")
     up = starts.where(F.contains("message", F.lit(LISTENING))).select(F.lit(0).alias("_k"), "ts")
     return next_after(begun, up, ["_k"]).drop("_k").withColumn("seconds", (scalars.micros("next_ts") - scalars.micros("ts")) / 1e6)

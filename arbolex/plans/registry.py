@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbolex.functions import scalars, stats
-from arbolex.operators import hierarchy, logs, overlay, resolve, text, vector
+from arbolex.operators import asof, hierarchy, logs, overlay, resolve, text, vector
 from arbolex.session import table
 from arbolex.sources import ingest
 from arbolex.streaming import usage
@@ -367,7 +367,7 @@ def repeat_speedup(spark, d):
 FROM events a WHERE event_type = 'signup'""")
 def asof_forward(spark, d):
     rows = table(spark, d, "events")
-    return logs.next_after(rows.where("event_type = 'signup'").select("user_id", "ts", "event_id"), rows.where("event_type = 'purchase'").select("user_id", "ts"), ["user_id"]).select("event_id", "user_id", "ts", "next_ts")
+    return asof.next_after(rows.where("event_type = 'signup'").select("user_id", "ts", "event_id"), rows.where("event_type = 'purchase'").select("user_id", "ts"), ["user_id"]).select("event_id", "user_id", "ts", "next_ts")
 
 
 def _at(p: int, list_: str = "l") -> str:
