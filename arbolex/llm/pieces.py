@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,12 +37,14 @@ from .common import chunks, documents
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 LOCKSTEP = 32  # symbols; longer units have a heap, and are not remembered
-CACHED = 300_000  # units a worker remembers
+CACHED = 200_000  # units a worker remembers
 _WIDTHS = (6, 8, 9, 10, 12, 16, 24, LOCKSTEP)
 _WIDTH = [next(w for w in _WIDTHS if n <= w) for n in range(LOCKSTEP + 1)]
 _UNIT = re.compile(f"{MARK}+[^{MARK}]*")
 _NONE = np.iinfo(np.int32).max
 _CODE_POINTS = 0x110000
+_MIX = 0x9E3779B97F4A7C15
+_IDS = 1 << 19  # ids decoded at a time, or one row's
 _PROBE = "Hello  world, café ▁naïve\n\t  \U0001f600\u0000 1234567 aaaa" + " " * 9 + "end "
 
 
@@ -70,8 +73,10 @@ class Pieces:
         scores = {p: lib.get_score(i) for p, i in self.ids.items()}
         rank = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
         joins = [(symbol[p[:k]] * self.base + symbol[p[k:]], rank[scores[p]], i) for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
-        joins.sort()
-        self.keys, self.ranks, self.joined = (np.array(x, t) for x, t in zip(zip(*joins) if joins else ((), (), ()), (np.int64, np.int32, np.int64)))
+        self._fill(joins)
+        by_rank = sorted((rank[scores[p]], i) for p, i in self.ids.items())
+        # Where no two pieces have one score, the rank tells the piece.
+        self.by_rank = np.array([i for _, i in by_rank], np.int32) if len(rank) == len(by_rank) else None
         self.pairs = {k: (r, j) for k, r, j in joins}
         self.cache: dict[str, tuple[int, ...]] = {}
         surface = [lib.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
@@ -91,20 +96,48 @@ class Pieces:
     def _symbols(self, text: str) -> np.ndarray:
         return self.char[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
-    def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of the piece that two symbols join to, or _NONE, and the piece."""
-        if not len(self.keys):
-            return np.full(left.shape, _NONE, np.int32), np.zeros(left.shape, np.int64)
-        key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE), self.joined[at]
+    def _fill(self, joins: list[tuple[int, int, int]]) -> None:
+        """Pairs by hash, in a table so wide that most are found, or found missing, at the first look."""
+        bits = max(10, (8 * len(joins)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._ranks, self._joined = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+        for key, rank, piece in joins:
+            at = (key * _MIX & 0xFFFFFFFFFFFFFFFF) >> 64 - bits
+            while self._keys[at] >= 0:
+                at = at + 1 & self._mask
+            self._keys[at], self._ranks[at], self._joined[at] = key, rank, piece
+
+    def _slots(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where pairs of symbols are in the table, -1 for none."""
+        key = (left.astype(np.int64) * self.base + right).ravel()
+        at = (key.view(np.uint64) * np.uint64(_MIX) >> self._shift).view(np.int64)
+        there = self._keys[at]
+        at[there == -1] = -1
+        late = np.flatnonzero((there != key) & (at >= 0))
+        while len(late):  # others of the same hash lie behind it
+            at[late] = at[late] + 1 & self._mask
+            there = self._keys[at[late]]
+            empty = there == -1
+            differs = there != key[late]
+            at[late[empty]] = -1
+            late = late[differs & ~empty]
+        return at.reshape(left.shape)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the piece that two symbols join to, or _NONE."""
+        at = self._slots(left, right)
+        return np.where(at >= 0, self._ranks[at], _NONE)
+
+    def _joint(self, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """The piece that two symbols join to, whose rank is known."""
+        return self.by_rank[rank] if self.by_rank is not None else self._joined[self._slots(left, right)]
 
     def _lockstep(self, units: list[str], width: int) -> list[tuple[int, ...]]:
         """The agenda of many short units at once: each round merges every unit's best pair."""
         n, sizes = len(units), np.fromiter(map(len, units), np.int64, len(units))
-        sym = np.full((n, width + 1), -1, np.int64)  # the last column stays empty
+        sym = np.full((n, width + 1), -1, np.int32)  # the last column stays empty
         sym[np.arange(width + 1) < sizes[:, None]] = self._symbols("".join(units))
-        rank, _ = self._find(sym[:, :-1], sym[:, 1:])
+        rank = self._rank(sym[:, :-1], sym[:, 1:])
         alive, out, places = np.arange(n), [None] * n, np.arange(width + 1)
         while True:
             at = rank.argmin(axis=1)  # the first of equal ones
@@ -116,17 +149,18 @@ class Pieces:
             if over.all():
                 return out
             go = ~over
-            alive, sym, rank, at = alive[go], sym[go], rank[go], at[go]
+            alive, sym, rank, at, best = alive[go], sym[go], rank[go], at[go], best[go]
             line = np.arange(len(alive))
-            sym[line, at] = self._find(sym[line, at], sym[line, at + 1])[1]
+            sym[line, at] = self._joint(sym[line, at], sym[line, at + 1], best)
             # What stands behind the merged pair moves up by one; only the pairs beside it have new ranks.
-            sym = np.take_along_axis(sym, np.minimum(places + (places > at[:, None]), width), axis=1)
+            behind = places > at[:, None]
+            sym[:, :-1] = np.where(behind[:, :-1], sym[:, 1:], sym[:, :-1])
             sym[:, -1] = -1
-            rank = np.take_along_axis(rank, np.minimum(places[:-1] + (places[:-1] > at[:, None]), width - 1), axis=1)
+            rank[:, :-1] = np.where(behind[:, :-2], rank[:, 1:], rank[:, :-1])
             rank[:, -1] = _NONE
-            rank[line, at] = self._find(sym[line, at], sym[line, at + 1])[0]
+            rank[line, at] = self._rank(sym[line, at], sym[line, at + 1])
             left = np.maximum(at - 1, 0)
-            rank[line, left] = self._find(sym[line, left], sym[line, left + 1])[0]
+            rank[line, left] = self._rank(sym[line, left], sym[line, left + 1])
 
     def _heap(self, sym: list[int]) -> list[int]:
         """The agenda of one long unit."""
@@ -224,8 +258,15 @@ def _schema(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
 
 
-def tokenized(docs: DataFrame, model: bytes | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with the columns ids (array<int>) and agrees (boolean): the pieces of each whole text."""
+def _array(lists: list[list[int]]) -> pa.Array:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+
+
+def tokenized(docs: DataFrame, model: bytes | None = None, text: str = "text", decode: bool = False) -> DataFrame:
+    """``docs`` with the columns ids (array<int>) and agrees (boolean): the pieces of each whole text. With ``decode`` also
+    decoded (string), the text that the ids stand for, and agrees tells of both ways."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,28 +274,40 @@ def tokenized(docs: DataFrame, model: bytes | None = None, text: str = "text") -
         for batch in batches:
             for chunk in chunks(batch.column(text)):
                 texts = [chunk.text(k).decode("utf-8", "replace") for k in range(chunk.n)]
-                own, library = pieces.encode(texts), pieces.library.encode(texts, num_threads=1)
-                yield _with(batch.slice(chunk.rows.start, chunk.n), {"ids": pa.array(library, pa.list_(pa.int32())), "agrees": pa.array([a == b for a, b in zip(own, library)], pa.bool_())})
+                library = pieces.library.encode(texts, num_threads=1)
+                agrees = [a == b for a, b in zip(pieces.encode(texts), library)]
+                columns = {"ids": _array(library)}
+                if decode:
+                    back = pieces.library.decode(library) if library else []
+                    agrees = [a and pieces.decode(i) == b for a, i, b in zip(agrees, library, back)]
+                    columns["decoded"] = pa.array(back, pa.string())
+                yield _with(batch.slice(chunk.rows.start, chunk.n), columns | {"agrees": pa.array(agrees, pa.bool_())})
 
-    return docs.mapInArrow(run, _schema(docs, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("agrees", T.BooleanType())]))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decode else []), T.StructField("agrees", T.BooleanType())]
+    return docs.mapInArrow(run, _schema(docs, fields))
 
 
 def detokenized(rows: DataFrame, model: bytes | None = None, ids: str = "ids") -> DataFrame:
-    """``rows`` with the columns decoded (string) and decoded_agrees (boolean): the text that each row's ids stand for."""
+    """``rows`` with the columns decoded (string) and agrees (boolean): the text that each row's ids stand for."""
     model = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            given = [x or [] for x in batch.column(ids).to_pylist()]
-            library = pieces.library.decode(given) if given else []
-            own = [pieces.decode(x) for x in given]
-            yield _with(batch, {"decoded": pa.array(library, pa.string()), "decoded_agrees": pa.array([a == b for a, b in zip(own, library)], pa.bool_())})
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + _IDS, "right")))
+                part = batch.slice(lo, hi - lo)
+                given = [x or [] for x in part.column(ids).to_pylist()]
+                library = pieces.library.decode(given)
+                yield _with(part, {"decoded": pa.array(library, pa.string()), "agrees": pa.array([pieces.decode(x) == y for x, y in zip(given, library)], pa.bool_())})
+                lo = hi
 
-    return rows.mapInArrow(run, _schema(rows, [T.StructField("decoded", T.StringType()), T.StructField("decoded_agrees", T.BooleanType())]))
+    return rows.mapInArrow(run, _schema(rows, [T.StructField("decoded", T.StringType()), T.StructField("agrees", T.BooleanType())]))
 
 
 def op11_score_agenda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detokenized(tokenized(documents(spark, sf_dir).select("doc_id", "text")).drop("text"))
+    rows = tokenized(documents(spark, sf_dir).select("doc_id", "text"), decode=True)
     digest = lambda x: F.sha2(x.cast("binary"), 256)
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"), (F.col("agrees") & F.col("decoded_agrees")).alias("agrees"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"), "agrees")
