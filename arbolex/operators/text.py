@@ -1,9 +1,8 @@
 """Full-text search over labels: phrases, AND of terms, BM25 with corpus-wide statistics.
 
 There are two forms of index. A token table has one row per text: ``padded`` holds the tokens between spaces and ``n_tokens`` their
-number. It is scanned whole. Postings have one row per token and text, with the token's positions; a store holds them
-sorted by token, so that a query reads the rows of its own tokens only, beside one row of statistics. Both give the same hits and
-ranks. Tokenising is the costly step, so either is written at ingest and queries start from it; filters on derived
+number. It is scanned whole. Postings (``ranked``) have one row per token and text, with the token's positions. Both give the same hits
+and ranks. Tokenising is the costly step, so either is written at ingest and queries start from it; filters on derived
 columns would otherwise make the optimizer tokenise again for each of them.
 """
 
@@ -89,44 +88,6 @@ def search(index: DataFrame, phrases: list[list[str]], scope: Column | None = No
     return _scored(counts, stats, len(phrases), scope)
 
 
-def postings(table_: DataFrame) -> DataFrame:
-    """token, the columns of the token table but ``padded``, and the token's positions, of a token table whose other
-    columns tell its rows apart."""
-    rest = [c for c in table_.columns if c != "padded"]
-    words = table_.select(*rest, F.posexplode(F.split(F.trim("padded"), " ")).alias("_at", "token")).where("token != ''")
-    return words.groupBy("token", *rest).agg(F.array_sort(F.collect_list("_at")).alias("positions"))  # of one text
-
-
-def index_statistics(table_: DataFrame) -> DataFrame:
-    """One row: the number of texts, those without tokens included, and their mean length in tokens."""
-    return table_.agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_avg"))
-
-
-def _back(k: int) -> Callable[[Column], Column]:
-    return lambda x: x - k
-
-
-def search_postings(index: DataFrame, statistics: DataFrame, phrases: list[list[str]], scope: Column | None = None) -> DataFrame:
-    """What ``search`` gives, from postings: rows are read by token, and a phrase occurs where its tokens' positions, each
-    moved back by its place in the phrase, meet."""
-    rest = [c for c in index.columns if c not in ("token", "positions")]
-    if not phrases:
-        return index.where(F.lit(False)).select(*(c for c in rest if c != "n_tokens"), F.lit(0.0).alias("rank"))
-    words = sorted({w for p in phrases for w in p})
-    found = index.where(F.col("token").isin(words)).groupBy(*rest).agg(*(F.first(F.when(F.col("token") == w, F.col("positions")), ignorenulls=True).alias(f"_w{i}") for i, w in enumerate(words)))
-
-    def places(phrase: list[str]) -> Column:
-        out = None
-        for k, w in enumerate(phrase):
-            moved = F.transform(F.coalesce(f"_w{words.index(w)}", F.array().cast("array<int>")), _back(k))
-            out = moved if out is None else F.array_intersect(out, moved)
-        return F.size(out)
-
-    counts = found.select(*rest, *(places(p).alias(f"_tf{i}") for i, p in enumerate(phrases)))
-    frequency = counts.agg(*(F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(phrases))))
-    return _scored(counts, statistics.crossJoin(frequency), len(phrases), scope)  # one row each
-
-
 def _scored(counts: DataFrame, statistics: DataFrame, n: int, scope: Column | None) -> DataFrame:
     """Rows with all terms, and their rank, from term counts _tf and one row of _n, _avg and _df."""
     hits = counts
@@ -159,11 +120,6 @@ def scanning(index: DataFrame) -> Searcher:
     return lambda phrases, scope: search(index, phrases, scope)
 
 
-def reading(index: DataFrame, statistics: DataFrame) -> Searcher:
-    """Search over postings."""
-    return lambda phrases, scope: search_postings(index, statistics, phrases, scope)
-
-
 def search_with_fallback(indexes: list[DataFrame | Searcher], query: str, key: str, scope: Column | None = None) -> DataFrame:
     """The phrase's hits over all indexes; only if there are none at all, those of the AND of its words."""
     ways = [i if callable(i) else scanning(i) for i in indexes]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass, field, replace
 
 from py4j.protocol import Py4JJavaError
@@ -9,7 +11,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolex.operators import text, vector
+from arbolex.operators import ranked, text, vector
 from arbolex.session import recovered, swapped
 
 SCHEMA_VERSION = "3"
@@ -23,7 +25,7 @@ SCHEMAS = {
     "meta": "key string, value string",
 }
 INDEX = "notation string, notation_lc string, lang string, ord long, padded string, n_tokens int"
-POSTINGS = "token string, notation string, notation_lc string, lang string, ord long, n_tokens int, positions array<int>"
+POSTINGS_A_BUCKET, MOST_BUCKETS = 8_000_000, 50_000
 
 
 @dataclass
@@ -40,11 +42,11 @@ class Vocabulary:
     label_index: DataFrame
     keyword_index: DataFrame
     missing: list[str] = field(default_factory=list)
-    postings: dict[str, tuple[DataFrame, DataFrame]] = field(default_factory=dict)  # by index: postings and statistics
+    postings: dict[str, ranked.Postings] = field(default_factory=dict)  # by index
 
     def searchers(self) -> list[DataFrame | text.Searcher]:
         """The two text indexes, as postings where the store has them."""
-        return [text.reading(*self.postings[n]) if n in self.postings else getattr(self, n) for n in INDEXES]
+        return [self.postings[n].searcher() if n in self.postings else getattr(self, n) for n in INDEXES]
 
 
 INDEXES = {"label_index": "texts", "keyword_index": "keywords"}
@@ -68,7 +70,7 @@ def vocabulary(spark: SparkSession, **tables: DataFrame) -> Vocabulary:
 
 def write(v: Vocabulary, path: str) -> None:
     """Writes all tables. Codes are range-partitioned and sorted, so that prefix filters skip row groups; the token
-    indexes are tokenised once, here, and their postings sorted by token, so that a query reads its own tokens."""
+    indexes are tokenised once, here."""
     order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation_lc", "keyword_index": "notation_lc", "embeddings": "notation_lc", "counts": "notation"}
     for name in (*SCHEMAS, *INDEXES):
         if name in v.missing:
@@ -80,10 +82,38 @@ def write(v: Vocabulary, path: str) -> None:
     for name, of in INDEXES.items():
         if of in v.missing:
             continue
-        table_ = v.notations.sparkSession.read.parquet(f"{path}/{name}")
-        # A frequent token's rows go to several files, in the order of its codes.
-        text.postings(table_).repartitionByRange("token", "notation_lc").sortWithinPartitions("token", "notation_lc").write.mode("overwrite").parquet(f"{path}/{name}_postings")
-        text.index_statistics(table_).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}_statistics")
+        write_postings(v.notations.sparkSession.read.parquet(f"{path}/{name}"), f"{path}/{name}")
+
+
+def write_postings(table_: DataFrame, path: str) -> None:
+    """The postings of a stored token table beside it: bucketed by text, and sorted by token and block inside a bucket, in
+    small pages, so that a query reads its own tokens' blocks. ``read_postings`` opens them, in any session."""
+    spark = table_.sparkSession
+    sums = ranked.statistics(table_)
+    n = int(table_.agg(F.sum("n_tokens")).first()[0] or 0)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-n // POSTINGS_A_BUCKET)))
+    sums.withColumn("_buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}_statistics")
+    name = f"arbolex_{uuid.uuid4().hex}"  # bucketed files are written through the catalogue; dropping the table leaves them
+    rows = ranked.index(table_).repartition(buckets, "doc")
+    rows.write.mode("overwrite").bucketBy(buckets, "doc").sortBy("token", "block", "doc").option("path", f"{path}_postings").option("parquet.page.row.count.limit", 2000).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    blocks = ranked.block_table(spark.read.parquet(f"{path}_postings"), sums)
+    blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}_blocks")
+    totals = ranked.token_totals(spark.read.parquet(f"{path}_blocks"))
+    totals.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}_tokens")
+
+
+def read_postings(spark: SparkSession, path: str) -> ranked.Postings:
+    """The postings beside a stored token table. The session's catalogue tells Spark how they are bucketed."""
+    sums = spark.read.parquet(f"{path}_statistics")
+    buckets = sums.first()["_buckets"]
+    files = f"{path}_postings"
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(files).schema.fields)
+    name = f"arbolex_{hashlib.sha256(files.encode()).hexdigest()[:32]}"
+    place = files.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (doc) SORTED BY (token, block, doc) INTO {buckets} BUCKETS LOCATION '{place}'")
+    return ranked.Postings(spark.table(name), spark.read.parquet(f"{path}_blocks"), spark.read.parquet(f"{path}_tokens"), sums.drop("_buckets"))
 
 
 def stamped(v: Vocabulary, built_at: str, source: str = "", dimensions: int | None = None) -> Vocabulary:
@@ -151,7 +181,7 @@ def open_store(spark: SparkSession, path: str) -> Vocabulary:
             table_ = spark.read.parquet(f"{path}/{name}")
             if {c.split()[0] for c in INDEX.split(", ")} <= set(table_.columns):
                 got[name] = table_
-                got.setdefault("postings", {})[name] = (spark.read.parquet(f"{path}/{name}_postings"), spark.read.parquet(f"{path}/{name}_statistics"))
+                got.setdefault("postings", {})[name] = read_postings(spark, f"{path}/{name}")
         except AnalysisException:
             pass
     v = vocabulary(spark, **got)
