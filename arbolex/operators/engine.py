@@ -85,6 +85,7 @@ class Engine:
         self.v, self.embed, self.aggregator, self.emit = v, embed, aggregator, emit
         self.query_prefix, self.filter_after = query_prefix, filter_after
         self.spark = v.notations.sparkSession
+        self._collections: list[dict] | None = None
 
     # Pieces
 
@@ -99,13 +100,27 @@ class Engine:
         return scalars.has_prefix("notation_lc", prefix) if prefix else None
 
     def collections(self) -> list[dict]:
-        return [_plain(r) for r in overlay.collection_totals(self.v.info, self.v.counts, self.v.notations).orderBy("collection_id").collect()]
+        """Every collection with its total; read once, as an engine's store does not change."""
+        if self._collections is None:
+            self._collections = [_plain(r) for r in overlay.kept_totals(self.v.info, self.v.sums).orderBy("collection_id").collect()]
+        return [dict(c) for c in self._collections]
 
     def matches(self, query: str, parent: str | None = None, collection: str | None = None, only_held: bool = False) -> DataFrame:
-        """All hits of a keyword search, with rank and coverage."""
-        hits = text.search_with_fallback(self.v.searchers(), query, "notation", self._scope(parent))
-        hits = overlay.coverage(hits, self.v.counts, collection)
-        return hits.where("coverage > 0") if collection or only_held else hits
+        """All hits of a keyword search, with rank and coverage, persisted. The AND of the words is looked up only where the
+        phrase has no hit in any index."""
+        scope = self._scope(parent)
+        found = None
+        for form in (text.phrase_tokens(query), text.term_tokens(query)):
+            if found is not None:
+                found.unpersist()
+            found = text.all_hits(self.v.searchers(), form, "notation", scope).persist()
+            if not form or not found.isEmpty():
+                break
+        hits = overlay.kept_coverage(found, self.v.sums, collection)
+        hits = (hits.where("coverage > 0") if collection or only_held else hits).persist()
+        hits.count()
+        found.unpersist()
+        return hits
 
     # Queries
 
@@ -118,7 +133,7 @@ class Engine:
         _whole("max_results", max_results, 1, 50), _whole("offset", offset, 0), _language(lang)
         if semantic is not None:
             return self._semantic(semantic, max_results, lang, offset, collection, only_held, parent)
-        hits = self.matches(query, parent, collection, only_held).persist()  # counted, and then paged
+        hits = self.matches(query, parent, collection, only_held)
         try:
             total = hits.count()
             page = [r["notation"] for r in paged(hits, max_results, offset).collect()]

@@ -49,7 +49,7 @@ def entries(vocabulary, page: DataFrame, lang: str = "en") -> DataFrame:
     words = keywords(vocabulary.keywords.join(page.select("notation").distinct(), "notation", "left_semi"), lang)
     steps = rows.select("pos", F.posexplode("path").alias("_at", "step")).join(label.withColumnRenamed("notation", "step"), "step", "left")
     steps = steps.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("_at", F.col("step").alias("notation"), F.coalesce("text", "step").alias("text")))).alias("_path"))
-    held = vocabulary.counts.join(page.select("notation").distinct(), "notation", "left_semi").groupBy("notation").agg(F.array_sort(F.collect_set("collection_id")).alias("collections"))
+    held = vocabulary.sums.where("kind = 'code'").select(F.col("name").alias("notation"), "collections").join(page.select("notation").distinct(), "notation", "left_semi")
     none = F.array().cast("array<string>")
     out = rows.join(label, "notation", "left").join(words, "notation", "left").join(steps, "pos", "left").join(held, "notation", "left")
     return out.select(

@@ -120,14 +120,19 @@ def scanning(index: DataFrame) -> Searcher:
     return lambda phrases, scope: search(index, phrases, scope)
 
 
+def all_hits(indexes: list[DataFrame | Searcher], phrases: list[list[str]], key: str, scope: Column | None = None) -> DataFrame:
+    """The best rank of each key that has every phrase, over all indexes."""
+    return best_ranks([(i if callable(i) else scanning(i))(phrases, scope) for i in indexes], key)
+
+
 def search_with_fallback(indexes: list[DataFrame | Searcher], query: str, key: str, scope: Column | None = None) -> DataFrame:
-    """The phrase's hits over all indexes; only if there are none at all, those of the AND of its words."""
-    ways = [i if callable(i) else scanning(i) for i in indexes]
+    """The phrase's hits over all indexes; only if there are none at all, those of the AND of its words. One plan, which
+    holds both forms; a caller that may run a job in between looks the second up only after the first (``Engine.matches``)."""
     phrases, terms = phrase_tokens(query), term_tokens(query)
-    exact = best_ranks([way(phrases, scope) for way in ways], key)
+    exact = all_hits(indexes, phrases, key, scope)
     if not terms:
         return exact
-    loose = best_ranks([way(terms, scope) for way in ways], key)
+    loose = all_hits(indexes, terms, key, scope)
     some = exact.agg(F.count(F.lit(1)).alias("_some"))  # one row
     return exact.unionByName(loose.crossJoin(F.broadcast(some)).where("_some = 0").select(key, "rank"))
 

@@ -11,8 +11,9 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbolex.operators import ranked, text, vector
+from arbolex.operators import overlay, ranked, text, vector
 from arbolex.session import recovered, swapped
+from arbolex.sources import merging
 
 SCHEMA_VERSION = "3"
 SCHEMAS = {
@@ -24,6 +25,7 @@ SCHEMAS = {
     "embeddings": "notation string, embedding array<tinyint>",
     "meta": "key string, value string",
 }
+COUNTS_KEY, SUMS_KEY = ["notation", "collection_id"], ["name", "kind"]
 INDEX = "notation string, notation_lc string, lang string, ord long, padded string, n_tokens int"
 POSTINGS_A_BUCKET, MOST_BUCKETS = 8_000_000, 50_000
 
@@ -41,6 +43,7 @@ class Vocabulary:
     meta: DataFrame
     label_index: DataFrame
     keyword_index: DataFrame
+    sums: DataFrame
     missing: list[str] = field(default_factory=list)
     postings: dict[str, ranked.Postings] = field(default_factory=dict)  # by index
 
@@ -65,17 +68,22 @@ def vocabulary(spark: SparkSession, **tables: DataFrame) -> Vocabulary:
             t[name] = t[name].withColumn("notation_lc", F.lower("notation"))
     own = {"texts": "text", "keywords": "keyword"}
     index = {n: tables.get(n) or text.token_table(t[of].withColumn("notation_lc", F.lower("notation")), own[of], "notation", "notation_lc", "lang", "ord") for n, of in INDEXES.items()}
-    return Vocabulary(**t, **index, missing=missing, postings=tables.get("postings") or {})
+    sums = tables.get("sums")
+    return Vocabulary(**t, **index, sums=overlay.sums(t["counts"], t["notations"]) if sums is None else sums, missing=missing, postings=tables.get("postings") or {})
 
 
 def write(v: Vocabulary, path: str) -> None:
     """Writes all tables. Codes are range-partitioned and sorted, so that prefix filters skip row groups; the token
     indexes are tokenised once, here."""
-    order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation_lc", "keyword_index": "notation_lc", "embeddings": "notation_lc", "counts": "notation"}
+    order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation_lc", "keyword_index": "notation_lc", "embeddings": "notation_lc"}
     for name in (*SCHEMAS, *INDEXES):
         if name in v.missing:
             continue
         df = getattr(v, name)
+        if name == "counts":  # changed later by key, and its sums with it
+            _renewed(df, f"{path}/counts", COUNTS_KEY)
+            _renewed(v.sums, f"{path}/sums", SUMS_KEY)
+            continue
         if key := order.get(name):
             df = df.repartitionByRange(key).sortWithinPartitions(key)
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -85,6 +93,37 @@ def write(v: Vocabulary, path: str) -> None:
         write_postings(v.notations.sparkSession.read.parquet(f"{path}/{name}"), f"{path}/{name}")
 
 
+def _renewed(df: DataFrame, path: str, key: list[str]) -> None:
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if merging.head(spark, path) is None and fs.exists(place):  # of another layout
+        fs.delete(place, True)
+    merging.create(df, path, key)
+
+
+def upsert_counts(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Rows of a stored overlay replaced or added by collection and code. Deltas are written, of the rows and of the sums
+    that they change; nothing else of the overlay is read or written anew but the sums of these codes."""
+    path = recovered(spark, path)
+    new = new.select(*(c.split()[0] for c in SCHEMAS["counts"].split(", "))).dropDuplicates(COUNTS_KEY)
+    if merging.head(spark, f"{path}/counts") is None:
+        merging.create(new, f"{path}/counts", COUNTS_KEY)
+        merging.create(overlay.sums(new, spark.read.parquet(f"{path}/notations")), f"{path}/sums", SUMS_KEY)
+        return
+    changed = overlay.changed_sums(merging.read(spark, f"{path}/sums", SUMS_KEY), new, spark.read.parquet(f"{path}/notations"))
+    merging.merge(spark, f"{path}/sums", changed, SUMS_KEY)
+    merging.merge(spark, f"{path}/counts", new, COUNTS_KEY)
+
+
+def compact_counts(spark: SparkSession, path: str) -> None:
+    """Folds the overlay's deltas into the ranges that they touch."""
+    path = recovered(spark, path)
+    for name, key in (("counts", COUNTS_KEY), ("sums", SUMS_KEY)):
+        merging.compact(spark, f"{path}/{name}", key)
+        merging.cleaned(spark, f"{path}/{name}")
+
+
 def write_postings(table_: DataFrame, path: str) -> None:
     """The postings of a stored token table beside it: bucketed by text, and sorted by token and block inside a bucket, in
     small pages, so that a query reads its own tokens' blocks. ``read_postings`` opens them, in any session."""
@@ -169,7 +208,10 @@ def open_store(spark: SparkSession, path: str) -> Vocabulary:
     got = {}
     for name, schema in SCHEMAS.items():
         try:
-            df = spark.read.parquet(f"{path}/{name}")
+            kept = name == "counts" and merging.head(spark, f"{path}/{name}") is not None
+            df = merging.read(spark, f"{path}/{name}", COUNTS_KEY) if kept else spark.read.parquet(f"{path}/{name}")
+            if kept and merging.head(spark, f"{path}/sums") is not None:
+                got["sums"] = merging.read(spark, f"{path}/sums", SUMS_KEY)
             want = [c.split()[0] for c in schema.split(", ")]
             if set(want) <= set(df.columns):
                 got[name] = df.select(*want)
