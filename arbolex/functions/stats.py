@@ -6,39 +6,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-CUTS = 64  # parts that a group's distinct values are split into
-
-
-def ranked(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Distinct values of each group with how many rows stand before (lo) and up to (hi) them, and the group's total n.
-
-    Percentiles are read from these counts. Values are counted before the shuffle. A group's distinct values are then
-    split at approximate quantiles into CUTS parts, each summed up by itself on top of what the parts before it hold, so
-    that a group with a third of all rows, and nearly as many values, is no one task's."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / CUTS for k in range(1, CUTS)], F.lit(1000)).alias("_cuts"))
-    parted = counts.join(cuts, by).withColumn("_part", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
-    sums = parted.groupBy(*by, "_part").agg(F.sum("c").alias("_s"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # CUTS rows a group
-    sums = sums.select(*by, "_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"), F.sum("_s").over(Window.partitionBy(*by)).alias("n"))
-    upto = Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    out = parted.join(sums, [*by, "_part"]).withColumn("hi", F.sum("c").over(upto) + F.col("_before"))
-    return out.withColumn("lo", F.col("hi") - F.col("c")).drop("_part", "_before")
-
-
-def percentile_at(value: Column, p: float) -> Column:
-    """Aggregate over ``ranked`` rows: the value at index min(floor(p / 100 * n), n - 1) of the sorted values."""
-    k = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-    return F.max(F.when((F.col("lo") <= k) & (k < F.col("hi")), value))
+FINE = 4096  # equal ranges that a coarse one is refined by
+
+
+def _coarse(v: Column) -> Column:
+    """A number that never falls as the value grows, and takes some thousand values: 64 for each doubling."""
+    d = v.cast("double")
+    size = F.least(F.floor(F.log2(F.abs(d)) * 64), F.lit(100_000)) + 200_000  # the smallest double has -68,736
+    return F.when(F.isnan(d), F.lit(10**7)).when(d > 0, size).when(d < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def _fine(v: Column) -> Column:
+    """Which of FINE equal ranges between lo and hi a value is in; it never falls as the value grows."""
+    wide = F.col("hi").cast("double") - F.col("lo").cast("double")
+    return F.when(wide > 0, F.floor((v.cast("double") - F.col("lo").cast("double")) / wide * FINE)).otherwise(F.lit(0)).cast("long")
+
+
+def _placed(hist: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Adds _before, how many of the group's rows stand before a range, and leaves of its wanted places those within it."""
+    upto = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("c").over(upto) - F.col("c") + F.col("_base")
+    hist = hist.withColumn("_before", before)
+    mine = F.filter("_places", lambda x: (x >= F.col("_before")) & (x < F.col("_before") + F.col("c")))
+    return hist.withColumn("_places", mine).where(F.size("_places") > 0)
+
+
+def percentiles(df: DataFrame, value: str, by: list[str], percents: tuple[int, ...]) -> DataFrame:
+    """by, n, min, max, sum and one column a percent, p50 and so on: the value at place min(floor(p / 100 * n), n - 1) of a
+    group's sorted values, exact. Nulls do not count.
+
+    Histograms are refined until the places are found: rows are counted by coarse ranges of values; of those that hold a
+    wanted place the rows are counted by fine ranges; of those by value, which are sorted. Counts are summed before each shuffle
+    and no rows are joined but with the few wanted ranges, so that no task holds a group, however large."""
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*by).alias("_k"), F.col(value).alias("_v")).withColumn("_a", _coarse(F.col("_v")))
+    counted = lambda r, *more: r.agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"), *more)
+    coarse = counted(rows.groupBy("_k", "_a"), F.sum("_v").alias("s"))
+    total = coarse.groupBy("_k").agg(F.sum("c").alias("n"), F.min("lo").alias("min"), F.max("hi").alias("max"), F.sum("s").alias("sum"))
+    n = F.sum("c").over(Window.partitionBy("_k"))  # some thousand ranges a group at most
+    place = lambda n, p: F.least(F.floor(n * p / 100), n - 1).cast("long")
+    coarse = coarse.withColumn("_places", F.array(*(place(n, p) for p in percents))).withColumn("_base", F.lit(0))
+    first = _placed(coarse, ["_k"], "_a").select("_k", "_a", "lo", "hi", "_before", "_places")
+    fine = rows.join(first, ["_k", "_a"]).withColumn("_b", _fine(F.col("_v"))).groupBy("_k", "_a", "_b")
+    fine = counted(fine, F.first("_before").alias("_base"), F.first("_places").alias("_places"))
+    second = _placed(fine, ["_k", "_a"], "_b").select("_k", "_a", "lo", "hi", "_before", "_places")
+    last = rows.join(second, ["_k", "_a"]).where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))).groupBy("_k", "lo", "_v")
+    last = last.agg(F.count(F.lit(1)).alias("c"), F.first("_before").alias("_base"), F.first("_places").alias("_places"))
+    found = _placed(last, ["_k", "lo"], "_v").select("_k", "_v", F.explode(F.array_distinct("_places")).alias("_at"))
+    found = found.groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_m"))  # one for each percent
+    got = total.join(found, "_k")
+    return got.select(*(F.col(f"_k.`{c}`").alias(c) for c in by), "n", "min", "max", "sum", *(F.element_at("_m", place(F.col("n"), p)).alias(f"p{p}") for p in percents))
 
 
 def describe(df: DataFrame, value: str, by: list[str], percents: tuple[int, ...] = (25, 50, 75, 90, 95, 99)) -> DataFrame:
     """count, min, percentiles, max and mean (2 places) of each group."""
-    v = F.col(value)
-    aggs = [F.max("n").alias("n"), F.min(v).alias("min")]
-    aggs += [percentile_at(v, p).alias(f"p{p}") for p in percents]
-    aggs += [F.max(v).alias("max"), F.round(F.sum(v * F.col("c")) / F.max("n"), 2).alias("mean")]
-    return ranked(df, value, by).groupBy(*by).agg(*aggs)
+    got = percentiles(df, value, by, percents)
+    return got.select(*by, "n", "min", *(f"p{p}" for p in percents), "max", F.round(F.col("sum") / F.col("n"), 2).alias("mean"))
 
 
 def bucket(value: Column, edges: tuple[int, ...] = (0, 25, 50, 100, 200)) -> Column:

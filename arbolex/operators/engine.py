@@ -152,8 +152,10 @@ class Engine:
         if collection or only_held:
             keep = self.v.counts.where(F.col("collection_id") == collection) if collection else self.v.counts
         k = min(offset + n, CANDIDATES)
-        find = vector.nearest_then_kept if self.filter_after else vector.nearest
-        near = find(self.v.embeddings, "notation", vector.quantize_query(v), k, keep, self._scope(parent))
+        if self.filter_after:
+            near = vector.nearest_then_kept(self.v.embeddings, "notation", vector.quantize_query(v), k, keep, self._scope(parent))
+        else:
+            near = vector.nearest_many(self.v.embeddings, "notation", {query: vector.quantize_query(v)}, k, self.v.clusters, keep, self._scope(parent))
         rows = near.select("notation", vector.similarity(F.col("distance")).alias("similarity"), "distance").orderBy("distance", "notation").collect()
         at = {r["notation"]: r["similarity"] for r in rows}
         found = [e | {"similarity": at[e["notation"]]} for e in self._entries([r["notation"] for r in rows], lang)]

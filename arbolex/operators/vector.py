@@ -101,6 +101,156 @@ def nearest_then_kept(vectors: DataFrame, key: str, query: list[int], k: int, ke
     return wide.join(keep.select(key).distinct(), key, "left_semi").orderBy("distance", key).limit(k)
 
 
+# Many queries at a time, and clusters that a query can leave out
+
+CLUSTER_ROWS, MOST_CLUSTERS, SAMPLE_A_CLUSTER, ROUNDS = 256, 4096, 16, 4
+_SLACK = 1e-7  # of angles, for rounding
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    sizes = np.diff(np.asarray(column.offsets))
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError("vectors of unlike dimensions")
+    return np.asarray(column.flatten()).reshape(len(sizes), -1).astype(np.float64)
+
+
+def _units(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+
+def _angles(cosines: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(cosines, -1, 1))
+
+
+def centres(vectors: DataFrame, clusters: int | None = None) -> np.ndarray:
+    """Unit centres of clusters, found on a bounded sample: SAMPLE_A_CLUSTER vectors a cluster. How good they are only
+    decides how much a query can leave out."""
+    n = vectors.count()
+    clusters = clusters or max(1, min(MOST_CLUSTERS, n // CLUSTER_ROWS))
+    rows = vectors.where("embedding is not null").select("embedding").sample(min(1.0, 2 * SAMPLE_A_CLUSTER * clusters / max(n, 1)), seed=7).limit(SAMPLE_A_CLUSTER * clusters)
+    drawn = [list(r[0]) for r in rows.collect()]
+    if not drawn:
+        return np.zeros((0, 0))
+    x = _units(np.array(drawn, np.float64))
+    rng = np.random.default_rng(7)
+    at = x[rng.choice(len(x), min(clusters, len(x)), replace=False)]
+    for _ in range(ROUNDS):
+        own = (x @ at.T).argmax(axis=1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, own, x)
+        some = np.sqrt((sums * sums).sum(axis=1)) > 1e-9
+        at[some] = _units(sums[some])
+    return at
+
+
+def clustered(vectors: DataFrame, at: np.ndarray) -> DataFrame:
+    """Adds cluster, the nearest of the centres, and angle, how far from it the vector is."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name not in ("cluster", "angle"))
+    names = [c for c in vectors.columns if c not in ("cluster", "angle")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                near = _units(_matrix(batch.column(names.index("embedding")))) @ at.T
+                own = near.argmax(axis=1)
+                yield pa.record_batch([*batch.columns, pa.array(own.astype(np.int32)), pa.array(_angles(near[np.arange(len(own)), own]))], names=[*names, "cluster", "angle"])
+
+    return vectors.select(*names).where("embedding is not null").mapInArrow(run, f"{schema}, cluster int, angle double")
+
+
+def cluster_table(rows: DataFrame, at: np.ndarray) -> DataFrame:
+    """cluster, centre, radius (the largest angle between the centre and a vector) and n; MOST_CLUSTERS rows at most."""
+    known = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(at)], "cluster int, centre array<double>")
+    return rows.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).join(F.broadcast(known), "cluster")
+
+
+def nearest_many(vectors: DataFrame, key: str, queries: dict[str, list[int]], k: int, clusters: DataFrame | None = None, keep: DataFrame | None = None, scope: Column | None = None) -> DataFrame:
+    """query, key and distance: what ``nearest`` gives for each of the int8 queries, which are as many as fit the driver, in
+    one scan: a matrix product for each Arrow batch, and at most k rows a query leave a task.
+
+    With ``clusters`` (of vectors that have a column cluster) whole clusters are left out, exactly: an angle to a vector is
+    at least that to its centre less the cluster's radius. The nearest clusters are read first, to know how near k vectors
+    are at least; then, in one pass, those that may hold a nearer one for any query."""
+    names, q = list(queries), np.array(list(queries.values()), np.float64)
+    rows = vectors if scope is None else vectors.where(scope)
+    if keep is not None:
+        rows = rows.join(keep.select(key).distinct(), key, "left_semi")
+    kind = rows.schema[key].dataType.simpleString()
+    if not names or k < 1:
+        return vectors.sparkSession.createDataFrame([], f"query string, `{key}` {kind}, distance double")
+    ranked = lambda df: df.withColumn("_place", F.row_number().over(Window.partitionBy("query").orderBy("distance", key))).where(F.col("_place") <= k).drop("_place")
+    if clusters is None:
+        return ranked(_scanned(rows, key, kind, names, q, k, None, None))
+    ids, asked = clusters_asked(rows, key, names, q, k, clusters)
+    some = [int(c) for c in ids[asked.any(axis=0)]]
+    return ranked(_scanned(rows.where(F.col("cluster").isin(some)), key, kind, names, q, k, ids, asked))
+
+
+def clusters_asked(rows: DataFrame, key: str, names: list[str], q: np.ndarray, k: int, clusters: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The clusters' ids, and for each query (a row) which of them may hold one of its k nearest."""
+    kind = rows.schema[key].dataType.simpleString()
+    known = clusters.collect()
+    ids = np.array([c["cluster"] for c in known], np.int64)
+    far = _angles(_units(q) @ np.array([c["centre"] for c in known], np.float64).reshape(len(known), -1).T)
+    near = np.maximum(far - np.array([c["radius"] for c in known]), 0) - _SLACK  # the least angle that a cluster allows
+    size = np.array([c["n"] for c in known])
+    first: set[int] = set()
+    for row in far:
+        order = np.argsort(row, kind="stable")
+        first.update(order[: int(np.searchsorted(np.cumsum(size[order]), k)) + 1].tolist())
+    limit = np.full(len(names), np.pi)
+    begun = _scanned(rows.where(F.col("cluster").isin([int(ids[c]) for c in first])), key, kind, names, q, k, None, None)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
+    found = begun.withColumn("_place", place).where(F.col("_place") == k).select("query", "distance")
+    for r in found.collect():  # a row a query
+        if r["distance"] == r["distance"]:
+            limit[names.index(r["query"])] = _angles(np.array([1 - r["distance"]]))[0] + _SLACK
+    return ids, near <= limit[:, None]
+
+
+def _scanned(rows: DataFrame, key: str, kind: str, names: list[str], q: np.ndarray, k: int, ids: np.ndarray | None, asked: np.ndarray | None) -> DataFrame:
+    """At most k rows a task and query (with ``asked``: queries of each cluster in ``ids``)."""
+    own = (q * q).sum(axis=1)
+    columns = [key, "embedding", *(["cluster"] if ids is not None else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, last = None, np.full(len(names), np.nan)  # nan: fewer than k so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = _matrix(batch.column(1))
+            if m.shape[1] != q.shape[1]:
+                raise ValueError(f"a vector has not the {q.shape[1]} dimensions of the query")
+            if ids is None:
+                parts = [(np.arange(len(m)), np.arange(len(names)))]
+            else:
+                cluster = batch.column(2).to_numpy()
+                parts = [(np.flatnonzero(cluster == c), np.flatnonzero(asked[:, int(np.flatnonzero(ids == c)[0])])) for c in np.unique(cluster)]
+            for at, of in parts:
+                if not len(of):
+                    continue
+                x = m[at]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = 1 - (x @ q[of].T) / np.sqrt((x * x).sum(axis=1)[:, None] * own[of])
+                cut = last[of]
+                if len(at) > k:
+                    cut = np.fmin(cut, np.partition(far, k - 1, axis=0)[k - 1])
+                r, c = np.nonzero(~(far > cut))
+                new = pa.table({"query": pa.array(of[c], pa.int32()), key: batch.column(0).take(pa.array(at[r])), "distance": pa.array(far[r, c])})
+                both = (new if best is None else pa.concat_tables([best, new])).sort_by([("query", "ascending"), ("distance", "ascending"), (key, "ascending")])
+                of_row = both.column("query").to_numpy()
+                begin = np.searchsorted(of_row, np.arange(len(names) + 1))
+                place = np.arange(len(of_row)) - begin[of_row]
+                best = both.take(pa.array(np.flatnonzero(place < k)))
+                full = np.flatnonzero(np.diff(begin) >= k)
+                last[full] = both.column("distance").to_numpy()[begin[full] + k - 1]
+        if best is not None:
+            for part in best.combine_chunks().to_batches():
+                yield pa.record_batch([pa.array([names[i] for i in part.column(0).to_pylist()], pa.string()), part.column(1), part.column(2)], names=["query", key, "distance"])
+
+    return rows.where("embedding is not null").select(*columns).mapInArrow(run, f"query string, `{key}` {kind}, distance double")
+
+
 def validated(vectors: DataFrame, key: str, queries: dict[str, list[int]], k: int = 5) -> DataFrame:
     """query, the k nearest keys, and whether the nearest is that of a plain scan with SQL expressions."""
     out = None

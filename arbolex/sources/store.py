@@ -44,6 +44,7 @@ class Vocabulary:
     label_index: DataFrame
     keyword_index: DataFrame
     sums: DataFrame
+    clusters: DataFrame | None = None  # of the vectors, where the store has them
     missing: list[str] = field(default_factory=list)
     postings: dict[str, ranked.Postings] = field(default_factory=dict)  # by index
 
@@ -69,13 +70,13 @@ def vocabulary(spark: SparkSession, **tables: DataFrame) -> Vocabulary:
     own = {"texts": "text", "keywords": "keyword"}
     index = {n: tables.get(n) or text.token_table(t[of].withColumn("notation_lc", F.lower("notation")), own[of], "notation", "notation_lc", "lang", "ord") for n, of in INDEXES.items()}
     sums = tables.get("sums")
-    return Vocabulary(**t, **index, sums=overlay.sums(t["counts"], t["notations"]) if sums is None else sums, missing=missing, postings=tables.get("postings") or {})
+    return Vocabulary(**t, **index, sums=overlay.sums(t["counts"], t["notations"]) if sums is None else sums, clusters=tables.get("clusters"), missing=missing, postings=tables.get("postings") or {})
 
 
 def write(v: Vocabulary, path: str) -> None:
     """Writes all tables. Codes are range-partitioned and sorted, so that prefix filters skip row groups; the token
     indexes are tokenised once, here."""
-    order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation_lc", "keyword_index": "notation_lc", "embeddings": "notation_lc"}
+    order = {"notations": "notation_lc", "texts": "notation", "keywords": "notation", "label_index": "notation_lc", "keyword_index": "notation_lc"}
     for name in (*SCHEMAS, *INDEXES):
         if name in v.missing:
             continue
@@ -84,6 +85,9 @@ def write(v: Vocabulary, path: str) -> None:
             _renewed(df, f"{path}/counts", COUNTS_KEY)
             _renewed(v.sums, f"{path}/sums", SUMS_KEY)
             continue
+        if name == "embeddings":
+            _write_vectors(df, path)
+            continue
         if key := order.get(name):
             df = df.repartitionByRange(key).sortWithinPartitions(key)
         df.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -93,6 +97,26 @@ def write(v: Vocabulary, path: str) -> None:
         write_postings(v.notations.sparkSession.read.parquet(f"{path}/{name}"), f"{path}/{name}")
 
 
+def _write_vectors(df: DataFrame, path: str) -> None:
+    """Vectors by cluster, and the clusters beside them: a search reads those that may hold a near one."""
+    at = vector.centres(df)
+    if not len(at):
+        df.write.mode("overwrite").parquet(f"{path}/embeddings")
+        return
+    rows = vector.clustered(df, at).repartitionByRange("cluster", "notation_lc").sortWithinPartitions("cluster", "notation_lc")
+    rows.write.mode("overwrite").parquet(f"{path}/embeddings")
+    vector.cluster_table(df.sparkSession.read.parquet(f"{path}/embeddings"), at).coalesce(1).write.mode("overwrite").parquet(f"{path}/clusters")
+
+
+def _clusters(spark: SparkSession, path: str, vectors: DataFrame) -> DataFrame | None:
+    """The clusters, if they are those of all stored vectors; others would make a search miss some."""
+    try:
+        known = spark.read.parquet(f"{path}/clusters")
+        return known if "cluster" in vectors.columns and (known.agg(F.sum("n")).first()[0] or 0) == vectors.where("embedding is not null").count() else None
+    except AnalysisException:
+        return None
+
+
 def _renewed(df: DataFrame, path: str, key: list[str]) -> None:
     spark = df.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -214,7 +238,9 @@ def open_store(spark: SparkSession, path: str) -> Vocabulary:
                 got["sums"] = merging.read(spark, f"{path}/sums", SUMS_KEY)
             want = [c.split()[0] for c in schema.split(", ")]
             if set(want) <= set(df.columns):
-                got[name] = df.select(*want)
+                got[name] = df.select(*want, *(c for c in ("notation_lc", "cluster") if name == "embeddings" and c in df.columns))
+                if name == "embeddings":
+                    got["clusters"] = _clusters(spark, path, df)
         except AnalysisException:
             if name in ("notations", "texts"):
                 raise
@@ -228,7 +254,7 @@ def open_store(spark: SparkSession, path: str) -> Vocabulary:
             pass
     v = vocabulary(spark, **got)
     if "embeddings" not in v.missing and not counts_agree(metadata(v).get("embedding_count"), v.embeddings):
-        v = vocabulary(spark, **{k: x for k, x in got.items() if k != "embeddings"})
+        v = vocabulary(spark, **{k: x for k, x in got.items() if k not in ("embeddings", "clusters")})
     return v
 
 
