@@ -48,6 +48,15 @@ _IDS = 1 << 19  # ids decoded at a time, or one row's
 _PROBE = "Hello  world, café ▁naïve\n\t  \U0001f600\u0000 1234567 aaaa" + " " * 9 + "end "
 
 
+def _cut(text: str) -> list[str]:
+    """The units of a text, without the mark that each begins with."""
+    if not text:
+        return []
+    if text[0] != " " and "  " not in text and MARK not in text:
+        return text.split(" ")
+    return [u[1:] for u in _UNIT.findall(MARK + text.replace(" ", MARK))]
+
+
 class Pieces:
     """A vocabulary: which pairs of symbols join to a piece, and how well it scores.
 
@@ -134,9 +143,9 @@ class Pieces:
 
     def _lockstep(self, units: list[str], width: int) -> list[tuple[int, ...]]:
         """The agenda of many short units at once: each round merges every unit's best pair."""
-        n, sizes = len(units), np.fromiter(map(len, units), np.int64, len(units))
+        n, sizes = len(units), np.fromiter(map(len, units), np.int64, len(units)) + 1
         sym = np.full((n, width + 1), -1, np.int32)  # the last column stays empty
-        sym[np.arange(width + 1) < sizes[:, None]] = self._symbols("".join(units))
+        sym[np.arange(width + 1) < sizes[:, None]] = self._symbols(MARK + MARK.join(units))
         rank = self._rank(sym[:, :-1], sym[:, 1:])
         alive, out, places = np.arange(n), [None] * n, np.arange(width + 1)
         while True:
@@ -194,21 +203,21 @@ class Pieces:
         return tuple(i for s in symbols for i in ((s,) if s < self.size else (self.bytes[b] for b in chr(s - self.size).encode())))
 
     def units(self, units: set[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of distinct units."""
+        """The ids of distinct units, which are given without their first mark."""
         out: dict[str, tuple[int, ...]] = {}
         short: dict[int, list[str]] = {w: [] for w in _WIDTHS}
         for u in units:
-            if len(u) > LOCKSTEP:
-                out[u] = self._as_ids(self._heap(self._symbols(u).tolist()))
+            if len(u) >= LOCKSTEP:
+                out[u] = self._as_ids(self._heap(self._symbols(MARK + u).tolist()))
             else:
-                short[_WIDTH[len(u)]].append(u)
+                short[_WIDTH[len(u) + 1]].append(u)
         for width, us in short.items():
             if us:
                 out.update(zip(us, self._lockstep(us, width)))
         return out
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        texts = [_UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        texts = list(map(_cut, texts))
         known = self.cache
         new = set(chain.from_iterable(texts)).difference(known)
         known.update(self.units(new))
@@ -216,7 +225,7 @@ class Pieces:
         if len(known) > CACHED:
             known.clear()
         for u in new:
-            if len(u) > LOCKSTEP:
+            if len(u) >= LOCKSTEP:
                 known.pop(u, None)
         return out
 
