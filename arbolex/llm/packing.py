@@ -158,6 +158,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, docs_a_gro
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = max(1, -(-rows.count() // docs_a_group))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(groups)).cast("int"))
+    # pandas makes floats of longs beside nulls, so an id travels as a number and whether there is one.
+    rows = rows.select(F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text", "grp")
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +172,7 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, docs_a_gro
                 wide = [bool(len(x) and x.max() > 0xFFFF) for x in tails]
                 yield pa.record_batch(
                     {
+                        "named": part.column("named"),
                         "doc_id": part.column("doc_id"),
                         "grp": part.column("grp"),
                         "n": pa.array([len(x) for x in ids], pa.int64()),
@@ -180,8 +183,8 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, docs_a_gro
                 )
 
     def pack_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n", "tail"], kind="stable", na_position="first")
-        docs_, counts = pdf["doc_id"].tolist(), pdf["n"].tolist()
+        pdf = pdf.sort_values(["named", "doc_id", "n", "tail"], kind="stable")
+        docs_, counts = [d if k else None for d, k in zip(pdf["doc_id"].tolist(), pdf["named"].tolist())], pdf["n"].tolist()
         tails = [np.frombuffer(x, "<u4" if w else "<u2").astype("<u4") for x, w in zip(pdf["tail"], pdf["wide"])]
         out, at = [], int(key[0]) << 32
         for k, crcs in enumerate(pdf["crcs"]):
@@ -196,9 +199,9 @@ def pack(docs: DataFrame, length: int = LENGTH, end_id: int = END_ID, docs_a_gro
                 out.append((docs_[k], counts[k] - len(tails[k]) + s, n, zlib.crc32(tails[k][s : s + n]), counts[k], at, offset))
                 offset += n
             at += 1
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PIECES.split(", ")])
+        return pd.DataFrame({c.split()[0]: pd.array(x, dtype="Int64") for c, x in zip(PIECES.split(", "), zip(*out))})
 
-    return rows.mapInArrow(tokenize, "doc_id long, grp int, n long, crcs binary, wide boolean, tail binary").groupBy("grp").applyInPandas(pack_group, PIECES)
+    return rows.mapInArrow(tokenize, "named boolean, doc_id long, grp int, n long, crcs binary, wide boolean, tail binary").groupBy("grp").applyInPandas(pack_group, PIECES)
 
 
 def op6_tournament_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
