@@ -39,14 +39,14 @@ BASE = {
 #: Generators: pattern, and what a text must contain for it to be worth a look.
 GENERATORS = {
     "email_spelled": (
-        r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|(?<=\x20)dot(?=\x20))\x20?[A-Za-z0-9-]{1,63}+){1,4}+",
+        r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\[at\]|\(at\)|(?<=\x20)at(?=\x20))\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\[dot\]|\(dot\)|(?<=\x20)dot(?=\x20))\x20?[A-Za-z0-9-]{1,63}+)++",
         lambda t: F.contains(t, F.lit("dot")) | F.contains(t, F.lit("DOT")) | F.contains(t, F.lit("Dot")),
     ),
     "phone_local": (r"(?<![0-9+.()-])(?<!\+[0-9]{1,3}[\x20.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])(?![.-][0-9])", None),
     "ssn": (r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])(?!-[0-9])", None),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", None),
     "secret": (
-        r"(?i)(?<![A-Za-z])(?:api[_ -]?key|access[_ -]?key|secret|token|password|passwd)\x20{0,3}+[=:]\x20{0,3}+[\"']?[A-Za-z0-9_./+-]{6,200}+[\"']?",
+        r"(?i)(?<![A-Za-z])(?:api[_ -]?key|access[_ -]?key|secret|token|password|passwd)\x20{0,3}+[=:]\x20{0,3}+[\"']?[A-Za-z0-9_./+-]{6,}+[\"']?",
         lambda t: F.contains(t, F.lit("=")) | F.contains(t, F.lit(":")),
     ),
 }
