@@ -290,8 +290,14 @@ def _item_match(b: Block, k: int, order: np.ndarray, hashes: np.ndarray, at: np.
     place = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
     diagonal = at[order[place]] - b.at[k][j]
     covered, changed = np.zeros(len(b.kind[k]), bool), 0
-    for d, _ in Counter(diagonal.tolist()).most_common():
-        mine = np.unique(b.at[k][j[diagonal == d]])
+    ds, seen, count = np.unique(diagonal, return_index=True, return_counts=True)
+    by = np.argsort(diagonal, kind="stable")
+    end = np.cumsum(count)
+    for i in np.lexsort((seen, -count)).tolist():  # the fullest first, of equal ones the one seen first
+        if covered[b.at[k]].all():  # what more there is can add nothing
+            break
+        d = int(ds[i])
+        mine = np.unique(b.at[k][j[by[end[i] - count[i] : end[i]]]])
         if covered[mine].all():
             continue
         slots = np.unique((mine[:, None] + np.arange(n)).ravel())
