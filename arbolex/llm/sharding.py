@@ -30,30 +30,30 @@ _SIGN = 1 << 63
 NO_ID = -(1 << 63)  # rows without a doc_id come first
 
 
-def _keys(h, doc_id) -> np.ndarray:
-    """16 bytes that sort as (h, doc_id)."""
-    out = np.empty((len(h), 2), ">u8")
-    out[:, 0] = np.asarray(h, np.int64).astype(np.uint64) + np.uint64(_SIGN)
-    out[:, 1] = np.asarray(doc_id, np.int64).astype(np.uint64) + np.uint64(_SIGN)
-    return out.view("S16").ravel()
+def _keys(h, doc_id, row) -> np.ndarray:
+    """24 bytes that sort as (h, doc_id, row)."""
+    out = np.empty((len(h), 3), ">u8")
+    for k, x in enumerate((h, doc_id, row)):
+        out[:, k] = np.asarray(x, np.int64).astype(np.uint64) + np.uint64(_SIGN)
+    return out.view("S24").ravel()
 
 
 def _ranged(base: DataFrame, splitters: np.ndarray) -> DataFrame:
     """Adds range_id: how many splitters are at or below the row's key."""
-    cuts = base.sparkSession.sparkContext.broadcast(splitters)  # at most MAX_RANGES * 2 keys of 16 bytes
+    cuts = base.sparkSession.sparkContext.broadcast(splitters)  # at most MAX_RANGES * 2 keys of 24 bytes
 
     @F.pandas_udf("int")
-    def range_of(h: pd.Series, doc_id: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts.value, _keys(h, doc_id), "right").astype(np.int32))
+    def range_of(h: pd.Series, doc_id: pd.Series, row: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts.value, _keys(h, doc_id, row), "right").astype(np.int32))
 
-    return base.withColumn("range_id", range_of("h", F.coalesce("doc_id", F.lit(NO_ID))))  # a null would make floats of them
+    return base.withColumn("range_id", range_of("h", F.coalesce("doc_id", F.lit(NO_ID)), "row"))  # a null would make floats of them
 
 
 def _sample(rows: DataFrame, rate: float, seed: int) -> np.ndarray:
     """Sorted keys of a sample that takes each row with a chance of rate times its size; repeatable, as it is by hash."""
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    got = rows.where(chance < F.col("size") * rate).select("h", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")).toArrow()
-    return np.sort(_keys(np.asarray(got["h"], np.int64), np.asarray(got["doc_id"], np.int64)))
+    chance = F.pmod(F.xxhash64("doc_id", "h", "row", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    got = rows.where(chance < F.col("size") * rate).select("h", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "row").toArrow()
+    return np.sort(_keys(*(np.asarray(got[c], np.int64) for c in ("h", "doc_id", "row"))))
 
 
 def _quantiles(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -92,6 +92,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("row"),  # so that repeats of one row are not all in one range
         )
     )
     got = base.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
@@ -101,12 +102,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     sums = ranged.groupBy("range_id").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("range_id", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("size_before"))
-    inside = Window.partitionBy("range_id").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("range_id").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("pos", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(sums), "range_id")
     # The middle of a document decides, so that a long one goes where more of it lies.
     middle = (F.col("pos") + F.col("size_before") + F.col("size") / 2) * shards / total
     placed = placed.withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int"))
-    cell = Window.partitionBy("range_id", "shard").orderBy("h", "doc_id")
+    cell = Window.partitionBy("range_id", "shard").orderBy("h", "doc_id", "row")
     placed = placed.withColumn("k", F.row_number().over(cell) - 1)
     cells = placed.groupBy("shard", "range_id").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
