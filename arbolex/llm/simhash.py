@@ -21,7 +21,7 @@ no rows; other columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -209,20 +209,30 @@ def grouped(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(rep, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, groups: DataFrame | None = None) -> DataFrame:
-    """The documents with the smallest doc_id of their group, all columns as they were. Of rows that repeat a doc_id one
-    stays, the one with the smallest text; rows without a doc_id belong to no group and stay. ``groups``, doc_id and
-    component_id, are those of ``grouped`` unless given."""
-    groups = checkpointed(grouped(docs.where("doc_id is not null"), radius) if groups is None else groups)
-    gone = groups.where("doc_id != component_id").select("doc_id")
-    counts = groups.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+def deduplicated(docs: DataFrame, radius: int = RADIUS, grouper: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The documents with the smallest doc_id of their group, all columns as they were. ``grouper`` gives doc_id and
+    component_id of documents with distinct ids, as ``grouped`` does unless another is given.
+
+    Of rows that agree in doc_id and text one stays. Unlike texts of one doc_id are documents of their own, of which the one
+    with the smaller text comes first; rows without a doc_id belong to no group and stay."""
+    grouper = grouper or (lambda d: grouped(d, radius))
+    named = docs.where("doc_id is not null")
+    counts = named.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if counts["n"] == counts["ids"]:
-        return kept
-    mark = "_" * (max(map(len, docs.columns)) + 1)  # a name that no column has
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))  # cut to one in each task before the shuffle, too
-    named = kept.where("doc_id is not null").withColumn(mark, first).where(F.col(mark) == 1).drop(mark)
-    return named.unionByName(kept.where("doc_id is null"))  # these would all be one group
+        gone = checkpointed(grouper(named)).where("doc_id != component_id").select("doc_id")
+        return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    mark = "_" * (max(map(len, docs.columns)) + 1)  # names that no column has
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")]
+    # Numbers that rise with doc_id and text stand in for the ids.
+    texts = named.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key[1]).dropDuplicates(["doc_id", "digest"])
+    texts = checkpointed(texts.orderBy("doc_id", "text", "digest").withColumn("number", F.monotonically_increasing_id()))
+    groups = checkpointed(grouper(texts.select(F.col("number").alias("doc_id"), "text")))
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("number"))
+    stay = texts.select("doc_id", "digest", "number").join(stay, "number", "left_semi").select(F.col("doc_id").alias(f"{mark}i"), F.col("digest").alias(f"{mark}d"))
+    first = F.row_number().over(Window.partitionBy("doc_id", f"{mark}d").orderBy("doc_id"))  # cut to one in each task before the shuffle, too
+    kept = named.withColumn(f"{mark}d", key[1]).withColumn(mark, first).where(F.col(mark) == 1).drop(mark)
+    kept = kept.join(stay.withColumnRenamed(f"{mark}i", "doc_id"), ["doc_id", f"{mark}d"], "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op4_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
