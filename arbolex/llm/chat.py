@@ -16,7 +16,8 @@ calls takes about log2(n) rounds. Rounds go on while they settle anything; what
 
 Defined cases: a null text is an empty message; a block that is no JSON object or has no id is kept as a part with an
 error; of several calls or results with one id the first (by turn and place) counts and the others are errors, as are
-results without a call, calls without a result, unknown tools, arguments that break their schema, and cyclic or unknown references.
+results without a call, calls without a result, unknown tools, arguments that break their schema or whose schema says what is not
+checked here, and cyclic or unknown references.
 Of several schemas for one name the conversation's first counts, then the ones passed in. Where a conversation declares
 no tools and none are passed in, there is nothing to check names and arguments against. Rows without a conv_id
 are never linked; repeated rows are repeated parts; an empty table gives no rows; extra columns are ignored.
@@ -26,7 +27,10 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import checkpointed
 
-BLOCK = re.compile(r"<(tool_call|tool_result|tools)>(.*?)</\1>", re.S)
+TAG = re.compile(r"<(/?)(tool_call|tool_result|tools)>")
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 
 
@@ -59,44 +63,222 @@ def is_reference(value: object, calls: frozenset[str] = frozenset()) -> bool:
     return isinstance(value, dict) and set(value) == {"$ref"} and isinstance(value["$ref"], str)
 
 
-def schema_error(value: object, schema: dict, calls: frozenset[str] = frozenset(), at: str = "$") -> str | None:
-    """The first thing wrong with a value under a JSON schema: type, enum, properties, required, additionalProperties,
-    items, minimum, maximum, minLength, maxLength and pattern."""
-    if is_reference(value, calls):  # its value is not known before the other call has run
-        return None
-    kinds = schema.get("type")
-    kinds = [kinds] if isinstance(kinds, str) else kinds
+class Unsupported(ValueError):
+    """A schema that says something which is not checked here."""
+
+
+# Keywords of JSON Schema that describe and do not restrict.
+ANNOTATIONS = frozenset("title description default examples deprecated readOnly writeOnly format contentEncoding contentMediaType $schema $id $anchor $comment $defs definitions".split())
+MOST_DEPTH = 100
+
+
+def equal(a: object, b: object) -> bool:
+    """Equality of JSON values: numbers by value, and a boolean is no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    return type(a) is type(b) and a == b or isinstance(a, (int, float)) and isinstance(b, (int, float)) and a == b
+
+
+def _is(kind: str, value: object) -> bool:
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    whole = number and (isinstance(value, int) or value.is_integer())
-    if kinds and not any((k == "number" and number) or (k == "integer" and whole) or (k in TYPES and isinstance(value, TYPES[k]) and (k == "boolean") == isinstance(value, bool)) for k in kinds):
-        return f"{at}: not {' or '.join(kinds)}"
-    if "enum" in schema and value not in schema["enum"]:
-        return f"{at}: not in enum"
-    if number and "minimum" in schema and value < schema["minimum"]:
-        return f"{at}: below minimum"
-    if number and "maximum" in schema and value > schema["maximum"]:
-        return f"{at}: above maximum"
-    if isinstance(value, str):
-        if len(value) < schema.get("minLength", 0) or len(value) > schema.get("maxLength", len(value)):
-            return f"{at}: length"
-        if "pattern" in schema and not re.search(schema["pattern"], value):
-            return f"{at}: pattern"
-    if isinstance(value, dict):
-        known = schema.get("properties", {})
-        for k in schema.get("required", []):
-            if k not in value:
-                return f"{at}.{k}: missing"
-        for k in sorted(value):
-            if k in known:
-                if e := schema_error(value[k], known[k], calls, f"{at}.{k}"):
-                    return e
-            elif schema.get("additionalProperties", True) is False:
-                return f"{at}.{k}: unknown"
-    if isinstance(value, list) and isinstance(schema.get("items"), dict):
-        for i, x in enumerate(value):
-            if e := schema_error(x, schema["items"], calls, f"{at}[{i}]"):
-                return e
-    return None
+    if kind == "number":
+        return number
+    if kind == "integer":
+        return number and (isinstance(value, int) or value.is_integer())
+    if kind not in TYPES:
+        raise Unsupported(f"type {kind}")
+    return isinstance(value, TYPES[kind]) and (kind == "boolean") == isinstance(value, bool)
+
+
+def _multiple(value: float, of: float) -> bool:
+    return Fraction(str(value)) % Fraction(str(of)) == 0
+
+
+def _found(pattern: str, text: str) -> bool:
+    return re.search(pattern, text) is not None
+
+
+def _pointed(root: object, ref: str) -> object:
+    if not isinstance(ref, str) or not (ref == "#" or ref.startswith("#/")):
+        raise Unsupported(f"$ref {ref}")
+    for step in ref[2:].split("/") if ref != "#" else []:
+        step = unquote(step).replace("~1", "/").replace("~0", "~")
+        try:
+            root = root[int(step)] if isinstance(root, list) else root[step]
+        except (KeyError, IndexError, TypeError, ValueError) as e:
+            raise Unsupported(f"$ref {ref}") from e
+    return root
+
+
+def _unequal(values: list) -> bool:
+    """Whether all are different: by their canonical text, in which numbers of one value agree."""
+    texts = [canonical_json(v) for v in values]
+    return len(set(texts)) == len(texts)
+
+
+class Checked:
+    """A value held against a JSON schema. ``calls``: ids that a bare ``$id`` may name; such arguments are not known yet."""
+
+    def __init__(self, root: object, calls: frozenset[str] = frozenset()):
+        self.root, self.calls = root, calls
+
+    def error(self, value: object, schema: object, at: str = "$", depth: int = 0) -> str | None:
+        """The first thing that is wrong, keyword by keyword."""
+        if is_reference(value, self.calls) or schema is True:
+            return None
+        if schema is False:
+            return f"{at}: not allowed"
+        if not isinstance(schema, dict):
+            raise TypeError("a schema is an object or a boolean")
+        if depth > MOST_DEPTH:
+            raise Unsupported("too deep")
+        for word in schema:
+            if word not in ANNOTATIONS and word not in self.WORDS:
+                raise Unsupported(str(word))
+        for word, test in self.WORDS.items():
+            if word in schema and (wrong := test(self, value, schema[word], schema, at, depth + 1)):
+                return wrong
+        return None
+
+    def _type(self, value, want, schema, at, depth):
+        kinds = [want] if isinstance(want, str) else want
+        return None if any([_is(k, value) for k in kinds]) else f"{at}: not {' or '.join(kinds)}"
+
+    def _some(self, value, options, at, depth):
+        return sum(self.error(value, o, at, depth) is None for o in options)
+
+    def _all(self, value, options, at, depth):
+        return next((e for o in options if (e := self.error(value, o, at, depth))), None)
+
+    def _branch(self, value, test, schema, at, depth):
+        way = "then" if self.error(value, test, at, depth) is None else "else"
+        return self.error(value, schema[way], at, depth) if way in schema else None
+
+    def _required(self, value, names, schema, at, depth):
+        return next((f"{at}.{k}: missing" for k in names if k not in value), None) if isinstance(value, dict) else None
+
+    def _properties(self, value, known, schema, at, depth):
+        return self._all_of(((value[k], known[k], f"{at}.{k}") for k in sorted(value) if k in known), depth) if isinstance(value, dict) else None
+
+    def _all_of(self, cases, depth):
+        return next((e for v, s, a in cases if (e := self.error(v, s, a, depth))), None)
+
+    def _patterned(self, value, known, schema, at, depth):
+        return self._all_of(((value[k], s, f"{at}.{k}") for k in sorted(value) for p, s in known.items() if _found(p, k)), depth) if isinstance(value, dict) else None
+
+    def _additional(self, value, rest, schema, at, depth):
+        if not isinstance(value, dict):
+            return None
+        more = [k for k in sorted(value) if k not in schema.get("properties", {}) and not any(_found(p, k) for p in schema.get("patternProperties", {}))]
+        if rest is False:
+            return f"{at}.{more[0]}: unknown" if more else None
+        return self._all_of(((value[k], rest, f"{at}.{k}") for k in more), depth)
+
+    def _dependent(self, value, needs, schema, at, depth):
+        return next((f"{at}.{k}: missing" for n in sorted(needs) if isinstance(value, dict) and n in value for k in needs[n] if k not in value), None)
+
+    def _prefix(self, value, each, schema, at, depth):
+        return self._all_of(((v, s, f"{at}[{i}]") for i, (v, s) in enumerate(zip(value, each))), depth) if isinstance(value, list) else None
+
+    def _items(self, value, each, schema, at, depth):
+        if isinstance(each, list):  # the older form of prefixItems
+            return self._prefix(value, each, schema, at, depth)
+        begin = len(schema.get("prefixItems", []))
+        return self._all_of(((v, each, f"{at}[{i}]") for i, v in enumerate(value) if i >= begin), depth) if isinstance(value, list) else None
+
+    def _contains(self, value, each, schema, at, depth):
+        return f"{at}: contains" if isinstance(value, list) and not any(self.error(v, each, at, depth) is None for v in value) else None
+
+    def _names(self, value, each, schema, at, depth):
+        return self._all_of(((k, each, f"{at}.{k}") for k in sorted(value)), depth) if isinstance(value, dict) else None
+
+    def _ref(self, value, ref, schema, at, depth):
+        return self.error(value, _pointed(self.root, ref), at, depth)
+
+    @staticmethod
+    def _bound(kind, said, holds):
+        """A keyword that bounds numbers, or the length of a text, list or object."""
+        return lambda self, v, want, schema, at, depth: None if not kind(v) or holds(v, want) else f"{at}: {said}"
+
+
+_is_number = lambda v: _is("number", v)
+_is_kind = lambda k: lambda v: isinstance(v, k)
+#: In this order they are checked.
+Checked.WORDS = {
+    "$ref": Checked._ref,
+    "type": Checked._type,
+    "enum": lambda self, v, want, s, at, d: None if any(equal(v, x) for x in want) else f"{at}: not in enum",
+    "const": lambda self, v, want, s, at, d: None if equal(v, want) else f"{at}: not const",
+    "minimum": Checked._bound(_is_number, "below minimum", lambda v, w: v >= w),
+    "maximum": Checked._bound(_is_number, "above maximum", lambda v, w: v <= w),
+    "exclusiveMinimum": Checked._bound(_is_number, "below exclusiveMinimum", lambda v, w: v > w),
+    "exclusiveMaximum": Checked._bound(_is_number, "above exclusiveMaximum", lambda v, w: v < w),
+    "multipleOf": Checked._bound(_is_number, "multipleOf", _multiple),
+    "minLength": Checked._bound(_is_kind(str), "length", lambda v, w: len(v) >= w),
+    "maxLength": Checked._bound(_is_kind(str), "length", lambda v, w: len(v) <= w),
+    "pattern": Checked._bound(_is_kind(str), "pattern", lambda v, w: _found(w, v)),
+    "minItems": Checked._bound(_is_kind(list), "minItems", lambda v, w: len(v) >= w),
+    "maxItems": Checked._bound(_is_kind(list), "maxItems", lambda v, w: len(v) <= w),
+    "uniqueItems": Checked._bound(_is_kind(list), "uniqueItems", lambda v, w: not w or _unequal(v)),
+    "minProperties": Checked._bound(_is_kind(dict), "minProperties", lambda v, w: len(v) >= w),
+    "maxProperties": Checked._bound(_is_kind(dict), "maxProperties", lambda v, w: len(v) <= w),
+    "required": Checked._required,
+    "dependentRequired": Checked._dependent,
+    "properties": Checked._properties,
+    "patternProperties": Checked._patterned,
+    "additionalProperties": Checked._additional,
+    "propertyNames": Checked._names,
+    "prefixItems": Checked._prefix,
+    "items": Checked._items,
+    "contains": Checked._contains,
+    "allOf": lambda self, v, want, s, at, d: self._all(v, want, at, d),
+    "anyOf": lambda self, v, want, s, at, d: None if self._some(v, want, at, d) else f"{at}: anyOf",
+    "oneOf": lambda self, v, want, s, at, d: None if self._some(v, want, at, d) == 1 else f"{at}: oneOf",
+    "not": lambda self, v, want, s, at, d: f"{at}: not" if self.error(v, want, at, d) is None else None,
+    "if": Checked._branch,
+    "then": lambda *_: None,
+    "else": lambda *_: None,
+}
+
+
+def schema_error(value: object, schema: object, calls: frozenset[str] = frozenset()) -> str | None:
+    """The first thing wrong with a value under a JSON schema; 'unsupported schema: ...' where the schema says something
+    that is not checked here (the keywords are those of ``Checked.WORDS``, references to places in the same schema
+    included), so that no rule is passed over in silence; 'bad schema' where a keyword's value makes no sense."""
+    try:
+        return Checked(schema, calls).error(value, schema)
+    except Unsupported as e:
+        return f"unsupported schema: {e}"
+    except RecursionError:
+        return "unsupported schema: too deep"
+    except (TypeError, AttributeError, ValueError, ZeroDivisionError, re.error):
+        return "bad schema"
+
+
+def blocks(text: str) -> list[tuple[str, str, int, int]]:
+    """(kind, content, start, end) of the blocks of a text: from the first opening tag to the next closing tag of its kind,
+    and on from there. An opening tag that is never closed is text. Tags are found in one pass."""
+    tags = [(m[2], bool(m[1]), m.start(), m.end()) for m in TAG.finditer(text)]
+    closing: dict[str, list[int]] = {}
+    for i, (kind, closes, _, _) in enumerate(tags):
+        if closes:
+            closing.setdefault(kind, []).append(i)
+    out, i = [], 0
+    while i < len(tags):
+        kind, closes, start, end = tags[i]
+        later = closing.get(kind, [])
+        at = bisect_right(later, i)
+        if closes or at == len(later):
+            i += 1
+            continue
+        last = tags[later[at]]
+        out.append((kind, text[end : last[2]], start, last[3]))
+        i = later[at] + 1
+    return out
 
 
 def references(value: object) -> tuple[set[str], set[str]]:
@@ -135,22 +317,22 @@ def turn_parts(role: str | None, text: str | None) -> list[tuple]:
     """(kind, call_id, name, error, refs, may_refs, tools, json) of one turn, the message first unless there are only
     blocks. Tools are declared by system turns only; elsewhere such a block is part of the message."""
     text = text or ""
-    found = [m for m in BLOCK.finditer(text) if m[1] != "tools" or role == "system"] if "<tool" in text else []
+    found = [m for m in blocks(text) if m[0] != "tools" or role == "system"] if "<tool" in text else []
     rest, at = [], 0
     for m in found:
-        rest.append(text[at : m.start()])
-        at = m.end()
+        rest.append(text[at : m[2]])
+        at = m[3]
     rest = "".join([*rest, text[at:]]).strip() if found else text
     out = [("message", None, None, None, [], [], [], canonical_json({"role": role, "content": rest}))] if rest or not found else []
     for m in found:
-        kind, error, body, call, name, refs, tools = m[1], None, None, None, None, (set(), set()), []
+        kind, error, body, call, name, refs, tools = m[0], None, None, None, None, (set(), set()), []
         try:
-            body = json.loads(m[2])
+            body = json.loads(m[1])
             dumped = canonical_json(body)
             if _sound(dumped) is None:  # lone surrogates stay escaped
                 dumped = json.dumps(json.loads(dumped), sort_keys=True, separators=(",", ":"))
         except (ValueError, RecursionError):
-            body, dumped, error = None, canonical_json({"raw": m[2]}), "not JSON"
+            body, dumped, error = None, canonical_json({"raw": m[1]}), "not JSON"
         if error is None and kind == "tools":
             tools = _declared(body)
             tools, error = (tools, None) if tools is not None else ([], "no tools")
@@ -228,10 +410,7 @@ def _checked(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
                 wrong = None
                 if kind == "tool_call" and error is None and (some or schemas):
                     own = json.loads(schema) if schema is not None else schemas.get(name)
-                    try:
-                        wrong = "unknown tool" if own is None else schema_error(json.loads(dumped).get("arguments", {}), own, frozenset(known or ()))
-                    except (TypeError, ValueError, AttributeError, RecursionError, re.error):
-                        wrong = "bad schema"
+                    wrong = "unknown tool" if own is None else schema_error(json.loads(dumped).get("arguments", {}), own, frozenset(known or ()))
                 bad.append(wrong)
             yield batch.append_column("bad", pa.array(bad, pa.string()))
 
