@@ -19,9 +19,11 @@ columns stay; those of the results' names are replaced. Memory: a chunk of about
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
 
@@ -267,6 +269,18 @@ def _schema(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + fields)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without searches for cycles, which the many small tuples here would set off, and of which there are none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def _array(lists: list[list[int]]) -> pa.Array:
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     flat = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
@@ -282,14 +296,15 @@ def tokenized(docs: DataFrame, model: bytes | None = None, text: str = "text", d
         pieces = _pieces(model)
         for batch in batches:
             for chunk in chunks(batch.column(text)):
-                texts = [chunk.text(k).decode("utf-8", "replace") for k in range(chunk.n)]
-                library = pieces.library.encode(texts, num_threads=1)
-                agrees = [a == b for a, b in zip(pieces.encode(texts), library)]
-                columns = {"ids": _array(library)}
-                if decode:
-                    back = pieces.library.decode(library) if library else []
-                    agrees = [a and pieces.decode(i) == b for a, i, b in zip(agrees, library, back)]
-                    columns["decoded"] = pa.array(back, pa.string())
+                with _uncollected():
+                    texts = [chunk.text(k).decode("utf-8", "replace") for k in range(chunk.n)]
+                    library = pieces.library.encode(texts, num_threads=1)
+                    agrees = [a == b for a, b in zip(pieces.encode(texts), library)]
+                    columns = {"ids": _array(library)}
+                    if decode:
+                        back = pieces.library.decode(library) if library else []
+                        agrees = [a and pieces.decode(i) == b for a, i, b in zip(agrees, library, back)]
+                        columns["decoded"] = pa.array(back, pa.string())
                 yield _with(batch.slice(chunk.rows.start, chunk.n), columns | {"agrees": pa.array(agrees, pa.bool_())})
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("decoded", T.StringType())] if decode else []), T.StructField("agrees", T.BooleanType())]
