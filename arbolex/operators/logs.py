@@ -105,9 +105,9 @@ def session_class(semantic: Column, browse: Column, expand: Column, find: Column
     )
 
 
-def sessions(rows: DataFrame, most_topics: int = 20) -> DataFrame:
+def sessions(rows: DataFrame, most_topics: int = 20, gap: int = GAP_SECONDS) -> DataFrame:
     """One row a session: start, end, seconds, calls, tools, slow and failed calls, class and the first topics."""
-    rows = with_sessions(rows)
+    rows = with_sessions(rows, gap=gap)
     n = lambda c: F.count_if(c)
     has = lambda key: F.get_json_object("input", f"$.{key}").isNotNull()
     got = rows.groupBy("session").agg(
