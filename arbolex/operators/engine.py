@@ -38,6 +38,38 @@ def _language(lang: str) -> str:
     return lang
 
 
+def check(tool: str, **a) -> None:
+    """Refuses arguments that a query does not take; those left out have their defaults, which are fine."""
+    _language(a.get("lang", "en"))
+    _whole("offset", a.get("offset", 0), 0)
+    if tool == "search":
+        if (blank_to_none(a.get("query")) is None) == (blank_to_none(a.get("semantic")) is None):
+            raise InvalidArgument("give a query or a semantic query, and not both")
+        _whole("max_results", a.get("max_results", 25), 1, 50)
+    elif tool == "browse":
+        _whole("max_key_variants", a.get("max_key_variants", 25), 1, 335), _whole("key_offset", a.get("key_offset", 0), 0), _whole("depth", a.get("depth", 1), 1, 3)
+    elif tool in ("resolve", "find_artworks"):
+        _whole("number of notations", len(a["notations"]), 1, 25)
+    elif tool == "expand_keys":
+        _whole("max_results", a.get("max_results", 25), 1, 335)
+        if "(+" in a["notation"]:
+            raise InvalidArgument(f"{a['notation']} is a variant; ask for {a['notation'].split('(')[0]}")
+    elif tool == "search_prefix":
+        _whole("max_results", a.get("max_results", 25), 1, 100)
+    else:
+        raise InvalidArgument(f"unknown query {tool}")
+
+
+def refusal(tool: str, arguments: dict) -> str | None:
+    """Why a call would be refused before it reaches the tables, or None."""
+    try:
+        check(tool, **arguments)
+    except InvalidArgument as e:
+        return str(e)
+    except (KeyError, TypeError) as e:
+        return f"bad arguments: {e}"
+
+
 def blank_to_none(value: str | None) -> str | None:
     return None if value is None or value in ("", "null") else value
 
@@ -128,9 +160,7 @@ class Engine:
     def search(self, query: str | None = None, semantic: str | None = None, max_results: int = 25, lang: str = "en", offset: int = 0, collection: str | None = None, only_held: bool = False, parent: str | None = None) -> dict:
         query, semantic = blank_to_none(query), blank_to_none(semantic)
         collection, parent = blank_to_none(collection), blank_to_none(parent)
-        if (query is None) == (semantic is None):
-            raise InvalidArgument("give a query or a semantic query, and not both")
-        _whole("max_results", max_results, 1, 50), _whole("offset", offset, 0), _language(lang)
+        check("search", query=query, semantic=semantic, max_results=max_results, offset=offset, lang=lang)
         if semantic is not None:
             return self._semantic(semantic, max_results, lang, offset, collection, only_held, parent)
         hits = self.matches(query, parent, collection, only_held)
@@ -163,7 +193,7 @@ class Engine:
 
     @logged
     def browse(self, notation: str, lang: str = "en", include_keys: bool = False, max_key_variants: int = 25, key_offset: int = 0, depth: int = 1) -> dict:
-        _language(lang), _whole("max_key_variants", max_key_variants, 1, 335), _whole("key_offset", key_offset, 0), _whole("depth", depth, 1, 3)
+        check("browse", lang=lang, max_key_variants=max_key_variants, key_offset=key_offset, depth=depth)
         own = self._entries([notation], lang)
         if not own:
             raise InvalidArgument(f"{notation} is not known")
@@ -186,7 +216,7 @@ class Engine:
 
     @logged
     def resolve(self, notations: list[str], lang: str = "en") -> list[dict]:
-        _language(lang), _whole("number of notations", len(notations), 1, 25)
+        check("resolve", lang=lang, notations=notations)
         found = self._entries(notations, lang)
         if not found:
             raise InvalidArgument("none of the notations is known")
@@ -194,9 +224,7 @@ class Engine:
 
     @logged
     def expand_keys(self, notation: str, lang: str = "en", max_results: int = 25, offset: int = 0) -> dict:
-        _language(lang), _whole("max_results", max_results, 1, 335), _whole("offset", offset, 0)
-        if "(+" in notation:
-            raise InvalidArgument(f"{notation} is a variant; ask for {notation.split('(')[0]}")
+        check("expand_keys", notation=notation, lang=lang, max_results=max_results, offset=offset)
         base = self._entries([notation], lang)
         if not base:
             raise InvalidArgument(f"{notation} is not known")
@@ -205,7 +233,7 @@ class Engine:
 
     @logged
     def search_prefix(self, prefix: str, max_results: int = 25, lang: str = "en", offset: int = 0, collection: str | None = None) -> dict:
-        _language(lang), _whole("max_results", max_results, 1, 100), _whole("offset", offset, 0)
+        check("search_prefix", lang=lang, max_results=max_results, offset=offset)
         prefix, collection = prefix.strip(), blank_to_none(collection)
         if not prefix:
             return {"prefix": prefix, "total": 0, "results": [], "collections": self.collections()}
@@ -217,7 +245,7 @@ class Engine:
 
     @logged
     def find_artworks(self, notations: list[str], lang: str = "en") -> list[dict]:
-        _language(lang), _whole("number of notations", len(notations), 1, 25)
+        check("find_artworks", lang=lang, notations=notations)
         page = self._page(notations)
         names = resolve.labels(self.v.texts.join(F.broadcast(page.select("notation").distinct()), "notation", "left_semi"), lang)
         return [_plain(r) for r in overlay.holdings(page, names, self.v.counts, self.v.info, self.aggregator).drop("pos").collect()]

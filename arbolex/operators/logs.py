@@ -361,30 +361,34 @@ def recommendations(rows: DataFrame, starts: DataFrame) -> list[tuple[str, str]]
     return out
 
 
-def report(lines: DataFrame, most: int | None = None, since: str | None = None, until: str | None = None, period: str | None = None, store: str = "") -> str:
-    """The whole report as markdown. Errors and sessions are listed one by one, as a report's reader wants them; ``most``
-    bounds these two lists for logs where they would be too many for the driver."""
+MOST_LISTED = 1000
+
+
+def report(lines: DataFrame, most: int = MOST_LISTED, since: str | None = None, until: str | None = None, period: str | None = None, store: str = "") -> str:
+    """The whole report as markdown. Errors, cold calls and sessions are listed one by one, as a report's reader wants them, up
+    to ``most``; a last line says how many more there are. ``failed``, ``cold_calls`` and ``sessions`` give them all."""
     rows, starts = (between(x, since, until, period) for x in (calls(lines), startups(lines, startup_patterns(store))))
     order = {t: i for i, t in enumerate(TOOLS)}
 
     def table(title: str, df: DataFrame) -> str:
-        data = sorted(df.collect(), key=lambda r: order.get(r["tool"], 99)) if "tool" in df.columns else df.collect()
+        data = df.limit(most + 1).collect()
+        more = [("...", f"+{df.count() - most} more", *[""] * (len(df.columns) - 2))] if len(data) > most else []
+        data = [*(sorted(data, key=lambda r: order.get(r["tool"], 99)) if "tool" in df.columns else data)[:most], *more]
         head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
         return f"## {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in data)
 
     known = rows.where(F.col("tool").isin(*TOOLS))
     s = sessions(rows)
-    listed = lambda df: df if most is None else df.limit(most)
     parts = [
         table("Traffic", traffic(known)),
         table("Latency", latency(known)),
         table("Semantic searches", cold_and_warm(rows)),
-        table("Cold semantic searches", listed(cold_calls(rows))),
+        table("Cold semantic searches", cold_calls(rows)),
         table("Slowest calls", slowest(rows)),
         table("Boot times", boots(starts)),
-        table("Errors", listed(failed(rows)).withColumnRenamed("tool", "name")),
+        table("Errors", failed(rows).withColumnRenamed("tool", "name")),
         table("Sessions by day", sessions_by_day(s).orderBy("day")),
-        table("Sessions", listed(s.select("session", "start", "duration", "calls", "class", F.array_join("topics", "; ").alias("topics")).orderBy("session"))),
+        table("Sessions", s.select("session", "start", "duration", "calls", "class", F.array_join("topics", "; ").alias("topics")).orderBy("session")),
         table("Top queries", top_inputs(rows, "search", "query")),
         table("Most browsed", top_inputs(rows, "browse", "notation")),
         table("Tool by tool", top_per_aspect(breakdown(known)).orderBy("tool", "aspect", "place").withColumnRenamed("tool", "name")),

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbolex.session import ship
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -145,6 +146,7 @@ def centres(vectors: DataFrame, clusters: int | None = None) -> np.ndarray:
 
 def clustered(vectors: DataFrame, at: np.ndarray) -> DataFrame:
     """Adds cluster, the nearest of the centres, and angle, how far from it the vector is."""
+    ship(vectors.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields if f.name not in ("cluster", "angle"))
     names = [c for c in vectors.columns if c not in ("cluster", "angle")]
 
@@ -210,6 +212,7 @@ def clusters_asked(rows: DataFrame, key: str, names: list[str], q: np.ndarray, k
 
 def _scanned(rows: DataFrame, key: str, kind: str, names: list[str], q: np.ndarray, k: int, ids: np.ndarray | None, asked: np.ndarray | None) -> DataFrame:
     """At most k rows a task and query (with ``asked``: queries of each cluster in ``ids``)."""
+    ship(rows.sparkSession)
     own = (q * q).sum(axis=1)
     columns = [key, "embedding", *(["cluster"] if ids is not None else [])]
 

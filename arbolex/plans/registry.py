@@ -315,7 +315,7 @@ def longest_prefix(spark, d):
 @query("""SELECT a.b AS code, c.b AS candidate FROM (SELECT DISTINCT p_brand AS b FROM part) a, (SELECT DISTINCT p_brand AS b FROM part) c WHERE levenshtein(a.b, c.b) = 1""")
 def near_codes(spark, d):
     brands = table(spark, d, "part").select(F.col("p_brand").alias("code")).distinct()
-    return hierarchy.near_codes(brands).select("code", "candidate").join(brands.withColumnRenamed("code", "candidate"), "candidate", "left_semi")
+    return hierarchy.near_known(brands, hierarchy.edit_index(brands, "code")).select("code", "candidate")
 
 
 @query("""SELECT CAST(l_partkey AS BIGINT) AS ref, p_name, row_number() OVER (ORDER BY p_name IS NULL, l_partkey) AS place

@@ -196,19 +196,28 @@ def api_numbered_lines(spark, d):
     return spark.createDataFrame([(int(x.split(".")[0]), x) for x in lines], "number long, line string")
 
 
-@query("""SELECT 'resolve' AS tool, true AS ok, '["a", "b", "c", "d", "e", "+2 more"]' AS shown, NULL AS error UNION ALL SELECT 'resolve', true, '["P1"]', NULL UNION ALL SELECT 'browse', false, '"P99999999999"', 'P99999999999 is not known'""")
+_SEVEN = "(SELECT 'P' || p_partkey AS code, row_number() OVER (ORDER BY p_partkey) AS i FROM part QUALIFY i <= 7)"
+
+
+@query(f"""SELECT 'resolve' AS tool, true AS ok, '["' || min(code ORDER BY i) || '"]' AS shown, NULL AS error FROM (SELECT first(code ORDER BY i) AS code, 1 AS i FROM {_SEVEN})
+UNION ALL SELECT 'resolve', true, '[' || string_agg('"' || code || '"', ', ' ORDER BY i) FILTER (i <= 5) || ', "+2 more"]', NULL FROM {_SEVEN}
+UNION ALL SELECT 'browse', false, '"' || code || 'x"', code || 'x is not known' FROM {_SEVEN} WHERE i = 7
+UNION ALL SELECT 'expand_keys', false, '"' || brand || '(+1)"', brand || '(+1) is a variant; ask for ' || brand FROM (SELECT min(p_brand) AS brand FROM part)""")
 def api_call_log(spark, d):
-    """What the API logs of three calls: the whole of a short input, the head of a long one, an error."""
+    """What the API logs of four calls: the whole of a short input, the head of a long one, two errors."""
     lines: list[str] = []
     e = engine.Engine(opened(spark, d), emit=lines.append)
-    e.resolve(notations=["P1"])
-    for call in (lambda: e.resolve(notations=list("abcdefg")), lambda: e.browse(notation="P99999999999")):
+    part = table(spark, d, "part")
+    seven = [f"P{r['p_partkey']}" for r in part.select("p_partkey").orderBy("p_partkey").limit(7).collect()]
+    brand = part.agg(F.min("p_brand")).first()[0]
+    e.resolve(notations=seven[:1])
+    e.resolve(notations=seven)
+    for call in (lambda: e.browse(notation=f"{seven[6]}x"), lambda: e.expand_keys(notation=f"{brand}(+1)")):
         try:
             call()
         except engine.InvalidArgument:
             pass
     said = [json.loads(x) for x in lines]
-    said[1] |= {"ok": True, "error": None}  # none of the seven is known either
     rows = [(x["tool"], x["ok"], json.dumps(x["input"].get("notations", x["input"].get("notation"))), x.get("error")) for x in said]
     return spark.createDataFrame(rows, "tool string, ok boolean, shown string, error string")
 
@@ -696,7 +705,7 @@ def first_near_codes(spark, d):
     """The first ten known codes one edit away, in the order in which they are made."""
     known = opened(spark, d).notations.select("notation")
     asked = known.where(F.col("notation").isin("P7", "P19", "P120")).withColumnRenamed("notation", "code")
-    return hierarchy.first_near(hierarchy.near_codes(asked), known, 10).select("code", "candidate", "kind", "place")
+    return hierarchy.first_near(hierarchy.near_known(asked, hierarchy.edit_index(known)), known, 10).select("code", "candidate", "kind", "place")
 
 
 _SECTIONS = ("Traffic", "Latency", "Semantic searches", "Cold semantic searches", "Slowest calls", "Boot times", "Errors", "Sessions by day", "Sessions", "Top queries", "Most browsed", "Tool by tool", "Resolve batches", "Repeat calls", "Distinct codes", "Totals", "Recommendations")
@@ -706,5 +715,5 @@ _SECTIONS = ("Traffic", "Latency", "Semantic searches", "Cold semantic searches"
 def log_report(spark, d):
     """The sections of the report, and for some how many lines they have."""
     parts = [p.strip().split("\n") for p in logs.report(_log_lines(spark, d), store="Shop").split("## ")[1:]]
-    counted = ("Traffic", "Errors", "Totals")
+    counted = ("Traffic", "Errors", "Totals")  # their cells are compared by log_report_cells
     return spark.createDataFrame([(p[0], len(p) - 4 if p[0] in counted else 0) for p in parts], "section string, lines long")

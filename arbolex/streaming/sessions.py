@@ -21,6 +21,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from arbolex.functions import scalars
 from arbolex.operators import logs
+from arbolex.session import ship
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MOST_TOPICS = 20
@@ -105,6 +106,7 @@ def of_calls(calls: DataFrame, by: list[str], gap: int = logs.GAP_SECONDS, late:
     """A stream of closed sessions by key: ``by``, start, end, calls, repeats (calls whose tool and input came before),
     tools, slow, errors, semantic, topics, seconds and class. ``calls``: a stream with ts, ord, tool, ms, ok and input, as
     ``logs.calls`` gives them, and the keys. Needs STATE_STORE as the session's state store."""
+    ship(calls.sparkSession)
     semantic = (F.col("tool") == "search") & F.get_json_object("input", "$.semanticQuery").isNotNull()
     flags = {"semantic": semantic, "errors": ~F.col("ok"), "slow": F.col("ms") > logs.TAIL_MS} | {t: F.col("tool") == t for t in logs.TOOLS}
     rows = calls.withWatermark(ts, late).where(F.col(ts).isNotNull())
