@@ -15,7 +15,7 @@ from arbolex.operators import asof, engine, hierarchy, logs, overlay, ranked, te
 from arbolex.plans.registry import _at, _sql_bm25, _tree, _vectors, query
 from arbolex.plans.vocabulary import _SQL_CALLS, _SQL_STORE, _log_lines, opened, tables
 from arbolex.session import ship, table, work_folder
-from arbolex.sources import merging, store
+from arbolex.sources import merging, parts, store
 from arbolex.streaming import sessions
 
 # As-of joins
@@ -177,6 +177,31 @@ def kept_totals(spark, d):
     return overlay.kept_totals(v.info, v.sums).select("collection_id", "known_notations")
 
 
+# Files in parts
+
+
+@query(f"""WITH {_SQL_CALLS} SELECT tool, count(*) AS calls, false AS refused FROM e GROUP BY 1 UNION ALL SELECT 'a missing part', 0, true""")
+def split_log(spark, d):
+    """A gzipped log in parts, read as one stream; without one of its parts it is refused."""
+    folder = work_folder(spark)
+    _log_lines(spark, d).select("value").repartition(4).write.option("compression", "gzip").text(f"{folder}/members")
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    fs = place(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = sorted(s.getPath().getName() for s in fs.listStatus(place(f"{folder}/members")) if s.getPath().getName().endswith(".gz"))
+    for i, name in enumerate(names):  # members of one stream
+        fs.rename(place(f"{folder}/members/{name}"), place(f"{folder}/log.gz.part-a{chr(97 + i)}"))
+    calls = logs.calls(parts.read_lines(spark, [f"{folder}/log.gz"]))
+    calls.groupBy("tool").agg(F.count(F.lit(1)).alias("calls")).write.parquet(f"{folder}/calls")
+    fs.delete(place(f"{folder}/log.gz.part-ab"), False)
+    try:
+        parts.read_lines(spark, [f"{folder}/log.gz"])
+        refused = False
+    except parts.Incomplete:
+        refused = True
+    said = spark.createDataFrame([("a missing part", 0, refused)], "tool string, calls long, refused boolean")
+    return spark.read.parquet(f"{folder}/calls").withColumn("refused", F.lit(False)).unionByName(said)
+
+
 # Logs
 
 _LANGS = ("en", "nl", "xx", "de", "")
