@@ -73,24 +73,20 @@ def between(rows: DataFrame, since: str | None = None, until: str | None = None,
     return rows
 
 
-def with_sessions(rows: DataFrame, ts: str = "ts", tie: str = "ord", gap: int = GAP_SECONDS) -> DataFrame:
+def with_sessions(rows: DataFrame, ts: str = "ts", gap: int = GAP_SECONDS) -> DataFrame:
     """Adds session, from 1: a new one starts after a gap of more than ``gap`` seconds in the one global stream.
 
-    The stream is ordered minute by minute, in parallel; what goes from one minute to the next comes from one row a
-    minute, half a million a year."""
-    rows = rows.withColumn("_minute", F.date_trunc("minute", ts))
-    inside = Window.partitionBy("_minute").orderBy(ts, tie)
-    days = rows.groupBy("_minute").agg(F.max(ts).alias("_last"))
-    over = Window.orderBy("_minute")  # one row a minute
-    days = days.select("_minute", F.lag("_last").over(over).alias("_before"))
-    rows = rows.join(F.broadcast(days), "_minute")
-    prior = F.coalesce(F.lag(ts).over(inside), F.col("_before"))
-    rows = rows.withColumn("_new", (prior.isNull() | (scalars.micros(ts) - scalars.micros(prior) > gap * 1_000_000)).cast("int"))
-    firsts = rows.groupBy("_minute").agg(F.sum("_new").alias("_n"))
-    firsts = firsts.select("_minute", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rows = rows.join(F.broadcast(firsts), "_minute")
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("session", F.sum("_new").over(upto) + F.col("_base")).drop("_minute", "_before", "_new", "_base")
+    Time is cut into slots as long as the gap, so that none begins inside of one: it begins with a slot whose first time
+    is too far from the last one before it. What goes from slot to slot is one row a slot, some thousand a year, and the
+    rows only look their slot up. Rows without a time are left out."""
+    wide = max(1, gap * 1_000_000)
+    slot = F.floor(scalars.micros(ts) / F.lit(wide)).cast("long")
+    slots = rows.groupBy(slot.alias("_slot")).agg(F.min(scalars.micros(ts)).alias("_first"), F.max(scalars.micros(ts)).alias("_last")).where("_slot is not null")
+    over = Window.orderBy("_slot")  # one row a slot
+    before = F.lag("_last").over(over)
+    slots = slots.withColumn("_new", (before.isNull() | (F.col("_first") - before > gap * 1_000_000)).cast("int"))
+    slots = slots.select("_slot", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)).alias("session"))
+    return rows.withColumn("_slot", slot).join(F.broadcast(slots), "_slot").drop("_slot")
 
 
 def session_class(semantic: Column, browse: Column, expand: Column, find: Column, resolve: Column, tools: Column, calls_: Column, seconds: Column) -> Column:
