@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from arbolex.plans import registry, vocabulary  # noqa: F401
+from arbolex.plans import indexed, registry, vocabulary  # noqa: F401
 
 from .compare import connection, differences
 
