@@ -67,14 +67,12 @@ def create(df: DataFrame, path: str, key: list[str], ranges: int = RANGES) -> No
     # Bounds from a bounded sample: they only decide how even the ranges are.
     n = rows.count()
     drawn = sorted(r[0] for r in rows.select(first.alias("k")).where("k is not null").sample(min(1.0, 100 * ranges / max(n, 1)), seed=1).limit(200 * ranges).collect())
-    bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)}) if drawn else []
-    base = []
-    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
-        base.append((staged, i, low, high))
+    bounds = sorted({drawn[len(drawn) * i // ranges] for i in range(1, ranges)} - {""}) if drawn else []  # nulls and '' come first
     # All ranges begin in one part, sorted by key; one that is compacted later gets a part of its own.
     whole = _part(rows.withColumn("_range", _range_of(first, bounds)).repartition("_range").drop("_range"), path, *key)
     _drop(spark, [f"{path}/parts/{staged}"])
-    _put_head(spark, path, Head(before.number + 1 if before else 0, [(whole, *b[1:]) for b in base], []))
+    base = [(whole, i, low, high) for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None]))]
+    _put_head(spark, path, Head(before.number + 1 if before else 0, base, []))
 
 
 def _range_of(first: Column, bounds: list[str]) -> Column:

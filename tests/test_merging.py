@@ -21,7 +21,7 @@ def _size(path):
 def test_reads_are_those_of_a_dict(spark, tmp_path):
     rng, path, now = random.Random(5), str(tmp_path / "t"), {}
     frame = lambda rows: spark.createDataFrame([(*k, v) for k, v in rows.items()], "k string, g long, v long")
-    rows = {(f"{i:04d}", i % 3): i for i in range(3000)} | {(None, 1): -1}
+    rows = {(f"{i:04d}" if i > 99 else "", i): i for i in range(3000)} | {(None, 1): -1}
     now |= rows
     merging.merge(spark, path, frame(rows), KEY)  # creates it
     check = lambda: {(r["k"], r["g"]): r["v"] for r in merging.read(spark, path, KEY).collect()}
@@ -37,7 +37,7 @@ def test_reads_are_those_of_a_dict(spark, tmp_path):
     whole = {b[1]: b[0] for b in merging.head(spark, path).base}
     touched = merging.compact(spark, path, KEY)
     h = merging.head(spark, path)
-    assert check() == now and h.deltas == [] and 0 < len(touched) < 4
+    assert check() == now and h.deltas == [] and 0 < len(touched) < 5
     assert {i for i, p in ((b[1], b[0]) for b in h.base) if p != whole[i]} == set(touched)
     assert merging.compact(spark, path, KEY) == []
     merging.merge(spark, path, frame({("9999", 7): 1}), KEY)
