@@ -23,7 +23,7 @@ KEYWORD_FIXES = {
 
 
 def has_prefix(col: str | Column, prefix: str) -> Column:
-    """Case-insensitive prefix test in which every character is literal. On a stored lower-case column it is pushed into
+    """Case-insensitive prefix test, of all letters and not only of A to Z, in which every character is literal. On a stored lower-case column it is pushed into
     the Parquet scan; pass that column where there is one."""
     c = F.col(col) if isinstance(col, str) else col
     return c.startswith(prefix.lower())
