@@ -277,14 +277,9 @@ UNION ALL SELECT 'Sessions by day', concat_ws('|', day, n, calls) FROM byday
 UNION ALL SELECT 'Totals', concat_ws('|', (SELECT count(*) FROM e), (SELECT count(*) FROM e WHERE NOT ok), round(100 * (SELECT count(*) FROM e WHERE NOT ok) / (SELECT count(*) FROM e), 2), (SELECT CAST(max(session) AS BIGINT) FROM s))""")
 def log_report_cells(spark, d):
     """The cells of the report's main tables, as its reader sees them."""
-    rows = []
-    for part in logs.report(_log_lines(spark, d), most=1_000_000, store="Shop").split("## ")[1:]:
-        lines = part.strip().split("\n")
-        cells = [[c.strip() for c in line.strip("|").split("|")] for line in lines[4:]]
-        if lines[0] in ("Traffic", "Latency", "Sessions by day"):
-            rows += [(lines[0], "|".join(c)) for c in cells]
-        elif lines[0] == "Errors":
-            rows += [(lines[0], "|".join([datetime.fromisoformat(c[0]).strftime("%Y-%m-%d %H:%M:%S.%f"), *c[1:]])) for c in cells]
-        elif lines[0] == "Totals":
-            rows += [(lines[0], "|".join(c[:4])) for c in cells]
-    return spark.createDataFrame(rows, "section string, cells string")
+    tables = logs.sections(_log_lines(spark, d), store="Shop")
+    rows = logs.report_lines({k: tables[k] for k in ("Traffic", "Latency", "Errors", "Sessions by day", "Totals")})
+    cells, first = F.col("cells"), F.col("cells")[0]
+    at = F.date_format(F.when(F.col("section") == "Errors", first).cast("timestamp"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    shown = F.when(F.col("section") == "Errors", F.concat(F.array(at), F.slice(cells, 2, 100))).when(F.col("section") == "Totals", F.slice(cells, 1, 4)).otherwise(cells)
+    return rows.select("section", F.array_join(shown, "|").alias("cells"))

@@ -1,14 +1,18 @@
 import gzip
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from arbolex.functions import scalars, stats
 from arbolex.operators import hierarchy, logs
+from arbolex.plans import indexed, registry, vocabulary  # noqa: F401
 from arbolex.sources import ingest, store
 from arbolex.streaming import usage
 
+from .compare import connection, differences
+
 LOG = [
     {"timestamp": "2026-01-01T10:00:00.123456789Z", "message": "Starting Container"},
     {"timestamp": "2026-01-01T10:00:08Z", "message": "listening on 3000"},
@@ -186,3 +190,29 @@ def test_streams_restart(spark, tmp_path):
     rows = spark.read.schema(schema).parquet(src)
     assert {(str(r["day"]), r["calls"], r["errors"]) for r in usage.by_day(rows).collect()} == {("2026-01-01", 2, 1), ("2026-01-02", 2, 0)}
     assert sorted(r["calls"] for r in usage.sessions(rows).collect()) == [2, 2]
+
+
+@pytest.fixture(scope="module")
+def twice(spark, tmp_path_factory):
+    """The smallest tables, with each event again under other ids and at the same times, as larger copies have them."""
+    from .test_queries import DIR
+
+    if not os.path.isdir(DIR):
+        pytest.skip("no tables")
+    path = str(tmp_path_factory.mktemp("twice"))
+    for name in os.listdir(DIR):
+        os.symlink(f"{DIR}/{name}", f"{path}/{name}")
+    os.remove(f"{path}/events.parquet")
+    rows = spark.read.parquet(f"{DIR}/events.parquet")
+    shifted = [rows.withColumn("event_id", (F.col("event_id") + k * 100_000).cast(rows.schema["event_id"].dataType)) for k in range(4)]
+    late = lambda df: df.withColumn("value", F.col("value") + 201)
+    late(shifted[0].unionByName(shifted[1]).unionByName(shifted[2]).unionByName(shifted[3])).coalesce(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["file_calls", "log_report", "log_report_cells"])
+def test_many_calls_at_one_time_and_many_errors(spark, twice, name):
+    con = connection(twice)
+    con.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{twice}/events.parquet/*.parquet')")
+    assert con.sql("SELECT count(*) FROM events WHERE value > 200").fetchall()[0][0] > logs.MOST_LISTED
+    assert differences(spark, con, twice, registry.QUERIES[name], registry.ORACLES[name]) is None
