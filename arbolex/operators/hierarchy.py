@@ -115,7 +115,8 @@ def near_known(codes: DataFrame, index: DataFrame, code: str = "code") -> DataFr
     Two words one edit apart share a key of their deletion neighbourhoods (``edit_index``), so a code joins with length + 1
     keys and not with each of its possible neighbours; which edit it was, if it is an allowed one, is read off the pair."""
     base = codes.select(F.col(code).alias("code")).where("code is not null").distinct().select("code", _edits("code"))
-    pairs = base.join(index, "key").where("code != candidate and abs(length(code) - length(candidate)) <= 1").select("code", "candidate").distinct()
+    # The index is larger by far than its files, from which its size would be guessed: it is never broadcast.
+    pairs = base.join(index.hint("merge"), "key").where("code != candidate and abs(length(code) - length(candidate)) <= 1").select("code", "candidate").distinct()
     same_but = lambda p, a, b, skip_a, skip_b: f"substring({a}, 1, {p} - 1) = substring({b}, 1, {p} - 1) and substring({a}, {p} + {skip_a}) = substring({b}, {p} + {skip_b})"
     at = lambda size, test: F.expr(f"get(filter(sequence(1, greatest({size}, 1)), p -> {test}), 0)")
     swap = at("length(code)", same_but("p", "code", "candidate", 1, 1) + " and if(substring(code, p, 1) rlike '[0-9]', substring(candidate, p, 1) rlike '[0-9]', substring(candidate, p, 1) rlike '[A-Z]')")
@@ -131,7 +132,7 @@ def near_known(codes: DataFrame, index: DataFrame, code: str = "code") -> DataFr
 
 def first_near(candidates: DataFrame, known: DataFrame, k: int = 10) -> DataFrame:
     """The first k candidates of each code that are known, in the order in which they were made, and their place."""
-    found = candidates.join(known.select(F.col("notation").alias("candidate")).distinct(), "candidate", "left_semi")
+    found = candidates.join(known.select(F.col("notation").alias("candidate")).hint("merge"), "candidate", "left_semi")  # never broadcast
     place = F.row_number().over(Window.partitionBy("code").orderBy("kind_ord", "pos", "change"))
     return found.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 

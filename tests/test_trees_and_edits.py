@@ -76,3 +76,13 @@ def test_percentiles_of_any_numbers(spark):
     whole = df.selectExpr("g", "cast(v as int) as v").where("g = 'ties'")
     assert stats.describe(whole, "v", ["g"], (50,)).first().asDict() == {"g": "ties", "n": 703, "min": 0, "p50": 5, "max": 7, "mean": round((3500 + 7) / 703, 2)}
     assert stats.describe(df.where(F.lit(False)), "v", ["g"]).count() == 0
+
+
+def test_known_codes_are_not_broadcast(spark, tmp_path):
+    """A small file may hold very many codes, and their edits are several times as many."""
+    spark.range(1000).selectExpr("concat('P', id) AS notation").write.parquet(f"{tmp_path}/known")
+    known = spark.read.parquet(f"{tmp_path}/known")
+    asked = known.where("notation in ('P7', 'P120')").withColumnRenamed("notation", "code")
+    got = hierarchy.first_near(hierarchy.near_known(asked, hierarchy.edit_index(known)), known, 10)
+    assert "BroadcastExchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("code = 'P7'").count() == 10
