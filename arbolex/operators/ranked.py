@@ -15,15 +15,21 @@ several tokens counts as one term; how many texts have it is known only when its
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbolex.operators.text import B, K1, LEAST_IDF, Searcher
+from arbolex.session import ship
 
 BLOCK_TEXTS = 1024
 CLASSES = 4  # of length, in each doubling
+PIECE = 2 << 20  # bytes of texts whose postings are made at a time, or one text
 FIRST_BLOCKS, MOST_BLOCKS = 16, 4096  # read at once; named one by one in a filter
 _OWN = ("token", "doc", "block", "positions")
 
@@ -50,7 +56,7 @@ class Postings:
         return lambda phrases, scope: search_postings(self, phrases, scope)
 
 
-def impact(tf: Column, n_tokens: Column, avg: Column) -> Column:
+def impact(tf: Column | np.ndarray, n_tokens: Column | np.ndarray, avg: Column | float) -> Column | np.ndarray:
     """What a term adds to a text's score, but for its weight."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_tokens / avg))
 
@@ -64,8 +70,8 @@ def statistics(table_: DataFrame) -> DataFrame:
     return table_.agg(F.count(F.lit(1)).alias("_n"), F.avg("n_tokens").alias("_avg"))
 
 
-def index(table_: DataFrame, block_texts: int = BLOCK_TEXTS) -> DataFrame:
-    """The postings of a stored token table: token, doc, block, its other columns but ``padded``, and positions."""
+def numbered(table_: DataFrame, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """The texts of a stored token table that have tokens, with doc and block."""
     rows = table_.where("n_tokens > 0").withColumn("doc", F.monotonically_increasing_id())
     kind = F.floor(F.log2("n_tokens") * CLASSES).cast("int")
     sizes = {r["kind"]: r["count"] for r in rows.groupBy(kind.alias("kind")).count().collect()}  # some hundred classes at most
@@ -74,16 +80,86 @@ def index(table_: DataFrame, block_texts: int = BLOCK_TEXTS) -> DataFrame:
         blocks[k], first[k] = -(-sizes[k] // block_texts), base
         base += blocks[k]
     pick = lambda d: F.element_at(F.create_map(*(F.lit(x) for kv in (d or {0: 1}).items() for x in kv)), kind)
-    rows = rows.withColumn("block", (pick(first) + F.pmod(F.xxhash64("doc"), pick(blocks))).cast("long"))
-    rest = [c for c in table_.columns if c != "padded"]
-    words = rows.select("doc", "block", *rest, F.posexplode(F.split(F.trim("padded"), " ")).alias("_at", "token")).where("token != ''")
-    return words.groupBy("token", "doc", "block", *rest).agg(F.array_sort(F.collect_list("_at")).alias("positions"))  # of one text
-
-
-def block_table(index_: DataFrame, statistics_: DataFrame) -> DataFrame:
-    """token, block, df and best."""
-    rows = index_.select("token", "block", F.size("positions").cast("double").alias("tf"), "n_tokens").crossJoin(F.broadcast(statistics_))  # one row
-    return rows.groupBy("token", "block").agg(F.count(F.lit(1)).alias("df"), F.max(impact(F.col("tf"), F.col("n_tokens"), F.col("_avg"))).alias("best"))
+    return rows.withColumn("block", (pick(first) + F.pmod(F.xxhash64("doc"), pick(blocks))).cast("long"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is ``padded`` in pieces of about PIECE bytes of it."""
+    for batch in batches:
+        size = np.cumsum(np.asarray(pc.binary_length(batch.column(batch.num_columns - 1)), np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            most = (size[lo - 1] if lo else 0) + PIECE
+            hi = max(lo + 1, int(np.searchsorted(size, most, "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def _tokens(padded: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text and token of it: the token, the text's place, and where its positions begin and, last, end; and these."""
+    words = pc.split_pattern(pc.utf8_trim(padded, characters=" "), " ")
+    offsets = np.asarray(words.offsets, np.int64)
+    count = np.diff(offsets)
+    of, at = np.repeat(np.arange(len(count)), count), np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], count)
+    coded = words.flatten().dictionary_encode()
+    code, names = np.asarray(coded.indices, np.int64), coded.dictionary
+    some = np.asarray(pc.binary_length(names), np.int64)[code] > 0
+    of, at, code = of[some], at[some], code[some]
+    key = of * (len(names) + 1) + code
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    lead = order[first]
+    return names.take(pa.array(code[lead])), of[lead], np.append(first, len(key)).astype(np.int32), at[order].astype(np.int32)
+
+
+def index(texts: DataFrame) -> DataFrame:
+    """The postings of numbered texts: token, doc, block, their other columns but ``padded``, and positions. Each text's are made
+    where it is: texts may be moved to where postings are wanted, which are several times as large."""
+    ship(texts.sparkSession)
+    own = ["doc", "block", *(c for c in texts.columns if c not in ("padded", "doc", "block"))]
+    schema = ", ".join(f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _pieces(batches):
+            token, of, edges, at = _tokens(part.column(len(own)))
+            text = pa.array(of)
+            yield pa.record_batch([token, *(part.column(i).take(text) for i in range(len(own))), pa.ListArray.from_arrays(pa.array(edges), pa.array(at))], names=["token", *own, "positions"])
+
+    return texts.select(*own, "padded").mapInArrow(run, f"token string, {schema}, positions array<int>")
+
+
+def block_table(texts: DataFrame, statistics_: DataFrame, parts: int) -> DataFrame:
+    """token, block, df and best of numbered texts. The texts of a block, some thousand, are brought to one task, which
+    sums them up in full; no postings are moved."""
+    ship(texts.sparkSession)
+    avg = statistics_.first()["_avg"]
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        got = pa.concat_tables(held).group_by(["block", "token"]).aggregate([("df", "sum"), ("best", "max")])
+        return got.select(["block", "token", "df_sum", "best_max"]).rename_columns(["block", "token", "df", "best"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for part in _pieces(batches):  # sorted by block; the last one of a piece may go on in the next
+            token, of, edges, _ = _tokens(part.column(2))
+            if not len(of):
+                continue
+            tf, n = np.diff(edges).astype(np.float64), np.asarray(part.column(1), np.float64)[of]
+            new = pa.table({"block": part.column(0).take(pa.array(of)), "token": token, "df": pa.array(np.ones(len(of), np.int64)), "best": pa.array(impact(tf, n, avg))})
+            held.append(merged([new]))
+            last = part.column(0)[-1].as_py()
+            if held[0]["block"][0].as_py() != last or len(held) > 64:
+                whole = merged(held)
+                done = pc.not_equal(whole["block"], last)
+                yield from whole.filter(done).select(["token", "block", "df", "best"]).combine_chunks().to_batches()
+                held = [whole.filter(pc.invert(done))]
+                held = held if held[0].num_rows else []
+        if held:
+            yield from merged(held).select(["token", "block", "df", "best"]).combine_chunks().to_batches()
+
+    rows = texts.select("block", "n_tokens", "padded").repartition(parts, "block").sortWithinPartitions("block")
+    return rows.mapInArrow(run, "token string, block long, df long, best double")
 
 
 def token_totals(blocks: DataFrame) -> DataFrame:

@@ -39,8 +39,8 @@ def _documents(spark: SparkSession, d: str) -> ranked.Postings:
     at = (spark.sparkContext.applicationId, d)
     if at not in _indexed:
         path = work_folder(spark)
-        rows = table(spark, d, "documents").select("doc_id", "source", "text").repartition(spark.sparkContext.defaultParallelism)
-        text.token_table(rows, "text", "doc_id", "source").write.parquet(path)
+        rows = table(spark, d, "documents").select("doc_id", "source", "text")
+        text.token_table(rows, "text", "doc_id", "source").write.option("compression", "zstd").parquet(path)
         store.write_postings(spark.read.parquet(path), path)
         _indexed[at] = path
     return store.read_postings(spark, _indexed[at])

@@ -27,7 +27,7 @@ SCHEMAS = {
 }
 COUNTS_KEY, SUMS_KEY = ["notation", "collection_id"], ["name", "kind"]
 INDEX = "notation string, notation_lc string, lang string, ord long, padded string, n_tokens int"
-POSTINGS_A_BUCKET, MOST_BUCKETS = 8_000_000, 50_000
+POSTINGS_A_BUCKET, MOST_BUCKETS = 1_000_000, 50_000  # about what one task sorts in memory
 
 
 @dataclass
@@ -150,18 +150,22 @@ def compact_counts(spark: SparkSession, path: str) -> None:
 
 def write_postings(table_: DataFrame, path: str) -> None:
     """The postings of a stored token table beside it: bucketed by text, and sorted by token and block inside a bucket, in
-    small pages, so that a query reads its own tokens' blocks. ``read_postings`` opens them, in any session."""
+    small pages, so that a query reads its own tokens' blocks. ``read_postings`` opens them, in any session.
+
+    Only texts are shuffled, once by text and once by block, never postings: each time those of a text are made where it
+    comes to lie, so that a block's sums leave one task."""
     spark = table_.sparkSession
     sums = ranked.statistics(table_)
     n = int(table_.agg(F.sum("n_tokens")).first()[0] or 0)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_BUCKETS, -(-n // POSTINGS_A_BUCKET)))
     sums.withColumn("_buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{path}_statistics")
     name = f"arbolex_{uuid.uuid4().hex}"  # bucketed files are written through the catalogue; dropping the table leaves them
-    rows = ranked.index(table_).repartition(buckets, "doc")
-    rows.write.mode("overwrite").bucketBy(buckets, "doc").sortBy("token", "block", "doc").option("path", f"{path}_postings").option("parquet.page.row.count.limit", 2000).saveAsTable(name)
+    texts = ranked.numbered(table_)
+    rows = ranked.index(texts.repartition(buckets, "doc"))
+    rows.write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, "doc").sortBy("token", "block", "doc").option("path", f"{path}_postings").option("parquet.page.row.count.limit", 2000).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
-    blocks = ranked.block_table(spark.read.parquet(f"{path}_postings"), sums)
-    blocks.repartitionByRange("token", "block").sortWithinPartitions("token", "block").write.mode("overwrite").parquet(f"{path}_blocks")
+    blocks = ranked.block_table(texts, sums, buckets).sortWithinPartitions("token", "block")
+    blocks.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}_blocks")
     totals = ranked.token_totals(spark.read.parquet(f"{path}_blocks"))
     totals.repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}_tokens")
 

@@ -70,3 +70,24 @@ def test_buckets_meet_without_a_shuffle(indexed):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Bucketed: true" in plan and "ShuffledHashJoin" in plan, plan
     assert "EqualTo(token,w1)" in plan
+
+
+def test_blocks_and_postings_are_those_of_the_texts_without_moving_postings(indexed):
+    table, p = indexed
+    texts, avg = ranked.numbered(table), p.statistics.first()["_avg"]
+    want = {}
+    for r in texts.collect():
+        words = r["padded"].split()
+        for w in set(words):
+            df, best = want.get((w, r["block"]), (0, 0.0))
+            want[w, r["block"]] = df + 1, max(best, ranked.impact(float(words.count(w)), r["n_tokens"], avg))
+    made = ranked.block_table(texts, p.statistics, 3)
+    for got in (made, p.blocks):
+        rows = got.collect()
+        assert {(r["token"], r["block"]): (r["df"], round(r["best"], 12)) for r in rows} == {k: (n, round(x, 12)) for k, (n, x) in want.items()}
+        assert len(rows) == len(want)
+    postings = ranked.index(texts.repartition(5, "doc"))
+    for df in (made, postings):
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hash") == 1
+    places = {(r["token"], r["doc"]): list(r["positions"]) for r in postings.collect()}
+    assert places == {(w, r["doc"]): [i for i, x in enumerate(r["padded"].split()) if x == w] for r in texts.collect() for w in r["padded"].split()}
