@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +106,9 @@ def nearest_then_kept(vectors: DataFrame, key: str, query: list[int], k: int, ke
 # Many queries at a time, and clusters that a query can leave out
 
 CLUSTER_ROWS, MOST_CLUSTERS, SAMPLE_A_CLUSTER, ROUNDS = 256, 4096, 16, 4
+BLOCK = 512  # vectors that meet all centres at a time
+SLAB, LEAST_SLAB, STRIP = 1 << 17, 1024, 4096  # vectors of a slab at most and at least, and those compared at a time
+PROBES = 16  # vectors of each cluster that bound how far a query's nearest are
 _SLACK = 1e-7  # of angles, for rounding
 
 
@@ -123,20 +127,30 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1, 1))
 
 
+def _nearest_centre(units: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each unit vector its nearest centre and the cosine, in blocks: never the whole matrix of vectors and centres."""
+    own, cosine = np.zeros(len(units), np.int64), np.zeros(len(units))
+    for lo in range(0, len(units), BLOCK):
+        near = units[lo : lo + BLOCK] @ at.T
+        own[lo : lo + BLOCK] = near.argmax(axis=1)
+        cosine[lo : lo + BLOCK] = near[np.arange(len(near)), own[lo : lo + BLOCK]]
+    return own, cosine
+
+
 def centres(vectors: DataFrame, clusters: int | None = None) -> np.ndarray:
     """Unit centres of clusters, found on a bounded sample: SAMPLE_A_CLUSTER vectors a cluster. How good they are only
     decides how much a query can leave out."""
     n = vectors.count()
     clusters = clusters or max(1, min(MOST_CLUSTERS, n // CLUSTER_ROWS))
     rows = vectors.where("embedding is not null").select("embedding").sample(min(1.0, 2 * SAMPLE_A_CLUSTER * clusters / max(n, 1)), seed=7).limit(SAMPLE_A_CLUSTER * clusters)
-    drawn = [list(r[0]) for r in rows.collect()]
-    if not drawn:
+    drawn = rows.toArrow().column(0).combine_chunks()
+    if not len(drawn):
         return np.zeros((0, 0))
-    x = _units(np.array(drawn, np.float64))
+    x = _units(_matrix(drawn))
     rng = np.random.default_rng(7)
     at = x[rng.choice(len(x), min(clusters, len(x)), replace=False)]
     for _ in range(ROUNDS):
-        own = (x @ at.T).argmax(axis=1)
+        own = _nearest_centre(x, at)[0]
         sums = np.zeros_like(at)
         np.add.at(sums, own, x)
         some = np.sqrt((sums * sums).sum(axis=1)) > 1e-9
@@ -153,9 +167,8 @@ def clustered(vectors: DataFrame, at: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                near = _units(_matrix(batch.column(names.index("embedding")))) @ at.T
-                own = near.argmax(axis=1)
-                yield pa.record_batch([*batch.columns, pa.array(own.astype(np.int32)), pa.array(_angles(near[np.arange(len(own)), own]))], names=[*names, "cluster", "angle"])
+                own, cosine = _nearest_centre(_units(_matrix(batch.column(names.index("embedding")))), at)
+                yield pa.record_batch([*batch.columns, pa.array(own.astype(np.int32)), pa.array(_angles(cosine))], names=[*names, "cluster", "angle"])
 
     return vectors.select(*names).where("embedding is not null").mapInArrow(run, f"{schema}, cluster int, angle double")
 
@@ -167,8 +180,8 @@ def cluster_table(rows: DataFrame, at: np.ndarray) -> DataFrame:
 
 
 def nearest_many(vectors: DataFrame, key: str, queries: dict[str, list[int]], k: int, clusters: DataFrame | None = None, keep: DataFrame | None = None, scope: Column | None = None) -> DataFrame:
-    """query, key and distance: what ``nearest`` gives for each of the int8 queries, which are as many as fit the driver, in
-    one scan: a matrix product for each Arrow batch, and at most k rows a query leave a task.
+    """query, key and distance: what ``nearest`` gives for each of the int8 queries, which are as many as fit the driver
+    (``nearest_each`` takes a table of them), in one scan: a matrix product for each Arrow batch, and at most k rows a query leave a task.
 
     With ``clusters`` (of vectors that have a column cluster) whole clusters are left out, exactly: an angle to a vector is
     at least that to its centre less the cluster's radius. The nearest clusters are read first, to know how near k vectors
@@ -188,6 +201,176 @@ def nearest_many(vectors: DataFrame, key: str, queries: dict[str, list[int]], k:
     return ranked(_scanned(rows.where(F.col("cluster").isin(some)), key, kind, names, q, k, ids, asked))
 
 
+def nearest_each(vectors: DataFrame, key: str, queries: DataFrame, k: int, clusters: DataFrame) -> DataFrame:
+    """What ``nearest_many`` gives, for a table of queries (query, embedding) of any size: none of them reaches the driver,
+    which holds the clusters and PROBES vectors of each.
+
+    The k-th distance to the vectors drawn from a query's nearest clusters bounds its search: clusters that the bound and
+    their radius rule out are left out, exactly. Vectors are dealt by cluster to slabs, a large cluster to several, and
+    queries go to the slabs that they ask. Of each slab a query brings back k rows at most, and the best k of these stay."""
+    spark = vectors.sparkSession
+    ship(spark)
+    vectors = vectors.where("embedding is not null").select(key, "embedding", "cluster")
+    kind = vectors.schema[key].dataType.simpleString()
+    known = clusters.orderBy("cluster").toArrow()
+    if k < 1 or not known.num_rows:
+        return spark.createDataFrame([], f"query string, `{key}` {kind}, distance double")
+    size = known["n"].to_numpy()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first, slices = _slabs(size, max(LEAST_SLAB, min(SLAB, -(-int(size.sum()) // math.isqrt(tasks)))))
+    slabs = int((first + slices).max())
+    blocks = max(1, -(-tasks // slabs))  # of queries, so that each task has a share
+    order = F.row_number().over(Window.partitionBy("cluster").orderBy(F.xxhash64(key), key))
+    drawn = vectors.withColumn("_place", order).where(F.col("_place") <= PROBES).select("cluster", "embedding").orderBy("cluster").toArrow()
+    ids = known["cluster"].to_numpy()
+    held = spark.sparkContext.broadcast({
+        "ids": ids, "centres": _matrix(known["centre"].combine_chunks()), "radius": known["radius"].to_numpy(), "first": first, "slices": slices,
+        "probes": _matrix(drawn["embedding"].combine_chunks()).astype(np.int8), "edge": np.searchsorted(drawn["cluster"].to_numpy(), np.append(ids, ids[-1] + 1)),
+    })
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(lo, BLOCK)
+                limit, asked = _routed(_matrix(batch.column(1)), k, held.value)
+                counts = np.array([len(a) for a in asked])
+                slab = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(np.concatenate(asked).astype(np.int32)))
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array(limit), slab], names=["query", "embedding", "bound", "slabs"])
+
+    asking = queries.where("embedding is not null").select(F.col("query").cast("string").alias("query"), "embedding")
+    routed = asking.mapInArrow(route, "query string, embedding array<tinyint>, bound double, slabs array<int>")
+    routed = routed.select("query", "embedding", "bound", F.explode("slabs").alias("slab"))
+    cell = lambda slab, block: (slab.cast("long") * blocks + block).alias("cell")
+    nothing = lambda name, type_: F.lit(None).cast(type_).alias(name)
+    asks = routed.select(cell(F.col("slab"), F.pmod(F.xxhash64("query"), F.lit(blocks))), F.lit(True).alias("asks"), nothing("cluster", "int"), nothing(key, kind), "embedding", "query", "bound")
+    at = F.broadcast(spark.createDataFrame([(int(c), int(f), int(s)) for c, f, s in zip(ids, first, slices)], "cluster int, _first int, _slices int"))
+    dealt = vectors.join(at, "cluster").withColumn("_slab", F.col("_first") + F.pmod(F.xxhash64(key), F.col("_slices"))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(cell(F.col("_slab"), F.col("_block")), F.lit(False).alias("asks"), "cluster", key, "embedding", nothing("query", "string"), nothing("bound", "double"))
+    met = dealt.unionByName(asks).repartition(tasks, "cell").sortWithinPartitions("cell", "asks", "cluster", key)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held_rows, slab = None, [], None
+        for whole in batches:
+            cells = whole.column("cell").to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(cells[1:] != cells[:-1]) + 1, [len(cells)]]) if len(cells) else []
+            for lo, hi in zip(edge[:-1], edge[1:]):
+                part = whole.slice(lo, hi - lo)
+                if cells[lo] != now:
+                    now, held_rows, slab = cells[lo], [], None
+                ask = int(np.searchsorted(part.column("asks").to_numpy(zero_copy_only=False), True))
+                if ask:
+                    held_rows.append(part.slice(0, ask).select(["cluster", key, "embedding"]))
+                if not held_rows:
+                    continue  # queries of a slab without vectors
+                for at in range(ask, part.num_rows, BLOCK):
+                    slab = slab or _Slab(pa.Table.from_batches(held_rows).combine_chunks(), held.value)
+                    some = part.slice(at, BLOCK)
+                    c, row, far = slab.nearest(_matrix(some.column("embedding")), some.column("bound").to_numpy(), k)
+                    yield pa.record_batch([some.column("query").take(pa.array(c)), slab.keys.take(pa.array(row)), pa.array(far)], names=["query", key, "distance"])
+
+    found = met.mapInArrow(search, f"query string, `{key}` {kind}, distance double")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("distance", key))
+    return found.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
+
+
+def _slabs(size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cluster its first slab and over how many it goes: clusters in turn, about ``most`` vectors a slab."""
+    first, slices = np.zeros(len(size), np.int64), np.ones(len(size), np.int64)
+    slab, filled = 0, 0
+    for c, n in enumerate(size.tolist()):
+        if filled and filled + n > most:
+            slab, filled = slab + 1, 0
+        first[c], slices[c] = slab, max(1, -(-n // most))
+        filled += n
+        if n > most:
+            slab, filled = slab + int(slices[c]), 0
+    return first, slices
+
+
+def _far(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of the vectors x (rows) to the queries q (columns), as ``distances`` gives them."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - (x @ q.T) / np.sqrt((x * x).sum(axis=1)[:, None] * (q * q).sum(axis=1))
+
+
+def _routed(q: np.ndarray, k: int, known: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each query a bound of its k-th distance (inf: none), and the slabs that it asks."""
+    if q.shape[1] != known["centres"].shape[1]:
+        raise ValueError(f"a vector has not the {q.shape[1]} dimensions of the query")
+    far, edge = _angles(_units(q) @ known["centres"].T), known["edge"]
+    some = min(far.shape[1], -(-max(k, 4 * PROBES) // PROBES))
+    limit, asked = np.full(len(q), np.inf), []
+    for i, row in enumerate(far):
+        close = np.argpartition(row, some - 1)[:some]
+        x = np.concatenate([known["probes"][edge[c] : edge[c + 1]] for c in close]).astype(np.float64)
+        d = _far(x, q[i : i + 1])[:, 0]
+        d = d[d == d]
+        if len(d) >= k:
+            limit[i] = np.partition(d, k - 1)[k - 1]
+        use = np.flatnonzero(row - known["radius"] - _SLACK <= _limit_angle(limit[i]))
+        asked.append(np.unique(np.concatenate([np.arange(known["first"][c], known["first"][c] + known["slices"][c]) for c in use])))
+    return limit, asked
+
+
+def _limit_angle(distance: np.ndarray | float) -> np.ndarray:
+    """The angle of a bound, with room for rounding; any angle where there is none."""
+    return np.where(np.isfinite(distance), _angles(1 - np.minimum(distance, 3)) + _SLACK, 2 * np.pi)
+
+
+class _Slab:
+    """Vectors of a slab, sorted by cluster and key, and their search by blocks of queries."""
+
+    def __init__(self, rows: pa.Table, known: dict) -> None:
+        self.keys = rows[rows.column_names[1]].combine_chunks()
+        if isinstance(self.keys, pa.ChunkedArray):
+            self.keys = pa.concat_arrays(self.keys.chunks)
+        self.x = np.concatenate([_matrix(c).astype(np.int8) for c in rows["embedding"].chunks])
+        self.rank = np.zeros(len(self.x), np.int64)
+        self.rank[pc.sort_indices(self.keys).to_numpy()] = np.arange(len(self.x))
+        cluster = rows["cluster"].to_numpy()
+        edge = np.concatenate([[0], np.flatnonzero(cluster[1:] != cluster[:-1]) + 1, [len(cluster)]])
+        self.runs = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+        own = np.searchsorted(known["ids"], cluster[edge[:-1]])
+        self.centres, self.radius = known["centres"][own], known["radius"][own]
+
+    def nearest(self, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and distance of the k nearest of each query, without what lies beyond its bound or in clusters that it rules out."""
+        if self.x.shape[1] != q.shape[1]:
+            raise ValueError(f"a vector has not the {q.shape[1]} dimensions of the query")
+        unit, cut = _units(q).astype(np.float32), bound.copy()
+        slack = 1e-6 * q.shape[1]  # of cosines in single precision
+        asked = _angles(_units(q) @ self.centres.T) - self.radius - _SLACK <= _limit_angle(bound)[:, None]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for run, (begin, end) in enumerate(self.runs):
+            of = np.flatnonzero(asked[:, run])
+            for lo in range(begin, end, STRIP) if len(of) else ():
+                x = self.x[lo : min(lo + STRIP, end)].astype(np.float64)
+                may = _units(x).astype(np.float32) @ unit[of].T >= (1 - cut[of] - slack).astype(np.float32)
+                crowded = may.sum(axis=0) > 4 * k
+                r, c = np.nonzero(may & ~crowded)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    far = 1 - (x[r] * q[of[c]]).sum(axis=1) / np.sqrt((x[r] * x[r]).sum(axis=1) * (q[of[c]] * q[of[c]]).sum(axis=1))
+                new = [(of[c], lo + r, far)]
+                if crowded.any():  # the k nearest of the strip, of equal ones the first
+                    of_ = of[crowded]
+                    far = _far(x, q[of_])
+                    by = np.where(np.isnan(far), 4.0, far)
+                    last = np.partition(by, k - 1, axis=0)[k - 1]
+                    ties = by == last
+                    r, c = np.nonzero((by < last) | (ties & (np.cumsum(ties, axis=0) <= k)))
+                    new.append((of_[c], lo + r, far[r, c]))
+                if not any(len(n[0]) for n in new):
+                    continue
+                both = [np.concatenate(z) for z in zip(best, *new)]
+                order = np.lexsort((self.rank[both[1]], both[2], both[0]))  # nan comes last
+                c, row, far = (z[order] for z in both)
+                place = np.arange(len(c)) - np.searchsorted(c, c)
+                best = tuple(z[place < k] for z in (c, row, far))
+                full = np.flatnonzero((place == k - 1) & (far == far))
+                cut[c[full]] = np.minimum(cut[c[full]], far[full])
+        return best
+
+
 def clusters_asked(rows: DataFrame, key: str, names: list[str], q: np.ndarray, k: int, clusters: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The clusters' ids, and for each query (a row) which of them may hold one of its k nearest."""
     kind = rows.schema[key].dataType.simpleString()

@@ -80,7 +80,7 @@ _clustered: dict[tuple[str, str], str] = {}
 @query(f"""WITH q AS (SELECT vec_id, {_Q} AS e FROM embeddings), far AS (SELECT 'q' || a.vec_id AS query, b.vec_id, 1 - list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / sqrt(CAST(list_sum(list_transform(a.e, lambda x: x * x)) AS DOUBLE) * list_sum(list_transform(b.e, lambda x: x * x))) AS d
 FROM q a, q b WHERE a.vec_id % 20 = 0) SELECT query, vec_id, floor((1 - d) * 1000 + 0.5) / 1000 AS similarity FROM far QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, vec_id) <= 5""")
 def knn_many(spark, d):
-    """The nearest five of every twentieth vector, all in one scan of the clusters that may hold them."""
+    """The nearest five of every twentieth vector, all at once, from the clusters that may hold them."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _clustered:
         path, rows = work_folder(spark), _vectors(spark, d)
@@ -89,8 +89,8 @@ def knn_many(spark, d):
         vector.cluster_table(spark.read.parquet(f"{path}/vectors"), centres).write.parquet(f"{path}/clusters")
         _clustered[at] = path
     rows, clusters = (spark.read.parquet(f"{_clustered[at]}/{n}") for n in ("vectors", "clusters"))
-    asked = rows.where("vec_id % 20 = 0").select("vec_id", "embedding").collect()  # the queries, a block of them
-    got = vector.nearest_many(rows, "vec_id", {f"q{r['vec_id']}": list(r["embedding"]) for r in asked}, 5, clusters)
+    asked = rows.where("vec_id % 20 = 0").select(F.concat(F.lit("q"), "vec_id").alias("query"), "embedding")
+    got = vector.nearest_each(rows, "vec_id", asked, 5, clusters)
     return got.select("query", "vec_id", vector.similarity(F.col("distance")).alias("similarity"))
 
 

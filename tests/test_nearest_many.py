@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbolex.operators import vector
+from arbolex.plans import indexed
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,56 @@ def test_no_queries_no_vectors(spark, stored):
     assert vector.centres(plain.limit(0)).size == 0
     with pytest.raises(Exception, match="dimensions"):
         vector.nearest_many(plain, "key", {"q": [1, 2]}, 3).collect()
+
+
+def _by_query(df):
+    return {q: sorted((str(r["distance"] == r["distance"] and round(r["distance"], 12)), r["key"]) for r in rs) for q, rs in _groups(df).items()}
+
+
+@pytest.mark.parametrize("slab, k", [(vector.LEAST_SLAB, 5), (50, 3), (50, 80)])
+def test_a_table_of_queries(spark, stored, monkeypatch, slab, k):
+    plain, got, clusters, rows = stored
+    monkeypatch.setattr(vector, "LEAST_SLAB", slab)
+    monkeypatch.setattr(vector, "SLAB", slab)
+    queries = {f"q{i}": rows[i * 11][1] for i in range(120)} | {"ties": rows[5][1], "zero": [0] * 16}
+    table = spark.createDataFrame([*queries.items(), ("null", None)], "query string, embedding array<tinyint>")
+    many = _by_query(vector.nearest_each(got, "key", table, k, clusters))
+    assert many == _by_query(vector.nearest_many(got, "key", queries, k))
+    assert many["q3"] == sorted((str(round(d, 12)), key) for key, d in _pairs(vector.nearest(plain, "key", queries["q3"], k)))
+
+
+def _pairs(df):
+    return [(r["key"], r["distance"]) for r in df.collect()]
+
+
+def test_a_table_of_queries_on_odd_tables(spark, stored):
+    plain, got, clusters, rows = stored
+    none = spark.createDataFrame([], "query string, embedding array<tinyint>")
+    one = spark.createDataFrame([("q", rows[0][1])], none.schema)
+    assert vector.nearest_each(got, "key", none, 3, clusters).count() == 0
+    assert vector.nearest_each(got, "key", one, 0, clusters).count() == 0
+    assert vector.nearest_each(got.limit(0), "key", one, 3, clusters.limit(0)).count() == 0
+    few = got.where("key in ('k0000', 'nothing', 'k0007')")
+    at = clusters.select("cluster", "centre").join(few.groupBy("cluster").agg(F.max("angle").alias("radius"), F.count("*").alias("n")), "cluster")
+    found = vector.nearest_each(few, "key", one, 5, at).collect()
+    assert {r["key"] for r in found} == {"k0000", "nothing", "k0007"}
+    with pytest.raises(Exception, match="dimensions"):
+        vector.nearest_each(got, "key", spark.createDataFrame([("q", [1, 2])], none.schema), 3, clusters).collect()
+
+
+def test_knn_many_keeps_its_queries_off_the_driver(spark, tmp_path, monkeypatch):
+    """Before, the queries were collected, and the driver held a matrix of queries and clusters."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in x], 0) for i, x in enumerate(rng.normal(size=(3000, 8)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda df: pytest.fail("rows are collected"))
+    assert indexed.knn_many(spark, str(tmp_path)).count() == 150 * 5
+
+
+def test_centres_and_clusters_go_in_blocks(spark, stored, monkeypatch):
+    plain, got, clusters, rows = stored
+    x = vector._units(np.array([r[1] for r in rows[:300]], float))
+    near = x @ x[:40].T
+    monkeypatch.setattr(vector, "BLOCK", 7)
+    own, cosine = vector._nearest_centre(x, x[:40])
+    assert (own == near.argmax(axis=1)).all() and np.allclose(cosine, near.max(axis=1))
