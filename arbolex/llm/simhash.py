@@ -42,7 +42,7 @@ BROADCAST_KEYS = 1 << 20  # beyond so many split groups their keys are joined by
 
 def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
     """One 64-bit fingerprint for each run of words first[k]:first[k + 1]."""
-    n_docs, count = len(first) - 1, np.diff(first)
+    count = np.diff(first)
     # The words of the chunk, lower-cased and each followed by one space.
     size = end - start
     at = np.zeros(len(size) + 1, np.int64)
@@ -59,12 +59,17 @@ def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np
     digest = xxhash.xxh64_intdigest
     spans = zip(at[lo].tolist(), (at[hi] - 1).tolist()) if len(lo) else ()
     hashes = np.fromiter((digest(text[s:e], SEED) for s, e in spans), np.uint64, len(lo))
-    out = np.zeros(n_docs, np.uint64)
-    some = np.flatnonzero(n_shingles)
+    return majorities(hashes, n_shingles)
+
+
+def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` hashes the bits that over half of them have; zero for none."""
+    out = np.zeros(len(counts), np.uint64)
+    some = np.flatnonzero(counts)
     if len(some):
-        edge = np.zeros(n_docs + 1, np.int64)
-        np.cumsum(n_shingles, out=edge[1:])
-        half = n_shingles[some]
+        edge = np.zeros(len(counts) + 1, np.int64)
+        np.cumsum(counts, out=edge[1:])
+        half = counts[some]
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones = np.add.reduceat(bits, edge[:-1][some], axis=0, dtype=np.int32)
         out[some] = np.packbits((2 * ones > half[:, None]), axis=1, bitorder="little").view(np.uint64).ravel()
